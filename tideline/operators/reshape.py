@@ -58,7 +58,8 @@ def crosstab(df: DataFrame, row: str, column: str, levels: Sequence[str]) -> Dat
 
 def transpose(df: DataFrame, row: str, column: str) -> DataFrame:
     """Swap the two keys of a long matrix."""
-    return df.withColumnsRenamed({row: column, column: row})
+    swapped = {row: column, column: row}
+    return df.select(*[col(c).alias(swapped.get(c, c)) for c in df.columns])
 
 
 def with_bounds(df: DataFrame, label: str, low: float, high: float) -> DataFrame:
