@@ -1 +1,342 @@
-"""Placeholder."""
+"""Count and log-value matrices: filters, normalisation, models, moderated tests, components."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tideline.catalog.registry import q6, query, r6, sql_digamma, sql_t_p, sql_tetragamma, sql_trigamma
+from tideline.functions.levels import GROUP, STAGE
+from tideline.functions.numeric import INF, r_div, r_log2
+from tideline.operators import counts as K
+from tideline.operators import linear as M
+from tideline.operators import pca as P
+from tideline.operators.joins import with_baseline
+from tideline.plans import bindings as B
+from tideline.plans import differential as D
+from tideline.plans.bindings import sql_with, table
+
+SHOWN = ["Early", "Middle", "Late"]
+CONTRASTS = M.versus("Baseline", SHOWN)
+BATCHES = ["A", "B"]
+
+# ---------------------------------------------------------------- SQL building blocks
+
+_DENSE = """, dense AS (SELECT f.feature, s.sample, COALESCE(c.value, 0) AS value FROM (SELECT DISTINCT feature FROM counts) f
+    CROSS JOIN (SELECT DISTINCT sample FROM samples) s LEFT JOIN counts c ON c.feature = f.feature AND c.sample = s.sample)"""
+_LOGC = _DENSE + ", logc AS (SELECT feature, sample, log2(value + 0.5::DOUBLE) AS value FROM dense)"
+_TMM = """, lib AS (SELECT sample, CAST(SUM(value) AS DOUBLE) AS lib FROM counts GROUP BY 1),
+    uq AS (SELECT sample, lib, quantile_cont(CAST(value AS DOUBLE), 0.75) / lib AS q FROM dense JOIN lib USING (sample) GROUP BY 1, 2),
+    ref AS (SELECT sample, lib FROM uq ORDER BY abs(q - (SELECT AVG(q) FROM uq)), sample LIMIT 1),
+    base AS (SELECT feature, value, ref.lib AS nr FROM counts JOIN ref USING (sample) WHERE value > 0),
+    ma AS (SELECT c.sample, round(log2(c.value/lib) - log2(b.value/nr), 12) AS m, round((log2(c.value/lib) + log2(b.value/nr))/2, 12) AS a,
+        (lib - c.value)/lib/c.value + (nr - b.value)/nr/b.value AS v FROM counts c JOIN lib USING (sample) JOIN base b USING (feature) WHERE c.value > 0),
+    rk AS (SELECT *, COUNT(*) OVER (PARTITION BY sample) AS n, rank() OVER (PARTITION BY sample ORDER BY m) + (COUNT(*) OVER (PARTITION BY sample, m) - 1)/2.0::DOUBLE AS rm,
+        rank() OVER (PARTITION BY sample ORDER BY a) + (COUNT(*) OVER (PARTITION BY sample, a) - 1)/2.0::DOUBLE AS ra FROM ma),
+    tf AS (SELECT sample, SUM(m/v)/SUM(1/v) AS f FROM rk WHERE rm BETWEEN floor(n*0.3::DOUBLE)+1 AND n - floor(n*0.3::DOUBLE) AND ra BETWEEN floor(n*0.05::DOUBLE)+1 AND n - floor(n*0.05::DOUBLE) GROUP BY 1),
+    tmm AS (SELECT sample, lib, pow(2, COALESCE(f, 0) - AVG(COALESCE(f, 0)) OVER ()) AS factor FROM lib LEFT JOIN tf USING (sample))"""
+_LOGCPM = _TMM + """, eff AS (SELECT sample, lib*factor AS l, 2*lib*factor/AVG(lib*factor) OVER () AS pad FROM tmm),
+    logcpm AS (SELECT feature, sample, log2((value + pad)/(l + 2*pad)*1e6::DOUBLE) AS value FROM dense JOIN eff USING (sample))"""
+
+
+def oneway_sql(matrix: str, samples: str) -> str:
+    """CTEs st (per feature and stage), fit (per feature) and contr (per feature and contrast)."""
+    return f""", st AS (SELECT feature, stage, COUNT(*) AS n, AVG(value) AS m, var_pop(value)*COUNT(*) AS ss FROM {matrix} JOIN {samples} USING (sample) GROUP BY 1, 2),
+    fit AS (SELECT feature, CAST(SUM(n) - COUNT(*) AS DOUBLE) AS df, sqrt(SUM(ss)/(SUM(n) - COUNT(*))) AS sigma FROM st GROUP BY 1),
+    contr AS (SELECT a.feature, a.stage, a.m - b.m AS lfc, sqrt(1.0::DOUBLE/a.n + 1.0::DOUBLE/b.n) AS unscaled, sigma, df FROM st a JOIN st b ON a.feature = b.feature AND b.stage = 'Baseline'
+        AND a.stage IN ('Early','Middle','Late') JOIN fit ON fit.feature = a.feature)"""
+
+
+def batch_sql(matrix: str, samples: str) -> str:
+    """The same CTEs for stage plus a two-level batch, by partialling the stage means out of the batch
+    indicator, and ``effect`` with the batch coefficient per feature."""
+    return f""", x AS (SELECT feature, sample, stage, value, CASE batch WHEN 'B' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS z FROM {matrix} JOIN {samples} USING (sample)),
+    sm AS (SELECT feature, stage, COUNT(*) AS n, AVG(value) AS m, AVG(z) AS zm FROM x GROUP BY 1, 2),
+    effect AS (SELECT feature, SUM((z - zm)*(value - m))/SUM((z - zm)*(z - zm)) AS b, SUM((z - zm)*(z - zm)) AS szz FROM x JOIN sm USING (feature, stage) GROUP BY 1),
+    fit AS (SELECT feature, CAST(COUNT(*) - 6 AS DOUBLE) AS df, sqrt(SUM(pow(value - m - b*(z - zm), 2))/(COUNT(*) - 6)) AS sigma FROM x JOIN sm USING (feature, stage) JOIN effect USING (feature) GROUP BY 1),
+    st AS (SELECT feature, stage, n, zm, m - b*zm AS m FROM sm JOIN effect USING (feature)),
+    contr AS (SELECT a.feature, a.stage, a.m - b.m AS lfc, sqrt(1.0::DOUBLE/a.n + 1.0::DOUBLE/b.n + pow(a.zm - b.zm, 2)/szz) AS unscaled, sigma, df FROM st a JOIN st b ON a.feature = b.feature AND b.stage = 'Baseline'
+        AND a.stage IN ('Early','Middle','Late') JOIN fit ON fit.feature = a.feature JOIN effect ON effect.feature = a.feature)"""
+
+
+EBAYES = f""", e AS (SELECT df, ln(sigma*sigma) - {sql_digamma('(df/2)')} + ln(df/2) AS e, {sql_trigamma('(df/2)')} AS g FROM fit),
+    h AS (SELECT AVG(e) AS mean, var_samp(e) - AVG(g) AS extra, SUM(df) AS pooled FROM e),
+    newton AS (SELECT 0 AS i, 0.5::DOUBLE + 1/extra AS y FROM h WHERE extra > 0 UNION ALL
+        SELECT i + 1, y + {sql_trigamma('y')}*(1 - {sql_trigamma('y')}/extra)/{sql_tetragamma('y')} FROM newton, h WHERE i < 25),
+    prior AS (SELECT mean, pooled, y, CASE WHEN y IS NULL THEN exp(mean) ELSE exp(mean + {sql_digamma('y')} - ln(y)) END AS s0 FROM h LEFT JOIN (SELECT * FROM newton WHERE i = 25) ON true),
+    post AS (SELECT contr.*, CASE WHEN y IS NULL THEN s0 ELSE (2*y*s0 + df*sigma*sigma)/(2*y + df) END AS s2, CASE WHEN y IS NULL THEN pooled ELSE least(df + 2*y, pooled) END AS dft FROM contr, prior),
+    tt AS (SELECT *, lfc/(unscaled*sqrt(s2)) AS t FROM post),
+    eb AS (SELECT *, {sql_t_p('t', 'dft', 600)} AS p FROM tt)"""
+RESULT = """, bh AS (SELECT *, COUNT(*) OVER (PARTITION BY stage) AS mm, COUNT(*) OVER (PARTITION BY stage ORDER BY p) AS upto FROM eb),
+    adj AS (SELECT *, least(1.0::DOUBLE, min(p*mm/upto) OVER (PARTITION BY stage ORDER BY p DESC)) AS padj FROM bh),
+    res AS (SELECT feature, stage, lfc, padj, padj < {p} AND abs(lfc) > {f} AS significant, CASE WHEN padj < {p} AND abs(lfc) > {f} THEN CASE WHEN lfc < 0 THEN 'Down' ELSE 'Up' END ELSE 'None' END AS regulation FROM adj)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+COUNT_FIT = recursive(sql_with("counts", "samples")) + _LOGC + oneway_sql("logc", "samples") + EBAYES
+COUNT_RESULT = COUNT_FIT + RESULT.format(p="0.4", f="0.1")
+ROUNDED = f"SELECT feature, stage, {q6('lfc')} AS lfc, {q6('padj')} AS padj, significant, regulation FROM res"
+
+
+# ---------------------------------------------------------------- plans shared below
+
+
+def _dense(spark, sf):
+    return K.complete_cells(B.counts(spark, sf), B.samples(spark, sf))
+
+
+def _logc(spark, sf):
+    return _dense(spark, sf).withColumn("value", F.log2(F.col("value") + 0.5))
+
+
+def _count_tests(spark, sf):
+    return M.ebayes(M.fit_oneway(_logc(spark, sf), B.samples(spark, sf), "stage", STAGE), STAGE, CONTRASTS)
+
+
+def _count_results(spark, sf):
+    return M.results(_count_tests(spark, sf), p_max=0.4, lfc_min=0.1)
+
+
+def _rounded(df, *names):
+    return df.withColumns({n: r6(n) for n in names})
+
+
+# ---------------------------------------------------------------- counts
+
+
+@query("mat_filter", sql_with("counts") + "SELECT feature, sample, value FROM counts WHERE feature IN (SELECT feature FROM counts GROUP BY 1 HAVING COUNT(*) FILTER (value > 450) >= 3)")
+def _(spark, sf):
+    return K.filter_features(B.counts(spark, sf), 3, 450).select("feature", "sample", "value")
+
+
+@query("mat_dense", sql_with("counts", "samples") + _DENSE + " SELECT * FROM dense")
+def _(spark, sf):
+    return _dense(spark, sf)
+
+
+@query("mat_tmm", sql_with("counts", "samples") + _DENSE + _TMM + f" SELECT sample, lib AS lib_size, {q6('factor')} AS factor FROM tmm")
+def _(spark, sf):
+    return _rounded(K.tmm(B.counts(spark, sf)), "factor")
+
+
+@query("mat_logcpm", sql_with("counts", "samples") + _DENSE + _LOGCPM + f" SELECT feature, sample, {q6('value')} AS value FROM logcpm")
+def _(spark, sf):
+    factors = K.tmm(B.counts(spark, sf))
+    return _rounded(K.log_cpm(_dense(spark, sf), factors), "value")
+
+
+@query("mat_log2", sql_with("counts", "samples") + _DENSE + " SELECT feature, sample, CASE WHEN value = 0 THEN '-inf'::DOUBLE ELSE round(log2(value), 6) END AS value FROM dense")
+def _(spark, sf):
+    logged = r_log2(F.col("value"))
+    return _dense(spark, sf).select("feature", "sample", F.when(logged == -INF, logged).otherwise(r6(logged)).alias("value"))
+
+
+# ---------------------------------------------------------------- models
+
+
+@query("mat_oneway", sql_with("assay", "assay_samples") + oneway_sql("assay", "assay_samples") + f" SELECT feature, stage, {q6('m')} AS beta, {q6('sigma')} AS sigma, df FROM st JOIN fit USING (feature)")
+def _(spark, sf):
+    fit = M.fit_oneway(B.assay(spark, sf), B.assay_samples(spark, sf), "stage", STAGE)
+    named = F.arrays_zip(F.array(*[F.lit(s) for s in STAGE]).alias("stage"), "beta")
+    long = fit.select("feature", F.explode(named).alias("c"), "sigma", "df")
+    return _rounded(long.select("feature", "c.stage", "c.beta", "sigma", "df"), "beta", "sigma")
+
+
+@query("mat_oneway_w", sql_with("assay", "assay_samples") + f""", w AS (SELECT feature, stage, value, 1.0::DOUBLE + (sample % 4) AS w FROM assay JOIN assay_samples USING (sample)),
+    g AS (SELECT feature, stage, COUNT(*) AS n, SUM(w*value)/SUM(w) AS m FROM w GROUP BY 1, 2)
+    SELECT feature, {q6('sqrt(SUM(w*(value - m)*(value - m))/(COUNT(*) - 5))')} AS sigma, {q6("MAX(m) FILTER (stage='Late') - MAX(m) FILTER (stage='Baseline')")} AS lfc FROM w JOIN g USING (feature, stage) GROUP BY 1""")
+def _(spark, sf):
+    weighted = B.assay(spark, sf).withColumn("w", F.lit(1.0) + F.col("sample") % 4)
+    fit = M.fit_oneway(weighted, B.assay_samples(spark, sf), "stage", STAGE, weight="w")
+    lfc = F.col("beta")[STAGE.index("Late")] - F.col("beta")[STAGE.index("Baseline")]
+    return fit.select("feature", r6("sigma").alias("sigma"), r6(lfc).alias("lfc"))
+
+
+@query("mat_lm", sql_with("assay", "assay_samples") + batch_sql("assay", "assay_samples") + f" SELECT feature, {q6('b')} AS batch, {q6('sigma')} AS sigma, df, {q6('m')} AS baseline FROM effect JOIN fit USING (feature) JOIN st USING (feature) WHERE stage = 'Baseline'")
+def _(spark, sf):
+    fit = M.fit_shared(B.assay(spark, sf), B.assay_samples(spark, sf), "stage", STAGE, "batch", BATCHES)
+    return fit.select("feature", r6(F.col("beta")[5]).alias("batch"), r6("sigma").alias("sigma"), "df", r6(F.col("beta")[0]).alias("baseline"))
+
+
+@query("mat_batch", sql_with("assay", "assay_samples") + batch_sql("assay", "assay_samples") + f" SELECT feature, sample, {q6('value - b*(z - 0.5::DOUBLE)')} AS value FROM x JOIN effect USING (feature)")
+def _(spark, sf):
+    out = M.remove_batch(B.assay(spark, sf), B.assay_samples(spark, sf), "stage", STAGE, "batch", BATCHES)
+    return _rounded(out, "value")
+
+
+@query("mat_contrast", sql_with("assay", "assay_samples") + batch_sql("assay", "assay_samples") + f" SELECT feature, stage AS contrast, {q6('lfc')} AS lfc, {q6('unscaled')} AS unscaled FROM contr")
+def _(spark, sf):
+    fit = M.fit_shared(B.assay(spark, sf), B.assay_samples(spark, sf), "stage", STAGE, "batch", BATCHES)
+    out = M.contrast(fit, [*STAGE, "B"], CONTRASTS).select("feature", "contrast", "lfc", "unscaled")
+    return _rounded(out, "lfc", "unscaled")
+
+
+@query("mat_ebayes", COUNT_FIT + f" SELECT feature, stage AS contrast, {q6('lfc')} AS lfc, {q6('s2')} AS s2_post, {q6('t')} AS t, {q6('p')} AS p FROM eb")
+def _(spark, sf):
+    tests = _count_tests(spark, sf).select("feature", "contrast", "lfc", "s2_post", "t", "p")
+    return _rounded(tests, "lfc", "s2_post", "t", "p")
+
+
+@query("mat_classify", COUNT_RESULT + ROUNDED)
+def _(spark, sf):
+    return _rounded(_count_results(spark, sf), "lfc", "padj")
+
+
+@query("mat_voom")
+def _(spark, sf):
+    dense = _dense(spark, sf)
+    factors = K.tmm(B.counts(spark, sf))
+    return _rounded(M.voom(dense, B.samples(spark, sf), factors, "stage", STAGE), "value", "weight")
+
+
+# ---------------------------------------------------------------- components
+
+
+@query("mat_pca")
+def _(spark, sf):
+    parts = P.pca(B.assay(spark, sf))
+    return _rounded(parts.scores.join(B.assay_samples(spark, sf), "sample", "left"), "PC1", "PC2")
+
+
+@query("mat_pca_batch")
+def _(spark, sf):
+    meta = B.assay_samples(spark, sf)
+    clean = M.remove_batch(B.assay(spark, sf), meta, "stage", STAGE, "batch", BATCHES)
+    return _rounded(P.pca(clean).scores.join(meta, "sample", "left"), "PC1", "PC2")
+
+
+@query("mat_pca_counts")
+def _(spark, sf):
+    kept = K.filter_features(B.counts(spark, sf))
+    logged = K.log_cpm(K.complete_cells(kept, B.samples(spark, sf)), K.tmm(kept))
+    return _rounded(P.pca(logged).variance, "variance", "share")
+
+
+@query("mat_pca_total_var", sql_with("assay") + f"SELECT {q6('SUM(v)')} AS total_variance, COUNT(*) AS features FROM (SELECT feature, var_samp(value) AS v FROM assay GROUP BY 1)")
+def _(spark, sf):
+    return _rounded(P.total_variance(B.assay(spark, sf)), "total_variance")
+
+
+@query("mat_contrib")
+def _(spark, sf):
+    return _rounded(P.top_contributors(P.pca(B.assay(spark, sf)).loadings, 30), "PC1", "PC2", "magnitude")
+
+
+# ---------------------------------------------------------------- fold changes
+
+
+@query("mat_lfc_baseline", sql_with("obs") + """SELECT o.subject, o.t, o.feature, round(log2(o.value / b.value), 6) + 0::DOUBLE AS lfc FROM obs o LEFT JOIN obs b ON o.subject = b.subject AND o.feature = b.feature AND b.t = 0
+    WHERE o.feature IN ('click', 'error')""")
+def _(spark, sf):
+    some = B.obs(spark, sf).where(F.col("feature").isin("click", "error"))
+    joined = with_baseline(some, ["subject", "feature"], "value", F.col("t") == 0)
+    out = M.lfc_from_baseline(joined, r_div(F.col("value"), F.col("baseline")))
+    return _rounded(out.select("subject", "t", "feature", "lfc"), "lfc")
+
+
+def _grid_part(group):
+    return f"""SELECT '{group}' AS grp, feature, a.stage, a.m - b.m AS lfc FROM (SELECT feature, stage, AVG(value) AS m FROM logk JOIN samples USING (sample) WHERE grp = '{group}' GROUP BY 1, 2) a
+        JOIN (SELECT feature, AVG(value) AS m FROM logk JOIN samples USING (sample) WHERE grp = '{group}' AND stage = 'Baseline' GROUP BY 1) b USING (feature)
+        WHERE feature IN (SELECT feature FROM counts JOIN samples USING (sample) WHERE grp = '{group}' AND value > 400 GROUP BY 1 HAVING COUNT(*) >= 3)"""
+
+
+_GRID_COLUMNS = ", ".join(
+    f"""COALESCE(MAX(CASE WHEN grp = '{g}' AND stage = '{s}' THEN {q6('lfc')} END), 0) AS "{g}, {s.lower()}" """ for s in SHOWN for g in GROUP
+)
+
+
+@query("mat_lfc_grid", sql_with("counts", "samples") + _DENSE + f", logk AS (SELECT feature, sample, log2(value + 0.5::DOUBLE) AS value FROM dense), grid AS ({' UNION ALL '.join(_grid_part(g) for g in GROUP)}) SELECT feature, {_GRID_COLUMNS} FROM grid WHERE stage IN ('Early','Middle','Late') GROUP BY 1")
+def _(spark, sf):
+    counts, samples = B.counts(spark, sf), B.samples(spark, sf)
+    parts = {}
+    for g in GROUP:
+        some = samples.where(F.col("grp") == g)
+        kept = K.filter_features(counts.join(some.select("sample"), "sample", "left_semi"), 3, 400)
+        logged = K.complete_cells(kept, some).withColumn("value", F.log2(F.col("value") + 0.5))
+        tests = M.contrast(M.fit_oneway(logged, some, "stage", STAGE), STAGE, CONTRASTS)
+        parts[g] = tests.select("feature", r6("lfc").alias("lfc"), F.col("contrast").alias("stage"))
+    return M.lfc_grid(parts, SHOWN)
+
+
+# ---------------------------------------------------------------- composite tables
+
+
+@query("omx_timeline", sql_with("obs", "samples") + "SELECT DISTINCT t, stage FROM obs JOIN samples ON subject = sample")
+def _(spark, sf):
+    joined = B.obs(spark, sf).join(B.samples(spark, sf).withColumnRenamed("sample", "subject"), "subject")
+    return joined.select("t", "stage").distinct()
+
+
+@query("omx_count_de")
+def _(spark, sf):
+    some = B.samples(spark, sf).where("grp <> 'LD-NV'")
+    return _rounded(M.count_de(B.counts(spark, sf), some, "stage", STAGE, CONTRASTS), "lfc", "padj")
+
+
+@query("omx_count_de_aviremic")
+def _(spark, sf):
+    some = B.samples(spark, sf).where("grp = 'LD-NV'")
+    return _rounded(M.count_de(B.counts(spark, sf), some, "stage", STAGE, CONTRASTS), "lfc", "padj")
+
+
+_SICK = ", sick AS (SELECT * FROM assay_samples WHERE grp <> 'LD-NV')"
+_WELL = ", well AS (SELECT * FROM assay_samples WHERE grp = 'LD-NV')"
+
+
+@query("omx_conc_de", recursive(sql_with("assay", "assay_samples")) + _SICK + batch_sql("assay", "sick") + EBAYES + RESULT.format(p="0.9", f="0.01") + ROUNDED)
+def _(spark, sf):
+    some = B.assay_samples(spark, sf).where("grp <> 'LD-NV'")
+    fit = M.fit_shared(B.assay(spark, sf), some, "stage", STAGE, "batch", BATCHES)
+    tests = M.ebayes(fit, [*STAGE, "B"], CONTRASTS)
+    return _rounded(M.results(tests, p_max=0.9, lfc_min=0.01), "lfc", "padj")
+
+
+@query("omx_conc_de_plain", recursive(sql_with("assay", "assay_samples")) + _WELL + oneway_sql("assay", "well") + EBAYES + RESULT.format(p="0.05", f="1") + ROUNDED)
+def _(spark, sf):
+    some = B.assay_samples(spark, sf).where("grp = 'LD-NV'")
+    return _rounded(M.concentration_de(B.assay(spark, sf), some, "stage", STAGE, CONTRASTS), "lfc", "padj")
+
+
+_WIDE = ", ".join(f"""MAX(CASE WHEN stage = '{s}' THEN {q6(v)} END) AS "{s}.{v}" """ for s in SHOWN for v in ("lfc", "padj"))
+
+
+@query("omx_enrich_input", COUNT_RESULT + f" SELECT feature, {_WIDE} FROM res GROUP BY 1")
+def _(spark, sf):
+    return D.enrichment_input(_rounded(_count_results(spark, sf), "lfc", "padj"), SHOWN)
+
+
+@query("omx_volcano", COUNT_RESULT + f""", top AS (SELECT feature, stage FROM res WHERE regulation = 'Up' QUALIFY rank() OVER (PARTITION BY stage ORDER BY lfc DESC) <= 8)
+    SELECT feature, stage, {q6('lfc')} AS lfc, {q6('-log10(padj)')} AS height, significant, regulation, CASE WHEN top.feature IS NOT NULL THEN feature END AS label FROM res LEFT JOIN top USING (feature, stage)""")
+def _(spark, sf):
+    return _rounded(D.volcano(_count_results(spark, sf), 8), "lfc", "height")
+
+
+@query("omx_volcano_both", COUNT_RESULT + f""", top AS (SELECT feature, stage FROM res WHERE significant QUALIFY rank() OVER (PARTITION BY stage, regulation ORDER BY abs(lfc) DESC) <= 5)
+    SELECT feature, stage, {q6('lfc')} AS lfc, {q6('-log10(padj)')} AS height, significant, regulation, CASE WHEN top.feature IS NOT NULL THEN feature END AS label FROM res LEFT JOIN top USING (feature, stage)""")
+def _(spark, sf):
+    return _rounded(D.volcano(_count_results(spark, sf), 5, by_class=True), "lfc", "height")
+
+
+@query("omx_shortlist", """WITH s AS (SELECT n_name AS pathway, CAST(SUM(s_acctbal > 5000) AS DOUBLE) AS late, CAST(NULLIF(SUM(CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END), 0) AS DOUBLE) AS early FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
+    l AS (SELECT n_name AS pathway, replace(n_name, '_', chr(10)) AS nickname, n_nationkey FROM nation WHERE n_regionkey = 2),
+    j AS (SELECT nickname, COALESCE(late, 0) AS late, COALESCE(early, 0) AS early FROM s RIGHT JOIN l USING (pathway))
+    SELECT score, nickname, value FROM (SELECT 'Max' AS score, nickname, 3.0::DOUBLE AS value FROM j UNION ALL SELECT 'Min', nickname, 0.0 FROM j UNION ALL SELECT 'Early', nickname, early FROM j UNION ALL SELECT 'Late', nickname, late FROM j)""")
+def _(spark, sf):
+    nation = table(spark, sf, "nation")
+    joined = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    scores = joined.groupBy(F.col("n_name").alias("pathway")).agg(
+        F.count_if(F.col("s_acctbal") > 5000).cast("double").alias("late"),
+        F.nullif(F.count_if(F.col("s_acctbal") < 0), F.lit(0)).cast("double").alias("early"),
+    )
+    listed = nation.where("n_regionkey = 2").select(
+        F.col("n_name").alias("pathway"), F.replace("n_name", F.lit("_"), F.lit("\\n")).alias("nickname")
+    )
+    return D.pathway_scores(scores, listed)
+
+
+@query("omx_labels", sql_with("subj", "samples") + "SELECT subject, subject || ', ' || death || ' DPI' AS label FROM subj JOIN samples ON subject = sample WHERE grp = 'LD-V' AND stage NOT IN ('Baseline','Early','Recovered')")
+def _(spark, sf):
+    joined = B.subj(spark, sf).join(B.samples(spark, sf).withColumnRenamed("sample", "subject"), "subject")
+    return D.point_labels(joined, "LD-V", "death")

@@ -59,3 +59,23 @@ def sql_t_p(t: str, df: str, steps: int = 2000) -> str:
     series = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * pow(cos({top}*i/{steps}.0::DOUBLE), {df}-1)))"
     front = f"exp(lgamma(({df}+1)/2.0::DOUBLE) - lgamma({df}/2.0::DOUBLE)) / sqrt(pi())"
     return f"(1 - 2 * {front} * {top}/{steps}/3 * {series})"
+
+
+def _far(x: str) -> str:
+    return f"({x} + 12.0::DOUBLE)"
+
+
+def sql_digamma(x: str) -> str:
+    """SQL text of digamma: twelve steps of the recurrence, then the asymptotic series."""
+    y = _far(x)
+    return f"(ln({y}) - 0.5/{y} - 1/(12*pow({y},2)) + 1/(120*pow({y},4)) - 1/(252*pow({y},6)) + 1/(240*pow({y},8)) - list_sum(list_transform(range(0, 12), lambda i: 1/({x}+i))))"
+
+
+def sql_trigamma(x: str) -> str:
+    y = _far(x)
+    return f"(1/{y} + 1/(2*pow({y},2)) + 1/(6*pow({y},3)) - 1/(30*pow({y},5)) + 1/(42*pow({y},7)) - 1/(30*pow({y},9)) + list_sum(list_transform(range(0, 12), lambda i: 1/pow({x}+i, 2))))"
+
+
+def sql_tetragamma(x: str) -> str:
+    y = _far(x)
+    return f"(-1/pow({y},2) - 1/pow({y},3) - 1/(2*pow({y},4)) + 1/(6*pow({y},6)) - 1/(6*pow({y},8)) - 2*list_sum(list_transform(range(0, 12), lambda i: 1/pow({x}+i, 3))))"
