@@ -14,6 +14,7 @@ from tideline.operators.joins import with_baseline
 from tideline.plans import bindings as B
 from tideline.plans import differential as D
 from tideline.plans.bindings import sql_with, table
+from tideline.session import durable
 
 SHOWN = ["Early", "Middle", "Late"]
 CONTRASTS = M.versus("Baseline", SHOWN)
@@ -123,8 +124,9 @@ def _(spark, sf):
 
 @query("mat_logcpm", sql_with("counts", "samples") + _DENSE + _LOGCPM + f" SELECT feature, sample, {q6('value')} AS value FROM logcpm")
 def _(spark, sf):
-    factors = K.tmm(B.counts(spark, sf))
-    return _rounded(K.log_cpm(_dense(spark, sf), factors), "value")
+    cells = durable(B.counts(spark, sf))
+    dense = K.complete_cells(cells, B.samples(spark, sf))
+    return _rounded(K.log_cpm(dense, K.tmm(cells)), "value")
 
 
 @query("mat_log2", sql_with("counts", "samples") + _DENSE + " SELECT feature, sample, CASE WHEN value = 0 THEN '-inf'::DOUBLE ELSE round(log2(value), 6) END AS value FROM dense")
@@ -186,9 +188,9 @@ def _(spark, sf):
 
 @query("mat_voom")
 def _(spark, sf):
-    dense = _dense(spark, sf)
-    factors = K.tmm(B.counts(spark, sf))
-    return _rounded(M.voom(dense, B.samples(spark, sf), factors, "stage", STAGE), "value", "weight")
+    cells = durable(B.counts(spark, sf))
+    dense = K.complete_cells(cells, B.samples(spark, sf))
+    return _rounded(M.voom(dense, B.samples(spark, sf), K.tmm(cells), "stage", STAGE), "value", "weight")
 
 
 # ---------------------------------------------------------------- components
@@ -209,7 +211,7 @@ def _(spark, sf):
 
 @query("mat_pca_counts")
 def _(spark, sf):
-    kept = K.filter_features(B.counts(spark, sf))
+    kept = durable(K.filter_features(B.counts(spark, sf)))
     logged = K.log_cpm(K.complete_cells(kept, B.samples(spark, sf)), K.tmm(kept))
     return _rounded(P.pca(logged).variance, "variance", "share")
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.session import tune
+
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +20,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
     def add(plan: Plan) -> Plan:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = plan
+        QUERIES[name] = lambda spark, sf_dir: plan(tune(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = sql
         return plan

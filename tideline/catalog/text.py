@@ -9,6 +9,7 @@ from tideline.operators.reshape import cast_wide
 from tideline.plans import bindings as B
 from tideline.plans import timelines as T
 from tideline.plans.bindings import VIEW_SQL
+from tideline.session import durable
 
 SIGNS = ["view", "click", "error"]
 CELLS = {"click": "Leukocytes", "view": "Lymphocytes", "purchase": "Monocytes", "signup": "Erythrocytes", "error": "Platelets"}
@@ -17,27 +18,25 @@ CHEM = {
 }
 
 
-def _named(spark, sf, names):
+def _named(obs, names):
     pairs = [F.lit(x) for pair in names.items() for x in pair]
-    return B.obs(spark, sf).withColumn("feature", F.create_map(*pairs)[F.col("feature")])
+    return obs.withColumn("feature", F.create_map(*pairs)[F.col("feature")])
 
 
 def _case(names):
     return "CASE feature " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
 
 
-def _temperature(spark, sf):
-    return T.temperature(B.obs(spark, sf).where("feature = 'view'").select("subject", "t", "value"))
+def _temperature(obs):
+    return T.temperature(obs.where("feature = 'view'").select("subject", "t", "value"))
 
 
-def _appetite(spark, sf):
-    eaten = B.obs(spark, sf).where("feature = 'click'").select("subject", "t", F.floor(F.col("value") / 10).alias("value"))
-    return T.appetite(eaten)
+def _appetite(obs):
+    return T.appetite(obs.where("feature = 'click'").select("subject", "t", F.floor(F.col("value") / 10).alias("value")))
 
 
-def _observations(spark, sf):
-    wide = cast_wide(B.obs(spark, sf).where("value > 150"), ["subject", "t"], "feature", "value", SIGNS)
-    return T.observations(wide, SIGNS)
+def _observations(obs):
+    return T.observations(cast_wide(obs.where("value > 150"), ["subject", "t"], "feature", "value", SIGNS), SIGNS)
 
 
 def _animals(spark, sf):
@@ -45,29 +44,29 @@ def _animals(spark, sf):
     return B.subj(spark, sf).withColumn("outcome", ended)
 
 
-def _illness(spark, sf):
-    topics = [_observations(spark, sf), _appetite(spark, sf), _temperature(spark, sf)]
-    return T.illness(T.outcome_sentence(_animals(spark, sf)), topics, ["observation", "appetite", "temperature"])
+def _illness(obs, animals):
+    topics = [_observations(obs), _appetite(obs), _temperature(obs)]
+    return T.illness(T.outcome_sentence(animals), topics, ["observation", "appetite", "temperature"])
 
 
 def _early():
     return F.col("t") <= B.BASE_DAYS
 
 
-def _cells(spark, sf):
-    return T.cell_counts(_named(spark, sf, CELLS), _early())
+def _cells(obs):
+    return T.cell_counts(_named(obs, CELLS), _early())
 
 
-def _chemistry(spark, sf):
-    return T.chemistry(T.fold_changes(_named(spark, sf, CHEM), _early()))
+def _chemistry(obs):
+    return T.chemistry(T.fold_changes(_named(obs, CHEM), _early()))
 
 
-def _arrows(spark, sf):
-    return T.arrows(T.fold_changes(_named(spark, sf, CHEM), _early()), [*T.ARROW_ANALYTES, "Glucose (GLU)"])
+def _arrows(obs):
+    return T.arrows(T.fold_changes(_named(obs, CHEM), _early()), [*T.ARROW_ANALYTES, "Glucose (GLU)"])
 
 
-def _pathology(spark, sf):
-    return T.pathology([_cells(spark, sf), _chemistry(spark, sf), _arrows(spark, sf)])
+def _pathology(obs):
+    return T.pathology([_cells(obs), _chemistry(obs), _arrows(obs)])
 
 
 # ---------------------------------------------------------------- the same, as SQL
@@ -121,14 +120,18 @@ def _over_views(body: str) -> str:
     return f"WITH obs AS ({VIEW_SQL['obs']}), subj AS ({VIEW_SQL['subj']})\n{body}"
 
 
-query("txt_temperature", _over_views(TEMPERATURE))(_temperature)
-query("txt_appetite", _over_views(APPETITE))(_appetite)
-query("txt_observations", _over_views(OBSERVATIONS))(_observations)
-query("txt_illness", _over_views(ILLNESS))(_illness)
-query("txt_cellcounts", _over_views(CELL_SQL))(_cells)
-query("txt_chemistry", _over_views(CHEMISTRY_SQL))(_chemistry)
-query("txt_arrows", _over_views(ARROWS_SQL))(_arrows)
-query("txt_pathology", _over_views(PATHOLOGY))(_pathology)
+def _of_obs(build, *, write=False):
+    """A plan over the daily values; written once where several topics read them."""
+    return lambda spark, sf: build(durable(B.obs(spark, sf)) if write else B.obs(spark, sf))
+
+
+query("txt_temperature", _over_views(TEMPERATURE))(_of_obs(_temperature))
+query("txt_appetite", _over_views(APPETITE))(_of_obs(_appetite))
+query("txt_observations", _over_views(OBSERVATIONS))(_of_obs(_observations))
+query("txt_cellcounts", _over_views(CELL_SQL))(_of_obs(_cells))
+query("txt_chemistry", _over_views(CHEMISTRY_SQL))(_of_obs(_chemistry))
+query("txt_arrows", _over_views(ARROWS_SQL))(_of_obs(_arrows))
+query("txt_pathology", _over_views(PATHOLOGY))(_of_obs(_pathology, write=True))
 
 
 @query("txt_outcome", _over_views(OUTCOME))
@@ -136,9 +139,15 @@ def _(spark, sf):
     return T.outcome_sentence(_animals(spark, sf))
 
 
+@query("txt_illness", _over_views(ILLNESS))
+def _(spark, sf):
+    return _illness(durable(B.obs(spark, sf)), durable(_animals(spark, sf)))
+
+
 @query("txt_subject_table", _over_views(f"""SELECT subject, CASE subject % 2 WHEN 0 THEN 'F' ELSE 'M' END AS sex, arm, CAST(arm AS DOUBLE) AS dose, illness, pathology
     FROM subj LEFT JOIN ({ILLNESS}) USING (subject) LEFT JOIN ({PATHOLOGY}) USING (subject) ORDER BY dose DESC, subject"""))
 def _(spark, sf):
     sex = F.when(F.col("subject") % 2 == 0, "Female").otherwise("Male")
-    animals = _animals(spark, sf).withColumn("sex", sex).withColumn("dose", F.col("arm").cast("double"))
-    return T.subject_table(animals, _illness(spark, sf), _pathology(spark, sf), {"Female": "F", "Male": "M"})
+    obs, animals = durable(B.obs(spark, sf)), durable(_animals(spark, sf))
+    shown = animals.withColumn("sex", sex).withColumn("dose", F.col("arm").cast("double"))
+    return T.subject_table(shown, _illness(obs, animals), _pathology(obs), {"Female": "F", "Male": "M"})

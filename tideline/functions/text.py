@@ -77,7 +77,7 @@ def p_text(p: Column, digits: int = 1, eps: float = 2.220446049250313e-16) -> Co
         F.lit("e-"),
         F.lpad(F.abs(exponent2).cast("string"), 2, "0"),
     )
-    fixed = F.regexp_replace(F.rtrim(F.format_string("%.10f", F.round(rounded, 10)), F.lit("0")), r"\.$", "")
+    fixed = F.regexp_replace(F.rtrim(rounded.cast("decimal(22,10)").cast("string"), F.lit("0")), r"\.$", "")
     small = f"<{eps:.1g}"
     return F.concat(
         F.lit("p="),

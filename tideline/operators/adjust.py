@@ -4,42 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.columns import col
 from tideline.operators.scan import CHUNK, KEY, _stratum, order_chunk, prefix_sums
 
 
-def p_adjust(df: DataFrame, by: Sequence[str], p: str, method: str, out: str = "padj") -> DataFrame:
+SMALL = 1_000_000
+
+
+def p_adjust(
+    df: DataFrame, by: Sequence[str], p: str, method: str, out: str = "padj", *, size: int | None = None
+) -> DataFrame:
     """Holm (``holm``) or Benjamini-Hochberg (``bh``) adjusted p per family ``by``.
 
-    A missing p stays missing and does not count as a test. The families are scanned in chunks of
-    p, so a family of any size is spread over tasks.
+    A missing p stays missing and does not count as a test. ``size`` is the counted number of rows,
+    where the caller knows it: a small table takes one plain window. Any other is reduced to distinct
+    p values, scanned in chunks of p and joined back, so neither a large family nor a frequent p
+    lands in one task.
     """
     if method not in ("holm", "bh"):
         raise ValueError(f"unknown adjustment {method!r}")
-    rows = prefix_sums(df, by, p, {"_m": F.when(col(p).isNotNull(), 1).otherwise(0)})
-    before, tie, total = (F.col(f"_m_{c}") for c in ("before", "tie", "total"))
-    # equal p values share one adjusted value: the first of them in a Holm scan, the last in BH
-    raw = col(p) * (total - before) if method == "holm" else col(p) * total / (before + tie)
-    rows = rows.withColumn("_raw", F.when(col(p).isNotNull(), raw))
-    rows = rows.withColumn(CHUNK, order_chunk(col(p)))
-    rows = rows.withColumn(KEY, F.struct(*_stratum(by), F.col(CHUNK)))
-    extreme, ascending = (F.max, True) if method == "holm" else (F.min, False)
-
-    def ordered(c: str):
-        return F.col(c).asc() if ascending else F.col(c).desc()
-
-    carry = rows.groupBy(KEY).agg(
+    if size is not None and size <= SMALL:
+        return _in_one_window(df, by, p, method, out)
+    counted = df.where(col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_k"))
+    levels = prefix_sums(counted, by, p, {"_m": F.col("_k")})
+    levels = levels.withColumn("_raw", _raw(method, col(p), F.col("_m_before"), F.col("_k"), F.col("_m_total")))
+    levels = levels.withColumn(CHUNK, order_chunk(col(p)))
+    levels = levels.withColumn(KEY, F.struct(*_stratum(by), F.col(CHUNK)))
+    extreme, ordered = _direction(method)
+    carry = levels.groupBy(KEY).agg(
         *[F.first(c).alias(c) for c in [*by, CHUNK]], extreme("_raw").alias("_best")
     )
     earlier = Window.partitionBy(*_stratum(by)).orderBy(ordered(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     carry = carry.select(KEY, extreme("_best").over(earlier).alias("_carry"))
     running = extreme("_raw").over(Window.partitionBy(KEY).orderBy(ordered(p)))
     merged = (F.greatest if method == "holm" else F.least)(F.col("_running"), F.col("_carry"))
-    rows = rows.withColumn("_running", running).join(carry, KEY)
-    adjusted = F.when(col(p).isNotNull(), F.least(F.lit(1.0), merged))
-    return rows.withColumn(out, adjusted).drop(
-        KEY, CHUNK, "_raw", "_running", "_carry", "_m_before", "_m_tie", "_m_total"
-    )
+    levels = levels.withColumn("_running", running).join(carry, KEY)
+    same = F.struct(*[F.col(c) for c in by], col(p)).alias("_same")
+    levels = levels.select(same, F.least(F.lit(1.0), merged).alias(out))
+    return df.withColumn("_same", same).join(levels, "_same", "left").drop("_same")
+
+
+def _raw(method: str, p: Column, before: Column, tie: Column, total: Column) -> Column:
+    """Equal p values share one multiplier: that of the first of them in Holm, of the last in BH."""
+    return p * (total - before) if method == "holm" else p * total / (before + tie)
+
+
+def _direction(method: str):
+    if method == "holm":
+        return F.max, lambda c: F.col(c).asc()
+    return F.min, lambda c: F.col(c).desc()
+
+
+def _in_one_window(df: DataFrame, by: Sequence[str], p: str, method: str, out: str) -> DataFrame:
+    family = Window.partitionBy(*_stratum(by))
+    known = F.count(col(p))
+    rows = df.withColumn("_m", known.over(family)).withColumn("_tie", known.over(Window.partitionBy(*_stratum(by), p)))
+    upto = known.over(family.orderBy(col(p).asc_nulls_last()))
+    rows = rows.withColumn("_raw", _raw(method, col(p), upto - F.col("_tie"), F.col("_tie"), F.col("_m")))
+    extreme, _ = _direction(method)
+    order = col(p).asc_nulls_last() if method == "holm" else col(p).desc_nulls_last()
+    adjusted = F.when(col(p).isNotNull(), F.least(F.lit(1.0), extreme("_raw").over(family.orderBy(order))))
+    return rows.withColumn(out, adjusted).drop("_m", "_tie", "_raw")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators.aggregate import count_above
-from tideline.operators.scan import mid_rank, quantiles
+from tideline.operators.scan import quantiles, rank_bounds
 from tideline.session import durable
 
 BLOCKS = 64
@@ -51,9 +51,10 @@ def tmm(df: DataFrame, *, m_trim: float = 0.3, a_trim: float = 0.05) -> DataFram
 
     The reference is the sample whose upper quartile of scaled counts is nearest the mean one. The
     trims are by average rank within a sample, found with the chunked scan. Zero cells have no
-    finite M or A and so never enter.
+    finite M or A and so never enter. Average rank grows with the value, so a trim is a value range.
     """
     cells = df.where(F.col("value") > 0).select("feature", "sample", F.col("value").cast("double").alias("value"))
+    cells = durable(cells)  # read five times below
     features = cells.select("feature").distinct().count()
     upper = quantiles(cells, ["sample"], "value", {"q": 0.75}, total=features)
     per = library_sizes(cells).join(upper, "sample").withColumn("q", F.col("q") / F.col("lib_size"))
@@ -65,25 +66,22 @@ def tmm(df: DataFrame, *, m_trim: float = 0.3, a_trim: float = 0.05) -> DataFram
     base = cells.where(F.col("sample") == F.lit(ref)).select("feature", F.col("value").alias("_r"))
     o, r, n_o, n_r = F.col("value"), F.col("_r"), F.col("lib_size"), F.lit(ref_lib)
     both = cells.join(per.select("sample", "lib_size"), "sample").join(base, "feature")
+    # twelve digits: values equal on paper must tie whatever the order of operations
     both = both.select(
         "sample",
-        (F.log2(o / n_o) - F.log2(r / n_r)).alias("_m"),
-        ((F.log2(o / n_o) + F.log2(r / n_r)) / 2).alias("_a"),
+        F.round(F.log2(o / n_o) - F.log2(r / n_r), 12).alias("_m"),
+        F.round((F.log2(o / n_o) + F.log2(r / n_r)) / 2, 12).alias("_a"),
         ((n_o - o) / n_o / o + (n_r - r) / n_r / r).alias("_v"),
     )
-    # twelve digits: values equal on paper must tie whatever the order of operations. Both ranks are
-    # taken over the same written rows, so that their chunks agree.
-    both = durable(both.withColumn("_m", F.round("_m", 12)).withColumn("_a", F.round("_a", 12)))
-    ranked = mid_rank(mid_rank(both, ["sample"], "_m", "_rm"), ["sample"], "_a", "_ra")
-    size = both.groupBy("sample").agg(F.count(F.lit(1)).alias("_n"), F.max(F.abs("_m")).alias("_top"))
-    low_m, low_a = (F.floor(F.col("_n") * t) + 1 for t in (m_trim, a_trim))
-    kept = ranked.join(size, "sample").where(
-        F.col("_rm").between(low_m, F.col("_n") + 1 - low_m) & F.col("_ra").between(low_a, F.col("_n") + 1 - low_a)
-    )
-    mean = kept.groupBy("sample").agg(
-        F.when(F.max("_top") < 1e-6, F.lit(0.0)).otherwise(F.sum(F.col("_m") / F.col("_v")) / F.sum(1 / F.col("_v"))).alias("_f")
-    )
-    raw = per.select("sample", "lib_size").join(mean, "sample", "left")
+    both = durable(both)
+    kept = both
+    for name, trim in (("_m", m_trim), ("_a", a_trim)):
+        kept = kept.join(rank_bounds(both, ["sample"], name, trim, f"{name}_lo", f"{name}_hi"), "sample")
+    kept = kept.where(F.col("_m").between(F.col("_m_lo"), F.col("_m_hi")) & F.col("_a").between(F.col("_a_lo"), F.col("_a_hi")))
+    top = both.groupBy("sample").agg(F.max(F.abs("_m")).alias("_top"))
+    mean = kept.groupBy("sample").agg((F.sum(F.col("_m") / F.col("_v")) / F.sum(1 / F.col("_v"))).alias("_f"))
+    mean = mean.join(top, "sample").withColumn("_f", F.when(F.col("_top") < 1e-6, F.lit(0.0)).otherwise(F.col("_f")))
+    raw = per.select("sample", "lib_size").join(mean.select("sample", "_f"), "sample", "left")
     raw = durable(raw.withColumn("_f", F.coalesce("_f", F.lit(0.0))))
     shift = raw.agg(F.avg("_f")).first()[0]
     return raw.select("sample", "lib_size", F.pow(F.lit(2.0), F.col("_f") - F.lit(shift)).alias("factor"))

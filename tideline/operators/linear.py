@@ -235,7 +235,8 @@ def classify(tests: DataFrame, *, p_max: float = 0.05, lfc_min: float = 1.0) ->
 
 def results(tests: DataFrame, *, p_max: float = 0.05, lfc_min: float = 1.0) -> DataFrame:
     """Result table of all contrasts, adjusted within each contrast."""
-    adjusted = p_adjust(durable(tests.select("feature", "contrast", "lfc", "p")), ["contrast"], "p", "bh")
+    tests = durable(tests.select("feature", "contrast", "lfc", "p"))
+    adjusted = p_adjust(tests, ["contrast"], "p", "bh", size=tests.count())
     return classify(adjusted, p_max=p_max, lfc_min=lfc_min).select(
         "feature", "lfc", "padj", F.col("contrast").alias("stage"), "significant", "regulation"
     )

@@ -16,6 +16,7 @@ from tideline.functions.special import chi2_p_udf, norm_p_udf, ranksum_p_udf
 from tideline.operators.adjust import p_adjust
 from tideline.operators.columns import col
 from tideline.operators.scan import CHUNK, order_chunk
+from tideline.session import durable
 
 
 def rank_sums(df: DataFrame, strata: Sequence[str], group: str, value: str) -> DataFrame:
@@ -81,7 +82,11 @@ def _omnibus(sums: DataFrame, strata: Sequence[str]) -> DataFrame:
 
 def kruskal(df: DataFrame, strata: Sequence[str], group: str, value: str) -> DataFrame:
     """Kruskal-Wallis test across all groups per stratum."""
-    out = _omnibus(rank_sums(df, strata, group, value), strata)
+    return _kruskal(rank_sums(df, strata, group, value), strata)
+
+
+def _kruskal(sums: DataFrame, strata: Sequence[str]) -> DataFrame:
+    out = _omnibus(sums, strata)
     n = F.col("n")
     tie = 1 - F.try_divide(F.col("_ties"), n * n * n - n)
     h = 12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)
@@ -102,6 +107,10 @@ def dunn(
     Pairs are formed from one row per declared level, never from data rows.
     """
     sums = rank_sums(df.where(col(group).isin(list(levels))), strata, group, value)
+    return _dunn(sums, strata, group, levels)
+
+
+def _dunn(sums: DataFrame, strata: Sequence[str], group: str, levels: Sequence[str]) -> DataFrame:
     mean = F.struct(
         level_rank(col(group), levels).alias("o"), col(group).alias("g"), F.col("n"),
         (F.col("rank_sum") / F.col("n")).alias("m"),
@@ -126,8 +135,8 @@ def dunn(
         F.col("_b.n").alias("n2"),
         F.when(se > 0, (F.col("_b.m") - F.col("_a.m")) / se).alias("z"),
     )
-    tested = tested.withColumn("p", F.when(F.col("z").isNotNull(), norm_p_udf("z")))
-    return p_adjust(tested, strata, "p", "holm")
+    tested = durable(tested.withColumn("p", F.when(F.col("z").isNotNull(), norm_p_udf("z"))))
+    return p_adjust(tested, strata, "p", "holm", size=tested.count())
 
 
 def gated_dunn(
@@ -141,7 +150,8 @@ def gated_dunn(
     alpha: float = 0.05,
 ) -> DataFrame:
     """Where the omnibus test is below ``alpha``: pairs against the baseline whose adjusted p is too."""
-    gate = kruskal(df.where(col(group).isin(list(levels))), strata, group, value)
-    open_strata = gate.where(F.col("p") < alpha).select(*strata)
-    pairs = dunn(df.join(open_strata, list(strata), "left_semi"), strata, group, value, levels)
+    # ranks of a stratum do not depend on other strata, so both tests share one table of rank sums
+    sums = durable(rank_sums(df.where(col(group).isin(list(levels))), strata, group, value))
+    passed = _kruskal(sums, strata).where(F.col("p") < alpha).select(*strata)
+    pairs = _dunn(sums.join(passed, list(strata), "left_semi"), strata, group, levels)
     return pairs.where((F.col("group1") == baseline) & (F.col("padj") < alpha))

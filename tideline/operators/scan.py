@@ -46,6 +46,8 @@ def prefix_sums(
 ) -> DataFrame:
     """Per row and name: ``<name>_before`` (rows strictly earlier), ``<name>_tie`` (same order value)
     and ``<name>_total`` (whole stratum). A struct key keeps missing strata as a stratum of their own.
+
+    Callers aggregate to distinct order values first, so that ties cannot fill a chunk.
     """
     chunk = order_chunk(F.col(order)) if chunk is None else chunk
     rows = df.withColumn(CHUNK, chunk)
@@ -77,11 +79,23 @@ def prefix_sums(
     return rows.drop(KEY, CHUNK, *[f"_{p}_{n}" for n in sums for p in "xuo"])
 
 
-def mid_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Average rank of each row's value within its stratum (missing values must be gone)."""
-    scanned = prefix_sums(df, by, value, {"_n": F.lit(1)})
-    rank = F.col("_n_before") + (F.col("_n_tie") + 1) / 2
-    return scanned.withColumn(out, rank).drop("_n_before", "_n_tie", "_n_total")
+def rank_table(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """One row per stratum and distinct value: how often it occurs and its average rank.
+
+    Equal values are counted before anything is ordered, so a value that fills a stratum is one row.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    scanned = prefix_sums(counted, by, value, {"_n": F.col("n")})
+    rank = F.col("_n_before") + (F.col("n") + 1) / 2
+    return scanned.select(*by, value, "n", rank.alias("rank"), F.col("_n_total").alias("size"))
+
+
+def rank_bounds(df: DataFrame, by: Sequence[str], value: str, trim: float, low: str, high: str) -> DataFrame:
+    """Per stratum the least and greatest value whose average rank survives a two-sided trim."""
+    first = F.floor(F.col("size") * F.lit(trim)) + 1
+    inside = F.col("rank").between(first, F.col("size") + 1 - first)
+    kept = F.when(inside, F.col(value))
+    return rank_table(df, by, value).groupBy(*by).agg(F.min(kept).alias(low), F.max(kept).alias(high))
 
 
 def quantiles(

@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 from tideline.operators.scan import quantiles
 
 BINS = 65536
+FEW = 100_000  # counted points up to which the built-in exact median is used
 
 
 def interpolate(x: Column, knots: np.ndarray, values: np.ndarray) -> Column:
@@ -111,8 +112,11 @@ def lowess(df: DataFrame, *, span: float = 0.5, rounds: int = 3) -> tuple[np.nda
         if step == rounds:
             break
         resid = df.withColumn("_e", F.abs(F.col("y") - interpolate(F.col("x"), knots, fitted)))
-        mid = quantiles(resid, [], "_e", {"m": 0.5}).first()["m"]
-        mean = resid.agg(F.avg("_e")).first()[0]
+        if n <= FEW:
+            mid, mean = resid.agg(F.median("_e"), F.avg("_e")).first()
+        else:
+            mid = quantiles(resid, [], "_e", {"m": 0.5}).first()["m"]
+            mean = resid.agg(F.avg("_e")).first()[0]
         scale = 6 * mid
         if scale < 1e-7 * mean or scale == 0:
             break

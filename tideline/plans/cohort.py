@@ -18,6 +18,7 @@ from tideline.operators.nonparametric import kruskal, ranksum
 from tideline.operators.rank import first_by, last_by, peak_by, trough_by
 from tideline.operators.reshape import cast_wide, crosstab, melt
 from tideline.operators.sets import union_all
+from tideline.session import durable
 
 
 def lethality(subjects: DataFrame) -> DataFrame:
@@ -147,7 +148,8 @@ def endpoint_titer(sheets: DataFrame, subjects: DataFrame, keys: Sequence[str],
 def endpoint_titer_test(titers: DataFrame, antigen: str) -> DataFrame:
     """Outcome test of log10(titer + 1) per class and antigen, Holm over all of them together."""
     logged = titers.withColumn("_log", F.log10(F.col("titer") + 1))
-    tested = p_adjust(ranksum(logged, ["class", antigen], "outcome", "_log", OUTCOME), [], "p", "holm")
+    tested = durable(ranksum(logged, ["class", antigen], "outcome", "_log", OUTCOME))
+    tested = p_adjust(tested, [], "p", "holm", size=tested.count())
     return tested.withColumn("mark", stars(F.col("padj")))
 
 

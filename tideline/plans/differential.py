@@ -12,6 +12,7 @@ from tideline.functions.text import str_replace
 from tideline.operators.joins import shortlist
 from tideline.operators.rank import top_n, top_n_abs
 from tideline.operators.reshape import cast_composite, melt
+from tideline.session import durable
 
 
 def enrichment_input(results: DataFrame, stages: Sequence[str]) -> DataFrame:
@@ -23,6 +24,7 @@ def enrichment_input(results: DataFrame, stages: Sequence[str]) -> DataFrame:
 
 def volcano(results: DataFrame, n: int, *, by_class: bool = False) -> DataFrame:
     """Fold change against -log10 adjusted p, with labels on the leading significant features."""
+    results = durable(results)  # one row per test, read for the labels and for the points
     if by_class:
         top = top_n_abs(results.where("significant"), ["stage", "regulation"], "lfc", n)
     else:

@@ -6,11 +6,15 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-SETTINGS = {
-    "spark.sql.session.timeZone": "UTC",
+RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # split a hot key even where a later step could have reused the join's partitioning
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+SETTINGS = {
+    **RUNTIME,
+    "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -23,6 +27,13 @@ def get_session(app: str = "tideline", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Turn on the adaptive settings the joins rely on, in a session made elsewhere."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
