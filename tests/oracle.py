@@ -24,21 +24,26 @@ def connect(sf_dir: str):
 
 
 def _rows(names, rows):
+    """Columns by name, rows sorted by their exact cells first and their floats last."""
     order = sorted(range(len(names)), key=lambda i: names[i])
-    cleaned = []
-    for row in rows:
-        cells = []
-        for i in order:
-            x = row[i]
-            if isinstance(x, float) and math.isnan(x):
-                x = None
-            cells.append(x)
-        cleaned.append(tuple(cells))
-    key = lambda r: tuple((x is None, str(type(x)) if x is None else "", repr(float(x)) if isinstance(x, (int, float)) else str(x)) for x in r)
+    cleaned = [
+        tuple(None if isinstance(row[i], float) and math.isnan(row[i]) else row[i] for i in order) for row in rows
+    ]
+
+    def key(row):
+        exact = [str(x) for x in row if not isinstance(x, float)]
+        return exact, [x for x in row if isinstance(x, float)]
+
     return [names[i] for i in order], sorted(cleaned, key=key)
 
 
-def compare(spark, con, name, plan, sql, sf_dir) -> str | None:
+def _differ(x, y, atol):
+    if isinstance(x, float) and isinstance(y, float):
+        return not (x == y or abs(x - y) <= atol)
+    return str(x) != str(y)
+
+
+def compare(spark, con, name, plan, sql, sf_dir, atol=0.0) -> str | None:
     """None when equal, else a description of the first difference."""
     df = plan(spark, sf_dir)
     names, got = _rows(df.columns, [tuple(r) for r in df.collect()])
@@ -50,12 +55,6 @@ def compare(spark, con, name, plan, sql, sf_dir) -> str | None:
         return f"{len(got)} rows, SQL has {len(want)}"
     for a, b in zip(got, want):
         for c, x, y in zip(names, a, b):
-            if isinstance(x, float) or isinstance(y, float):
-                if x is None or y is None or not (x == y):
-                    if not (x is None and y is None):
-                        return f"{c}: {x!r} != {y!r} in {a} / {b}"
-            elif x != y or isinstance(x, bool) != isinstance(y, bool):
+            if _differ(x, y, atol):
                 return f"{c}: {x!r} != {y!r} in {a} / {b}"
-            elif str(x) != str(y):
-                return f"{c}: {x!r} != {y!r} (types)"
     return None
