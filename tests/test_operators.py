@@ -146,7 +146,9 @@ def test_full_join_chain(spark):
 
 def test_ties_are_kept_or_broken_as_asked(spark):
     df = spark.createDataFrame([("k", 1, 5.0), ("k", 2, 9.0), ("k", 3, 9.0), ("k", 4, None), ("m", 1, None)], "k string, t int, v double")
-    assert tuples(W.top_n(df, ["k"], "v", 1).select("t")) == [(2,), (3,)]
+    for n in (1, 2):
+        assert tuples(W.top_n(df, ["k"], "v", n).select("t")) == [(2,), (3,)]
+    assert tuples(W.top_n(df, ["k"], "v", 3).select("t")) == [(1,), (2,), (3,)]
     assert tuples(W.peak_by(df, ["k"], "v", ["t"])) == [("k", 2, 9.0), ("m", 1, None)]
     assert tuples(W.trough_by(df, ["k"], "v", ["t"])) == [("k", 1, 5.0), ("m", 1, None)]
     assert tuples(W.first_by(df, ["k"], "t").select("k", "t")) == [("k", 1), ("m", 1)]
@@ -161,7 +163,9 @@ def test_dominant_class_follows_the_levels_not_the_alphabet(spark):
 
 def test_rank_filters_limit_groups_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 as k", "id as v")
-    plan = W.top_n(df, ["k"], "v", 5)._jdf.queryExecution().executedPlan().toString()
+    top = W.top_n(df, ["k"], "v", 5)
+    assert top.count() == 15 and top.columns == ["k", "v"]
+    plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
 
 

@@ -9,7 +9,7 @@ from tideline.operators.aggregate import count_above
 from tideline.operators.scan import quantiles, rank_bounds
 from tideline.session import durable
 
-BLOCKS = 64
+PER_BLOCK = 1024  # samples in a block, on average
 
 
 def filter_features(df: DataFrame, n: int = 3, threshold: float = 20) -> DataFrame:
@@ -24,19 +24,20 @@ def complete_cells(df: DataFrame, samples: DataFrame) -> DataFrame:
     The dense matrix is what the models below are defined on. Samples are hashed into blocks, each
     feature meets each block through an equi-join, and one aggregation merges zeros with counts.
     """
+    listed_samples = samples.select("sample").distinct()
+    n = max(1, -(-listed_samples.count() // PER_BLOCK))
     blocks = (
-        samples.select("sample", F.pmod(F.xxhash64("sample"), F.lit(BLOCKS)).alias("_block"))
-        .distinct()
+        listed_samples.withColumn("_block", F.pmod(F.xxhash64("sample"), F.lit(n)))
         .groupBy("_block")
         .agg(F.collect_list("sample").alias("_members"))
     )
     features = df.select("feature").distinct()
-    every = features.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(BLOCKS - 1).cast("bigint"))))
+    every = features.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
     kind = df.schema["value"].dataType
     zeros = every.join(blocks, "_block").select(
         "feature", F.explode("_members").alias("sample"), F.lit(0).cast(kind).alias("value")
     )
-    listed = df.select("feature", "sample", "value").join(samples.select("sample").distinct(), "sample", "left_semi")
+    listed = df.select("feature", "sample", "value").join(listed_samples, "sample", "left_semi")
     merged = listed.unionByName(zeros).groupBy("feature", "sample").agg(F.sum("value").alias("value"))
     return merged.withColumn("value", F.col("value").cast(kind))
 

@@ -279,8 +279,8 @@ def count_de(
     subset = df.join(samples.select("sample"), "sample", "left_semi")
     kept = durable(filter_features(subset, n, threshold))
     factors = tmm(kept)
-    dense = complete_cells(kept, samples)
-    weighted = durable(voom(dense, samples, factors, stage, levels, span=span))
+    dense = durable(complete_cells(kept, samples))  # read for the trend and again for the weights
+    weighted = voom(dense, samples, factors, stage, levels, span=span)
     fit = fit_oneway(weighted, samples, stage, levels, weight="weight")
     return results(ebayes(fit, levels, contrasts))
 

@@ -1,7 +1,8 @@
 """First, last, peak and top-n rows per group.
 
-The rank filters become a group limit before the shuffle, so a hot group sends only its leading
-rows; the one-row forms are plain aggregates.
+Each form first reduces a group to one number by an aggregate that combines on the map side (an
+extreme, or the n-th largest value through a group limit before the shuffle), then keeps the rows
+that reach it by an equi-join, which can be split when one group or one tie holds most rows.
 """
 
 from __future__ import annotations
@@ -15,25 +16,33 @@ from tideline.functions.levels import level_rank
 from tideline.operators.columns import col
 
 
-def _leading(df: DataFrame, keys: Sequence[str], order: Column, n: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_rank", F.rank().over(w)).where(F.col("_rank") <= n).drop("_rank")
+def _at_extreme(df: DataFrame, keys: Sequence[str], value: Column, extreme) -> DataFrame:
+    """Rows whose value is the group's extreme, ties kept, in the input's columns."""
+    rows = df.withColumn("_v", value).where(F.col("_v").isNotNull())
+    best = rows.groupBy(*keys).agg(extreme("_v").alias("_v"))
+    return rows.join(best, [*keys, "_v"], "left_semi").drop("_v")
 
 
 def first_by(df: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
     """Earliest rows per group, ties kept."""
-    return _leading(df.where(col(t).isNotNull()), keys, col(t).asc(), 1)
+    return _at_extreme(df, keys, col(t), F.min)
 
 
 def last_by(df: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
     """Latest rows per group, ties kept."""
-    return _leading(df.where(col(t).isNotNull()), keys, col(t).desc(), 1)
+    return _at_extreme(df, keys, col(t), F.max)
 
 
 def top_n(df: DataFrame, keys: Sequence[str], value: Column | str, n: int) -> DataFrame:
     """Rows with the n largest values per group, ties kept."""
     value = col(value) if isinstance(value, str) else value
-    return _leading(df.where(value.isNotNull()), keys, value.desc(), n)
+    if n == 1:
+        return _at_extreme(df, keys, value, F.max)
+    rows = df.withColumn("_v", value).where(F.col("_v").isNotNull())
+    w = Window.partitionBy(*keys).orderBy(F.col("_v").desc())
+    leading = rows.select(*keys, "_v").withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n)
+    limit = leading.groupBy(*keys).agg(F.min("_v").alias("_limit"))
+    return rows.join(limit, list(keys)).where(F.col("_v") >= F.col("_limit")).select(*df.columns)
 
 
 def top_n_abs(df: DataFrame, keys: Sequence[str], value: str, n: int) -> DataFrame:

@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.session import durable
+
 STEPS = 4096  # chunks per power of two
 CHUNK = "_chunk"
 KEY = "_key"
@@ -42,15 +44,13 @@ def prefix_sums(
     sums: Mapping[str, Column],
     *,
     descending: bool = False,
-    chunk: Column | None = None,
 ) -> DataFrame:
     """Per row and name: ``<name>_before`` (rows strictly earlier), ``<name>_tie`` (same order value)
     and ``<name>_total`` (whole stratum). A struct key keeps missing strata as a stratum of their own.
 
     Callers aggregate to distinct order values first, so that ties cannot fill a chunk.
     """
-    chunk = order_chunk(F.col(order)) if chunk is None else chunk
-    rows = df.withColumn(CHUNK, chunk)
+    rows = df.withColumn(CHUNK, order_chunk(F.col(order)))
     for name, x in sums.items():
         rows = rows.withColumn(f"_x_{name}", x)
     rows = rows.withColumn(KEY, F.struct(*_stratum(by), F.col(CHUNK)))
@@ -152,10 +152,17 @@ def quantiles(
 
 
 def number_levels(df: DataFrame, key: str, order: str, out: str = "level") -> DataFrame:
-    """One row per key, numbered 1.. by the key's smallest ``order`` value, then by the key itself."""
+    """One row per key, numbered 1.. by the key's smallest ``order`` value, then by the key itself.
+
+    The keys are range-partitioned and written, so that the ranges stay fixed; each range is numbered
+    on its own and shifted by the sizes of the ranges before it.
+    """
     keys = df.groupBy(key).agg(F.min(order).alias("_first"))
-    is_text = dict(df.dtypes)[key] == "string"
-    part = F.substring(F.col(key), 1, 4) if is_text else order_chunk(F.col(key))
-    keys = keys.withColumn("_pos", F.struct("_first", key))
-    ranked = prefix_sums(keys, [], "_pos", {"_n": F.lit(1)}, chunk=F.struct(F.col("_first"), part))
-    return ranked.select(key, (F.col("_n_before") + 1).cast("int").alias(out))
+    ranged = durable(keys.repartitionByRange("_first", key).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_range", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_first", key))
+    return ranged.withColumn("_i", inside).join(sizes, "_range").select(
+        key, (F.col("_i") + F.col("_off")).cast("int").alias(out)
+    )
