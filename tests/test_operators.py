@@ -38,18 +38,20 @@ def test_quantiles_match_linear_interpolation(spark):
     data += [("c", 7.0), (None, 1.0), (None, 2.0), ("a", None)]
     df = spark.createDataFrame(data, "g string, v double")
     probs = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q93": 0.93, "q1": 1.0}
-    got = {r["g"]: r for r in S.quantiles(df, ["g"], "v", probs).collect()}
-    for g in ("a", "b", "c", None):
-        x = [v for k, v in data if k == g and v is not None]
-        for name, p in probs.items():
-            assert got[g][name] == pytest.approx(np.quantile(x, p), abs=1e-12), (g, name)
+    for largest in (None, 600):
+        got = {r["g"]: r for r in S.quantiles(df, ["g"], "v", probs, largest=largest).collect()}
+        for g in ("a", "b", "c", None):
+            x = [v for k, v in data if k == g and v is not None]
+            for name, p in probs.items():
+                assert got[g][name] == pytest.approx(np.quantile(x, p), abs=1e-12), (g, name)
 
 
 def test_quantiles_with_implicit_zeros(spark):
     df = spark.createDataFrame([("s", 4.0), ("s", 8.0), ("t", 5.0)], "g string, v double")
-    got = {r.g: r for r in S.quantiles(df, ["g"], "v", {"q": 0.75, "m": 0.5}, total=4).collect()}
-    assert got["s"].q == np.quantile([0, 0, 4, 8], 0.75) and got["s"].m == np.quantile([0, 0, 4, 8], 0.5)
-    assert got["t"].q == np.quantile([0, 0, 0, 5], 0.75) and got["t"].m == 0
+    for largest in (None, 4):
+        got = {r.g: r for r in S.quantiles(df, ["g"], "v", {"q": 0.75, "m": 0.5}, total=4, largest=largest).collect()}
+        assert got["s"].q == np.quantile([0, 0, 4, 8], 0.75) and got["s"].m == np.quantile([0, 0, 4, 8], 0.5)
+        assert got["t"].q == np.quantile([0, 0, 0, 5], 0.75) and got["t"].m == 0
 
 
 def test_rank_table_shares_ranks_among_equal_values(spark):
@@ -57,10 +59,11 @@ def test_rank_table_shares_ranks_among_equal_values(spark):
     values = rng.integers(-40, 40, 900) / 7
     values[:300] = 1.5  # one value fills a third of the table
     df = spark.createDataFrame([("x", float(v)) for v in values] + [("y", 1.0)], "g string, v double")
-    got = {(r.g, r.v): r["rank"] for r in S.rank_table(df, ["g"], "v").collect()}
-    for v in np.unique(values):
-        assert got["x", v] == (values < v).sum() + ((values == v).sum() + 1) / 2
-    assert got["y", 1.0] == 1
+    for largest in (None, 900):
+        got = {(r.g, r.v): r["rank"] for r in S.rank_table(df, ["g"], "v", largest=largest).collect()}
+        for v in np.unique(values):
+            assert got["x", v] == (values < v).sum() + ((values == v).sum() + 1) / 2
+        assert got["y", 1.0] == 1
 
 
 def test_prefix_sums_descending_with_missing_stratum(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators.aggregate import count_above
-from tideline.operators.scan import quantiles, rank_bounds
+from tideline.operators.scan import quantiles, rank_table
 from tideline.session import durable
 
 PER_BLOCK = 1024  # samples in a block, on average
@@ -57,7 +57,7 @@ def tmm(df: DataFrame, *, m_trim: float = 0.3, a_trim: float = 0.05) -> DataFram
     cells = df.where(F.col("value") > 0).select("feature", "sample", F.col("value").cast("double").alias("value"))
     cells = durable(cells)  # read five times below
     features = cells.select("feature").distinct().count()
-    upper = quantiles(cells, ["sample"], "value", {"q": 0.75}, total=features)
+    upper = quantiles(cells, ["sample"], "value", {"q": 0.75}, total=features, largest=features)
     per = library_sizes(cells).join(upper, "sample").withColumn("q", F.col("q") / F.col("lib_size"))
     per = durable(per)
     centre = per.agg(F.avg("q")).first()[0]
@@ -75,14 +75,21 @@ def tmm(df: DataFrame, *, m_trim: float = 0.3, a_trim: float = 0.05) -> DataFram
         ((n_o - o) / n_o / o + (n_r - r) / n_r / r).alias("_v"),
     )
     both = durable(both)
-    kept = both
-    for name, trim in (("_m", m_trim), ("_a", a_trim)):
-        kept = kept.join(rank_bounds(both, ["sample"], name, trim, f"{name}_lo", f"{name}_hi"), "sample")
-    kept = kept.where(F.col("_m").between(F.col("_m_lo"), F.col("_m_hi")) & F.col("_a").between(F.col("_a_lo"), F.col("_a_hi")))
-    top = both.groupBy("sample").agg(F.max(F.abs("_m")).alias("_top"))
-    mean = kept.groupBy("sample").agg((F.sum(F.col("_m") / F.col("_v")) / F.sum(1 / F.col("_v"))).alias("_f"))
-    mean = mean.join(top, "sample").withColumn("_f", F.when(F.col("_top") < 1e-6, F.lit(0.0)).otherwise(F.col("_f")))
-    raw = per.select("sample", "lib_size").join(mean.select("sample", "_f"), "sample", "left")
+    # one ranking for both measures: rank, trim, and come back as one row of bounds per sample
+    stacked = both.unpivot("sample", ["_m", "_a"], "_what", "_x")
+    is_m = F.col("_what") == "_m"
+    first = F.floor(F.col("size") * F.when(is_m, m_trim).otherwise(a_trim)) + 1
+    x = F.when(F.col("rank").between(first, F.col("size") + 1 - first), F.col("_x"))
+    bounds = rank_table(stacked, ["sample", "_what"], "_x", largest=features).groupBy("sample").agg(
+        F.min(F.when(is_m, x)).alias("_m0"), F.max(F.when(is_m, x)).alias("_m1"),
+        F.min(F.when(~is_m, x)).alias("_a0"), F.max(F.when(~is_m, x)).alias("_a1"),
+        F.max(F.when(is_m, F.abs("_x"))).alias("_top"),
+    )
+    inside = F.col("_m").between(F.col("_m0"), F.col("_m1")) & F.col("_a").between(F.col("_a0"), F.col("_a1"))
+    mean = F.sum(F.col("_m") / F.col("_v")) / F.sum(1 / F.col("_v"))
+    kept = both.join(bounds, "sample").where(inside & (F.col("_top") >= 1e-6))
+    mean = kept.groupBy("sample").agg(mean.alias("_f"))
+    raw = per.select("sample", "lib_size").join(mean, "sample", "left")
     raw = durable(raw.withColumn("_f", F.coalesce("_f", F.lit(0.0))))
     shift = raw.agg(F.avg("_f")).first()[0]
     return raw.select("sample", "lib_size", F.pow(F.lit(2.0), F.col("_f") - F.lit(shift)).alias("factor"))

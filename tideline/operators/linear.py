@@ -190,7 +190,7 @@ def contrast(fit: DataFrame, coefs: Sequence[str], contrasts: Contrasts) -> Data
 def variance_prior(fit: DataFrame) -> tuple[float, float, float]:
     """Prior degrees of freedom, prior variance and pooled degrees of freedom, from all features."""
     var = fit.where((F.col("df") > 0) & F.col("sigma").isNotNull()).select("df", (F.col("sigma") ** 2).alias("_x"))
-    mid = quantiles(var, [], "_x", {"m": 0.5}).first()
+    mid = quantiles(var, [], "_x", {"m": 0.5}, largest=var.count()).first()
     if mid is None:
         return float("inf"), float("nan"), 0.0
     floor = 1e-5 * (mid["m"] or 1.0)

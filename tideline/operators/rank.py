@@ -2,7 +2,8 @@
 
 Each form first reduces a group to one number by an aggregate that combines on the map side (an
 extreme, or the n-th largest value through a group limit before the shuffle), then keeps the rows
-that reach it by an equi-join, which can be split when one group or one tie holds most rows.
+that reach it by an equi-join, which can be split when one group or one tie holds most rows. Keys are
+not missing, and a ranked value is stored or exact: a mean should be written before it is ranked.
 """
 
 from __future__ import annotations

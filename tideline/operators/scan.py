@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from tideline.session import durable
 
-STEPS = 4096  # chunks per power of two
+STEPS = 1024  # chunks per power of two
+SMALL = 1_000_000  # rows of a stratum, where counted, up to which one window may sort it
 CHUNK = "_chunk"
 KEY = "_key"
 
 
 def order_chunk(v: Column) -> Column:
-    """Order-preserving integer bucket of a number: its binary exponent and 12 mantissa bits."""
+    """Order-preserving integer bucket of a number: its binary exponent and ten mantissa bits."""
     v = v.cast("double")
     size = F.abs(v)
     e = F.floor(F.log2(size))
@@ -79,23 +80,42 @@ def prefix_sums(
     return rows.drop(KEY, CHUNK, *[f"_{p}_{n}" for n in sums for p in "xuo"])
 
 
-def rank_table(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def rank_table(df: DataFrame, by: Sequence[str], value: str, *, largest: int | None = None) -> DataFrame:
     """One row per stratum and distinct value: how often it occurs and its average rank.
 
     Equal values are counted before anything is ordered, so a value that fills a stratum is one row.
+    ``largest`` is a counted bound on the rows of a stratum, where the caller has one.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    if largest is not None and largest <= SMALL:
+        whole = Window.partitionBy(*_stratum(by))
+        before = F.sum("n").over(whole.orderBy(value)) - F.col("n")
+        return counted.select(*by, value, "n", (before + (F.col("n") + 1) / 2).alias("rank"), F.sum("n").over(whole).alias("size"))
     scanned = prefix_sums(counted, by, value, {"_n": F.col("n")})
     rank = F.col("_n_before") + (F.col("n") + 1) / 2
     return scanned.select(*by, value, "n", rank.alias("rank"), F.col("_n_total").alias("size"))
 
 
-def rank_bounds(df: DataFrame, by: Sequence[str], value: str, trim: float, low: str, high: str) -> DataFrame:
-    """Per stratum the least and greatest value whose average rank survives a two-sided trim."""
-    first = F.floor(F.col("size") * F.lit(trim)) + 1
-    inside = F.col("rank").between(first, F.col("size") + 1 - first)
-    kept = F.when(inside, F.col(value))
-    return rank_table(df, by, value).groupBy(*by).agg(F.min(kept).alias(low), F.max(kept).alias(high))
+def _ordered_near(counted: DataFrame, by: Sequence[str], value: str, size: Column, spots: Mapping) -> DataFrame:
+    """The distinct values of the chunks that hold a wanted position, with the position they end at."""
+    counted = counted.withColumn(CHUNK, order_chunk(F.col(value)))
+    counted = counted.withColumn(KEY, F.struct(*_stratum(by), F.col(CHUNK)))
+    stratum = Window.partitionBy(*_stratum(by))
+    chunks = (
+        counted.groupBy(KEY)
+        .agg(*[F.first(c).alias(c) for c in [*by, CHUNK]], F.sum("_n").alias("_c"))
+        .withColumn("_listed", F.sum("_c").over(stratum))
+        .withColumn("_size", size)
+        .withColumn("_end", F.sum("_c").over(stratum.orderBy(CHUNK)) + F.col("_size") - F.col("_listed"))
+        .withColumn("_off", F.col("_end") - F.col("_c"))
+    )
+    # the first chunk is kept so that a group of implicit zeros still has a row
+    wanted = F.col("_off") == F.col("_size") - F.col("_listed")
+    for _, lo, hi in spots.values():
+        for k in (lo, hi):
+            wanted = wanted | ((F.col("_off") < k) & (k <= F.col("_end")))
+    rows = counted.join(chunks.where(wanted).select(KEY, "_size", "_off"), KEY)
+    return rows.withColumn("_at", F.col("_off") + F.sum("_n").over(Window.partitionBy(KEY).orderBy(value)))
 
 
 def quantiles(
@@ -105,40 +125,28 @@ def quantiles(
     probs: Mapping[str, float],
     *,
     total: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one row per group.
 
     Equal values are counted first; then only the chunks that hold a wanted order statistic are
     sorted. ``total`` declares that each group has that many values, the unlisted ones being zeros
-    below all others (a sparse count matrix).
+    below all others (a sparse count matrix). ``largest`` is a counted bound on the rows of a group,
+    where the caller has one; small groups are then sorted whole.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    counted = counted.withColumn(CHUNK, order_chunk(F.col(value)))
-    counted = counted.withColumn(KEY, F.struct(*_stratum(by), F.col(CHUNK)))
     stratum = Window.partitionBy(*_stratum(by))
-    upto = stratum.orderBy(CHUNK)
-    chunks = (
-        counted.groupBy(KEY)
-        .agg(*[F.first(c).alias(c) for c in [*by, CHUNK]], F.sum("_n").alias("_c"))
-        .withColumn("_listed", F.sum("_c").over(stratum))
-        .withColumn("_size", F.lit(total).cast("bigint") if total is not None else F.col("_listed"))
-        .withColumn("_end", F.sum("_c").over(upto) + F.col("_size") - F.col("_listed"))
-        .withColumn("_off", F.col("_end") - F.col("_c"))
-    )
+    size = F.lit(total).cast("bigint") if total is not None else F.col("_listed")
     spots = {}
     for name, p in probs.items():
         h = (F.col("_size") - 1) * F.lit(float(p)) + 1
         spots[name] = (h, F.floor(h), F.ceil(h))
-    wanted = F.lit(False)
-    for _, lo, hi in spots.values():
-        for k in (lo, hi):
-            wanted = wanted | ((F.col("_off") < k) & (k <= F.col("_end")))
-    # the first chunk is kept so that a group of implicit zeros still has a row
-    first = F.col("_off") == F.col("_size") - F.col("_listed")
-    picked = chunks.where(wanted | first).select(KEY, "_size", "_off")
-    rows = counted.join(picked, KEY)
-    at = F.col("_off") + F.sum("_n").over(Window.partitionBy(KEY).orderBy(value))
-    rows = rows.withColumn("_at", at)
+    if largest is not None and largest <= SMALL:
+        rows = counted.withColumn("_listed", F.sum("_n").over(stratum)).withColumn("_size", size)
+        upto = F.sum("_n").over(stratum.orderBy(value))
+        rows = rows.withColumn("_at", upto + F.col("_size") - F.col("_listed"))
+    else:
+        rows = _ordered_near(counted, by, value, size, spots)
     held = []
     for name, (_, lo, hi) in spots.items():
         for tag, k in (("lo", lo), ("hi", hi)):
