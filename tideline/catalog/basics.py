@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tideline.catalog.registry import q6, query, r6
@@ -19,7 +17,7 @@ from tideline.operators import sets as U
 from tideline.operators.scan import number_levels
 from tideline.plans import bindings as B
 from tideline.plans.bindings import sql_with, table
-from tideline.session import shared_dir
+from tideline.session import scratch_path
 from tideline.sources import tables as S
 
 FEATURES = ["click", "error", "purchase", "signup", "view"]
@@ -47,7 +45,7 @@ def _(spark, sf):
 
 
 def _round_trip(spark, df, sep):
-    path = f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     S.write_csv(df, path, sep=sep)
     return S.read_csv(spark, path, df.schema, sep=sep)
 
@@ -65,7 +63,7 @@ def _(spark, sf):
 
 @query("src_table_round_trip", "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 0")
 def _(spark, sf):
-    path = f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     S.write_table(table(spark, sf, "supplier").where("s_acctbal > 0").drop("s_nationkey"), path)
     return spark.read.parquet(path)
 

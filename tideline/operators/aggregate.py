@@ -11,18 +11,18 @@ from tideline.functions.numeric import strict
 from tideline.functions.special import t_quantile_udf
 from tideline.operators.columns import col
 from tideline.operators.joins import match
-from tideline.operators.scan import quantiles
+from tideline.operators.scan import quantiles_of_counts, value_counts
 
 
 def summary_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Count, mean, median, least and greatest value per group."""
+    """Count, mean, median, least and greatest value per group, all from one count of the values."""
     x = col(value)
-    moments = (
-        df.where(x.isNotNull())
-        .groupBy(*by)
-        .agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"))
+    counted = value_counts(df, by, value)
+    moments = counted.groupBy(*by).agg(
+        F.sum("_n").alias("n"), (F.sum(x * F.col("_n")) / F.sum("_n")).alias("mean"),
+        F.min(x).alias("min"), F.max(x).alias("max"),
     )
-    return match(moments, quantiles(df, by, value, {"median": 0.5}), by)
+    return match(moments, quantiles_of_counts(counted, by, value, {"median": 0.5}), by)
 
 
 def percent_outcome(df: DataFrame, by: str, outcome: str, positive: str, negative: str) -> DataFrame:
@@ -71,11 +71,11 @@ def duration(df: DataFrame, starts: DataFrame, key: str, start: str, end: str, o
 def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Quartiles and whiskers: the extreme values within 1.5 interquartile ranges of the box."""
     x = col(value)
-    hinges = quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    # one row per distinct value is enough to find an extreme, and it shrinks before the join
+    values = value_counts(df, by, value)
+    hinges = quantiles_of_counts(values, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
-    # one row per distinct value is enough to find an extreme, and it shrinks before the join
-    values = df.where(x.isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     return (
         match(values, hinges, by)
         .groupBy(*by, "q1", "median", "q3")

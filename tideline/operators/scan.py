@@ -134,7 +134,24 @@ def quantiles(
     below all others (a sparse count matrix). ``largest`` is a counted bound on the rows of a group,
     where the caller has one; small groups are then sorted whole.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    return quantiles_of_counts(value_counts(df, by, value), by, value, probs, total=total, largest=largest)
+
+
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Distinct values per group and how often each occurs (``_n``)."""
+    return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def quantiles_of_counts(
+    counted: DataFrame,
+    by: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    *,
+    total: int | None = None,
+    largest: int | None = None,
+) -> DataFrame:
+    """:func:`quantiles` of a table made by :func:`value_counts`, which other summaries may share."""
     stratum = Window.partitionBy(*_stratum(by))
     size = F.lit(total).cast("bigint") if total is not None else F.col("_listed")
     spots = {}

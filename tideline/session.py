@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,13 +51,18 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tideline-")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back with its lineage cut.
+    """Write ``df`` as a table in the shared folder and read it back, its lineage cut.
 
-    Used where a result feeds two passes that must see identical floats, or an iteration:
-    a recomputed partition may sum doubles in another order, a written one cannot.
+    Used where a result feeds two passes that must see identical floats, or an iteration: a
+    recomputed partition may sum doubles in another order, a written one cannot. Unlike a cached or
+    checkpointed plan, the written table has a known size, so joins on it are planned by size.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
