@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import dedup, packing
-from tideline.session import tune
+from tideline.llm import dedup, licenses, packing, secrets
+from tideline.session import scratch_path, tune
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -43,3 +43,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
+
+
+@query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(licenses.license_scan(documents(spark, sf_dir)))
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first scan: the ledger is new, so every distinct text is scanned once."""
+    return secrets.secret_digest(secrets.secret_scan(documents(spark, sf_dir), f"{scratch_path(spark)}/ledger"))

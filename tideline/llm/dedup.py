@@ -18,6 +18,7 @@ from tideline.llm.common import ascii_lower, durable
 
 BITS = 1 << 26
 HASHES = 2
+SALTS = 256
 _BITMAP_BITS = 4096 * 8  # of one bitmap of the built-in functions
 
 
@@ -59,9 +60,12 @@ def groups(keys: DataFrame, key: str = "text_sha256", bits: int = BITS) -> DataF
     """
     tested = maybe_repeated(keys, key, durable(repeated_cells(keys, key, bits)), bits)
     alone = tested.where(~F.col("_maybe")).select("doc_id", key, F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
-    rest = tested.where("_maybe").select("doc_id", key)
-    sizes = rest.groupBy(key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return alone.unionByName(rest.join(sizes, key).select("doc_id", key, "keep_id", "group_size"))
+    rest = tested.where("_maybe").select("doc_id", key, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("_salt"))
+    # a group is summed up part by part, and its rows look their part up: no task gets more than a part of a group
+    parts = rest.groupBy(key, "_salt").agg(F.max("doc_id").alias("_max"), F.count("*").alias("_n"))
+    sizes = parts.groupBy(key).agg(F.max("_max").alias("keep_id"), F.sum("_n").alias("group_size"))
+    told = parts.select(key, "_salt").join(sizes, key)
+    return alone.unionByName(rest.join(told, [key, "_salt"]).select("doc_id", key, "keep_id", "group_size"))
 
 
 def mark_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
