@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import dedup, licenses, packing, secrets
+from tideline.llm import dedup, langid, licenses, packing, secrets, toxicity
 from tideline.session import scratch_path, tune
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +55,16 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first scan: the ledger is new, so every distinct text is scanned once."""
     return secrets.secret_digest(secrets.secret_scan(documents(spark, sf_dir), f"{scratch_path(spark)}/ledger"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

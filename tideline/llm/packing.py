@@ -59,7 +59,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocab: str | None =
 
         return work
 
-    return map_slices(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", PIECES, make, 8 << 20)
+    return map_slices(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", PIECES, make, 4 << 20)
 
 
 class _Bins:
@@ -148,14 +148,14 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
     return rows
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, each: int = 100_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, each: int = 100_000, least_chunks: int = 32) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with ``sequence_id`` and ``offset``; every piece is placed once.
 
     Repeated rows are pieces of their own. The counts (at most ``capacity`` rows) and the plan made from them are the
     only data at the driver. An empty table gives no rows.
     """
     spark = pieces.sparkSession
-    chunks = partitions_for(pieces.count(), each)
+    chunks = max(least_chunks, partitions_for(pieces.count(), each))
     cut = pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int"))
     totals = durable(cut.groupBy("length", "_chunk").agg(F.count("*").alias("_n")))
     counts = {r["length"]: r["n"] for r in totals.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
