@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import dedup, langid, licenses, packing, secrets, toxicity
+from tideline.llm import dedup, langid, licenses, mixing, packing, secrets, toxicity
 from tideline.session import scratch_path, tune
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query("op5_source_mixing")
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(documents(spark, sf_dir))

@@ -93,8 +93,8 @@ def secret_scan(docs: DataFrame, ledger: str, rule_version: int = RULE_VERSION)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("blob", F.sha2("text", 256))
     paths = durable(rows.select("doc_id", "blob"))
-    unseen = paths.join(read_ledger(spark, ledger, rule_version).select("blob"), "blob", "left_anti")
-    owners = unseen.groupBy(F.col("blob").alias("_blob")).agg(F.min("doc_id").alias("_owner"))
+    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("_owner"))
+    owners = blobs.join(read_ledger(spark, ledger, rule_version).select("blob"), "blob", "left_anti").withColumnRenamed("blob", "_blob")
     texts = rows.join(owners, F.col("doc_id").eqNullSafe(F.col("_owner")) & (F.col("blob") == F.col("_blob")))
     made = scan_texts(texts.select("blob", "text")).dropDuplicates(["blob"])
     made.withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(ledger)
