@@ -159,3 +159,18 @@ def char_places(data: np.ndarray, places: np.ndarray, offsets: np.ndarray, text_
     chars = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
     return chars[places] - chars[offsets[text_of]]
+
+
+SALTS = 256
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = SALTS) -> DataFrame:
+    """``rows`` joined with ``table`` (one row per ``key``), where some keys may hold a large part of all rows.
+
+    The keys of ``rows`` are first reduced to (key, salt) parts, the parts look the key up, and the rows look their part
+    up: a key's rows go to as many tasks as it has salts. ``spread``: the column that a row's salt is hashed from.
+    Inner join; null keys find nothing. ``rows`` is read twice.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    parts = salted.select(key, "_salt").distinct().join(table, key)
+    return salted.join(parts, [key, "_salt"]).drop("_salt")
