@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import dedup, jaccard, langid, licenses, mixing, packing, secrets, toxicity
+from tideline.llm import dedup, jaccard, langid, licenses, mixing, packing, secrets, spotsigs, toxicity
 from tideline.session import scratch_path, tune
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,8 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_jaccard_join")
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_spot_fingerprints")
+def op3_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(documents(spark, sf_dir))
