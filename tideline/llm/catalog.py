@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import dedup, jaccard, langid, licenses, mixing, packing, secrets, spotsigs, toxicity
+from tideline.llm import dedup, jaccard, langid, licenses, materialise, mixing, packing, secrets, spotsigs, toxicity
 from tideline.session import scratch_path, tune
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,9 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_spot_fingerprints")
 def op3_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(documents(spark, sf_dir))
+
+
+@query("op7_training_order")
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of shards written to a new folder below the shared one."""
+    return materialise.materialise(documents(spark, sf_dir), f"{scratch_path(spark)}/shards")

@@ -22,8 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import Words, durable, look_up, lowered, mix, slices, u64
@@ -75,34 +74,40 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def row_key(docs: DataFrame) -> Column:
+    """64 bits of a row's doc_id and text."""
+    return F.xxhash64(docs["doc_id"].cast("bigint"), docs["text"].cast("string"))
+
+
 def _per_task(docs: DataFrame, run, schema: str) -> DataFrame:
-    """``run(sets of a task as (row, set) slices)`` over the Arrow batches of (doc_id, text)."""
+    """``run(parts)`` over a task's texts, where a part is (rows of doc_id, row and text; their sets)."""
 
     def task(batches):
         def parts():
             for batch in batches:
                 for a, b, data, offsets in slices(batch.column("text")):
-                    yield batch.column("doc_id").slice(a, b - a).to_pylist(), shingle_sets(data, offsets)
+                    yield batch.slice(a, b - a), shingle_sets(data, offsets)
 
         yield from run(parts())
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, schema)
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return narrow.select("doc_id", row_key(narrow).alias("row"), "text").mapInArrow(task, schema)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, cls) of all texts, and after them rows (block, counts) of the task's sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+    """Rows (doc_id, row, n, cls) of all texts, and after them rows (block, counts) of the task's sketch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def run(parts):
         cells = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for ids, sets in parts:
+        for rows, sets in parts:
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             cells += np.bincount((flat >> u64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=schema)
         blocks = [zlib.compress(b.tobytes(), 1) for b in cells.reshape(BLOCKS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, pa.int64())] * 3 + [pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, pa.int64())] * 4 + [pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], schema=schema)
 
-    return _per_task(docs, run, "doc_id bigint, n bigint, cls bigint, block int, counts binary")
+    return _per_task(docs, run, "doc_id bigint, row bigint, n bigint, cls bigint, block int, counts binary")
 
 
 def _summed(blocks: DataFrame, dtype, combine) -> np.ndarray:
@@ -394,34 +399,42 @@ def class_links(docs: DataFrame, sketch: np.ndarray, postings: int, percent: int
     return _joined_blocks(blocks, percent).distinct()
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, part_keys: int = PART_KEYS, heavy: int = HEAVY) -> DataFrame:
-    """(doc_id, n_shingles, class, component_id) for every row of ``docs``.
-
-    ``component_id``: the smallest doc_id that links reach, its own included. Texts without words have an empty set and
-    stand alone, null texts too. Rows that repeat are in one class. Null doc_ids are no one's smallest, unless all are.
-    """
+def _rooted(docs: DataFrame, percent: int, part_keys: int, heavy: int) -> DataFrame:
+    """(doc_id, row, n, cls, root): every row with its class and the root class of its component; null for empty sets."""
     counted = durable(_counted(docs))
-    rows = counted.where("block IS NULL").select("doc_id", "n", "cls")
+    rows = counted.where("block IS NULL").select("doc_id", "row", "n", "cls")
     sketch = _summed(counted.where("block IS NOT NULL").select("block", "counts"), np.uint32, _saturating)
-    classes = durable(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")))
+    classes = durable(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.max("n").alias("n")))
     postings = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     if postings:
         roots = durable(components(class_links(docs, sketch, int(postings), percent, part_keys, heavy)))
     else:
         roots = docs.sparkSession.createDataFrame([], "node bigint, root bigint")
-    placed = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    told = durable(look_up(placed, smallest, "root", "cls").select("cls", "component_id"))
-    linked = look_up(rows, told, "cls", "doc_id")
-    empty = rows.where("cls IS NULL").withColumn("component_id", F.col("doc_id"))
+    placed = durable(classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root")))
+    empty = rows.where("cls IS NULL").withColumn("root", F.lit(None).cast("bigint"))
+    return look_up(rows.where("cls IS NOT NULL"), placed, "cls", "row").select(*empty.columns).unionByName(empty)
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, part_keys: int = PART_KEYS, heavy: int = HEAVY) -> DataFrame:
+    """(doc_id, n_shingles, class, component_id) for every row of ``docs``.
+
+    ``component_id``: the smallest doc_id that links reach, its own included. Texts without words have an empty set and
+    stand alone, null texts too. Rows that repeat are in one class. Null doc_ids are no one's smallest, unless all are.
+    """
+    found = durable(_rooted(docs, percent, part_keys, heavy))
+    smallest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    linked = look_up(found.where("root IS NOT NULL"), smallest, "root", "row")
+    empty = found.where("root IS NULL").withColumn("component_id", F.col("doc_id"))
     return linked.unionByName(empty, allowMissingColumns=True).select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class"), "component_id")
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` of which one per component stays: the one with the smallest doc_id."""
-    found = jaccard_components(docs, percent)
-    # rows tied on doc_id and class are equal as far as the join sees; one of them stays
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    order = W.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("_tie", F.row_number().over(order)).where("_tie = 1").drop("_tie")
+def one_of_each(docs: DataFrame, percent: int = PERCENT, part_keys: int = PART_KEYS, heavy: int = HEAVY) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one per component stays: the one with the smallest doc_id.
+
+    A null doc_id stays only where its component has no other; rows tied on doc_id are told apart by their texts, and
+    of rows that repeat as a whole one stays. Texts without words are in no component and stay.
+    """
+    found = durable(_rooted(docs, percent, part_keys, heavy))
+    first = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    stay = first.select(F.col("first")["row"].alias("_row")).unionByName(found.where("root IS NULL").select(F.col("row").alias("_row"))).distinct()
+    return docs.withColumn("_row", row_key(docs)).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

@@ -218,3 +218,26 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
 
     narrow = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("text", F.col("text").cast("string"))
     return map_slices(narrow.select("doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")]), "text", schema, make)
+
+
+def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a learned language.
+
+    A row goes when its text is null or has no letter, or when no language contains the share ``least`` of its
+    n-grams. A model that learned no language judges letters only.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for a, b, _, _ in slices(batch.column("text")):
+                rows = batch.slice(a, b - a)
+                texts = rows.column("text").to_pylist()
+                if shared.value.languages:
+                    lang, score, _ = shared.value.decide(texts)
+                    keep = [x != UNKNOWN and s >= least for x, s in zip(lang, score.tolist(), strict=True)]
+                else:
+                    keep = [any(c.isalpha() for c in t or "") for t in texts]
+                yield rows.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
