@@ -2,10 +2,12 @@
 
 1. *Sketch.* One pass counts all shingles into a fixed array of cells (summed block by block) and gives each text its
    number of shingles and its class, a 64-bit digest of its set: equal sets are one class from here on.
-2. *Global order.* A shingle's key is its cell's count in powers of two, then its hash: common shingles come last. Any
-   order that depends on the shingle alone gives the same result; this one keeps common passages out of prefixes.
+2. *Global order.* A shingle's key is the level of its cell's count (eight levels to a doubling), then its hash: common
+   shingles come last. Any order that depends on the shingle alone gives the same result; this one keeps passages that
+   many texts share out of prefixes.
 3. *Prefixes.* Two sets that are similar enough share one of their first n - ceil(t n) + 1 keys. Classes that share
-   such a key meet in the block of the smallest of them, once, however many keys they share.
+   such a key, and have no gap between their sizes that the threshold forbids, meet in the block of the smallest of
+   them, once, however many keys they share.
 4. *Trie join.* A block's sets, as ordered key sequences, form a trie. For each set the trie is walked level by level:
    the overlap of a path is counted once for all sets below it, and a subtree is left out when its sizes cannot fit,
    when the keys that remain on either side cannot make up the missing overlap, or when all its sets are linked with
@@ -30,14 +32,18 @@ from tideline.llm.components import components
 
 WORDS = 5
 PERCENT = 75
-SKETCH_BITS = 21
+#: Cells of the sketch, as a power of two: four bytes each at the driver, one in the broadcast. Over a few hundred
+#: shingles a cell, more bits keep rarer passages apart.
+SKETCH_BITS = 23
 BLOCKS = 64
 LIVE_BITS = 26
-#: Postings of a bucket, keys of one side of a block pair, and the sketch count (a power of two) of a key whose
-#: postings are spread over tasks.
+#: Postings of a bucket, keys of one side of a block pair, and the count level from which a key's postings are spread
+#: over tasks (8 * 17: a count of 2^17).
 BUCKET_POSTINGS = 500_000
 PART_KEYS = 2_000_000
-HEAVY = 17
+LEVELS = 8
+HEAVY = LEVELS * 17
+HASH_BITS = 56
 _WORD = np.ones(256, bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
 _Q = [u64(pow(0x2545F4914F6CDD1D, j + 1, 1 << 64)) for j in range(WORDS)]
@@ -102,7 +108,8 @@ def _counted(docs: DataFrame) -> DataFrame:
         cells = np.zeros(1 << SKETCH_BITS, np.uint32)
         for rows, sets in parts:
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            cells += np.bincount((flat >> u64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells)).astype(np.uint32)
+            slot, times = np.unique(flat >> u64(64 - SKETCH_BITS), return_counts=True)
+            cells[slot.astype(np.int64)] += times.astype(np.uint32)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=schema)
         blocks = [zlib.compress(b.tobytes(), 1) for b in cells.reshape(BLOCKS, -1)]
         yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, pa.int64())] * 4 + [pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], schema=schema)
@@ -128,20 +135,29 @@ def _saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a.astype(np.uint64) + b, 0xFFFFFFFF).astype(np.uint32)
 
 
-def ordered_keys(shingles: np.ndarray, powers: np.ndarray) -> np.ndarray:
-    """A set's keys in the global order: the power of two of the shingle's cell, then its hash."""
-    common = powers[(shingles >> u64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    return np.sort((common << u64(58)) | (shingles & u64((1 << 58) - 1)))
+def count_levels(sketch: np.ndarray) -> np.ndarray:
+    return np.floor(LEVELS * np.log2(np.maximum(sketch, 1) + 0.0)).clip(0, 255).astype(np.uint8)
 
 
-def _postings(docs: DataFrame, powers, buckets: int, percent: int, heavy: int) -> DataFrame:
-    """(bucket, spread, keys, classes): the prefix keys of every class, packed; ``spread`` marks heavy keys' buckets."""
-    schema = pa.schema([("bucket", pa.int32()), ("spread", pa.bool_()), ("keys", pa.binary()), ("classes", pa.binary())])
+def ordered_keys(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """A set's keys in the global order: the level of the shingle's cell, then its hash."""
+    common = levels[(shingles >> u64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    return np.sort((common << u64(HASH_BITS)) | (shingles & u64((1 << HASH_BITS) - 1)))
+
+
+def size_level(n: int, percent: int) -> int:
+    """A level of a set's size: sizes that may be similar are at most LEVELS apart; 255 stands for all above."""
+    return min(255, int(LEVELS * np.log(n) / np.log(100 / percent))) if percent < 100 else 0
+
+
+def _postings(docs: DataFrame, levels, buckets: int, percent: int, heavy: int) -> DataFrame:
+    """(bucket, spread, keys, classes, sizes): the prefix keys of every class, packed; ``spread`` marks heavy keys."""
+    schema = pa.schema([("bucket", pa.int32()), ("spread", pa.bool_()), ("keys", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary())])
 
     def run(parts):
         seen: set[int] = set()
         for _, sets in parts:
-            keys, classes = [], []
+            keys, classes, sizes = [], [], []
             for s in sets:
                 if not len(s):
                     continue
@@ -149,23 +165,24 @@ def _postings(docs: DataFrame, powers, buckets: int, percent: int, heavy: int) -
                 if cls in seen:
                     continue
                 seen.add(cls)
-                prefix = ordered_keys(s, powers.value)[: prefix_length(len(s), percent)]
+                prefix = ordered_keys(s, levels.value)[: prefix_length(len(s), percent)]
                 keys.append(prefix)
                 classes.append(np.full(len(prefix), cls, np.int64))
+                sizes.append(np.full(len(prefix), size_level(len(s), percent), np.uint8))
             if not keys:
                 continue
-            key, cls = np.concatenate(keys), np.concatenate(classes)
-            wide = (key >> u64(58)) >= u64(heavy)
+            key, cls, size = np.concatenate(keys), np.concatenate(classes), np.concatenate(sizes)
+            wide = (key >> u64(HASH_BITS)) >= u64(heavy)
             # a heavy key's postings go by class as well, so that no bucket gets all of them
             slot = mix(np.where(wide, key ^ mix(cls.view(np.uint64)), key)) % u64(buckets)
             group = slot.astype(np.int64) * 2 + wide
             order = np.argsort(group, kind="stable")
-            key, cls, group = key[order], cls[order], group[order]
+            key, cls, size, group = key[order], cls[order], size[order], group[order]
             places = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
             spans = list(zip(places[:-1].tolist(), places[1:].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([int(group[a]) // 2 for a, _ in spans], pa.int32()), pa.array([bool(group[a] % 2) for a, _ in spans]), pa.array([key[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([cls[a:b].tobytes() for a, b in spans], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([int(group[a]) // 2 for a, _ in spans], pa.int32()), pa.array([bool(group[a] % 2) for a, _ in spans]), pa.array([key[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([cls[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([size[a:b].tobytes() for a, b in spans], pa.binary())], schema=schema)
 
-    return _per_task(docs, run, "bucket int, spread boolean, keys binary, classes binary")
+    return _per_task(docs, run, "bucket int, spread boolean, keys binary, classes binary, sizes binary")
 
 
 def _shared_keys(postings: DataFrame) -> DataFrame:
@@ -174,7 +191,7 @@ def _shared_keys(postings: DataFrame) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         wide = np.array(table.column("spread").to_pylist())
-        keys, classes = table.column("keys").to_pylist(), table.column("classes").to_pylist()
+        keys, classes, sizes = (table.column(c).to_pylist() for c in ("keys", "classes", "sizes"))
         made = []
         for mark in (False, True):
             rows = np.flatnonzero(wide == mark)
@@ -182,18 +199,22 @@ def _shared_keys(postings: DataFrame) -> DataFrame:
                 continue
             key = np.frombuffer(b"".join(keys[i] for i in rows), np.uint64)
             cls = np.frombuffer(b"".join(classes[i] for i in rows), np.int64)
-            order = np.lexsort((cls, key))
-            key, cls = key[order], cls[order]
+            level = np.frombuffer(b"".join(sizes[i] for i in rows), np.uint8)
+            order = np.lexsort((cls, level, key))
+            key, cls, level = key[order], cls[order], level[order]
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-            key, cls = key[fresh], cls[fresh]
+            key, cls, level = key[fresh], cls[fresh], level[fresh].astype(int)
             if mark:
                 made.append((key.view(np.int64), np.full(len(key), -1), cls, False))
                 continue
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            # a run ends with its key, or where the next size is too far above (nothing across is similar enough)
+            far = (level[1:] - level[:-1] > LEVELS + 1) & (level[1:] < 255)  # one more for rounding
+            begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | far]))
             size = np.diff(np.concatenate([begin, [len(key)]]))
             begin, size = begin[size > 1], size[size > 1]
-            rep = np.repeat(cls[begin], size)
+            least = np.minimum.reduceat(np.append(cls, np.iinfo(np.int64).max), np.stack([begin, begin + size], 1).ravel())[::2] if len(begin) else cls[:0]
+            rep = np.repeat(least, size)
             own = cls[np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
             pair = np.unique(np.stack([rep, own]), axis=1) if len(rep) else np.zeros((2, 0), np.int64)
             made.append((None, pair[0], pair[1], True))
@@ -235,7 +256,7 @@ def _live_bits(members: DataFrame) -> np.ndarray:
     return full.ravel()
 
 
-def _live_sets(docs: DataFrame, powers, live) -> DataFrame:
+def _live_sets(docs: DataFrame, levels, live) -> DataFrame:
     """(cls, keys) of the classes whose bit is set, once per task at most: their whole ordered sets."""
     schema = pa.schema([("cls", pa.int64()), ("keys", pa.binary())])
 
@@ -250,7 +271,7 @@ def _live_sets(docs: DataFrame, powers, live) -> DataFrame:
                 if hit and len(s) and cls not in seen:
                     seen.add(cls)
                     classes.append(cls)
-                    keys.append(ordered_keys(s, powers.value).tobytes())
+                    keys.append(ordered_keys(s, levels.value).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(keys, pa.binary())], schema=schema)
 
     return _per_task(docs, run, "cls bigint, keys binary")
@@ -381,11 +402,11 @@ def _joined_blocks(blocks: DataFrame, percent: int) -> DataFrame:
 def class_links(docs: DataFrame, sketch: np.ndarray, postings: int, percent: int = PERCENT, part_keys: int = PART_KEYS, heavy: int = HEAVY) -> DataFrame:
     """(a, b): links between classes that span the components of the similarity graph."""
     sc = docs.sparkSession.sparkContext
-    powers = sc.broadcast(np.ceil(np.log2(np.maximum(sketch, 1) + 0.0)).astype(np.uint8))
+    levels = sc.broadcast(count_levels(sketch))
     buckets = max(64, -(-postings // BUCKET_POSTINGS))
-    members = durable(_members(durable(_shared_keys(_postings(docs, powers, buckets, percent, heavy)))))
+    members = durable(_members(durable(_shared_keys(_postings(docs, levels, buckets, percent, heavy)))))
     live = sc.broadcast(_live_bits(members))
-    sets = _live_sets(docs, powers, live).groupBy("cls").agg(F.first("keys").alias("keys"))
+    sets = _live_sets(docs, levels, live).groupBy("cls").agg(F.first("keys").alias("keys"))
     sets = durable(sets.join(members.select("cls").distinct(), "cls", "left_semi"))
     sizes = look_up(members, sets.select("cls", (F.octet_length("keys") / 8).cast("bigint").alias("n")), "cls", "rep")
     cuts = sizes.groupBy("rep").agg((F.floor(F.sum("n") / part_keys) + 1).cast("int").alias("parts"))
