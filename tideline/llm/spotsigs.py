@@ -42,13 +42,14 @@ def signatures(text: Column) -> Column:
     words = _words(text)
     mark = "\x01"
     anchors = "|".join(sorted(ANCHORS))
-    # every anchor starts a part: "anchor content content ..."
+    # every anchor starts a part, and each part ends with a space: "anchor content content ... "
     parts = F.split(F.regexp_replace(words, rf" (?=(?:{anchors}) )", f" {mark}"), mark)
     spots = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     content = F.transform(spots, lambda p: F.substring_index(F.substring(p, F.instr(p, " ") + 1, F.lit(1 << 30)), " ", CHAIN))
     zipped = F.arrays_zip(spots.alias("p"), content.alias("c"), F.slice(content, F.lit(2), F.size(content)).alias("n"))
     # a short chain goes on behind the next anchor
-    chains = F.transform(zipped, lambda z: F.substring_index(F.concat(F.substring_index(z["p"], " ", CHAIN + 1), F.lit(" "), F.coalesce(z["n"], F.lit(""))), " ", CHAIN + 1))
+    whole = lambda z: F.concat(F.rtrim(F.substring_index(z["p"], " ", CHAIN + 1)), F.lit(" "), F.coalesce(F.rtrim(z["n"]), F.lit("")))
+    chains = F.transform(zipped, lambda z: F.rtrim(F.substring_index(whole(z), " ", CHAIN + 1)))
     # where no anchor comes for long, each word is one
     behind = F.transform(spots, lambda p: F.substring(p, F.length(F.substring_index(p, " ", FAR)) + 2, F.lit(1 << 30)))
     bare = F.filter(F.transform(F.concat(F.slice(parts, 1, 1), behind), lambda t: F.trim(t)), lambda t: t != "")
