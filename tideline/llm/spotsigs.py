@@ -54,7 +54,7 @@ def signatures(text: Column) -> Column:
     behind = F.transform(spots, lambda p: F.substring(p, F.length(F.substring_index(p, " ", FAR)) + 2, F.lit(1 << 30)))
     bare = F.filter(F.transform(F.concat(F.slice(parts, 1, 1), behind), lambda t: F.trim(t)), lambda t: t != "")
     split = F.transform(bare, lambda t: F.split(t, " "))
-    dense = F.flatten(F.transform(split, lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws)), lambda i: F.array_join(F.slice(ws, i, CHAIN + 1), " "))))
+    dense = F.flatten(F.transform(split, lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.concat_ws(" ", *[F.get(ws, i + k) for k in range(CHAIN + 1)]))))
     return F.array_sort(F.array_distinct(F.transform(F.concat(chains, dense), lambda s: F.shiftrightunsigned(F.xxhash64(s), 32))))
 
 
