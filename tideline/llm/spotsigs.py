@@ -37,45 +37,52 @@ def _words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
 
 
-def signatures(text: Column) -> Column:
-    """The distinct signature hashes of a text, in order: an array of 32-bit values as longs. Null or no word: empty."""
-    words = _words(text)
+def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: the distinct signature hashes of the text, in order, 32 bits each as longs.
+
+    Null or no word: an empty array. Steps are columns of their own, since each is read more than once by the next.
+    """
     mark = "\x01"
     anchors = "|".join(sorted(ANCHORS))
+    col, rest = F.col, F.lit(1 << 30)
     # every anchor starts a part, and each part ends with a space: "anchor content content ... "
-    parts = F.split(F.regexp_replace(words, rf" (?=(?:{anchors}) )", f" {mark}"), mark)
-    spots = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    content = F.transform(spots, lambda p: F.substring_index(F.substring(p, F.instr(p, " ") + 1, F.lit(1 << 30)), " ", CHAIN))
-    zipped = F.arrays_zip(spots.alias("p"), content.alias("c"), F.slice(content, F.lit(2), F.size(content)).alias("n"))
+    rows = rows.withColumn("_parts", F.split(F.regexp_replace(_words(col(text)), rf" (?=(?:{anchors}) )", f" {mark}"), mark))
+    rows = rows.withColumn("_spots", F.slice("_parts", F.lit(2), F.greatest(F.size("_parts") - 1, F.lit(0))))
+    rows = rows.withColumn("_after", F.transform("_spots", lambda p: F.rtrim(F.substring_index(F.substring(p, F.instr(p, " ") + 1, rest), " ", CHAIN))))
     # a short chain goes on behind the next anchor
-    whole = lambda z: F.concat(F.rtrim(F.substring_index(z["p"], " ", CHAIN + 1)), F.lit(" "), F.coalesce(F.rtrim(z["n"]), F.lit("")))
-    chains = F.transform(zipped, lambda z: F.rtrim(F.substring_index(whole(z), " ", CHAIN + 1)))
+    rows = rows.withColumn("_zipped", F.arrays_zip(F.transform("_spots", lambda p: F.rtrim(F.substring_index(p, " ", CHAIN + 1))).alias("p"), F.slice("_after", F.lit(2), F.size("_after")).alias("n")))
+    rows = rows.withColumn("_chains", F.transform("_zipped", lambda z: F.rtrim(F.substring_index(F.concat_ws(" ", z["p"], z["n"]), " ", CHAIN + 1))))
     # where no anchor comes for long, each word is one
-    behind = F.transform(spots, lambda p: F.substring(p, F.length(F.substring_index(p, " ", FAR)) + 2, F.lit(1 << 30)))
-    bare = F.filter(F.transform(F.concat(F.slice(parts, 1, 1), behind), lambda t: F.trim(t)), lambda t: t != "")
-    split = F.transform(bare, lambda t: F.split(t, " "))
-    dense = F.flatten(F.transform(split, lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.concat_ws(" ", *[F.get(ws, i + k) for k in range(CHAIN + 1)]))))
-    return F.array_sort(F.array_distinct(F.transform(F.concat(chains, dense), lambda s: F.shiftrightunsigned(F.xxhash64(s), 32))))
+    behind = F.transform("_spots", lambda p: F.substring(p, F.length(F.substring_index(p, " ", FAR)) + 2, rest))
+    rows = rows.withColumn("_bare", F.filter(F.transform(F.concat(F.slice("_parts", 1, 1), behind), lambda t: F.trim(t)), lambda t: t != ""))
+    rows = rows.withColumn("_runs", F.transform("_bare", lambda t: F.split(t, " ")))
+    dense = F.flatten(F.transform("_runs", lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.concat_ws(" ", *[F.get(ws, i + k) for k in range(CHAIN + 1)]))))
+    hashes = F.transform(F.concat(col("_chains"), dense), lambda s: F.shiftrightunsigned(F.xxhash64(s), 32))
+    rows = rows.withColumn(out, F.sort_array(F.array_distinct(hashes)))
+    return rows.drop("_parts", "_spots", "_after", "_zipped", "_chains", "_bare", "_runs")
 
 
-def sketch(text: Column) -> Column:
-    """The fingerprint as a struct: ``size`` of the signature set and its ``KEPT`` smallest hashes ``low``."""
-    sigs = signatures(text)
-    return F.struct(F.size(sigs).alias("size"), F.slice(sigs, 1, KEPT).alias("low"))
+def with_sketch(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """``rows`` with the fingerprint as a struct: ``size`` of the signature set and its ``KEPT`` smallest hashes ``low``."""
+    rows = with_signatures(rows, text, "_sigs")
+    return rows.withColumn(out, F.struct(F.size("_sigs").alias("size"), F.slice("_sigs", 1, KEPT).alias("low"))).drop("_sigs")
 
 
-def fingerprint(found: Column) -> Column:
+def fingerprint(found: str) -> Column:
     """A sketch as text: the size, a colon, and the hashes in hex. Equal texts have equal fingerprints."""
-    return F.concat(found["size"].cast("string"), F.lit(":"), F.array_join(F.transform(found["low"], lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), ""))
+    return F.concat(F.col(f"{found}.size").cast("string"), F.lit(":"), F.array_join(F.transform(f"{found}.low", lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), ""))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two sketches, from 0 to 1; two empty sets are alike, an empty and another not."""
-    union = F.slice(F.array_sort(F.array_union(a["low"], b["low"])), 1, KEPT)
-    both = F.size(F.array_intersect(F.array_intersect(a["low"], b["low"]), union))
-    bound = F.least(a["size"], b["size"]) / F.greatest(a["size"], b["size"])
-    empty = F.greatest(a["size"], b["size"]) == 0
-    return F.when(empty, F.lit(1.0)).when(F.least(a["size"], b["size"]) == 0, F.lit(0.0)).otherwise(F.least(both / F.size(union), bound))
+def with_likeness(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """``rows`` with the estimated Jaccard similarity, 0 to 1, of two sketches.
+
+    Two empty sets are alike, an empty and another are not.
+    """
+    rows = rows.withColumn("_union", F.slice(F.sort_array(F.array_union(f"{a}.low", f"{b}.low")), 1, KEPT))
+    both = F.size(F.array_intersect(F.array_intersect(f"{a}.low", f"{b}.low"), "_union"))
+    least, most = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
+    like = F.when(most == 0, F.lit(1.0)).when(least == 0, F.lit(0.0)).otherwise(F.least(both / F.size("_union"), least / most))
+    return rows.withColumn(out, like).drop("_union")
 
 
 def with_next(ids: DataFrame) -> DataFrame:
@@ -123,16 +130,9 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, its edited text's, and their likeness and that with the next document's."""
     pairs = edited_pairs(docs)
-    made = pairs.select("doc_id", "_h", "n_chars", "_next_h", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("changed"))
-    made = durable(made)
+    made = pairs.withColumn("edited_sha256", F.sha2("edited", 256))
+    made = with_sketch(with_sketch(made, "text", "own"), "edited", "changed").drop("text", "edited")
+    made = durable(with_likeness(made, "own", "changed", "near_edited"))
     following = made.select(F.col("_h").alias("_next_h"), F.col("own").alias("following"))
-    joined = made.join(following, "_next_h")
-    return joined.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        fingerprint(F.col("own")).alias("fingerprint"),
-        fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        likeness(F.col("own"), F.col("following")).alias("near_next"),
-    )
+    joined = with_likeness(made.join(following, "_next_h"), "own", "following", "near_next")
+    return joined.select("doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("changed").alias("edited_fingerprint"), "near_edited", "near_next")
