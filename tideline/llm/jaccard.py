@@ -8,11 +8,14 @@
 3. *Prefixes.* Two sets that are similar enough share one of their first n - ceil(t n) + 1 keys. Classes that share
    such a key, and have no gap between their sizes that the threshold forbids, meet in the block of the smallest of
    them, once, however many keys they share.
-4. *Trie join.* A block's sets, as ordered key sequences, form a trie. For each set the trie is walked level by level:
+4. *Signatures.* Blocks first see a bitmap of each set, a few bits per shingle. A bit that one set has and another lacks
+   stands for a shingle that is not shared, which bounds the overlap from above; who has no partner within the bound
+   leaves the block. Whole sets, forty times as large, are then sent for the rest only.
+5. *Trie join.* A block's sets, as ordered key sequences, form a trie. For each set the trie is walked level by level:
    the overlap of a path is counted once for all sets below it, and a subtree is left out when its sizes cannot fit,
    when the keys that remain on either side cannot make up the missing overlap, or when all its sets are linked with
    the set already. Overlaps are counted exactly.
-5. Links found in blocks span each block's components; star contractions make the whole ones.
+6. Links found in blocks span each block's components; star contractions make the whole ones.
 
 Large blocks are cut into parts whose pairs are joined one by one. Hashes are 64-bit: two given sets of a thousand
 shingles confuse any two of them with a chance below 1e-12.
@@ -91,7 +94,7 @@ def _per_task(docs: DataFrame, run, schema: str) -> DataFrame:
     def task(batches):
         def parts():
             for batch in batches:
-                for a, b, data, offsets in slices(batch.column("text")):
+                for a, b, data, offsets in slices(batch.column("text"), 1 << 20):
                     yield batch.slice(a, b - a), shingle_sets(data, offsets)
 
         yield from run(parts())
@@ -136,7 +139,8 @@ def _saturating(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def count_levels(sketch: np.ndarray) -> np.ndarray:
-    return np.floor(LEVELS * np.log2(np.maximum(sketch, 1) + 0.0)).clip(0, 255).astype(np.uint8)
+    parts = [np.floor(LEVELS * np.log2(np.maximum(part, 1).astype(np.float32))).clip(0, 255).astype(np.uint8) for part in sketch.reshape(BLOCKS, -1)]
+    return np.concatenate(parts)
 
 
 def ordered_keys(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -256,14 +260,61 @@ def _live_bits(members: DataFrame) -> np.ndarray:
     return full.ravel()
 
 
-def _live_sets(docs: DataFrame, levels, live) -> DataFrame:
-    """(cls, keys) of the classes whose bit is set, once per task at most: their whole ordered sets."""
-    schema = pa.schema([("cls", pa.int64()), ("keys", pa.binary())])
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap of a set: bit h mod 2^k of each shingle h, where 2^k is at least twice the set's size and 64."""
+    bits = np.zeros(max(64, 1 << int(2 * len(shingles) - 1).bit_length()), bool)
+    bits[(shingles & u64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (one a row) of half the length, again and again down to ``size`` bytes: of the same sets."""
+    while bits.shape[1] > size:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def partners(sizes: np.ndarray, signatures: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set whether another one may be similar enough: no pair that is can be missed.
+
+    The sets are compared in the order of their sizes, each with the larger ones that the threshold allows.
+    """
+    order = np.argsort(sizes, kind="stable")
+    n = sizes[order]
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    length = np.array([len(signatures[i]) for i in order])
+    for own in np.unique(length).tolist():
+        at = np.flatnonzero(length == own)
+        by_length[own] = at, np.stack([signatures[order[i]] for i in at])
+    found = np.zeros(len(n), bool)
+    for x in range(len(n)):
+        mine = signatures[order[x]][None, :]
+        top = 100 * n[x] // percent
+        for own, (at, bits) in by_length.items():
+            lo, hi = np.searchsorted(at, x + 1), np.searchsorted(n[at], top, "right")
+            while lo < hi and not (found[x] and found[at[lo:hi]].all()):
+                end = min(hi, lo + 512)
+                size = min(own, mine.shape[1])
+                a, b = _folded(mine, size), _folded(bits[lo:end], size)
+                rest = np.minimum(n[x] - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), n[at[lo:end]] - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+                hit = 100 * rest >= percent * (n[x] + n[at[lo:end]] - rest)
+                found[at[lo:end][hit]] = True
+                found[x] |= hit.any()
+                lo = end
+    out = np.zeros(len(n), bool)
+    out[order] = found
+    return out
+
+
+def _live_sets(docs: DataFrame, levels, live, whole: bool) -> DataFrame:
+    """(cls, n, keys) of the classes whose bit is set, once per task at most: whole ordered sets, or signatures."""
+    schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
 
     def run(parts):
         seen: set[int] = set()
         for _, sets in parts:
-            classes, keys = [], []
+            classes, sizes, keys = [], [], []
             digests = np.array([digest(s) if len(s) else 0 for s in sets], np.int64)
             slot = mix(digests.view(np.uint64)) >> u64(64 - LIVE_BITS)
             on = (live.value[(slot >> u64(3)).astype(np.int64)] >> (slot & u64(7)).astype(np.uint8)) & 1
@@ -271,10 +322,12 @@ def _live_sets(docs: DataFrame, levels, live) -> DataFrame:
                 if hit and len(s) and cls not in seen:
                     seen.add(cls)
                     classes.append(cls)
-                    keys.append(ordered_keys(s, levels.value).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(keys, pa.binary())], schema=schema)
+                    sizes.append(len(s))
+                    keys.append((ordered_keys(s, levels.value) if whole else signature(s)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], schema=schema)
 
-    return _per_task(docs, run, "cls bigint, keys binary")
+    made = _per_task(docs, run, "cls bigint, n bigint, keys binary")
+    return made.groupBy("cls").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
 
 
 class Trie:
@@ -374,29 +427,67 @@ def block_links(sequences: list[np.ndarray], percent: int, lot: int = 64) -> lis
     return links
 
 
-def _joined_blocks(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links of classes from rows (rep, i, j, cls, keys) that are sorted by block."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _by_block(blocks: DataFrame, work, schema: pa.Schema, text: str) -> DataFrame:
+    """``work(classes, sizes, keys)`` for each block of rows (rep, i, j, cls, n, keys) that are sorted by block."""
 
     def run(batches):
-        current, classes, sets = None, [], []
-
-        def close():
-            found = block_links(sets, percent) if len(sets) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([classes[a] for a, _ in found], pa.int64()), pa.array([classes[b] for _, b in found], pa.int64())], schema=schema)
-
+        current, classes, sizes, keys = None, [], [], []
         for batch in batches:
-            for rep, i, j, cls, keys in zip(*[batch.column(c).to_pylist() for c in ("rep", "i", "j", "cls", "keys")], strict=True):
+            for rep, i, j, cls, n, raw in zip(*[batch.column(c).to_pylist() for c in ("rep", "i", "j", "cls", "n", "keys")], strict=True):
                 if (rep, i, j) != current:
-                    if sets:
-                        yield close()
-                    current, classes, sets = (rep, i, j), [], []
+                    if len(classes) > 1:
+                        yield work(current[0], classes, sizes, keys)
+                    current, classes, sizes, keys = (rep, i, j), [], [], []
                 classes.append(cls)
-                sets.append(np.frombuffer(keys, np.uint64))
-        if sets:
-            yield close()
+                sizes.append(n)
+                keys.append(raw)
+        if len(classes) > 1:
+            yield work(current[0], classes, sizes, keys)
+
+    return blocks.mapInArrow(run, text)
+
+
+def _with_partners(blocks: DataFrame, percent: int) -> DataFrame:
+    """(rep, cls) of the members that may have a similar one in their block, by their signatures."""
+    schema = pa.schema([("rep", pa.int64()), ("cls", pa.int64())])
 
-    return blocks.mapInArrow(run, "a bigint, b bigint")
+    def work(rep, classes, sizes, keys):
+        stay = partners(np.array(sizes), [np.frombuffer(k, np.uint8) for k in keys], percent)
+        own = np.array(classes, np.int64)[stay]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rep, np.int64)), pa.array(own)], schema=schema)
+
+    return _by_block(blocks, work, schema, "rep bigint, cls bigint")
+
+
+def _joined_blocks(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of classes within blocks."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def work(rep, classes, sizes, keys):
+        found = block_links([np.frombuffer(k, np.uint64) for k in keys], percent)
+        return pa.RecordBatch.from_arrays([pa.array([classes[a] for a, _ in found], pa.int64()), pa.array([classes[b] for _, b in found], pa.int64())], schema=schema)
+
+    return _by_block(blocks, work, schema, "a bigint, b bigint")
+
+
+def _blocks(members: DataFrame, sets: DataFrame, weight: str, full: int, sized: DataFrame | None = None) -> DataFrame:
+    """(rep, i, j, cls, n, keys), sorted by block; a block over ``full`` in weight is cut into parts that meet pair by pair.
+
+    ``weight``: an expression of a set's size n. ``sized``: (cls, n), where that is cheaper to read than ``sets``, which
+    are then read once.
+    """
+    sized = sets.select("cls", "n") if sized is None else sized
+    load = look_up(members, sized, "cls", "rep").withColumn("_load", F.expr(weight))
+    cuts = load.groupBy("rep").agg((F.floor(F.sum("_load") / full) + 1).cast("int").alias("parts"), F.sum("_load").alias("load"))
+    cuts = durable(cuts)
+    placed = look_up(members, cuts.select("rep", "parts"), "rep", "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("own"))
+    pairs = F.transform(others, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    keyed = placed.withColumn("pair", F.explode(F.when(F.col("parts") == 1, alone).otherwise(pairs))).select("rep", "pair.i", "pair.j", "cls")
+    total = cuts.agg(F.sum(F.col("load") * F.greatest(F.lit(1), F.col("parts") - 1))).first()[0] or 0
+    joined = keyed.join(sets, "cls").select("rep", "i", "j", "cls", "n", "keys")
+    return joined.repartition(max(12, -(-int(total) // (2 * full))), "rep", "i", "j").sortWithinPartitions("rep", "i", "j")
 
 
 def class_links(docs: DataFrame, sketch: np.ndarray, postings: int, percent: int = PERCENT, part_keys: int = PART_KEYS, heavy: int = HEAVY) -> DataFrame:
@@ -405,19 +496,11 @@ def class_links(docs: DataFrame, sketch: np.ndarray, postings: int, percent: int
     levels = sc.broadcast(count_levels(sketch))
     buckets = max(64, -(-postings // BUCKET_POSTINGS))
     members = durable(_members(durable(_shared_keys(_postings(docs, levels, buckets, percent, heavy)))))
-    live = sc.broadcast(_live_bits(members))
-    sets = _live_sets(docs, levels, live).groupBy("cls").agg(F.first("keys").alias("keys"))
-    sets = durable(sets.join(members.select("cls").distinct(), "cls", "left_semi"))
-    sizes = look_up(members, sets.select("cls", (F.octet_length("keys") / 8).cast("bigint").alias("n")), "cls", "rep")
-    cuts = sizes.groupBy("rep").agg((F.floor(F.sum("n") / part_keys) + 1).cast("int").alias("parts"))
-    placed = look_up(members, cuts, "rep", "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    # a block in parts is joined pair by pair of parts
-    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("own")), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    keyed = placed.withColumn("pair", F.explode(F.when(F.col("parts") == 1, alone).otherwise(pairs))).select("rep", "pair.i", "pair.j", "cls")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    blocks = keyed.join(sets, "cls").repartition(max(12, -(-total // (2 * part_keys))), "rep", "i", "j").sortWithinPartitions("rep", "i", "j")
-    return _joined_blocks(blocks, percent).distinct()
+    marks = durable(_live_sets(docs, levels, sc.broadcast(_live_bits(members)), whole=False))
+    likely = durable(_with_partners(_blocks(members, marks, "n / 8", part_keys), percent).distinct())
+    sets = _live_sets(docs, levels, sc.broadcast(_live_bits(likely)), whole=True)
+    sizes = marks.select("cls", "n")
+    return _joined_blocks(_blocks(likely, sets, "n", part_keys, sizes), percent).distinct()
 
 
 def _rooted(docs: DataFrame, percent: int, part_keys: int, heavy: int) -> DataFrame:
