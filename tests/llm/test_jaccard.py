@@ -91,6 +91,23 @@ def test_trie_links_span_the_components(sets, percent, lot):
     assert [min(i for i, q in enumerate(parent) if q == p) for p in parent] == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.frozensets(st.integers(0, 60), min_size=1, max_size=50), min_size=2, max_size=12), st.sampled_from([50, 75, 90]))
+def test_signatures_miss_no_pair(sets, percent):
+    hashed = [np.sort(jaccard.mix(np.array(sorted(s), np.uint64))) for s in sets]
+    found = jaccard.partners(np.array([len(s) for s in sets]), [jaccard.signature(h) for h in hashed], percent)
+    for i, a in enumerate(sets):
+        similar = any(100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets) if j != i)
+        assert found[i] or not similar
+
+
+def test_signatures_part_sets_that_share_a_passage():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([passage, rng.integers(0, 2**63, 200, dtype=np.uint64)])) for _ in range(50)]
+    assert not jaccard.partners(np.full(50, 260), [jaccard.signature(s) for s in sets], 75).any()
+
+
 def test_trie_shares_paths():
     trie = jaccard.Trie([np.array(s, np.uint64) for s in ([1, 2, 3], [1, 2, 4], [1, 2], [5])])
     assert sorted(trie.size.tolist()) == [1, 2, 3, 3]
