@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tideline.catalog import QUERIES  # noqa: E402
-from tideline.session import get_session  # noqa: E402
+from tideline.session import clean, get_session  # noqa: E402
 
 HEADLINE = [
     "agg_summary", "agg_box", "agg_collapse", "cast_wide", "join_baseline", "join_multi_key", "melt_ids",
@@ -42,6 +42,7 @@ def main() -> None:
             "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            "spark.checkpoint.dir": os.environ.get("BENCH_SHARED_DIR", "/tmp/tideline-bench"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -56,6 +57,7 @@ def main() -> None:
         took[name] = round(statistics.median(times), 3)
     line = {"metric": "total_query_time", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(folder.rstrip("/"))}
     print(json.dumps(line))
+    clean(spark)
     spark.stop()
 
 

@@ -1,11 +1,12 @@
 """Command line: compare registered queries with their SQL. ``check_all.py [sf] [name-part ...]``"""
 
+import os
 import sys
 import time
 import traceback
 
-sys.path.insert(0, "/root/repo")
-sys.path.insert(0, "/root/repo/tests")
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from oracle import compare, connect
 
@@ -14,7 +15,7 @@ from tideline.session import get_session
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
 parts = sys.argv[2:]
-spark = get_session(**{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+spark = get_session(**{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.checkpoint.dir": "/tmp/tideline-check", "spark.ui.showConsoleProgress": "false"})
 spark.sparkContext.setLogLevel("ERROR")
 folder = f"/root/testdata/sf{sf}"
 con = connect(folder)

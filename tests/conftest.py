@@ -8,8 +8,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
-def spark():
-    from tideline.session import get_session
+def spark(tmp_path_factory):
+    from tideline.session import clean, get_session
 
     session = get_session(
         "tests",
@@ -19,8 +19,10 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
+    clean(session)
     session.stop()

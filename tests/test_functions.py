@@ -124,3 +124,25 @@ def test_exact_ranksum_against_enumeration():
         low = sum(s <= w for s in stats) / len(stats)
         high = sum(s >= w for s in stats) / len(stats)
         assert S.ranksum_exact(n1, n2, w) == pytest.approx(min(1, 2 * min(low, high)))
+
+
+def test_tails_with_very_many_degrees_of_freedom():
+    from tideline.functions.special import chi2_upper, t_two_sided
+
+    # Cornish-Fisher reference of the chi-squared tail, and the normal limit of Student's
+    from statistics import NormalDist
+
+    def wilson_hilferty(x, df):
+        return 1 - NormalDist().cdf(((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+
+    for df in (1e6, 1e7, 1e8, 1e9, 1e10):
+        for z in (-3.0, -2.0, 0.0, 0.5, 3.0):
+            x = df + z * (2 * df) ** 0.5
+            assert abs(float(chi2_upper(x, df)) - wilson_hilferty(x, df)) < 3e-6
+        for t in (0.01, 1.0, 3.0):
+            assert abs(float(t_two_sided(t, df)) - 2 * (1 - NormalDist().cdf(t))) < 3 / df + 1e-12
+    # both forms meet where one takes over
+    for f, x in ((chi2_upper, 2e5 + 700.0), (t_two_sided, 2.0)):
+        at = 2e5 if f is chi2_upper else 1e5
+        low, high = float(f(x, at * (1 - 1e-9))), float(f(x, at * (1 + 1e-9)))
+        assert abs(low - high) < 1e-6

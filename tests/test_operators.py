@@ -38,20 +38,18 @@ def test_quantiles_match_linear_interpolation(spark):
     data += [("c", 7.0), (None, 1.0), (None, 2.0), ("a", None)]
     df = spark.createDataFrame(data, "g string, v double")
     probs = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q93": 0.93, "q1": 1.0}
-    for largest in (None, 600):
-        got = {r["g"]: r for r in S.quantiles(df, ["g"], "v", probs, largest=largest).collect()}
-        for g in ("a", "b", "c", None):
-            x = [v for k, v in data if k == g and v is not None]
-            for name, p in probs.items():
-                assert got[g][name] == pytest.approx(np.quantile(x, p), abs=1e-12), (g, name)
+    got = {r["g"]: r for r in S.quantiles(df, ["g"], "v", probs).collect()}
+    for g in ("a", "b", "c", None):
+        x = [v for k, v in data if k == g and v is not None]
+        for name, p in probs.items():
+            assert got[g][name] == pytest.approx(np.quantile(x, p), abs=1e-12), (g, name)
 
 
 def test_quantiles_with_implicit_zeros(spark):
     df = spark.createDataFrame([("s", 4.0), ("s", 8.0), ("t", 5.0)], "g string, v double")
-    for largest in (None, 4):
-        got = {r.g: r for r in S.quantiles(df, ["g"], "v", {"q": 0.75, "m": 0.5}, total=4, largest=largest).collect()}
-        assert got["s"].q == np.quantile([0, 0, 4, 8], 0.75) and got["s"].m == np.quantile([0, 0, 4, 8], 0.5)
-        assert got["t"].q == np.quantile([0, 0, 0, 5], 0.75) and got["t"].m == 0
+    got = {r.g: r for r in S.quantiles(df, ["g"], "v", {"q": 0.75, "m": 0.5}, total=4).collect()}
+    assert got["s"].q == np.quantile([0, 0, 4, 8], 0.75) and got["s"].m == np.quantile([0, 0, 4, 8], 0.5)
+    assert got["t"].q == np.quantile([0, 0, 0, 5], 0.75) and got["t"].m == 0
 
 
 def test_rank_table_shares_ranks_among_equal_values(spark):
@@ -59,11 +57,10 @@ def test_rank_table_shares_ranks_among_equal_values(spark):
     values = rng.integers(-40, 40, 900) / 7
     values[:300] = 1.5  # one value fills a third of the table
     df = spark.createDataFrame([("x", float(v)) for v in values] + [("y", 1.0)], "g string, v double")
-    for largest in (None, 900):
-        got = {(r.g, r.v): r["rank"] for r in S.rank_table(df, ["g"], "v", largest=largest).collect()}
-        for v in np.unique(values):
-            assert got["x", v] == (values < v).sum() + ((values == v).sum() + 1) / 2
-        assert got["y", 1.0] == 1
+    got = {(r.g, r.v): r["rank"] for r in S.rank_table(df, ["g"], "v").collect()}
+    for v in np.unique(values):
+        assert got["x", v] == (values < v).sum() + ((values == v).sum() + 1) / 2
+    assert got["y", 1.0] == 1
 
 
 def test_prefix_sums_descending_with_missing_stratum(spark):
@@ -228,3 +225,28 @@ def test_result_files_round_trip(spark, tmp_path):
     assert tuples(T.read_csv(spark, str(tmp_path / "r"), df.schema)) == tuples(df)
     T.write_table(df, str(tmp_path / "p"))
     assert tuples(spark.read.parquet(str(tmp_path / "p"))) == tuples(df)
+
+
+def test_values_of_one_magnitude_are_parted(spark):
+    rng = np.random.default_rng(8)
+    seconds = np.unique(1_704_067_200 + rng.integers(0, 7 * 86_400, 100_000)).astype(float)
+    df = spark.createDataFrame([("w", float(v)) for v in seconds] + [("x", 1.0)], "g string, v double")
+    parts = S.chunked(df, ["g"], "v", full=500).groupBy("g", S.CHUNK).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("z")).orderBy("g", S.CHUNK).collect()
+    own = [r for r in parts if r["g"] == "w"]
+    assert len(own) > 100 and max(r["n"] for r in own) < 1500
+    assert all(left["z"] < right["a"] for left, right in zip(own, own[1:]))
+    got = S.rank_table(df, ["g"], "v").where("g = 'w'").orderBy("v").select("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, len(seconds) + 1))
+
+
+def test_missing_keys_are_a_group(spark):
+    from tideline.operators import rank as K
+    from tideline.operators.reshape import crosstab
+
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 7), (1, 1, 3), (1, 2, 3), (1, 3, 9)], "k int, t int, v int")
+    pick = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert pick(K.first_by(df, ["k"], "t")) == pick(df.where("t = 1"))
+    assert pick(K.last_by(df, ["k"], "t")) == sorted([(None, 2, 7), (1, 3, 9)], key=str)
+    assert pick(K.top_n(df, ["k"], "v", 2)) == pick(df)
+    counted = crosstab(df, "k", "t", [1, 2, 3])
+    assert pick(counted) == sorted([(None, 1, 1, 0), (1, 1, 1, 1)], key=str)

@@ -303,13 +303,11 @@ def _(spark, sf):
     return R.cast_wide(B.obs(spark, sf).withColumn("value", r6("value")), ["subject", "t"], "feature", "value", FEATURES)
 
 
-@query("cast_fill", sql_with("counts", "samples") + """SELECT feature, CAST(SUM(CASE WHEN stage='Early' THEN value ELSE 0 END) AS BIGINT) AS Early,
-    CAST(SUM(CASE WHEN stage='Middle' THEN value ELSE 0 END) AS BIGINT) AS Middle, CAST(SUM(CASE WHEN stage='Late' THEN value ELSE 0 END) AS BIGINT) AS Late
-    FROM counts JOIN samples USING (sample) WHERE stage IN ('Early','Middle','Late') AND value > 300 GROUP BY 1""")
+@query("cast_fill", sql_with("counts", "samples") + "SELECT feature, " + ", ".join(
+    f"CAST(SUM(CASE WHEN stage='{s}' THEN value ELSE 0 END) AS BIGINT) AS {s}" for s in L.STAGE) + " FROM counts JOIN samples USING (sample) GROUP BY 1")
 def _(spark, sf):
-    shown = ["Early", "Middle", "Late"]
-    cells = B.counts(spark, sf).where("value > 300").join(B.samples(spark, sf), "sample").where(F.col("stage").isin(shown))
-    return R.cast_wide(cells.groupBy("feature", "stage").agg(F.sum("value").alias("value")), ["feature"], "stage", "value", shown, fill=0)
+    cells = B.counts(spark, sf).join(B.samples(spark, sf), "sample")
+    return R.cast_wide(cells.groupBy("feature", "stage").agg(F.sum("value").alias("value")), ["feature"], "stage", "value", L.STAGE, fill=0)
 
 
 @query("crosstab", "SELECT o_orderpriority, COUNT(*) FILTER (o_orderstatus='F') AS F, COUNT(*) FILTER (o_orderstatus='O') AS O, COUNT(*) FILTER (o_orderstatus='P') AS P FROM orders GROUP BY 1")
@@ -334,13 +332,16 @@ def _(spark, sf):
     return R.cast_composite(long, ["feature"], ["outcome", "variable"], "value", names)
 
 
-@query("bounds_rows", """SELECT 'Max' AS score, 3.0::DOUBLE AS AFRICA, 3.0::DOUBLE AS ASIA UNION ALL SELECT 'Min', 0.0, 0.0
-    UNION ALL SELECT 'Late', CAST(SUM(CASE WHEN r_name='AFRICA' THEN n_nationkey ELSE 0 END) AS DOUBLE), CAST(SUM(CASE WHEN r_name='ASIA' THEN n_nationkey ELSE 0 END) AS DOUBLE)
-    FROM nation JOIN region ON n_regionkey = r_regionkey""")
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+@query("bounds_rows", "SELECT 'Max' AS score, " + ", ".join(f'3.0::DOUBLE AS "{r}"' for r in REGIONS) + " UNION ALL SELECT 'Min', " + ", ".join("0.0" for _ in REGIONS)
+    + " UNION ALL SELECT 'Late', " + ", ".join(f"CAST(SUM(CASE WHEN r_name='{r}' THEN n_nationkey ELSE 0 END) AS DOUBLE)" for r in REGIONS)
+    + " FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _(spark, sf):
     joined = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     score = joined.groupBy(F.lit("Late").alias("score"), "r_name").agg(F.sum("n_nationkey").cast("double").alias("v"))
-    return R.with_bounds(R.cast_wide(score, ["score"], "r_name", "v", ["AFRICA", "ASIA"]), "score", 0, 3)
+    return R.with_bounds(R.cast_wide(score, ["score"], "r_name", "v", REGIONS), "score", 0, 3)
 
 
 # ---------------------------------------------------------------- aggregation
@@ -501,10 +502,10 @@ def _(spark, sf):
 
 
 @query("set_union_list", sql_with("obs") + " UNION ALL ".join(
-    f"SELECT 'week {w}' AS part, feature, COUNT(*) AS n FROM obs WHERE t // 7 = {w} GROUP BY 2" for w in range(3)))
+    f"SELECT 'week {w}' AS part, feature, COUNT(*) AS n FROM obs WHERE t // 7 = {w} GROUP BY 2" for w in range(5)))
 def _(spark, sf):
     o = B.obs(spark, sf)
-    parts = [o.where(F.expr(f"t div 7 = {w}")).groupBy(F.lit(f"week {w}").alias("part"), "feature").agg(F.count(F.lit(1)).alias("n")) for w in range(3)]
+    parts = [o.where(F.expr(f"t div 7 = {w}")).groupBy(F.lit(f"week {w}").alias("part"), "feature").agg(F.count(F.lit(1)).alias("n")) for w in range(5)]
     return U.union_all(parts)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.catalog.basics import FEATURES
 from tideline.catalog.registry import q6, query, r6, sql_norm_p
 from tideline.catalog.stats import DAILY, PEAK_ARM, WEEKS, dunn_sql, kruskal_sql, ranksum_sql
 from tideline.operators import nonparametric as NP
@@ -77,11 +78,10 @@ def _(spark, sf):
     return _rounded(out.select("subject", "t", "baseline", "relative"), "baseline", "relative")
 
 
-@query("coh_first_detection", sql_with("obs", "subj") + """SELECT subject, MIN(t) FILTER (feature='click') AS click, MIN(t) FILTER (feature='error') AS error, arm, outcome FROM obs JOIN subj USING (subject)
-    WHERE value > 80 AND feature IN ('click','error') GROUP BY subject, arm, outcome""")
+@query("coh_first_detection", sql_with("obs", "subj") + "SELECT subject, " + ", ".join(f"MIN(t) FILTER (feature='{f}') AS {f}" for f in FEATURES) + """, arm, outcome FROM obs JOIN subj USING (subject)
+    WHERE value > 80 GROUP BY subject, arm, outcome""")
 def _(spark, sf):
-    some = B.obs(spark, sf).where(F.col("feature").isin("click", "error"))
-    return C.first_detection(some, B.subj(spark, sf), ["click", "error"], 80)
+    return C.first_detection(B.obs(spark, sf), B.subj(spark, sf), FEATURES, 80)
 
 
 _ONSET_F = "(SELECT subject, feature, t, round(value, 9) AS value, arm FROM obs JOIN subj USING (subject) WHERE value > 100 QUALIFY rank() OVER (PARTITION BY subject, feature ORDER BY t) = 1)"

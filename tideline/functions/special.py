@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
 _TINY = 1e-300
+_STEPS = 100_000
 
 
 def norm_two_sided(z: np.ndarray) -> np.ndarray:
@@ -25,24 +26,44 @@ def norm_two_sided(z: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(z), np.nan, _erfc(np.abs(z) / math.sqrt(2)))
 
 
+def _gamma_sf_far(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Q(a, x) for large a by Temme's uniform expansion, two terms."""
+    lam = x / a
+    mu = lam - 1
+    with np.errstate(invalid="ignore", divide="ignore"):
+        half = np.where(np.abs(mu) < 1e-3, mu * mu / 2 - mu**3 / 3 + mu**4 / 4 - mu**5 / 5, mu - np.log(lam))
+        eta = np.sign(mu) * np.sqrt(2 * np.maximum(half, 0))
+        small = np.abs(eta) < 1e-2
+        c0 = np.where(small, -1 / 3 + eta / 12 - 2 * eta**2 / 135 + eta**3 / 864, 1 / mu - 1 / eta)
+    rest = np.exp(-a * eta * eta / 2) / np.sqrt(2 * np.pi * a) * (c0 - np.where(small, 1 / 540, 0) / a)
+    return np.clip(_erfc(eta * np.sqrt(a / 2)) / 2 + rest, 0, 1)
+
+
 def gamma_sf(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised upper incomplete gamma Q(a, x): series below a+1, continued fraction above."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     xs = np.where(x > 0, x, 1.0)
+    far = a > 1e5  # the series grows long and log-gamma loses digits there
+    if np.any(far):
+        out = gamma_sf(np.where(far, 1.0, a), np.where(far, 1.0, x))
+        return np.where(far & ~np.isnan(x), _gamma_sf_far(np.where(far, a, 1e6), xs) * (x > 0) + (x <= 0), out)
     front = np.exp(-xs + a * np.log(xs) - _lgamma(a))
     term = 1.0 / a
     total, k = term.copy(), a.copy()
-    for _ in range(2000):
+    near = xs < a + 1
+    for _ in range(_STEPS):
         k = k + 1
-        term = term * xs / k
+        term = np.where(near, term * xs / k, 0.0)
         total = total + term
         if np.all(np.abs(term) <= 1e-17 * np.abs(total)):
             break
+    else:
+        raise ArithmeticError("the incomplete gamma series has not converged")
     lower = front * total
     b = xs + 1 - a
     c, d = np.full_like(xs, 1 / _TINY), 1 / np.where(np.abs(b) < _TINY, _TINY, b)
     h = d.copy()
-    for i in range(1, 2000):
+    for i in range(1, _STEPS):
         an = -i * (i - a)
         b = b + 2
         d = an * d + b
@@ -51,8 +72,10 @@ def gamma_sf(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         c = np.where(np.abs(c) < _TINY, _TINY, c)
         step = d * c
         h = h * step
-        if np.all(np.abs(step - 1) < 1e-15):
+        if np.all(near | (np.abs(step - 1) < 1e-15)):
             break
+    else:
+        raise ArithmeticError("the incomplete gamma fraction has not converged")
     out = np.where(xs < a + 1, 1 - lower, front * h)
     return np.where(np.isnan(x), np.nan, np.where(x <= 0, 1.0, out))
 
@@ -73,7 +96,7 @@ def beta_cdf(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     d = 1 - (p + q) * ys / (p + 1)
     d = 1 / np.where(np.abs(d) < _TINY, _TINY, d)
     h = d.copy()
-    for m in range(1, 3000):
+    for m in range(1, _STEPS):
         for num in (
             m * (q - m) * ys / ((p + 2 * m - 1) * (p + 2 * m)),
             -(p + m) * (p + q + m) * ys / ((p + 2 * m) * (p + 2 * m + 1)),
@@ -85,18 +108,27 @@ def beta_cdf(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             h = h * d * c
         if np.all(np.abs(d * c - 1) < 1e-15):
             break
+    else:
+        raise ArithmeticError("the incomplete beta fraction has not converged")
     part = np.where(y <= 0, 0.0, np.where(y >= 1, 1.0, front * h))
     return np.where(flip, 1 - part, part)
 
 
+def _t_as_normal(t: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """The normal deviate whose tail is Student's for large ``df``: t - (t^3 + t) / (4 df) + ..., two terms."""
+    return t - (t**3 + t) / (4 * df) + (13 * t**5 + 8 * t**3 + 3 * t) / (96 * df * df)
+
+
 def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """P(|T| > |t|) for Student's T; infinite ``df`` is the normal law."""
     t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
-    wide = np.isinf(df) | (df > 1e10)
-    safe = np.where(wide | ~(df > 0), 1.0, df)
+    wide = np.isinf(df)
+    far = ~wide & (df > 1e5)  # digits are lost in differences of log-gammas there
+    safe = np.where(wide | far | ~(df > 0), 1.0, df)
     tt = np.where(np.isnan(t), 0.0, t) ** 2
     p = beta_cdf(safe / 2, np.full_like(safe, 0.5), safe / (safe + tt))
-    out = np.where(wide, norm_two_sided(t), p)
+    z = np.where(far, _t_as_normal(np.sqrt(tt), np.where(far, df, 1.0)), 0.0)
+    out = np.where(wide, norm_two_sided(t), np.where(far, norm_two_sided(z), p))
     return np.where(np.isnan(t) | ~(df > 0), np.nan, out)
 
 

@@ -8,30 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.columns import col
-from tideline.operators.scan import CHUNK, KEY, _stratum, order_chunk, prefix_sums
+from tideline.operators.scan import CHUNK, KEY, _stratum, chunked, prefix_sums
 
 
-SMALL = 1_000_000
-
-
-def p_adjust(
-    df: DataFrame, by: Sequence[str], p: str, method: str, out: str = "padj", *, size: int | None = None
-) -> DataFrame:
+def p_adjust(df: DataFrame, by: Sequence[str], p: str, method: str, out: str = "padj") -> DataFrame:
     """Holm (``holm``) or Benjamini-Hochberg (``bh``) adjusted p per family ``by``.
 
-    A missing p stays missing and does not count as a test. ``size`` is the counted number of rows,
-    where the caller knows it: a small table takes one plain window. Any other is reduced to distinct
-    p values, scanned in chunks of p and joined back, so neither a large family nor a frequent p
-    lands in one task.
+    A missing p stays missing and does not count as a test. The table is reduced to distinct p
+    values, scanned in chunks of p and joined back, so neither a large family nor a frequent p lands
+    in one task.
     """
     if method not in ("holm", "bh"):
         raise ValueError(f"unknown adjustment {method!r}")
-    if size is not None and size <= SMALL:
-        return _in_one_window(df, by, p, method, out)
     counted = df.where(col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_k"))
     levels = prefix_sums(counted, by, p, {"_m": F.col("_k")})
     levels = levels.withColumn("_raw", _raw(method, col(p), F.col("_m_before"), F.col("_k"), F.col("_m_total")))
-    levels = levels.withColumn(CHUNK, order_chunk(col(p)))
+    levels = chunked(levels, by, p)
     levels = levels.withColumn(KEY, F.struct(*_stratum(by), F.col(CHUNK)))
     extreme, ordered = _direction(method)
     carry = levels.groupBy(KEY).agg(
@@ -56,15 +48,3 @@ def _direction(method: str):
     if method == "holm":
         return F.max, lambda c: F.col(c).asc()
     return F.min, lambda c: F.col(c).desc()
-
-
-def _in_one_window(df: DataFrame, by: Sequence[str], p: str, method: str, out: str) -> DataFrame:
-    family = Window.partitionBy(*_stratum(by))
-    known = F.count(col(p))
-    rows = df.withColumn("_m", known.over(family)).withColumn("_tie", known.over(Window.partitionBy(*_stratum(by), p)))
-    upto = known.over(family.orderBy(col(p).asc_nulls_last()))
-    rows = rows.withColumn("_raw", _raw(method, col(p), upto - F.col("_tie"), F.col("_tie"), F.col("_m")))
-    extreme, _ = _direction(method)
-    order = col(p).asc_nulls_last() if method == "holm" else col(p).desc_nulls_last()
-    adjusted = F.when(col(p).isNotNull(), F.least(F.lit(1.0), extreme("_raw").over(family.orderBy(order))))
-    return rows.withColumn(out, adjusted).drop("_m", "_tie", "_raw")

@@ -50,18 +50,29 @@ def library_sizes(df: DataFrame) -> DataFrame:
 def tmm(df: DataFrame, *, m_trim: float = 0.3, a_trim: float = 0.05) -> DataFrame:
     """(sample, lib_size, factor): trimmed mean of M values against a reference sample.
 
-    The reference is the sample whose upper quartile of scaled counts is nearest the mean one. The
+    The reference is the sample whose upper quartile of scaled counts is nearest the mean one; where
+    half the samples have an upper quartile of zero, the one with the greatest sum of square roots. A
+    sample that occurs in ``df`` but has no count above zero raises. The
     trims are by average rank within a sample, found with the chunked scan. Zero cells have no
     finite M or A and so never enter. Average rank grows with the value, so a trim is a value range.
     """
+    named = df.select("sample").distinct()
     cells = df.where(F.col("value") > 0).select("feature", "sample", F.col("value").cast("double").alias("value"))
     cells = durable(cells)  # read five times below
     features = cells.select("feature").distinct().count()
-    upper = quantiles(cells, ["sample"], "value", {"q": 0.75}, total=features, largest=features)
-    per = library_sizes(cells).join(upper, "sample").withColumn("q", F.col("q") / F.col("lib_size"))
+    upper = quantiles(cells, ["sample"], "value", {"q": 0.75}, total=features)
+    roots = cells.groupBy("sample").agg(F.sum(F.sqrt("value")).alias("roots"))
+    per = library_sizes(cells).join(upper, "sample").join(roots, "sample").withColumn("q", F.col("q") / F.col("lib_size"))
     per = durable(per)
-    centre = per.agg(F.avg("q")).first()[0]
-    nearest = per.orderBy(F.abs(F.col("q") - F.lit(centre)), "sample").select("sample", "lib_size").first()
+    lacking = named.join(per, "sample", "left_anti").limit(3).collect()
+    if lacking:
+        raise ValueError(f"samples without any count have no scale: {[r[0] for r in lacking]}")
+    summary = per.agg(F.avg("q").alias("centre"), F.expr("percentile(q, 0.5)").alias("middle")).first()
+    if summary["middle"] is None or summary["middle"] < 1e-20:
+        order = [F.col("roots").desc(), F.col("sample")]
+    else:
+        order = [F.abs(F.col("q") - F.lit(summary["centre"])), F.col("sample")]
+    nearest = per.orderBy(*order).select("sample", "lib_size").first()
     ref, ref_lib = nearest["sample"], nearest["lib_size"]
 
     base = cells.where(F.col("sample") == F.lit(ref)).select("feature", F.col("value").alias("_r"))
@@ -80,7 +91,7 @@ def tmm(df: DataFrame, *, m_trim: float = 0.3, a_trim: float = 0.05) -> DataFram
     is_m = F.col("_what") == "_m"
     first = F.floor(F.col("size") * F.when(is_m, m_trim).otherwise(a_trim)) + 1
     x = F.when(F.col("rank").between(first, F.col("size") + 1 - first), F.col("_x"))
-    bounds = rank_table(stacked, ["sample", "_what"], "_x", largest=features).groupBy("sample").agg(
+    bounds = rank_table(stacked, ["sample", "_what"], "_x").groupBy("sample").agg(
         F.min(F.when(is_m, x)).alias("_m0"), F.max(F.when(is_m, x)).alias("_m1"),
         F.min(F.when(~is_m, x)).alias("_a0"), F.max(F.when(~is_m, x)).alias("_a1"),
         F.max(F.when(is_m, F.abs("_x"))).alias("_top"),

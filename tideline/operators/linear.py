@@ -39,16 +39,20 @@ def fit_oneway(
     """One mean per level and feature, optionally weighted."""
     cells = df.where(F.col("value").isNotNull()).join(samples.select("sample", stage), "sample")
     cells = cells.where(F.col(stage).isin(list(levels)))
+    if weight:
+        centre = cells.groupBy("feature").agg(F.avg("value").alias("_centre"))
+        cells = cells.join(centre, "feature").withColumn("value", F.col("value") - F.col("_centre"))
     v = F.col("value")
     w = F.col(weight) if weight else F.lit(1.0)
     aggs = []
     for i, level in enumerate(levels):
         here = F.col(stage) == level
         aggs += [F.sum(F.when(here, w)).alias(f"_w{i}"), F.sum(F.when(here, w * v)).alias(f"_s{i}")]
-        # the unweighted form uses central moments, which do not cancel
+        # central moments do not cancel; the weighted form is centred on the feature's mean first
         spread = F.sum(F.when(here, w * v * v)) if weight else F.var_pop(F.when(here, v))
         aggs.append(spread.alias(f"_q{i}"))
-    sums = cells.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"), F.avg(v).alias("amean"), *aggs)
+    about = F.first("_centre") if weight else F.lit(0.0)
+    sums = cells.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"), (F.avg(v) + about).alias("amean"), about.alias("_about"), *aggs)
     k = range(len(levels))
     mass, mean = [F.col(f"_w{i}") for i in k], [F.col(f"_s{i}") / F.col(f"_w{i}") for i in k]
     left = [
@@ -60,7 +64,7 @@ def fit_oneway(
     cov = F.array(*[1 / mass[i] if i == j else F.lit(0.0) for i in k for j in k])
     out = sums.withColumn("df", (F.col("_n") - used).cast("double")).withColumn("_sse", sse)
     return out.select(
-        "feature", F.array(*mean).alias("beta"), cov.alias("cov"),
+        "feature", F.array(*[m + F.col("_about") for m in mean]).alias("beta"), cov.alias("cov"),
         F.when(F.col("df") > 0, F.sqrt(F.col("_sse") / F.col("df"))).alias("sigma"), "df", "amean",
     )
 
@@ -190,7 +194,7 @@ def contrast(fit: DataFrame, coefs: Sequence[str], contrasts: Contrasts) -> Data
 def variance_prior(fit: DataFrame) -> tuple[float, float, float]:
     """Prior degrees of freedom, prior variance and pooled degrees of freedom, from all features."""
     var = fit.where((F.col("df") > 0) & F.col("sigma").isNotNull()).select("df", (F.col("sigma") ** 2).alias("_x"))
-    mid = quantiles(var, [], "_x", {"m": 0.5}, largest=var.count()).first()
+    mid = quantiles(var, [], "_x", {"m": 0.5}).first()
     if mid is None:
         return float("inf"), float("nan"), 0.0
     floor = 1e-5 * (mid["m"] or 1.0)
@@ -236,7 +240,7 @@ def classify(tests: DataFrame, *, p_max: float = 0.05, lfc_min: float = 1.0) ->
 def results(tests: DataFrame, *, p_max: float = 0.05, lfc_min: float = 1.0) -> DataFrame:
     """Result table of all contrasts, adjusted within each contrast."""
     tests = durable(tests.select("feature", "contrast", "lfc", "p"))
-    adjusted = p_adjust(tests, ["contrast"], "p", "bh", size=tests.count())
+    adjusted = p_adjust(tests, ["contrast"], "p", "bh")
     return classify(adjusted, p_max=p_max, lfc_min=lfc_min).select(
         "feature", "lfc", "padj", F.col("contrast").alias("stage"), "significant", "regulation"
     )

@@ -83,7 +83,7 @@ def _dense(cells: DataFrame, names: list, k: int) -> DataFrame:
     return spark.createDataFrame(table, f"feature {kind}, {pcs}")
 
 
-def _power(cells: DataFrame, k: int, *, extra: int = 6, rounds: int = 60, tol: float = 1e-10) -> DataFrame:
+def _power(cells: DataFrame, k: int, *, extra: int = 6, rounds: int = 500, tol: float = 1e-10) -> DataFrame:
     """Leading feature directions by block power iteration with Rayleigh-Ritz rotation."""
     b = k + extra
     q = [f"q{i}" for i in range(b)]
@@ -113,7 +113,7 @@ def _power(cells: DataFrame, k: int, *, extra: int = 6, rounds: int = 60, tol: f
         "sample", *[(F.pmod(F.xxhash64("sample", F.lit(i)), F.lit(1_000_003)) / 1_000_003.0 - 0.5).alias(c) for i, c in enumerate(q)]
     )
     block, last = durable(start), None
-    for _ in range(rounds):
+    for _ in range(rounds):  # ends by convergence, or raises
         block = rotate(block, "sample", whiten(gram(block))[1])
         images = durable(product(block, "sample", "feature"))
         vals, turn = whiten(gram(images))
@@ -121,6 +121,8 @@ def _power(cells: DataFrame, k: int, *, extra: int = 6, rounds: int = 60, tol: f
             break
         last = vals
         block = durable(product(rotate(images, "feature", turn), "feature", "sample"))
+    else:
+        raise RuntimeError(f"components have not converged in {rounds} rounds")
     directions = rotate(images, "feature", turn)
     return directions.select("feature", *[F.col(q[i]).alias(f"PC{i + 1}") for i in range(k)])
 

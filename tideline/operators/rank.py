@@ -2,8 +2,9 @@
 
 Each form first reduces a group to one number by an aggregate that combines on the map side (an
 extreme, or the n-th largest value through a group limit before the shuffle), then keeps the rows
-that reach it by an equi-join, which can be split when one group or one tie holds most rows. Keys are
-not missing, and a ranked value is stored or exact: a mean should be written before it is ranked.
+that reach it by an equi-join, which can be split when one group or one tie holds most rows. A missing
+key is a group like any other. A ranked value is stored or exact: a mean should be written before it is
+ranked.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from pyspark.sql import functions as F
 
 from tideline.functions.levels import level_rank
 from tideline.operators.columns import col
+from tideline.operators.joins import match
 
 
 def _at_extreme(df: DataFrame, keys: Sequence[str], value: Column, extreme) -> DataFrame:
     """Rows whose value is the group's extreme, ties kept, in the input's columns."""
     rows = df.withColumn("_v", value).where(F.col("_v").isNotNull())
     best = rows.groupBy(*keys).agg(extreme("_v").alias("_v"))
-    return rows.join(best, [*keys, "_v"], "left_semi").drop("_v")
+    return match(rows, best, [*keys, "_v"], "left_semi").drop("_v")
 
 
 def first_by(df: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
@@ -43,7 +45,7 @@ def top_n(df: DataFrame, keys: Sequence[str], value: Column | str, n: int) -> Da
     w = Window.partitionBy(*keys).orderBy(F.col("_v").desc())
     leading = rows.select(*keys, "_v").withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n)
     limit = leading.groupBy(*keys).agg(F.min("_v").alias("_limit"))
-    return rows.join(limit, list(keys)).where(F.col("_v") >= F.col("_limit")).select(*df.columns)
+    return match(rows, limit, keys).where(F.col("_v") >= F.col("_limit")).select(*df.columns)
 
 
 def top_n_abs(df: DataFrame, keys: Sequence[str], value: str, n: int) -> DataFrame:

@@ -53,7 +53,7 @@ def cast_composite(
 
 def crosstab(df: DataFrame, row: str, column: str, levels: Sequence[str]) -> DataFrame:
     """Counts of row by column, zero where a pair does not occur."""
-    return df.groupBy(row).pivot(column, list(levels)).agg(F.count(F.lit(1))).fillna(0)
+    return df.groupBy(row).pivot(column, list(levels)).agg(F.count(F.lit(1))).fillna(0, subset=[str(x) for x in levels])
 
 
 def transpose(df: DataFrame, row: str, column: str) -> DataFrame:

@@ -4,7 +4,9 @@ A running sum, rank or quantile needs its stratum in order. A plain window would
 one task, and one stratum may hold a third of all rows. Here every value gets a *chunk*: an integer
 that grows with the value and depends on nothing but the value. Rows are windowed per
 (stratum, chunk), the small per-chunk totals are windowed per stratum, and the two are added.
-No sampling, no driver loop, and the same chunk whenever a task is run again.
+Values of one magnitude would share a chunk (all times of a week, say), so a chunk that holds many
+distinct values is cut once more, between its least and greatest value, in as many equal ranges as
+its count asks for. No sampling, no driver loop, and the same chunk whenever a task is run again.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from tideline.session import durable
 
 STEPS = 1024  # chunks per power of two
-SMALL = 1_000_000  # rows of a stratum, where counted, up to which one window may sort it
+FULL = 20_000  # distinct values of a chunk per range that it is cut into
 CHUNK = "_chunk"
 KEY = "_key"
 
@@ -38,6 +40,18 @@ def _stratum(by: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in by] or [F.lit(0)]
 
 
+def chunked(rows: DataFrame, by: Sequence[str], order: str, full: int = FULL) -> DataFrame:
+    """``rows`` (one per stratum and distinct order value) with their chunk: a struct in the values' order."""
+    rough, v = order_chunk(F.col(order)), F.col(order).cast("double")
+    rows = rows.withColumn("_rough", F.struct(*_stratum(by), rough.alias("_c")))
+    held = rows.groupBy("_rough").agg(F.count(F.lit(1)).alias("_n_held"), F.min(v).alias("_least"), F.max(v).alias("_most"))
+    rows = rows.join(held, "_rough")
+    width, ranges = F.col("_most") - F.col("_least"), F.ceil(F.col("_n_held") / F.lit(full))
+    part = F.when((F.col("_n_held") > full) & (width > 0), F.least(F.floor((v - F.col("_least")) / width * ranges), ranges - 1))
+    chunk = F.struct(F.col("_rough")["_c"].alias("c"), F.coalesce(part, F.lit(0)).cast("bigint").alias("p"))
+    return rows.withColumn(CHUNK, chunk).drop("_rough", "_n_held", "_least", "_most")
+
+
 def prefix_sums(
     df: DataFrame,
     by: Sequence[str],
@@ -51,7 +65,7 @@ def prefix_sums(
 
     Callers aggregate to distinct order values first, so that ties cannot fill a chunk.
     """
-    rows = df.withColumn(CHUNK, order_chunk(F.col(order)))
+    rows = chunked(df, by, order)
     for name, x in sums.items():
         rows = rows.withColumn(f"_x_{name}", x)
     rows = rows.withColumn(KEY, F.struct(*_stratum(by), F.col(CHUNK)))
@@ -80,17 +94,12 @@ def prefix_sums(
     return rows.drop(KEY, CHUNK, *[f"_{p}_{n}" for n in sums for p in "xuo"])
 
 
-def rank_table(df: DataFrame, by: Sequence[str], value: str, *, largest: int | None = None) -> DataFrame:
+def rank_table(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """One row per stratum and distinct value: how often it occurs and its average rank.
 
     Equal values are counted before anything is ordered, so a value that fills a stratum is one row.
-    ``largest`` is a counted bound on the rows of a stratum, where the caller has one.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    if largest is not None and largest <= SMALL:
-        whole = Window.partitionBy(*_stratum(by))
-        before = F.sum("n").over(whole.orderBy(value)) - F.col("n")
-        return counted.select(*by, value, "n", (before + (F.col("n") + 1) / 2).alias("rank"), F.sum("n").over(whole).alias("size"))
     scanned = prefix_sums(counted, by, value, {"_n": F.col("n")})
     rank = F.col("_n_before") + (F.col("n") + 1) / 2
     return scanned.select(*by, value, "n", rank.alias("rank"), F.col("_n_total").alias("size"))
@@ -98,7 +107,7 @@ def rank_table(df: DataFrame, by: Sequence[str], value: str, *, largest: int | N
 
 def _ordered_near(counted: DataFrame, by: Sequence[str], value: str, size: Column, spots: Mapping) -> DataFrame:
     """The distinct values of the chunks that hold a wanted position, with the position they end at."""
-    counted = counted.withColumn(CHUNK, order_chunk(F.col(value)))
+    counted = chunked(counted, by, value)
     counted = counted.withColumn(KEY, F.struct(*_stratum(by), F.col(CHUNK)))
     stratum = Window.partitionBy(*_stratum(by))
     chunks = (
@@ -125,16 +134,14 @@ def quantiles(
     probs: Mapping[str, float],
     *,
     total: int | None = None,
-    largest: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one row per group.
 
     Equal values are counted first; then only the chunks that hold a wanted order statistic are
     sorted. ``total`` declares that each group has that many values, the unlisted ones being zeros
-    below all others (a sparse count matrix). ``largest`` is a counted bound on the rows of a group,
-    where the caller has one; small groups are then sorted whole.
+    below all others (a sparse count matrix).
     """
-    return quantiles_of_counts(value_counts(df, by, value), by, value, probs, total=total, largest=largest)
+    return quantiles_of_counts(value_counts(df, by, value), by, value, probs, total=total)
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -149,21 +156,14 @@ def quantiles_of_counts(
     probs: Mapping[str, float],
     *,
     total: int | None = None,
-    largest: int | None = None,
 ) -> DataFrame:
     """:func:`quantiles` of a table made by :func:`value_counts`, which other summaries may share."""
-    stratum = Window.partitionBy(*_stratum(by))
     size = F.lit(total).cast("bigint") if total is not None else F.col("_listed")
     spots = {}
     for name, p in probs.items():
         h = (F.col("_size") - 1) * F.lit(float(p)) + 1
         spots[name] = (h, F.floor(h), F.ceil(h))
-    if largest is not None and largest <= SMALL:
-        rows = counted.withColumn("_listed", F.sum("_n").over(stratum)).withColumn("_size", size)
-        upto = F.sum("_n").over(stratum.orderBy(value))
-        rows = rows.withColumn("_at", upto + F.col("_size") - F.col("_listed"))
-    else:
-        rows = _ordered_near(counted, by, value, size, spots)
+    rows = _ordered_near(counted, by, value, size, spots)
     held = []
     for name, (_, lo, hi) in spots.items():
         for tag, k in (("lo", lo), ("hi", hi)):

@@ -149,7 +149,7 @@ def endpoint_titer_test(titers: DataFrame, antigen: str) -> DataFrame:
     """Outcome test of log10(titer + 1) per class and antigen, Holm over all of them together."""
     logged = titers.withColumn("_log", F.log10(F.col("titer") + 1))
     tested = durable(ranksum(logged, ["class", antigen], "outcome", "_log", OUTCOME))
-    tested = p_adjust(tested, [], "p", "holm", size=tested.count())
+    tested = p_adjust(tested, [], "p", "holm")
     return tested.withColumn("mark", stars(F.col("padj")))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,22 +39,45 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a unit test on one machine) is a temporary folder taken.
+    Where a session on one machine names none, the warehouse folder is taken; a cluster has to name it.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    active = spark.sparkContext.getCheckpointDir()
-    if active:
-        return active
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="tideline-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/tideline-scratch"
+
+
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tideline-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}"
+    """A new path in the application's own folder below the shared one."""
+    folder = _application_dir(spark)
+    if folder not in _CLEANED:
+        _CLEANED.add(folder)
+        atexit.register(_at_exit, spark)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+_CLEANED: set[str] = set()
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application has written by :func:`durable`.
+
+    Results that are not yet written elsewhere may still read them, so call it when these are done. It
+    runs by itself when Python ends in order.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have been stopped already
+        clean(spark)
 
 
 def durable(df: DataFrame) -> DataFrame:
