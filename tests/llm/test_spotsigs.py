@@ -24,7 +24,7 @@ def brute_signatures(text):
         out.add(" ".join((part[: spotsigs.CHAIN + 1] + after)[: spotsigs.CHAIN + 1]))
     for bare in [parts[0]] + [p[spotsigs.FAR :] for p in parts[1:]]:
         out |= {" ".join(bare[i : i + spotsigs.CHAIN + 1]) for i in range(len(bare))}
-    return sorted({xxhash.xxh64_intdigest(s.encode(), 42) >> 32 for s in out})
+    return sorted({xxhash.xxh64_intdigest(s.encode(), 42) >> 33 for s in out})
 
 
 def brute_print(text):

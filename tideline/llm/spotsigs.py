@@ -4,8 +4,7 @@ A spot is a common word (an anchor); its signature is the anchor with the chain
 where the next common word is passed over. A text is the set of its signatures. Where no anchor comes for long (lists,
 texts in other languages) each word is an anchor, so that every text with a word has a signature.
 
-The fingerprint is the number of signatures and the ``KEPT`` smallest 32-bit hashes of them, which is the whole set for
-most texts. Two fingerprints are alike as their sets are by Jaccard: the smallest hashes of both together are a random
+The fingerprint is the number of signatures and the ``KEPT`` smallest 31-bit hashes of them. Two fingerprints are alike as their sets are by Jaccard: the smallest hashes of both together are a random
 part of the union, and the share of them in both sets estimates it (exactly, if neither set was cut). The ratio of the
 set sizes bounds it from above: sets partitioned by size need no comparison beyond that ratio.
 """
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import ascii_lower, durable
 
 CHAIN = 2
-KEPT = 96
+KEPT = 64
 #: Words between two anchors, or before the first, from this one on are anchors themselves.
 FAR = 9
 
@@ -38,7 +37,7 @@ def _words(text: Column) -> Column:
 
 
 def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """``rows`` with ``out``: the distinct signature hashes of the text, in order, 32 bits each as longs.
+    """``rows`` with ``out``: the distinct signature hashes of the text, in order, 31 bits each.
 
     Null or no word: an empty array. Steps are columns of their own, since each is read more than once by the next.
     """
@@ -57,7 +56,7 @@ def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
     rows = rows.withColumn("_bare", F.filter(F.transform(F.concat(F.slice("_parts", 1, 1), behind), lambda t: F.trim(t)), lambda t: t != ""))
     rows = rows.withColumn("_runs", F.transform("_bare", lambda t: F.split(t, " ")))
     dense = F.flatten(F.transform("_runs", lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.concat_ws(" ", *[F.get(ws, i + k) for k in range(CHAIN + 1)]))))
-    hashes = F.transform(F.concat(col("_chains"), dense), lambda s: F.shiftrightunsigned(F.xxhash64(s), 32))
+    hashes = F.transform(F.concat(col("_chains"), dense), lambda s: F.shiftrightunsigned(F.xxhash64(s), 33).cast("int"))
     rows = rows.withColumn(out, F.sort_array(F.array_distinct(hashes)))
     return rows.drop("_parts", "_spots", "_after", "_zipped", "_chains", "_bare", "_runs")
 
@@ -105,7 +104,7 @@ def with_next(ids: DataFrame) -> DataFrame:
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, text, edited, _next_id, _next_h, _h): each text with its edited form.
+    """(doc_id, n_chars, text, edited, _h, _next_h): each text with its edited form.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     document's. Documents are distinct (doc_id, text) pairs: rows that repeat count once. Null texts are empty.
@@ -114,17 +113,15 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_h", F.xxhash64("doc_id", "text"))
     ids = rows.select("doc_id", "_h", F.char_length("text").cast("bigint").alias("n_chars")).distinct()
     links = durable(with_next(ids))
-    # what each document lends to the one before it, and then its own row: the texts are shuffled once, by key
-    back = links.select(F.col("_next_h").alias("_h"), F.col("_next_id").alias("doc_id"), F.col("_h").alias("_to"), F.floor(F.col("n_chars") / 4).cast("int").alias("_k"))
-    keyed = rows.select("_h", "doc_id", "text")
-    same = lambda a, b: (a["_h"] == b["_h"]) & a["doc_id"].eqNullSafe(b["doc_id"])
-    lent = keyed.join(back, same(keyed, back)).select(F.col("_to"), F.substring(F.col("text"), F.lit(1), F.col("_k")).alias("_head"))
-    lent = lent.groupBy("_to").agg(F.first("_head").alias("_head"))
-    once = keyed.groupBy("_h").agg(F.first("text").alias("text"))
-    made = links.join(once, "_h").join(lent, F.col("_h") == F.col("_to"))
+    back = links.select(F.col("_next_h").alias("_h"), F.col("_h").alias("_to"), F.floor(F.col("n_chars") / 4).cast("int").alias("_k"))
+    told = durable(links.join(back, "_h"))
+    # the texts are shuffled once; both what a document lends to the one before it and its own row come from there
+    dealt = rows.select("_h", "text").repartition("_h").join(told, "_h").dropDuplicates(["_h"])
+    lent = dealt.select("_to", F.substring(F.col("text"), F.lit(1), F.col("_k")).alias("_head")).withColumnRenamed("_to", "_h")
+    made = dealt.join(lent, "_h")
     keep = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), keep), F.col("_head"))
-    return made.select("doc_id", "_h", "n_chars", "text", edited.alias("edited"), "_next_id", "_next_h")
+    return made.select("doc_id", "_h", "n_chars", "text", edited.alias("edited"), "_next_h")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
