@@ -316,3 +316,17 @@ def test_fold_change_from_a_zero_count(spark):
     df = spark.createDataFrame([(0.0, 4.0), (8.0, 4.0), (1.0, None)], "v double, b double")
     got = [r.lfc for r in M.lfc_from_baseline(df, F.col("v") / F.col("b")).collect()]
     assert got == [-math.inf, 1.0, None]
+
+
+def test_reference_sample_where_upper_quartiles_are_zero(spark):
+    # one count in ten features per sample: all upper quartiles are zero, the sample with the most roots is the reference
+    cells = [(f, s, float(v)) for s, row in enumerate([[9, 4], [100, 50], [3, 2]]) for f, v in enumerate(row)] + [(f, s, 0.0) for s in range(3) for f in range(2, 40)]
+    df = spark.createDataFrame(cells + [(50 + k, 1, 1.0) for k in range(5)] + [(60 + k, 0, 1.0) for k in range(5)], "feature int, sample int, value double")
+    got = {r["sample"]: r["factor"] for r in K.tmm(df).collect()}
+    assert set(got) == {0, 1, 2} and all(v > 0 for v in got.values())
+
+
+def test_a_sample_without_counts_raises(spark):
+    df = spark.createDataFrame([(0, "a", 5.0), (1, "a", 7.0), (0, "b", 0.0)], "feature int, sample string, value double")
+    with pytest.raises(ValueError, match="without any count"):
+        K.tmm(df)
