@@ -13,6 +13,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot key even where a later step could have reused the join's partitioning
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # whole texts go to Python: small batches bound a worker's memory
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 SETTINGS = {
     **RUNTIME,
@@ -44,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/tideline-scratch"
 
