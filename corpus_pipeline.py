@@ -17,26 +17,31 @@ LEAST_KNOWN = 0.2
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are null, without a letter, or in no language learned from ``docs`` go."""
+    tune(spark)
     return langid.recognised(docs, langid.fit(docs), LEAST_KNOWN)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal after lower-casing A-Z the row with the largest doc_id stays."""
+    tune(spark)
     return dedup.drop_duplicates(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays, the one with the smallest doc_id."""
+    tune(spark)
     return jaccard.one_of_each(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it: not at all, once, or repeated."""
+    tune(spark)
     return mixing.mixed_rows(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece: where each document's tokens lie in which sequence."""
+    tune(spark)
     return packing.pack_documents(docs)
 
 
@@ -53,7 +58,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the documents table."""
-    tune(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir))

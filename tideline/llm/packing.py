@@ -59,7 +59,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocab: str | None =
 
         return work
 
-    return map_slices(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", PIECES, make, 4 << 20)
+    return map_slices(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", PIECES, make)
 
 
 class _Bins:

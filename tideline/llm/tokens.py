@@ -14,7 +14,7 @@ import numpy as np
 from tideline.llm.common import Words, mix, u64
 
 #: Words kept per Python worker; beyond it the cache starts anew.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 500_000
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 
 
