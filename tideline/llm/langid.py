@@ -30,6 +30,7 @@ SLOT_BITS = 21
 HASHES = 3
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
+SLICE = 1 << 19  # bytes of text at once: a sign takes some hundred bytes of arrays
 PREDICTED = "doc_id bigint, lang_pred string, score double, margin double"
 
 _LETTERS: list[np.ndarray] = []
@@ -142,7 +143,7 @@ def _count_grams(labelled: DataFrame) -> DataFrame:
             return distinct, np.bincount(which, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
         for batch in batches:
-            for a, b, _, _ in slices(batch.column("text")):
+            for a, b, _, _ in slices(batch.column("text"), SLICE):
                 langs = np.array(batch.column("lang").slice(a, b - a).to_pylist(), object)
                 made, rows, _ = grams(batch.column("text").slice(a, b - a).to_pylist())
                 for size, gram, row in zip(SIZES, made, rows, strict=True):
@@ -217,7 +218,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
         return work
 
     narrow = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("text", F.col("text").cast("string"))
-    return map_slices(narrow.select("doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")]), "text", schema, make)
+    return map_slices(narrow.select("doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")]), "text", schema, make, SLICE)
 
 
 def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
@@ -230,7 +231,7 @@ def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b, _, _ in slices(batch.column("text")):
+            for a, b, _, _ in slices(batch.column("text"), SLICE):
                 rows = batch.slice(a, b - a)
                 texts = rows.column("text").to_pylist()
                 if shared.value.languages:
