@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -76,3 +77,17 @@ def test_empty_table(empty):
 def test_no_python_in_the_plan(edge):
     plan = spotsigs.fingerprints(edge)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_likeness_of_long_texts_is_exact(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    texts = [" ".join(words), " ".join(words[:1700] + [f"x{i}" for i in range(300)])]
+    rows = spotsigs.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    own = [set(brute_signatures(t)) for t in texts]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    for i, row in enumerate(rows):
+        k = len(texts[i]) // 4
+        edited = set(brute_signatures(texts[i][: len(texts[i]) - k] + texts[1 - i][:k]))
+        assert abs(row["near_edited"] - jaccard(own[i], edited)) < 1e-12
+        assert abs(row["near_next"] - jaccard(own[i], own[1 - i])) < 1e-12

@@ -4,9 +4,8 @@ A spot is a common word (an anchor); its signature is the anchor with the chain
 where the next common word is passed over. A text is the set of its signatures. Where no anchor comes for long (lists,
 texts in other languages) each word is an anchor, so that every text with a word has a signature.
 
-The fingerprint is the number of signatures and the ``KEPT`` smallest 31-bit hashes of them. Two fingerprints are alike as their sets are by Jaccard: the smallest hashes of both together are a random
-part of the union, and the share of them in both sets estimates it (exactly, if neither set was cut). The ratio of the
-set sizes bounds it from above: sets partitioned by size need no comparison beyond that ratio.
+The fingerprint is the number of signatures and the 31-bit hashes of all of them, in order. Nothing is cut: likenesses are
+the exact Jaccard similarity of whole sets, for the edited text and for the next document alike.
 """
 
 from __future__ import annotations
@@ -18,7 +17,8 @@ from pyspark.sql import functions as F
 from tideline.llm.common import ascii_lower, durable
 
 CHAIN = 2
-KEPT = 64
+#: Hashes that a fingerprint keeps; None is all. Likenesses never depend on it.
+KEPT = None
 #: Words between two anchors, or before the first, from this one on are anchors themselves.
 FAR = 9
 
@@ -61,27 +61,20 @@ def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
     return rows.drop("_parts", "_spots", "_after", "_zipped", "_chains", "_bare", "_runs")
 
 
-def with_sketch(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """``rows`` with the fingerprint as a struct: ``size`` of the signature set and its ``KEPT`` smallest hashes ``low``."""
-    rows = with_signatures(rows, text, "_sigs")
-    return rows.withColumn(out, F.struct(F.size("_sigs").alias("size"), F.slice("_sigs", 1, KEPT).alias("low"))).drop("_sigs")
-
-
-def fingerprint(found: str) -> Column:
-    """A sketch as text: the size, a colon, and the hashes in hex. Equal texts have equal fingerprints."""
-    return F.concat(F.col(f"{found}.size").cast("string"), F.lit(":"), F.array_join(F.transform(f"{found}.low", lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), ""))
+def fingerprint(signatures: str) -> Column:
+    """A signature set as text: the size, a colon, and the hashes in hex. Equal texts have equal fingerprints."""
+    kept = F.col(signatures) if KEPT is None else F.slice(signatures, 1, KEPT)
+    return F.concat(F.size(signatures).cast("string"), F.lit(":"), F.array_join(F.transform(kept, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), ""))
 
 
 def with_likeness(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """``rows`` with the estimated Jaccard similarity, 0 to 1, of two sketches.
+    """``rows`` with the Jaccard similarity, 0 to 1, of two signature sets.
 
     Two empty sets are alike, an empty and another are not.
     """
-    rows = rows.withColumn("_union", F.slice(F.sort_array(F.array_union(f"{a}.low", f"{b}.low")), 1, KEPT))
-    both = F.size(F.array_intersect(F.array_intersect(f"{a}.low", f"{b}.low"), "_union"))
-    least, most = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
-    like = F.when(most == 0, F.lit(1.0)).when(least == 0, F.lit(0.0)).otherwise(F.least(both / F.size("_union"), least / most))
-    return rows.withColumn(out, like).drop("_union")
+    rows = rows.withColumn("_both", F.size(F.array_intersect(a, b)))
+    union = F.size(a) + F.size(b) - F.col("_both")
+    return rows.withColumn(out, F.when(union == 0, F.lit(1.0)).otherwise(F.col("_both") / union)).drop("_both")
 
 
 def with_next(ids: DataFrame) -> DataFrame:
@@ -104,7 +97,7 @@ def with_next(ids: DataFrame) -> DataFrame:
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, text, edited, _h, _next_h): each text with its edited form.
+    """(doc_id, n_chars, edited, own, following, _h): each text's edited form, its signatures and the next document's.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     document's. Documents are distinct (doc_id, text) pairs: rows that repeat count once. Null texts are empty.
@@ -115,21 +108,20 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     links = durable(with_next(ids))
     back = links.select(F.col("_next_h").alias("_h"), F.col("_h").alias("_to"), F.floor(F.col("n_chars") / 4).cast("int").alias("_k"))
     told = durable(links.join(back, "_h"))
-    # the texts are shuffled once; both what a document lends to the one before it and its own row come from there
+    # the texts are shuffled once; both what a document lends to the one before it (the beginning of its text and all its
+    # signatures) and its own row come from there
     dealt = rows.select("_h", "text").repartition("_h").join(told, "_h").dropDuplicates(["_h"])
-    lent = dealt.select("_to", F.substring(F.col("text"), F.lit(1), F.col("_k")).alias("_head")).withColumnRenamed("_to", "_h")
+    dealt = with_signatures(dealt, "text", "own")
+    lent = dealt.select(F.col("_to").alias("_h"), F.substring(F.col("text"), F.lit(1), F.col("_k")).alias("_head"), F.col("own").alias("following"))
     made = dealt.join(lent, "_h")
     keep = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), keep), F.col("_head"))
-    return made.select("doc_id", "_h", "n_chars", "text", edited.alias("edited"), "_next_h")
+    return made.select("doc_id", "_h", "n_chars", edited.alias("edited"), "own", "following")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, its edited text's, and their likeness and that with the next document's."""
-    pairs = edited_pairs(docs)
-    made = pairs.withColumn("edited_sha256", F.sha2("edited", 256))
-    made = with_sketch(with_sketch(made, "text", "own"), "edited", "changed").drop("text", "edited")
-    made = durable(with_likeness(made, "own", "changed", "near_edited"))
-    following = made.select(F.col("_h").alias("_next_h"), F.col("own").alias("following"))
-    joined = with_likeness(made.join(following, "_next_h"), "own", "following", "near_next")
-    return joined.select("doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("changed").alias("edited_fingerprint"), "near_edited", "near_next")
+    made = edited_pairs(docs).withColumn("edited_sha256", F.sha2("edited", 256))
+    made = with_signatures(made, "edited", "changed").drop("edited")
+    made = with_likeness(with_likeness(made, "own", "changed", "near_edited"), "own", "following", "near_next")
+    return made.select("doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("changed").alias("edited_fingerprint"), "near_edited", "near_next")
