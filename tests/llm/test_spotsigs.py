@@ -91,3 +91,17 @@ def test_likeness_of_long_texts_is_exact(spark):
         edited = set(brute_signatures(texts[i][: len(texts[i]) - k] + texts[1 - i][:k]))
         assert abs(row["near_edited"] - jaccard(own[i], edited)) < 1e-12
         assert abs(row["near_next"] - jaccard(own[i], own[1 - i])) < 1e-12
+
+
+def test_near_copies_anywhere_match_brute_force(spark, edge, small):
+    docs = edge.select("doc_id", "text").unionByName(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
+    rows = sorted({(r["doc_id"], r["text"] or "") for r in docs.collect()}, key=str)
+    sets = [frozenset(brute_signatures(t)) for _, t in rows]
+    want = Counter()
+    for i, (doc_id, _) in enumerate(rows):
+        near = sum(1 for j, s in enumerate(sets) if j != i and (s == sets[i] or len(s & sets[i]) * 100 >= spotsigs.PERCENT * len(s | sets[i])))
+        want[(doc_id, len(sets[i]), near)] += 1
+    got = spotsigs.near_counts(docs)
+    assert "Python" not in got._jdf.queryExecution().toString()
+    assert Counter(tuple(r) for r in got.collect()) == want
+    assert max(n for _, _, n in want) > 1

@@ -85,6 +85,11 @@ def op3_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(documents(spark, sf_dir))
 
 
+@query("op3_near_counts")
+def op3_near_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.near_counts(documents(spark, sf_dir))
+
+
 @query("op7_training_order")
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of shards written to a new folder below the shared one."""

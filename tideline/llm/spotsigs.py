@@ -6,6 +6,10 @@ texts in other languages) each word is an anchor, so that every text with a word
 
 The fingerprint is the number of signatures and the 31-bit hashes of all of them, in order. Nothing is cut: likenesses are
 the exact Jaccard similarity of whole sets, for the edited text and for the next document alike.
+
+Near copies anywhere (:func:`near_counts`): sets are partitioned by size so that only adjacent partitions can hold similar
+ones, and meet by an inverted join on their rarest signatures. The lengths that remain behind a shared signature bound the
+overlap; what is left is compared exactly.
 """
 
 from __future__ import annotations
@@ -14,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.common import ascii_lower, durable
+from tideline.llm.common import ascii_lower, durable, look_up
 
 CHAIN = 2
 #: Hashes that a fingerprint keeps; None is all. Likenesses never depend on it.
 KEPT = None
 #: Words between two anchors, or before the first, from this one on are anchors themselves.
 FAR = 9
+PERCENT = 75
 
 # Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -125,3 +130,56 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     made = with_signatures(made, "edited", "changed").drop("edited")
     made = with_likeness(with_likeness(made, "own", "changed", "near_edited"), "own", "following", "near_next")
     return made.select("doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("changed").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def _bounds() -> list[int]:
+    """Least sizes of the partitions: a set of one has similar ones there or in the adjacent partitions only."""
+    out = [1]
+    while out[-1] < 1 << 31:
+        out.append(out[-1] * 100 // PERCENT + 1)
+    return out[:-1]
+
+
+def near_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b) of different sets with a Jaccard similarity of at least ``PERCENT``, each pair once.
+
+    ``sets``: (set_id, sigs), one row per distinct set; empty sets have no partner.
+    """
+    size = F.size("sigs")
+    sets = sets.where(size > 0)
+    post = sets.select("set_id", F.explode("sigs").alias("sig"))
+    often = post.groupBy("sig").agg(F.count("*").alias("often"))
+    ranked = post.join(often, "sig").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("often", "sig"))).alias("keys"))
+    n = F.size("keys")
+    ranked = ranked.withColumn("n", n).withColumn("prefix", F.slice("keys", F.lit(1), n - F.floor((n * PERCENT + 99) / 100).cast("int") + 1))
+    ranked = ranked.withColumn("part", F.size(F.filter(F.array(*[F.lit(b) for b in _bounds()]), lambda b: b <= F.col("n"))))
+    keyed = durable(ranked.select("set_id", "n", "part", F.posexplode("prefix").alias("pos", "key")).select("set_id", "n", "part", "pos", F.col("key.sig").alias("sig")))
+    low = keyed.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    high = keyed.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "sig", "part")
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    # J >= p / 100 of sizes na, nb means an overlap of at least p (na + nb) / (100 + p)
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    fits = (F.col("na") * 100 >= F.col("nb") * PERCENT) & (rest * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT)
+    pairs = low.join(high, ["sig", "part"]).where(ordered & fits).select("a", "b").distinct()
+    pairs = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("sigs").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.where(both * (100 + PERCENT) >= (F.size("sa") + F.size("sb")) * PERCENT).select("a", "b")
+
+
+def near_counts(docs: DataFrame) -> DataFrame:
+    """One row per distinct (doc_id, text): its number of signatures and of other documents at least ``PERCENT`` alike.
+
+    Texts of equal signature sets are one set from here on, known by a digest of 64 bits, so copies make no pairs.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = with_signatures(rows.withColumn("_h", F.xxhash64("doc_id", "text")), "text", "sigs")
+    rows = durable(rows.select("doc_id", "_h", F.xxhash64("sigs").alias("set_id"), "sigs"))
+    ids = rows.select("doc_id", "_h", "set_id", F.size("sigs").alias("n_signatures")).distinct()
+    members = ids.groupBy("set_id").agg(F.count("*").alias("members"))
+    sets = durable(rows.select("set_id", "sigs").dropDuplicates(["set_id"]))
+    pairs = durable(near_pairs(sets))
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.join(members, F.col("b") == F.col("set_id")).groupBy("a").agg(F.sum("members").alias("others")).withColumnRenamed("a", "set_id")
+    counted = members.join(near, "set_id", "left").select("set_id", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
+    # one row per set is looked up by many documents where copies are: only the narrow rows meet
+    return look_up(ids, counted, "set_id", "_h").select("doc_id", "n_signatures", "n_near")
