@@ -88,3 +88,9 @@ def test_rows_are_repeated_as_the_mix_takes_them(edge):
 def test_empty_table(empty):
     assert mixing.mix_documents(empty).count() == 0
     assert mixing.mixed_rows(empty).count() == 0
+
+
+def test_one_more_very_long_document_is_taken_where_that_is_nearer():
+    assert mixing.fit_counts({40_000: 10}, 395_000) == {40_000: 10}
+    assert mixing.fit_counts({1_000_000: 1}, 900_000) == {1_000_000: 1}
+    assert mixing.fit_counts({1_000_000: 1}, 400_000) == {1_000_000: 0}

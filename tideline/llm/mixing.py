@@ -44,6 +44,11 @@ def fit_counts(counts: dict[int, int], budget: int, window: int = WINDOW) -> dic
         more = min(counts[length] - taken[length], -(-(rest - window) // length), rest // length)
         taken[length] += more
         rest -= more * length
+    if rest > window:
+        # every document left is longer than the rest: one more of the shortest may come nearer
+        left = min((length for length, n in counts.items() if taken[length] < n), default=None)
+        if left is not None and left - rest < rest:
+            taken[left] += 1
     if not 0 < rest <= window:
         return taken
     # reachable sums as the bits of an integer; a bounded count enters as powers of two
