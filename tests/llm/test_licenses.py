@@ -65,3 +65,7 @@ def test_repeated_notices_give_spans_each(spark):
 
 def test_empty_table(empty):
     assert licenses.license_digest(licenses.license_scan(empty)).count() == 0
+
+
+def test_a_long_anchor_behind_a_distant_short_one_is_found():
+    assert (0, 1050, 1030) in licenses.chain([(0, 0, 1000), (10, 900, 20), (1020, 1020, 30)], 50)

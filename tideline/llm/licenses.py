@@ -129,13 +129,14 @@ def chain(anchors: list[tuple[int, int, int]], gap: int = MAX_GAP) -> list[tuple
     one chain only.
     """
     anchors = sorted(set(anchors))
+    longest = max((n for _, _, n in anchors), default=0)
     best, previous = [], []
     for i, (d, t, n) in enumerate(anchors):
         gain, source = n, -1
         j = i - 1
         while j >= 0:
             d0, t0, n0 = anchors[j]
-            if d - d0 > gap + 512 and d - (d0 + n0) > gap:  # no anchor is longer than a template
+            if d - d0 > gap + longest:  # this anchor and all before it end too far off
                 break
             if d0 < d and t0 < t and d - (d0 + n0) <= gap and d + n > d0 + n0 and t + n > t0 + n0:
                 fresh = n - max(0, d0 + n0 - d, t0 + n0 - t)
