@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import dedup, jaccard, langid, licenses, materialise, mixing, packing, secrets, spotsigs, toxicity
+from tideline.llm import chat, dedup, hardneg, jaccard, langid, licenses, materialise, mixing, packing, secrets, spotsigs, toxicity, whitening
 from tideline.session import scratch_path, tune
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,28 @@ def op3_near_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of shards written to a new folder below the shared one."""
     return materialise.materialise(documents(spark, sf_dir), f"{scratch_path(spark)}/shards")
+
+
+@query("op11_chat_format")
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one, -1, whose texts are made of the template's own control strings."""
+    hard = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.conversation_digest(chat.format_conversations(turns.unionByName(hard)))
+
+
+@query("op12_hard_negatives")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.withColumn("label", noisy), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
