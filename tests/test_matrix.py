@@ -9,6 +9,7 @@ from tideline.operators import counts as K
 from tideline.operators import linear as M
 from tideline.operators import pca as P
 from tideline.operators import smooth as SM
+from tideline.session import durable
 
 STAGES = ["Baseline", "Early", "Late"]
 
@@ -142,9 +143,11 @@ def test_smooth_equals_the_published_algorithm(spark, seed, n):
     x = np.round(rng.gamma(2, 3, n), 3 if seed else 1)
     y = np.sin(x / 3) + rng.standard_t(2, n) / 5
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
-    knots, values = SM.lowess(df)
+    curves = SM.lowess(durable(df))
     xs, want = plain_lowess(x, y)
-    assert np.interp(xs, knots, values) == pytest.approx(want, abs=1e-8)
+    assert np.interp(xs, curves.knots[None], curves.values[None]) == pytest.approx(want, abs=1e-8)
+    read = df.select("x", curves.at(F.col("x")).alias("f")).toPandas()
+    assert read["f"].to_numpy() == pytest.approx(np.interp(read["x"], curves.knots[None], curves.values[None]), abs=1e-12)
 
 
 def test_precision_weights(spark):
@@ -264,9 +267,9 @@ def test_classification_limits_are_strict(spark):
 
 
 def test_grid_fills_a_filtered_feature_with_zero(spark):
-    hd = spark.createDataFrame([("g1", 1.5, "Early"), ("g1", 2.5, "Late")], "feature string, lfc double, stage string")
-    ld = spark.createDataFrame([("g2", -1.0, "Early")], "feature string, lfc double, stage string")
-    got = M.lfc_grid({"HD": hd, "LD-V": ld}, ["Early", "Late"])
+    rows = [("g1", 1.5, "Early", "HD"), ("g1", 2.5, "Late", "HD"), ("g2", -1.0, "Early", "LD-V"), ("g1", 9.0, "Middle", "HD"), ("g1", 9.0, "Early", "other")]
+    df = spark.createDataFrame(rows, "feature string, lfc double, stage string, grp string")
+    got = M.lfc_grid(df, "grp", ["HD", "LD-V"], ["Early", "Late"])
     assert got.columns == ["feature", "HD, early", "LD-V, early", "HD, late", "LD-V, late"]
     assert sorted(map(tuple, got.collect())) == [("g1", 1.5, 0.0, 2.5, 0.0), ("g2", 0.0, -1.0, 0.0, 0.0)]
 

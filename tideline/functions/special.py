@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+lgamma = np.vectorize(math.lgamma, otypes=[float])
+_lgamma = lgamma
 _erfc = np.vectorize(math.erfc, otypes=[float])
 _TINY = 1e-300
 _STEPS = 100_000

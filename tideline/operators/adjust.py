@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.columns import col
-from tideline.operators.scan import CHUNK, KEY, _stratum, chunked, prefix_sums
+from tideline.operators.scan import CHUNK, KEY, _stratum, prefix_sums
 
 
 def p_adjust(df: DataFrame, by: Sequence[str], p: str, method: str, out: str = "padj") -> DataFrame:
@@ -21,10 +21,8 @@ def p_adjust(df: DataFrame, by: Sequence[str], p: str, method: str, out: str = "
     if method not in ("holm", "bh"):
         raise ValueError(f"unknown adjustment {method!r}")
     counted = df.where(col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_k"))
-    levels = prefix_sums(counted, by, p, {"_m": F.col("_k")})
+    levels = prefix_sums(counted, by, p, {"_m": F.col("_k")}, keep_chunks=True)
     levels = levels.withColumn("_raw", _raw(method, col(p), F.col("_m_before"), F.col("_k"), F.col("_m_total")))
-    levels = chunked(levels, by, p)
-    levels = levels.withColumn(KEY, F.struct(*_stratum(by), F.col(CHUNK)))
     extreme, ordered = _direction(method)
     carry = levels.groupBy(KEY).agg(
         *[F.first(c).alias(c) for c in [*by, CHUNK]], extreme("_raw").alias("_best")

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators.aggregate import count_above
-from tideline.operators.scan import quantiles, rank_table
+from tideline.operators.scan import quantiles, trim_bounds
+from tideline.operators.smooth import per_group
 from tideline.session import durable
 
 PER_BLOCK = 1024  # samples in a block, on average
 
 
-def filter_features(df: DataFrame, n: int = 3, threshold: float = 20) -> DataFrame:
-    """Cells of the features with at least ``n`` samples strictly above ``threshold``."""
-    passed = df.groupBy("feature").agg(count_above(F.col("value"), threshold).alias("_k")).where(F.col("_k") >= n)
-    return df.join(passed.select("feature"), "feature", "left_semi")
+def filter_features(df: DataFrame, n: int = 3, threshold: float = 20, *, by: str | None = None) -> DataFrame:
+    """Cells of the features with at least ``n`` samples strictly above ``threshold``, within each group."""
+    keys = [by, "feature"] if by else ["feature"]
+    passed = df.groupBy(*keys).agg(count_above(F.col("value"), threshold).alias("_k")).where(F.col("_k") >= n)
+    return df.join(passed.select(*keys), keys, "left_semi")
+
+
+def sample_blocks(samples: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Samples gathered per key in blocks of about ``PER_BLOCK``: an array ``_members`` of structs a row."""
+    n = max(1, -(-samples.count() // PER_BLOCK))
+    hashed = samples.withColumn("_block", F.pmod(F.xxhash64("sample"), F.lit(n)))
+    return hashed.groupBy(*keys, "_block").agg(F.collect_list(F.struct(*columns)).alias("_members")).drop("_block")
 
 
 def complete_cells(df: DataFrame, samples: DataFrame) -> DataFrame:
@@ -47,63 +58,65 @@ def library_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("sample").agg(F.sum("value").cast("double").alias("lib_size"))
 
 
-def tmm(df: DataFrame, *, m_trim: float = 0.3, a_trim: float = 0.05) -> DataFrame:
-    """(sample, lib_size, factor): trimmed mean of M values against a reference sample.
+def tmm(df: DataFrame, *, m_trim: float = 0.3, a_trim: float = 0.05, by: str | None = None) -> DataFrame:
+    """([by], sample, lib_size, factor): trimmed mean of M values against a reference sample of the group.
 
     The reference is the sample whose upper quartile of scaled counts is nearest the mean one; where
     half the samples have an upper quartile of zero, the one with the greatest sum of square roots. A
-    sample that occurs in ``df`` but has no count above zero raises. The
-    trims are by average rank within a sample, found with the chunked scan. Zero cells have no
-    finite M or A and so never enter. Average rank grows with the value, so a trim is a value range.
+    sample that occurs in ``df`` but has no count above zero raises. The trims are by average rank
+    within a sample; a trim is a value range, so only its bounds are looked for, and only the values next to
+    them are ordered. Zero cells have no finite M or A and so never enter.
     """
-    named = df.select("sample").distinct()
-    cells = df.where(F.col("value") > 0).select("feature", "sample", F.col("value").cast("double").alias("value"))
-    cells = durable(cells)  # read five times below
-    features = cells.select("feature").distinct().count()
-    upper = quantiles(cells, ["sample"], "value", {"q": 0.75}, total=features)
-    roots = cells.groupBy("sample").agg(F.sum(F.sqrt("value")).alias("roots"))
-    per = library_sizes(cells).join(upper, "sample").join(roots, "sample").withColumn("q", F.col("q") / F.col("lib_size"))
+    keys = [by] if by else []
+    own = [*keys, "sample"]
+    cells = durable(df.select(*own, "feature", F.col("value").cast("double").alias("value")))  # read five times below
+    above = cells.where(F.col("value") > 0)
+    features = {(r[by] if by else None): r["n"] for r in above.select(*keys, "feature").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not features:
+        if cells.limit(1).count():
+            raise ValueError("samples without any count have no scale")
+        return cells.select(*own, F.col("value").alias("lib_size"), F.col("value").alias("factor"))
+    upper = quantiles(above, own, "value", {"q": 0.75}, total=per_group(by, features))
+    sizes = cells.groupBy(*own).agg(F.sum("value").alias("lib_size"), F.sum(F.sqrt("value")).alias("roots"))
+    per = sizes.join(upper, own, "left").withColumn("q", F.col("q") / F.nullif(F.col("lib_size"), F.lit(0.0)))
     per = durable(per)
-    lacking = named.join(per, "sample", "left_anti").limit(3).collect()
-    if lacking:
-        raise ValueError(f"samples without any count have no scale: {[r[0] for r in lacking]}")
-    summary = per.agg(F.avg("q").alias("centre"), F.expr("percentile(q, 0.5)").alias("middle")).first()
-    if summary["middle"] is None or summary["middle"] < 1e-20:
-        order = [F.col("roots").desc(), F.col("sample")]
-    else:
-        order = [F.abs(F.col("q") - F.lit(summary["centre"])), F.col("sample")]
-    nearest = per.orderBy(*order).select("sample", "lib_size").first()
-    ref, ref_lib = nearest["sample"], nearest["lib_size"]
-
-    base = cells.where(F.col("sample") == F.lit(ref)).select("feature", F.col("value").alias("_r"))
-    o, r, n_o, n_r = F.col("value"), F.col("_r"), F.col("lib_size"), F.lit(ref_lib)
-    both = cells.join(per.select("sample", "lib_size"), "sample").join(base, "feature")
+    lacking = F.max_by("sample", F.when(F.coalesce(F.col("lib_size"), F.lit(0.0)) == 0, 1))
+    summary = per.groupBy(*keys).agg(F.avg("q").alias("centre"), F.expr("percentile(q, 0.5)").alias("middle"), lacking.alias("lacking")).collect()
+    for r in summary:
+        if r["lacking"] is not None:
+            raise ValueError(f"samples without any count have no scale: {r['lacking']!r}")
+    centre = per_group(by, {(r[by] if by else None): float(r["centre"]) for r in summary})
+    sparse = per_group(by, {(r[by] if by else None): r["middle"] < 1e-20 for r in summary})
+    place = F.struct(F.when(sparse, -F.col("roots")).otherwise(F.abs(F.col("q") - centre)), F.col("sample"))
+    nearest = per.groupBy(*keys).agg(F.min_by("sample", place).alias("ref"), F.min_by("lib_size", place).alias("lib")).collect()
+    ref = per_group(by, {(r[by] if by else None): r["ref"] for r in nearest})
+    ref_lib = per_group(by, {(r[by] if by else None): float(r["lib"]) for r in nearest})
+
+    base = above.where(F.col("sample") == ref).select(*keys, "feature", F.col("value").alias("_r"))
+    o, r, n_o, n_r = F.col("value"), F.col("_r"), F.col("lib_size"), ref_lib
+    both = above.join(per.select(*own, "lib_size"), own).join(base, [*keys, "feature"])
     # twelve digits: values equal on paper must tie whatever the order of operations
     both = both.select(
-        "sample",
+        *own,
         F.round(F.log2(o / n_o) - F.log2(r / n_r), 12).alias("_m"),
         F.round((F.log2(o / n_o) + F.log2(r / n_r)) / 2, 12).alias("_a"),
         ((n_o - o) / n_o / o + (n_r - r) / n_r / r).alias("_v"),
     )
     both = durable(both)
-    # one ranking for both measures: rank, trim, and come back as one row of bounds per sample
-    stacked = both.unpivot("sample", ["_m", "_a"], "_what", "_x")
-    is_m = F.col("_what") == "_m"
-    first = F.floor(F.col("size") * F.when(is_m, m_trim).otherwise(a_trim)) + 1
-    x = F.when(F.col("rank").between(first, F.col("size") + 1 - first), F.col("_x"))
-    bounds = rank_table(stacked, ["sample", "_what"], "_x").groupBy("sample").agg(
-        F.min(F.when(is_m, x)).alias("_m0"), F.max(F.when(is_m, x)).alias("_m1"),
-        F.min(F.when(~is_m, x)).alias("_a0"), F.max(F.when(~is_m, x)).alias("_a1"),
-        F.max(F.when(is_m, F.abs("_x"))).alias("_top"),
-    )
-    inside = F.col("_m").between(F.col("_m0"), F.col("_m1")) & F.col("_a").between(F.col("_a0"), F.col("_a1"))
+    bounds = trim_bounds(both, own, {"_m": m_trim, "_a": a_trim})
+    inside = F.lit(True)
+    for c in ("_m", "_a"):
+        low, high = F.col(f"{c}_low"), F.col(f"{c}_high")
+        inside = inside & ((F.col(c) > low["x"]) | ((F.col(c) == low["x"]) & low["in"]))
+        inside = inside & ((F.col(c) < high["x"]) | ((F.col(c) == high["x"]) & high["in"]))
+    top = both.groupBy(*own).agg(F.max(F.abs("_m")).alias("_top"))
     mean = F.sum(F.col("_m") / F.col("_v")) / F.sum(1 / F.col("_v"))
-    kept = both.join(bounds, "sample").where(inside & (F.col("_top") >= 1e-6))
-    mean = kept.groupBy("sample").agg(mean.alias("_f"))
-    raw = per.select("sample", "lib_size").join(mean, "sample", "left")
+    kept = both.join(bounds, own).where(inside).groupBy(*own).agg(mean.alias("_f"))
+    raw = sizes.select(*own, "lib_size").join(kept, own, "left").join(top, own, "left")
+    raw = raw.select(*own, "lib_size", F.when(F.col("_top") >= 1e-6, F.col("_f")).alias("_f"))
     raw = durable(raw.withColumn("_f", F.coalesce("_f", F.lit(0.0))))
-    shift = raw.agg(F.avg("_f")).first()[0]
-    return raw.select("sample", "lib_size", F.pow(F.lit(2.0), F.col("_f") - F.lit(shift)).alias("factor"))
+    shift = per_group(by, {(r[by] if by else None): r["m"] for r in raw.groupBy(*keys).agg(F.avg("_f").alias("m")).collect()})
+    return raw.select(*own, "lib_size", F.pow(F.lit(2.0), F.col("_f") - shift).alias("factor"))
 
 
 def log_cpm(df: DataFrame, factors: DataFrame, prior: float = 2.0) -> DataFrame:

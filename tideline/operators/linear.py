@@ -4,11 +4,19 @@ Designs have a handful of factor levels shared by all features, so a fit needs o
 (feature, level): one aggregation with map-side combine, then arithmetic on one row per feature.
 A fitted table has one row per feature: ``beta`` and ``cov`` (unscaled, row by row) in the order of
 the coefficients, ``sigma``, ``df`` and ``amean``.
+
+The count model takes a group column (``by``): every group of samples is filtered, normalised, weighted, fitted and
+moderated on its own, all in one plan. Its zeros stay implicit. A cell without a count has a log value that
+depends on its sample alone, so sums over all cells are sums over the samples plus differences in the cells with a
+count; where a weight depends on feature and sample, zero cells exist as rows of one stage only, summed before they
+could be shuffled or written.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -16,13 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.numeric import r_log2
-from tideline.functions.special import digamma, digamma_udf, t_p_udf, trigamma_inverse, trigamma_udf
+from tideline.functions.special import digamma, lgamma, t_p_udf, trigamma, trigamma_inverse
 from tideline.operators.adjust import p_adjust
-from tideline.operators.counts import complete_cells, filter_features, tmm
+from tideline.operators.counts import filter_features, sample_blocks, tmm
 from tideline.operators.reshape import cast_wide
-from tideline.operators.scan import quantiles
-from tideline.operators.sets import union_all
-from tideline.operators.smooth import interpolate, lowess
+from tideline.operators.smooth import Curves, Line, lowess, middles, per_group
 from tideline.session import durable
 
 Contrasts = Mapping[str, Mapping[str, float]]
@@ -175,7 +181,11 @@ def remove_batch(
     return cells.select("feature", "sample", (F.col("value") - term).alias("value"))
 
 
-def contrast(fit: DataFrame, coefs: Sequence[str], contrasts: Contrasts) -> DataFrame:
+def _by(by: str | None) -> list[str]:
+    return [by] if by else []
+
+
+def contrast(fit: DataFrame, coefs: Sequence[str], contrasts: Contrasts, *, by: str | None = None) -> DataFrame:
     """One row per feature and contrast: log fold change and its unscaled standard deviation."""
     k = len(coefs)
     rows = []
@@ -187,43 +197,135 @@ def contrast(fit: DataFrame, coefs: Sequence[str], contrasts: Contrasts) -> Data
             F.lit(name).alias("contrast"), sum(lfc[1:], lfc[0]).alias("lfc"),
             F.sqrt(sum(var[1:], var[0])).alias("unscaled"),
         ))
-    wide = fit.select("feature", "sigma", "df", "amean", F.explode(F.array(*rows)).alias("_c"))
-    return wide.select("feature", "_c.contrast", "_c.lfc", "_c.unscaled", "sigma", "df", "amean")
+    wide = fit.select(*_by(by), "feature", "sigma", "df", "amean", F.explode(F.array(*rows)).alias("_c"))
+    return wide.select(*_by(by), "feature", "_c.contrast", "_c.lfc", "_c.unscaled", "sigma", "df", "amean")
+
+
+class Prior(NamedTuple):
+    """Degrees of freedom and variance of the prior, and the pooled degrees of freedom."""
+
+    df: float
+    variance: float
+    pooled: float
+
+
+def variance_priors(fit: DataFrame, *, by: str | None = None) -> dict[object, Prior]:
+    """The prior of each group's variances, from sums per residual degrees of freedom.
+
+    With one number of degrees of freedom the prior comes from the mean and spread of the log variances.
+    With several, that spread mixes noises of different size; then the prior is the most likely one
+    under the scaled F law of the variances, found along its degrees of freedom. For each of these the
+    prior variance follows from a weighted mean of the log variances, so the search is over one number.
+    """
+    keys = _by(by)
+    var = fit.where((F.col("df") > 0) & F.col("sigma").isNotNull()).select(*keys, "df", (F.col("sigma") ** 2).alias("_x"))
+    middle = middles(Line(var, by, "_x"))
+    if not middle:
+        return {}
+    var = var.withColumn("_x", F.greatest(F.col("_x"), per_group(by, {g: 1e-5 * (m or 1.0) for g, m in middle.items()})))
+    x = F.log("_x")
+    # one row per group and number of degrees of freedom: at most as many as there are samples
+    sums = var.groupBy(*keys, "df").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("spread")).collect()
+    classes: dict[object, list[tuple[float, int, float, float]]] = {}
+    for r in sums:
+        half = np.array([r["df"] / 2])
+        shift = float(np.log(half)[0] - digamma(half)[0])
+        classes.setdefault(r[by] if by else None, []).append((r["df"], r["n"], r["mean"] + shift, r["spread"]))
+    out, several = {}, {}
+    for g, rows in classes.items():
+        df, n, mean, spread = (np.array(c, float) for c in zip(*sorted(rows), strict=True))
+        total = n.sum()
+        centre = (n * mean).sum() / total
+        around = (n * (spread + (mean - centre) ** 2)).sum()
+        noise = (n * trigamma(df / 2)).sum() / total
+        extra = around / (total - 1) - noise if total > 1 else 0.0
+        pooled = float((n * df).sum())
+        if len(df) > 1 and total > 1:
+            several[g] = (df, n, mean, pooled)
+        d0 = 2 * trigamma_inverse(extra) if extra > 0 else float("inf")
+        out[g] = Prior(d0, _prior_variance(d0, df, n, mean), pooled)
+    if several:
+        out.update(_likely_priors(var, several, by))
+    return out
+
+
+def _prior_variance(d0: float, df: np.ndarray, n: np.ndarray, mean: np.ndarray) -> float:
+    """The prior variance that the mean log variances have under ``d0`` prior degrees of freedom."""
+    if math.isinf(d0):
+        w = n / trigamma(df / 2)
+        return float(np.exp((w * mean).sum() / w.sum())) if len(df) > 1 else float(np.exp(mean[0]))
+    half = np.array([d0 / 2])
+    w = n / (trigamma(df / 2) + trigamma(half)[0])
+    return float(np.exp((w * mean).sum() / w.sum() + digamma(half)[0] - math.log(d0 / 2)))
+
+
+#: Prior degrees of freedom tried at once, and how often the best stretch of them is cut again.
+TRIES, ZOOMS = 24, 6
+
+
+def _likely_priors(var: DataFrame, groups: dict, by: str | None) -> dict[object, Prior]:
+    """The most likely prior of each group, by narrowing d0 / (1 + d0) between 0 and 1."""
+    bounds = {g: (0.0, 1.0) for g in groups}
+    best: dict[object, tuple[float, float, float]] = {}
+    for _ in range(ZOOMS):
+        tried = {}
+        for g, (df, n, mean, _) in groups.items():
+            grid = np.linspace(*bounds[g], TRIES + 2)[1:]
+            # the end of the first stretch is the infinite prior
+            d0 = np.array([t / (1 - t) if t < 1 else np.inf for t in grid])
+            tried[g] = (grid, d0, np.array([_prior_variance(d, df, n, mean) for d in d0]))
+        terms = []
+        for i in range(TRIES + 1):
+            s0 = per_group(by, {g: float(t[2][i]) for g, t in tried.items()})
+            d0 = per_group(by, {g: float(t[1][i]) if np.isfinite(t[1][i]) else -1.0 for g, t in tried.items()})
+            ratio = F.col("df") * F.col("_x") / s0
+            finite = (F.col("df") + d0) / 2 * F.log1p(ratio / d0)
+            terms.append(F.sum(F.when(d0 > 0, finite).otherwise(ratio / 2)).alias(f"l{i}"))
+        logs = F.sum(F.when(F.col("df") != 2, (F.col("df") / 2 - 1) * F.log("_x")).otherwise(0.0)).alias("logs")
+        for r in var.groupBy(*_by(by)).agg(logs, *terms).collect():
+            g = r[by] if by else None
+            if g not in groups:
+                continue
+            df, n, mean, _ = groups[g]
+            grid, d0, s0 = tried[g]
+            like = np.array([_log_constants(d, s, df, n) + r["logs"] - r[f"l{i}"] for i, (d, s) in enumerate(zip(d0, s0, strict=True))])
+            top = int(like.argmax())
+            if g not in best or like[top] > best[g][0]:
+                best[g] = (float(like[top]), float(d0[top]), float(s0[top]))
+            low = bounds[g][0] if top == 0 else grid[top - 1]
+            bounds[g] = (float(low), float(grid[min(top + 1, TRIES)]))
+    return {g: Prior(d0, s0, groups[g][3]) for g, (_, d0, s0) in best.items()}
+
+
+def _log_constants(d0: float, s0: float, df: np.ndarray, n: np.ndarray) -> float:
+    """What the log likelihood of all variances holds besides sums over them."""
+    half = df / 2
+    each = half * np.log(df / s0) - lgamma(half)
+    if math.isinf(d0):
+        each = each - half * math.log(2)
+    else:
+        each = each - half * math.log(d0) + lgamma(half + d0 / 2) - lgamma(np.array([d0 / 2]))
+    return float((n * each).sum())
 
 
 def variance_prior(fit: DataFrame) -> tuple[float, float, float]:
-    """Prior degrees of freedom, prior variance and pooled degrees of freedom, from all features."""
-    var = fit.where((F.col("df") > 0) & F.col("sigma").isNotNull()).select("df", (F.col("sigma") ** 2).alias("_x"))
-    mid = quantiles(var, [], "_x", {"m": 0.5}).first()
-    if mid is None:
-        return float("inf"), float("nan"), 0.0
-    floor = 1e-5 * (mid["m"] or 1.0)
-    half = F.col("df") / 2
-    e = F.log(F.greatest(F.col("_x"), F.lit(floor))) - digamma_udf(half) + F.log(half)
-    n, mean, spread, noise, pooled = (
-        var.select(e.alias("e"), trigamma_udf(half).alias("g"), "df")
-        .agg(F.count(F.lit(1)), F.avg("e"), F.var_samp("e"), F.avg("g"), F.sum("df"))
-        .first()
-    )
-    extra = (spread or 0.0) - noise if n > 1 else 0.0
-    if extra > 0:
-        d0 = 2 * trigamma_inverse(extra)
-        s0 = float(np.exp(mean + digamma(np.array([d0 / 2]))[0] - np.log(d0 / 2)))
-        return d0, s0, pooled
-    return float("inf"), float(np.exp(mean)), pooled
+    """The prior of a table without groups."""
+    return tuple(variance_priors(fit).get(None, Prior(float("inf"), float("nan"), 0.0)))
 
 
-def ebayes(fit: DataFrame, coefs: Sequence[str], contrasts: Contrasts) -> DataFrame:
-    """Moderated t and p per feature and contrast: variances shrunk towards a common prior."""
+def ebayes(fit: DataFrame, coefs: Sequence[str], contrasts: Contrasts, *, by: str | None = None) -> DataFrame:
+    """Moderated t and p per feature and contrast: variances shrunk towards the group's common prior."""
     fit = durable(fit)  # one row per feature, read by the prior and again by the tests
-    d0, s0, pooled = variance_prior(fit)
-    tests = contrast(fit, coefs, contrasts)
+    priors = variance_priors(fit, by=by)
+    if by is None and not priors:
+        priors = {None: Prior(float("inf"), float("nan"), 0.0)}
+    d0 = per_group(by, {g: p.df if math.isfinite(p.df) else -1.0 for g, p in priors.items()})
+    s0, pooled = (per_group(by, {g: float(p[i]) for g, p in priors.items()}) for i in (1, 2))
+    tests = contrast(fit, coefs, contrasts, by=by)
     s2, df = F.col("sigma") ** 2, F.col("df")
-    if np.isinf(d0):
-        post, total = F.lit(s0), F.lit(pooled)
-    else:
-        post = F.when(df > 0, (d0 * s0 + df * s2) / (d0 + df)).otherwise(F.lit(s0))
-        total = F.least(df + d0, F.lit(pooled))
+    shrunk = F.when(df > 0, (d0 * s0 + df * s2) / (d0 + df)).otherwise(s0)
+    post = F.when(d0 < 0, s0).otherwise(shrunk)
+    total = F.when(d0 < 0, pooled).otherwise(F.least(df + d0, pooled))
     tests = tests.withColumns({"s2_post": post, "df_total": total})
     tests = tests.withColumn("t", F.col("lfc") / (F.col("unscaled") * F.sqrt("s2_post")))
     return tests.withColumn("p", F.when(F.col("t").isNotNull(), t_p_udf("t", "df_total")))
@@ -237,56 +339,180 @@ def classify(tests: DataFrame, *, p_max: float = 0.05, lfc_min: float = 1.0) ->
     return out.withColumn("regulation", regulation.otherwise("None"))
 
 
-def results(tests: DataFrame, *, p_max: float = 0.05, lfc_min: float = 1.0) -> DataFrame:
+def results(tests: DataFrame, *, p_max: float = 0.05, lfc_min: float = 1.0, by: str | None = None) -> DataFrame:
     """Result table of all contrasts, adjusted within each contrast."""
-    tests = durable(tests.select("feature", "contrast", "lfc", "p"))
-    adjusted = p_adjust(tests, ["contrast"], "p", "bh")
+    tests = durable(tests.select(*_by(by), "feature", "contrast", "lfc", "p"))
+    adjusted = p_adjust(tests, [*_by(by), "contrast"], "p", "bh")
     return classify(adjusted, p_max=p_max, lfc_min=lfc_min).select(
-        "feature", "lfc", "padj", F.col("contrast").alias("stage"), "significant", "regulation"
+        *_by(by), "feature", "lfc", "padj", F.col("contrast").alias("stage"), "significant", "regulation"
+    )
+
+
+MILLION = math.log2(1e6)
+#: log2 of the half count that stands for a zero, per million and per unit of library size.
+ZERO = MILLION - 1.0
+
+
+class Scales(NamedTuple):
+    """Samples with their level and log2 library size, and what their zero cells add up to per level."""
+
+    samples: DataFrame  # [by], sample, stage, place, _log (log2 size), _zero (a zero's value), _about (its mean over the level)
+    zeros: dict  # group -> per level the number of samples, the mean of their zeros, and the squares about it
+    mean_log: dict  # group -> mean log2 size over all samples
+
+
+def log_scales(samples: DataFrame, factors: DataFrame, stage: str, levels: Sequence[str], *, by: str | None = None) -> Scales:
+    """The scales of the samples in ``factors``."""
+    keys = _by(by)
+    place = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col(stage)).cast("int")
+    sized = factors.select(*keys, "sample", F.log2(F.col("lib_size") * F.col("factor") + 1).alias("_log"))
+    mean_log = {(r[by] if by else None): r["m"] for r in sized.groupBy(*keys).agg(F.avg("_log").alias("m")).collect()}
+    known = samples.select(*keys, "sample", stage, place.alias("place")).where(F.col("place") > 0)
+    known = durable(known.join(sized, [*keys, "sample"]).withColumn("_zero", F.lit(ZERO) - F.col("_log")))
+    means = known.groupBy(*keys, "place").agg(F.count(F.lit(1)).alias("n"), F.avg("_zero").alias("m"), F.var_pop("_zero").alias("v")).collect()
+    zeros: dict = {}
+    for r in means:
+        at = zeros.setdefault(r[by] if by else None, [(0.0, 0.0, 0.0)] * len(levels))
+        at[r["place"] - 1] = (float(r["n"]), r["m"], r["v"] * r["n"])
+    about = per_group(by, {g: [m for _, m, _ in rows] for g, rows in zeros.items()})
+    return Scales(known.withColumn("_about", F.element_at(about, F.col("place"))), zeros, mean_log)
+
+
+def _log_cells(df: DataFrame, scales: Scales, by: str | None) -> DataFrame:
+    """The cells with a count, their log value ``value`` and what it would be without one, ``_zero``."""
+    cells = df.where(F.col("value") > 0).join(scales.samples, [*_by(by), "sample"])
+    return cells.withColumn("value", F.log2(F.col("value") + 0.5) + F.lit(MILLION) - F.col("_log"))
+
+
+def fit_counts(cells: DataFrame, features: DataFrame, scales: Scales, levels: Sequence[str], *, by: str | None = None) -> DataFrame:
+    """:func:`fit_oneway` on log counts whose zero cells are not listed.
+
+    A level's sum over all its samples is that of their zeros, which is known, plus what the listed cells differ
+    from a zero.
+    """
+    keys = _by(by)
+    k = range(len(levels))
+    v, z = F.col("value") - F.col("_about"), F.col("_zero") - F.col("_about")
+    aggs = []
+    for i in k:
+        here = F.col("place") == i + 1
+        aggs += [F.sum(F.when(here, v - z)).alias(f"_s{i}"), F.sum(F.when(here, v * v - z * z)).alias(f"_q{i}")]
+    listed = cells.groupBy(*keys, "feature").agg(*aggs)
+    every = features.join(listed, [*keys, "feature"], "left")
+    n, centre, squares = ([per_group(by, {g: rows[i][j] for g, rows in scales.zeros.items()}) for i in k] for j in range(3))
+    shift = [F.when(n[i] > 0, F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) / F.nullif(n[i], F.lit(0.0))) for i in k]
+    mean = [centre[i] + shift[i] for i in k]
+    over = [squares[i] + F.coalesce(F.col(f"_q{i}"), F.lit(0.0)) - shift[i] * shift[i] * n[i] for i in k]
+    left = [F.when(n[i] > 0, F.greatest(over[i], F.lit(0.0))).otherwise(0.0) for i in k]
+    total, used = sum(n[1:], n[0]), sum([F.when(m > 0, 1).otherwise(0) for m in n][1:], F.when(n[0] > 0, 1).otherwise(0))
+    weighed = [F.coalesce(n[i] * mean[i], F.lit(0.0)) for i in k]
+    out = every.withColumn("df", (total - used).cast("double"))
+    return out.select(
+        *keys, "feature", F.array(*mean).alias("beta"), F.array(*[1 / F.nullif(n[i], F.lit(0.0)) if i == j else F.lit(0.0) for i in k for j in k]).alias("cov"),
+        F.when(F.col("df") > 0, F.sqrt(sum(left[1:], left[0]) / F.col("df"))).alias("sigma"), "df", (sum(weighed[1:], weighed[0]) / total).alias("amean"),
     )
 
 
+class Trend(NamedTuple):
+    """What the weights of a count matrix need: scales, the plain fit, and the trend of spread with size."""
+
+    scales: Scales
+    fit: DataFrame
+    curves: Curves
+
+
+def count_trend(
+    df: DataFrame, samples: DataFrame, factors: DataFrame, stage: str, levels: Sequence[str],
+    *, span: float = 0.5, by: str | None = None,
+) -> Trend:
+    """Spread of log counts against their size, smoothed over one point per feature."""
+    scales = log_scales(samples, factors, stage, levels, by=by)
+    features = df.select(*_by(by), "feature").distinct()
+    fit = durable(fit_counts(_log_cells(df, scales, by), features, scales, levels, by=by))
+    size = F.col("amean") + per_group(by, {g: m - MILLION for g, m in scales.mean_log.items()})
+    points = fit.where(F.col("sigma").isNotNull()).select(*_by(by), size.alias("x"), F.sqrt("sigma").alias("y"))
+    return Trend(scales, fit, lowess(durable(points), span=span, by=by))
+
+
+def _weight(trend: Trend, beta: Column) -> Column:
+    """The precision of a cell whose fitted log value is ``beta`` per million."""
+    return F.pow(trend.curves.at(beta + F.col("_log") - F.lit(MILLION)), F.lit(-4.0))
+
+
 def voom(
     df: DataFrame, samples: DataFrame, factors: DataFrame, stage: str, levels: Sequence[str], *, span: float = 0.5
 ) -> DataFrame:
     """(feature, sample, value, weight): log-CPM with precision weights from the mean-variance trend.
 
-    ``df`` is the dense count matrix. The trend is smoothed over one point per feature; the weight
-    of a cell is read off the trend at its fitted log count.
+    One row per listed feature and sample: this is the dense result. The trend and its fit need no zero cell.
     """
-    sized = factors.select("sample", (F.col("lib_size") * F.col("factor") + 1).alias("_lib"))
-    size_mean = sized.agg(F.avg(F.log2("_lib"))).first()[0]
-    y = F.log2((F.col("value") + 0.5) / F.col("_lib") * 1e6)
-    logged = df.join(sized, "sample").select("feature", "sample", y.alias("value"), "_lib")
-    fit = durable(fit_oneway(logged, samples, stage, levels))
-    million = float(np.log2(1e6))
-    points = fit.where(F.col("sigma").isNotNull()).select(
-        (F.col("amean") + F.lit(size_mean - million)).alias("x"), F.sqrt("sigma").alias("y")
+    trend = count_trend(df, samples, factors, stage, levels, span=span)
+    zeros = _zero_cells(trend, None)
+    listed = df.where(F.col("value") > 0).select("feature", "sample", F.log2(F.col("value") + 0.5).alias("_y"))
+    cells = zeros.join(listed, ["feature", "sample"], "left")
+    value = F.coalesce(F.col("_y"), F.lit(-1.0)) + F.lit(MILLION) - F.col("_log")
+    return cells.select("feature", "sample", value.alias("value"), _weight(trend, F.col("_beta")).alias("weight"))
+
+
+def _zero_cells(trend: Trend, by: str | None) -> DataFrame:
+    """Every feature and sample, with the feature's fitted value for the sample's level."""
+    keys = _by(by)
+    blocks = sample_blocks(trend.scales.samples.select(*keys, "place", "sample", "_log", "_zero"), [*keys, "place"], ["sample", "_log", "_zero"])
+    fitted = trend.fit.select(*keys, "feature", F.posexplode("beta").alias("_i", "_beta")).where(F.col("_beta").isNotNull())
+    fitted = fitted.withColumn("place", F.col("_i") + 1)
+    return fitted.join(blocks, [*keys, "place"]).select(*keys, "feature", "place", "_beta", F.explode("_members").alias("_s")).select(*keys, "feature", "place", "_beta", "_s.*")
+
+
+def fit_weighted_counts(df: DataFrame, trend: Trend, levels: Sequence[str], *, by: str | None = None) -> DataFrame:
+    """The weighted fit over all cells: zero cells are made and summed within a stage, listed ones add the difference."""
+    keys = _by(by)
+    w, off = _weight(trend, F.col("_beta")), F.col("_zero") - F.col("_beta")
+    zeros = _zero_cells(trend, by).select(*keys, "feature", "place", w.alias("w"), off.alias("z"))
+    zeros = zeros.select(*keys, "feature", "place", "w", (F.col("w") * F.col("z")).alias("s"), (F.col("w") * F.col("z") * F.col("z")).alias("q"))
+    cells = _log_cells(df, trend.scales, by).join(trend.fit.select(*keys, "feature", "beta"), [*keys, "feature"])
+    cells = cells.withColumn("_beta", F.element_at("beta", F.col("place")))
+    seen = F.col("value") - F.col("_beta")
+    cells = cells.select(*keys, "feature", "place", w.alias("w"), (seen - off).alias("s"), (seen * seen - off * off).alias("q"))
+    cells = cells.select(*keys, "feature", "place", F.lit(0.0).alias("w"), (F.col("w") * F.col("s")).alias("s"), (F.col("w") * F.col("q")).alias("q"))
+    aggs = []
+    for i in range(len(levels)):
+        here = F.col("place") == i + 1
+        aggs += [F.sum(F.when(here, F.col(c))).alias(f"_{c}{i}") for c in "wsq"]
+    sums = zeros.unionByName(cells).groupBy(*keys, "feature").agg(*aggs)
+    out = sums.join(trend.fit.select(*keys, "feature", F.col("beta").alias("_b"), "df", "amean"), [*keys, "feature"])
+    k = range(len(levels))
+    mass, shift = [F.col(f"_w{i}") for i in k], [F.col(f"_s{i}") / F.col(f"_w{i}") for i in k]
+    left = [F.coalesce(F.greatest(F.col(f"_q{i}") - F.col(f"_s{i}") * shift[i], F.lit(0.0)), F.lit(0.0)) for i in k]
+    return out.select(
+        *keys, "feature", F.array(*[F.col("_b")[i] + shift[i] for i in k]).alias("beta"),
+        F.array(*[1 / mass[i] if i == j else F.lit(0.0) for i in k for j in k]).alias("cov"),
+        F.when(F.col("df") > 0, F.sqrt(sum(left[1:], left[0]) / F.col("df"))).alias("sigma"), "df", "amean",
     )
-    knots, trend = lowess(durable(points), span=span)
-    place = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col(stage)).cast("int")
-    cells = logged.join(samples.select("sample", stage), "sample").where(F.col(stage).isin(list(levels)))
-    cells = cells.join(fit.select("feature", "beta"), "feature")
-    at = F.element_at("beta", place) + F.log2("_lib") - F.lit(million)
-    weight = F.pow(interpolate(at, knots, trend), F.lit(-4.0))
-    return cells.select("feature", "sample", "value", weight.alias("weight"))
 
 
-def count_de(
+def count_tests(
     df: DataFrame, samples: DataFrame, stage: str, levels: Sequence[str], contrasts: Contrasts,
-    *, n: int = 3, threshold: float = 20, span: float = 0.5,
+    *, n: int = 3, threshold: float = 20, span: float = 0.5, by: str | None = None,
 ) -> DataFrame:
-    """Differential expression of counts: subset, filter, normalise, weight, fit, moderate, classify.
+    """Moderated tests of counts: subset, filter, normalise, weight, fit, moderate.
 
-    Features are filtered after the samples are subset; the order changes the result.
+    ``samples`` lists the samples of each group ``by``; a sample may belong to several groups. Features are
+    filtered after the samples are subset; the order changes the result.
     """
-    subset = df.join(samples.select("sample"), "sample", "left_semi")
-    kept = durable(filter_features(subset, n, threshold))
-    factors = tmm(kept)
-    dense = durable(complete_cells(kept, samples))  # read for the trend and again for the weights
-    weighted = voom(dense, samples, factors, stage, levels, span=span)
-    fit = fit_oneway(weighted, samples, stage, levels, weight="weight")
-    return results(ebayes(fit, levels, contrasts))
+    subset = df.join(samples.select(*_by(by), "sample").distinct(), "sample")
+    kept = durable(filter_features(subset, n, threshold, by=by))
+    factors = durable(tmm(kept, by=by))
+    trend = count_trend(kept, samples, factors, stage, levels, span=span, by=by)
+    return ebayes(fit_weighted_counts(kept, trend, levels, by=by), levels, contrasts, by=by)
+
+
+def count_de(
+    df: DataFrame, samples: DataFrame, stage: str, levels: Sequence[str], contrasts: Contrasts,
+    *, n: int = 3, threshold: float = 20, span: float = 0.5, by: str | None = None, p_max: float = 0.05, lfc_min: float = 1.0,
+) -> DataFrame:
+    """Differential expression of counts, of all groups in one plan: :func:`count_tests`, adjusted and classified."""
+    tests = count_tests(df, samples, stage, levels, contrasts, n=n, threshold=threshold, span=span, by=by)
+    return results(tests, p_max=p_max, lfc_min=lfc_min, by=by)
 
 
 def concentration_de(
@@ -302,14 +528,12 @@ def concentration_de(
     return results(ebayes(fit, coefs, contrasts))
 
 
-def lfc_grid(parts: Mapping[str, DataFrame], stages: Sequence[str]) -> DataFrame:
-    """Feature by (group, stage) fold changes, stages outermost, zero where a feature was filtered out."""
-    labelled = [
-        part.select("feature", "lfc", F.concat(F.lit(f"{group}, "), F.lower("stage")).alias("label"))
-        for group, part in parts.items()
-    ]
-    names = [f"{group}, {stage.lower()}" for stage in stages for group in parts]
-    return cast_wide(union_all(labelled), ["feature"], "label", "lfc", names, fill=0.0)
+def lfc_grid(results: DataFrame, group: str, groups: Sequence[str], stages: Sequence[str]) -> DataFrame:
+    """Feature by (group, stage) fold changes, stages outermost, zero where a feature was filtered out of a group."""
+    label = F.concat(F.col(group), F.lit(", "), F.lower("stage"))
+    labelled = results.where(F.col(group).isin(list(groups)) & F.col("stage").isin(list(stages)))
+    names = [f"{g}, {stage.lower()}" for stage in stages for g in groups]
+    return cast_wide(labelled.select("feature", "lfc", label.alias("label")), ["feature"], "label", "lfc", names, fill=0.0)
 
 
 def lfc_from_baseline(df: DataFrame, ratio: Column) -> DataFrame:

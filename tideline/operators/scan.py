@@ -44,12 +44,33 @@ def chunked(rows: DataFrame, by: Sequence[str], order: str, full: int = FULL) ->
     """``rows`` (one per stratum and distinct order value) with their chunk: a struct in the values' order."""
     rough, v = order_chunk(F.col(order)), F.col(order).cast("double")
     rows = rows.withColumn("_rough", F.struct(*_stratum(by), rough.alias("_c")))
-    held = rows.groupBy("_rough").agg(F.count(F.lit(1)).alias("_n_held"), F.min(v).alias("_least"), F.max(v).alias("_most"))
-    rows = rows.join(held, "_rough")
-    width, ranges = F.col("_most") - F.col("_least"), F.ceil(F.col("_n_held") / F.lit(full))
-    part = F.when((F.col("_n_held") > full) & (width > 0), F.least(F.floor((v - F.col("_least")) / width * ranges), ranges - 1))
-    chunk = F.struct(F.col("_rough")["_c"].alias("c"), F.coalesce(part, F.lit(0)).cast("bigint").alias("p"))
-    return rows.withColumn(CHUNK, chunk).drop("_rough", "_n_held", "_least", "_most")
+    held = rows.groupBy("_rough").agg(F.count(F.lit(1)).alias("_held"), F.min(v).alias("_least"), F.max(v).alias("_most"))
+    rows = rows.join(held.where(F.col("_held") > full), "_rough", "left")  # few chunks, often none
+    chunk = F.struct(F.col("_rough")["_c"].alias("c"), _part(v, full).alias("p"))
+    return rows.withColumn(CHUNK, chunk).drop("_rough", "_held", "_least", "_most")
+
+
+def _part(v: Column, full: int = FULL) -> Column:
+    """The equal range of its chunk (``_held`` values from ``_least`` to ``_most``) that a value lies in, from 0."""
+    width, ranges = F.col("_most") - F.col("_least"), F.ceil(F.col("_held") / F.lit(full))
+    part = F.when((F.col("_held") > full) & (width > 0), F.least(F.floor((v - F.col("_least")) / width * ranges), ranges - 1))
+    return F.coalesce(part, F.lit(0)).cast("bigint")
+
+
+def running(rows: DataFrame, chunk: Sequence[str], value: str, full: int = FULL) -> DataFrame:
+    """``_at``: the sum of ``_n`` over a chunk's rows up to each value, one row per value. Rows carry ``_held``,
+    ``_least`` and ``_most`` of their chunk, and a chunk of more than ``full`` values is summed in parts."""
+    rows = rows.withColumn("_part", _part(F.col(value).cast("double"), full))
+    rows = rows.withColumn("_at", F.sum("_n").over(Window.partitionBy(*chunk, "_part").orderBy(value)))
+    sizes = rows.where(F.col("_held") > full).groupBy(*chunk, "_part").agg(F.sum("_n").alias("_p"))
+    earlier = Window.partitionBy(*chunk).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.sum("_p").over(earlier)).where(F.col("_before") > 0).drop("_p")
+    named = before.withColumnsRenamed({c: f"_in_{c}" for c in [*chunk, "_part"]})
+    same = F.lit(True)
+    for c in [*chunk, "_part"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_in_{c}"))
+    rows = rows.join(named, same, "left").withColumn("_at", F.col("_at") + F.coalesce("_before", F.lit(0)))
+    return rows.drop("_part", "_before", *[f"_in_{c}" for c in [*chunk, "_part"]])
 
 
 def prefix_sums(
@@ -59,9 +80,11 @@ def prefix_sums(
     sums: Mapping[str, Column],
     *,
     descending: bool = False,
+    keep_chunks: bool = False,
 ) -> DataFrame:
     """Per row and name: ``<name>_before`` (rows strictly earlier), ``<name>_tie`` (same order value)
     and ``<name>_total`` (whole stratum). A struct key keeps missing strata as a stratum of their own.
+    ``keep_chunks`` leaves the key and the chunk in the rows, for a scan that follows.
 
     Callers aggregate to distinct order values first, so that ties cannot fill a chunk.
     """
@@ -91,7 +114,7 @@ def prefix_sums(
     rows = rows.join(offsets, KEY)
     for n in sums:
         rows = rows.withColumn(f"{n}_before", F.col(f"_o_{n}") + F.col(f"_u_{n}") - F.col(f"{n}_tie"))
-    return rows.drop(KEY, CHUNK, *[f"_{p}_{n}" for n in sums for p in "xuo"])
+    return rows.drop(*([] if keep_chunks else [KEY, CHUNK]), *[f"_{p}_{n}" for n in sums for p in "xuo"])
 
 
 def rank_table(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -107,24 +130,29 @@ def rank_table(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def _ordered_near(counted: DataFrame, by: Sequence[str], value: str, size: Column, spots: Mapping) -> DataFrame:
     """The distinct values of the chunks that hold a wanted position, with the position they end at."""
-    counted = chunked(counted, by, value)
-    counted = counted.withColumn(KEY, F.struct(*_stratum(by), F.col(CHUNK)))
+    counted = counted.withColumn("_c", order_chunk(F.col(value)))
+    x = F.col(value).cast("double")
     stratum = Window.partitionBy(*_stratum(by))
     chunks = (
-        counted.groupBy(KEY)
-        .agg(*[F.first(c).alias(c) for c in [*by, CHUNK]], F.sum("_n").alias("_c"))
-        .withColumn("_listed", F.sum("_c").over(stratum))
+        counted.groupBy(*by, "_c")
+        .agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_held"), F.min(x).alias("_least"), F.max(x).alias("_most"))
+        .withColumn("_listed", F.sum("_rows").over(stratum))
         .withColumn("_size", size)
-        .withColumn("_end", F.sum("_c").over(stratum.orderBy(CHUNK)) + F.col("_size") - F.col("_listed"))
-        .withColumn("_off", F.col("_end") - F.col("_c"))
+        .withColumn("_end", F.sum("_rows").over(stratum.orderBy("_c")) + F.col("_size") - F.col("_listed"))
+        .withColumn("_off", F.col("_end") - F.col("_rows"))
     )
     # the first chunk is kept so that a group of implicit zeros still has a row
     wanted = F.col("_off") == F.col("_size") - F.col("_listed")
     for _, lo, hi in spots.values():
         for k in (lo, hi):
             wanted = wanted | ((F.col("_off") < k) & (k <= F.col("_end")))
-    rows = counted.join(chunks.where(wanted).select(KEY, "_size", "_off"), KEY)
-    return rows.withColumn("_at", F.col("_off") + F.sum("_n").over(Window.partitionBy(KEY).orderBy(value)))
+    chunks = chunks.where(wanted).drop("_rows", "_listed", "_end").withColumnsRenamed({c: f"_by_{c}" for c in [*by, "_c"]})
+    same = F.lit(True)
+    for c in [*by, "_c"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    rows = counted.join(chunks, same).drop(*[f"_by_{c}" for c in [*by, "_c"]])
+    rows = running(rows, [*by, "_c"], value)
+    return rows.withColumn("_at", F.col("_off") + F.col("_at"))
 
 
 def quantiles(
@@ -133,13 +161,13 @@ def quantiles(
     value: str,
     probs: Mapping[str, float],
     *,
-    total: int | None = None,
+    total: int | Column | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one row per group.
 
     Equal values are counted first; then only the chunks that hold a wanted order statistic are
-    sorted. ``total`` declares that each group has that many values, the unlisted ones being zeros
-    below all others (a sparse count matrix).
+    sorted. ``total`` declares that a group has that many values (a number, or an expression of the group's
+    columns), the unlisted ones being zeros below all others (a sparse count matrix).
     """
     return quantiles_of_counts(value_counts(df, by, value), by, value, probs, total=total)
 
@@ -155,10 +183,10 @@ def quantiles_of_counts(
     value: str,
     probs: Mapping[str, float],
     *,
-    total: int | None = None,
+    total: int | Column | None = None,
 ) -> DataFrame:
     """:func:`quantiles` of a table made by :func:`value_counts`, which other summaries may share."""
-    size = F.lit(total).cast("bigint") if total is not None else F.col("_listed")
+    size = F.col("_listed") if total is None else (total if isinstance(total, Column) else F.lit(total)).cast("bigint")
     spots = {}
     for name, p in probs.items():
         h = (F.col("_size") - 1) * F.lit(float(p)) + 1
@@ -176,6 +204,46 @@ def quantiles_of_counts(
     return out.select(*by, *probs)
 
 
+def trim_bounds(df: DataFrame, by: Sequence[str], trims: Mapping[str, float]) -> DataFrame:
+    """Per group and measure the structs ``<measure>_low`` and ``<measure>_high``: the values ``x`` on which the cuts
+    fall that take that share of the group's values off either end by average rank, and whether they stay (``in``).
+
+    Chunks of all measures are counted in one pass; the values come back only for the chunks in which a cut falls.
+    """
+    names = list(trims)
+    chunk = F.explode(F.array(*[F.struct(F.lit(i).alias("_w"), order_chunk(F.col(m)).alias("_c"), F.col(m).alias("_x")) for i, m in enumerate(names)]))
+    held = df.select(*by, chunk.alias("_h")).groupBy(*by, F.col("_h._w").alias("_w"), F.col("_h._c").alias("_c"))
+    held = held.agg(F.count(F.lit(1)).alias("_held"), F.min("_h._x").alias("_least"), F.max("_h._x").alias("_most"))
+    stratum = Window.partitionBy(*by, "_w")
+    cut = F.floor(F.col("_size") * F.element_at(F.array(*[F.lit(float(t)) for t in trims.values()]), F.col("_w") + 1)) + 1
+    held = held.withColumns({"_size": F.sum("_held").over(stratum), "_end": F.sum("_held").over(stratum.orderBy("_c"))})
+    held = held.withColumns({"_first": cut, "_last": F.col("_size") + 1 - cut, "_off": F.col("_end") - F.col("_held")})
+    falls = [(F.col("_off") < F.col(k)) & (F.col(k) <= F.col("_end")) for k in ("_first", "_last")]
+    held = held.where(falls[0] | falls[1]).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    near = []
+    for i, m in enumerate(names):
+        some = df.select(*by, F.col(m).alias("_x"), order_chunk(F.col(m)).alias("_key"))
+        near.append(some.join(held.where(F.col("_w") == i), same & (F.col("_key") == F.col("_c"))).drop("_key", *[f"_by_{c}" for c in by]))
+    rows = near[0]
+    for more in near[1:]:
+        rows = rows.unionByName(more)
+    kept = ["_first", "_last", "_off", "_held", "_least", "_most"]
+    rows = rows.groupBy(*by, "_w", "_c", "_x").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in kept])
+    rows = running(rows, [*by, "_w", "_c"], "_x")
+    at = F.col("_off") + F.col("_at")
+    rank = at - F.col("_n") + (F.col("_n") + 1) / 2
+    bounds = []
+    for i, m in enumerate(names):
+        for k, side, agg in (("_first", "low", F.min), ("_last", "high", F.max)):
+            here = (F.col("_w") == i) & (F.col(k) > at - F.col("_n")) & (F.col(k) <= at)
+            stays = rank >= F.col(k) if side == "low" else rank <= F.col(k)
+            bounds.append(agg(F.when(here, F.struct(F.col("_x").alias("x"), stays.alias("in")))).alias(f"{m}_{side}"))
+    return rows.groupBy(*by).agg(*bounds)
+
+
 def number_levels(df: DataFrame, key: str, order: str, out: str = "level") -> DataFrame:
     """One row per key, numbered 1.. by the key's smallest ``order`` value, then by the key itself.
 
