@@ -291,23 +291,47 @@ def test_whole_count_comparison_finds_the_planted_features(spark):
 # ---- components
 
 
-def test_components_by_both_routes(spark):
-    rng = np.random.default_rng(12)
-    x = rng.normal(size=(30, 2)) @ np.diag([6, 3]) @ rng.normal(size=(2, 18)) + rng.normal(size=(30, 18)) + 50
+def same_components(parts, x):
+    """``x``: features by samples."""
     c = x - x.mean(axis=1, keepdims=True)
     u, d, vt = np.linalg.svd(c, full_matrices=False)
-    for limit in (100, 5):
-        parts = P.pca(long(spark, x), 2, dense_features=limit)
-        scores = parts.scores.orderBy("sample").toPandas()
-        load = parts.loadings.orderBy("feature").toPandas()
-        for k, name in enumerate(("PC1", "PC2")):
-            assert np.abs(scores[name].to_numpy()) == pytest.approx(np.abs(vt[k] * d[k]), abs=1e-5)
-            assert np.abs(load[name].to_numpy()) == pytest.approx(np.abs(u[:, k]), abs=1e-6)
-            assert load[name].to_numpy()[np.abs(load[name].to_numpy()).argmax()] > 0
-        assert load[["PC1", "PC2"]].to_numpy().T @ load[["PC1", "PC2"]].to_numpy() == pytest.approx(np.eye(2), abs=1e-8)
-        share = {r.component: (r.share, r.label) for r in parts.variance.collect()}
-        want = d**2 / (d**2).sum()
-        assert share["PC1"][0] == pytest.approx(want[0]) and share["PC1"][1] == f"PC1 ({round(100 * want[0])}%)"
+    scores = parts.scores.orderBy("sample").toPandas()
+    load = parts.loadings.orderBy("feature").toPandas()
+    for k, name in enumerate(("PC1", "PC2")):
+        assert np.abs(scores[name].to_numpy()) == pytest.approx(np.abs(vt[k] * d[k]), abs=1e-6)
+        assert np.abs(load[name].to_numpy()) == pytest.approx(np.abs(u[:, k]), abs=1e-7)
+        assert load[name].to_numpy()[np.abs(load[name].to_numpy()).argmax()] > 0
+    assert load[["PC1", "PC2"]].to_numpy().T @ load[["PC1", "PC2"]].to_numpy() == pytest.approx(np.eye(2), abs=1e-8)
+    share = {r.component: (r.share, r.label) for r in parts.variance.collect()}
+    want = d**2 / (d**2).sum()
+    assert share["PC1"][0] == pytest.approx(want[0]) and share["PC1"][1] == f"PC1 ({round(100 * want[0])}%)"
+    assert share["PC2"][0] == pytest.approx(want[1])
+
+
+@pytest.mark.parametrize(("features", "block", "depth"), [(30, 4, 3), (70, 32, 12)])
+def test_components(spark, monkeypatch, features, block, depth):
+    monkeypatch.setattr(P, "BLOCK", block)
+    monkeypatch.setattr(P, "DEPTH", depth)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(features, 2)) @ np.diag([6, 3]) @ rng.normal(size=(2, 18)) + rng.normal(size=(features, 18)) + 50
+    same_components(P.pca(long(spark, x), 2), x)
+
+
+def test_components_with_unlisted_cells(spark):
+    rng = np.random.default_rng(13)
+    base = rng.normal(3, 2, 20)
+    x = np.tile(base, (40, 1))
+    listed = rng.random((40, 20)) < 0.3
+    listed[0] = True
+    x[listed] += rng.gamma(2, 2, listed.sum())
+    cells = long(spark, np.where(listed, x, np.nan))
+    same_components(P.pca(cells, 2, base=spark.createDataFrame([(j, float(b)) for j, b in enumerate(base)], "sample int, base double")), x)
+
+
+def test_constant_matrix_has_no_component(spark):
+    parts = P.pca(long(spark, np.ones((4, 5))), 2)
+    assert [r.variance for r in parts.variance.collect()] == pytest.approx([0.0, 0.0], abs=1e-12)
+    assert all(abs(r.PC1) < 1e-9 for r in parts.scores.collect())
 
 
 def test_contributors_are_ordered_by_length(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tideline.catalog.registry import q6, query, r6, sql_digamma, sql_t_p, sql_tetragamma, sql_trigamma
@@ -24,7 +26,6 @@ BATCHES = ["A", "B"]
 
 _DENSE = """, dense AS (SELECT f.feature, s.sample, COALESCE(c.value, 0) AS value FROM (SELECT DISTINCT feature FROM counts) f
     CROSS JOIN (SELECT DISTINCT sample FROM samples) s LEFT JOIN counts c ON c.feature = f.feature AND c.sample = s.sample)"""
-_LOGC = _DENSE + ", logc AS (SELECT feature, sample, log2(value + 0.5::DOUBLE) AS value FROM dense)"
 _TMM = """, lib AS (SELECT sample, CAST(SUM(value) AS DOUBLE) AS lib FROM counts GROUP BY 1),
     uq AS (SELECT sample, lib, quantile_cont(CAST(value AS DOUBLE), 0.75) / lib AS q FROM dense JOIN lib USING (sample) GROUP BY 1, 2),
     ref AS (SELECT sample, lib FROM uq ORDER BY abs(q - (SELECT AVG(q) FROM uq)), sample LIMIT 1),
@@ -76,11 +77,91 @@ def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-COUNT_FIT = recursive(sql_with("counts", "samples")) + _LOGC + oneway_sql("logc", "samples") + EBAYES
+def _between(at: str, curve: str) -> str:
+    """SQL text: rows of ``at`` (id, x) with the curve's value, constant beyond its ends."""
+    return f"""SELECT p.id, CASE WHEN c.a1 IS NULL THEN c.f0 WHEN p.x <= c.a0 THEN c.f0 ELSE c.f0 + (p.x - c.a0)/(c.a1 - c.a0)*(c.f1 - c.f0) END AS f
+        FROM (SELECT id, x, greatest(x, (SELECT min(a) FROM {curve})) AS xx FROM {at}) p ASOF JOIN (SELECT a AS a0, f AS f0, lead(a) OVER (ORDER BY a) AS a1, lead(f) OVER (ORDER BY a) AS f1 FROM {curve}) c ON p.xx >= c.a0"""
+
+
+def lowess_sql(points: str, out: str, span: float = 0.5, rounds: int = 3) -> str:
+    """CTEs that smooth ``points`` (id, x, y); the last, ``out``, has the knots (a, f)."""
+    k = f"{out}_"
+    text = f""", {k}n AS (SELECT COUNT(*) AS n, min(x) AS lo, max(x) AS hi, greatest(least(CAST(floor({span}::DOUBLE*COUNT(*) + 1e-7::DOUBLE) AS BIGINT), COUNT(*)), 2) AS q FROM {points}),
+    {k}walk AS (SELECT lo AS a FROM {k}n UNION ALL
+        SELECT coalesce(max(p.x) FILTER (p.x <= w.a + 0.01::DOUBLE*(hi - lo)), min(p.x)) FROM {k}walk w, {points} p, {k}n WHERE p.x > w.a GROUP BY w.a),
+    {k}reach AS (SELECT a, d AS h FROM (SELECT a, abs(x - a) AS d, row_number() OVER (PARTITION BY a ORDER BY abs(x - a)) AS i FROM {k}walk, {points}), {k}n WHERE i = q),
+    {k}near AS (SELECT a, id, x - a AS u, y, CASE WHEN abs(x - a) <= 0.001::DOUBLE*h THEN 1.0::DOUBLE ELSE pow(1 - pow(abs(x - a)/h, 3), 3) END AS w FROM {k}reach, {points} WHERE abs(x - a) <= 0.999::DOUBLE*h),
+    {k}w0 AS (SELECT id, 1.0::DOUBLE AS rw FROM {points})"""
+    for r in range(rounds + 1):
+        name = out if r == rounds else f"{k}f{r}"
+        text += f""", {k}m{r} AS (SELECT a, SUM(w*rw) AS w, SUM(w*rw*u)/SUM(w*rw) AS u, SUM(w*rw*u*u)/SUM(w*rw) AS uu, SUM(w*rw*y)/SUM(w*rw) AS y, SUM(w*rw*u*y)/SUM(w*rw) AS uy FROM {k}near JOIN {k}w{r} USING (id) GROUP BY 1),
+    {name} AS (SELECT a, y - u*CASE WHEN sqrt(greatest(uu - u*u, 0)) > 0.001::DOUBLE*(hi - lo) THEN (uy - u*y)/(uu - u*u) ELSE 0 END AS f FROM {k}m{r}, {k}n)"""
+        if r < rounds:
+            text += f""", {k}e{r} AS (SELECT id, abs(y - f) AS e FROM {points} JOIN ({_between(points, name)}) USING (id)),
+    {k}w{r + 1} AS (SELECT id, CASE WHEN e/s <= 0.001::DOUBLE THEN 1.0::DOUBLE WHEN e/s <= 0.999::DOUBLE THEN pow(1 - pow(e/s, 2), 2) ELSE 0.0::DOUBLE END AS rw FROM {k}e{r}, (SELECT 6*median(e) AS s FROM {k}e{r}))"""
+    return text
+
+
+def count_model_sql(where: str, k: str = "", *, n: int = 3, threshold: int = 20, filtered: bool = True) -> str:
+    """CTEs of the weighted count model over the samples for which ``where`` holds, with names that end in ``k``: the cells
+    ``cell{k}`` (feature, sample, value, weight), and ``fit{k}`` and ``contr{k}`` as the plain models have them."""
+    enough = f"WHERE feature IN (SELECT feature FROM sub{k} GROUP BY 1 HAVING COUNT(*) FILTER (value > {threshold}) >= {n})" if filtered else ""
+    tmm = _TMM
+    for name in ("lib", "uq", "ref", "base", "ma", "rk", "tf", "tmm"):
+        tmm = re.sub(rf"(?<![\w.]){name} AS \(", f"{name}{k} AS (", tmm)
+        tmm = re.sub(rf"(FROM|JOIN) {name}\b", rf"\1 {name}{k}", tmm)
+    tmm = tmm.replace(f"ref{k}.lib", "ref.lib").replace(f"JOIN ref{k} USING", f"JOIN ref{k} AS ref USING").replace("counts", f"kept{k}").replace("dense", f"dense{k}")
+    return f""", sel{k} AS (SELECT sample, stage FROM samples WHERE {where}),
+    sub{k} AS (SELECT feature, sample, value FROM counts JOIN sel{k} USING (sample)),
+    kept{k} AS (SELECT * FROM sub{k} {enough}),
+    dense{k} AS (SELECT f.feature, s.sample, COALESCE(c.value, 0) AS value FROM (SELECT DISTINCT feature FROM kept{k}) f CROSS JOIN (SELECT DISTINCT sample FROM kept{k}) s LEFT JOIN kept{k} c ON c.feature = f.feature AND c.sample = s.sample){tmm},
+    size{k} AS (SELECT sample, stage, log2(lib*factor + 1) AS lg, AVG(log2(lib*factor + 1)) OVER () AS mlg FROM tmm{k} JOIN sel{k} USING (sample)),
+    y{k} AS (SELECT feature, sample, stage, log2(value + 0.5::DOUBLE) + log2(1e6::DOUBLE) - lg AS value, lg, mlg FROM dense{k} JOIN size{k} USING (sample)),
+    plain{k} AS (SELECT feature, stage, COUNT(*) AS n, AVG(value) AS m, var_pop(value)*COUNT(*) AS ss FROM y{k} GROUP BY 1, 2),
+    pts{k} AS (SELECT feature AS id, SUM(n*m)/SUM(n) + (SELECT any_value(mlg) FROM size{k}) - log2(1e6::DOUBLE) AS x, sqrt(sqrt(SUM(ss)/(SUM(n) - COUNT(*)))) AS y FROM plain{k} GROUP BY 1){lowess_sql(f"pts{k}", f"curve{k}")},
+    spot{k} AS (SELECT feature || '#' || sample AS id, feature, sample, stage, value, m + lg - log2(1e6::DOUBLE) AS x FROM y{k} JOIN plain{k} USING (feature, stage)),
+    cell{k} AS (SELECT feature, sample, stage, value, pow(f, -4) AS weight FROM spot{k} JOIN ({_between(f"spot{k}", f"curve{k}")}) USING (id)),
+    st{k} AS (SELECT feature, stage, COUNT(*) AS n, SUM(weight) AS mass, SUM(weight*value)/SUM(weight) AS m FROM cell{k} GROUP BY 1, 2),
+    fit{k} AS (SELECT feature, CAST(COUNT(*) - COUNT(DISTINCT stage) AS DOUBLE) AS df, sqrt(SUM(weight*pow(value - m, 2))/(COUNT(*) - COUNT(DISTINCT stage))) AS sigma FROM cell{k} JOIN st{k} USING (feature, stage) GROUP BY 1),
+    contr{k} AS (SELECT a.feature, a.stage, a.m - b.m AS lfc, sqrt(1/a.mass + 1/b.mass) AS unscaled, sigma, df FROM st{k} a JOIN st{k} b ON a.feature = b.feature AND b.stage = 'Baseline'
+        AND a.stage IN ('Early','Middle','Late') JOIN fit{k} fit ON fit.feature = a.feature)"""
+
+
+COUNT_TABLES = recursive(sql_with("counts", "samples"))
+VIREMIC, HD, LDV, AVIREMIC = "grp <> 'LD-NV'", "grp = 'HD'", "grp = 'LD-V'", "grp = 'LD-NV'"
+
+
+def count_result_sql(where: str, p: str = "0.05", f: str = "1") -> str:
+    return COUNT_TABLES + count_model_sql(where) + EBAYES + RESULT.format(p=p, f=f)
+
+
+COUNT_FIT = COUNT_TABLES + count_model_sql("true", filtered=False) + EBAYES
 COUNT_RESULT = COUNT_FIT + RESULT.format(p="0.4", f="0.1")
 ROUNDED = f"SELECT feature, stage, {q6('lfc')} AS lfc, {q6('padj')} AS padj, significant, regulation FROM res"
 
 
+def pca_sql(matrix: str, squarings: int = 18) -> str:
+    """CTEs of the first two components of ``matrix`` (feature, sample, value): ``load`` and ``score`` per component,
+    ``vari`` with variances. A covariance squared again and again becomes the projection on its leading direction;
+    the second one comes from what is left."""
+    text = f""", cen AS (SELECT feature, sample, value - AVG(value) OVER (PARTITION BY feature) AS v FROM {matrix}),
+    freedom AS (SELECT COUNT(DISTINCT sample) - 1 AS n FROM cen),
+    cov1 AS (SELECT a.feature AS i, b.feature AS j, SUM(a.v*b.v)/(SELECT n FROM freedom) AS c FROM cen a JOIN cen b USING (sample) GROUP BY 1, 2)"""
+    for pc in (1, 2):
+        text += f", p{pc}_0 AS (SELECT i, j, c/(SELECT SUM(c) FROM cov{pc} WHERE i = j) AS c FROM cov{pc})"
+        for s in range(squarings):
+            text += f", q{pc}_{s} AS (SELECT a.i, b.j, SUM(a.c*b.c) AS c FROM p{pc}_{s} a JOIN p{pc}_{s} b ON a.j = b.i GROUP BY 1, 2), p{pc}_{s + 1} AS (SELECT i, j, c/(SELECT SUM(c) FROM q{pc}_{s} WHERE i = j) AS c FROM q{pc}_{s})"
+        text += f""", d{pc} AS (SELECT i, c/sqrt(SUM(c*c) OVER ()) AS c FROM p{pc}_{squarings} WHERE j = (SELECT arg_max(i, c) FROM p{pc}_{squarings} WHERE i = j)),
+    v{pc} AS (SELECT i AS feature, c*(SELECT CASE WHEN arg_max(c, abs(c)) < 0 THEN -1 ELSE 1 END FROM d{pc}) AS c FROM d{pc}),
+    l{pc} AS (SELECT SUM(a.c*m.c*b.c) AS l FROM cov{pc} m JOIN v{pc} a ON a.feature = m.i JOIN v{pc} b ON b.feature = m.j)"""
+        if pc == 1:
+            text += ", cov2 AS (SELECT m.i, m.j, m.c - l*a.c*b.c AS c FROM cov1 m JOIN v1 a ON a.feature = m.i JOIN v1 b ON b.feature = m.j, l1)"
+    return text + """, load AS (SELECT v1.feature, v1.c AS pc1, v2.c AS pc2 FROM v1 JOIN v2 USING (feature)),
+    score AS (SELECT sample, SUM(v*pc1) AS pc1, SUM(v*pc2) AS pc2 FROM cen JOIN load USING (feature) GROUP BY 1),
+    total AS (SELECT SUM(c) AS t FROM cov1 WHERE i = j),
+    vari AS (SELECT 'PC1' AS component, l AS variance, l/t AS share FROM l1, total UNION ALL SELECT 'PC2', l, l/t FROM l2, total)"""
+
+
 # ---------------------------------------------------------------- plans shared below
 
 
@@ -88,16 +169,14 @@ def _dense(spark, sf):
     return K.complete_cells(B.counts(spark, sf), B.samples(spark, sf))
 
 
-def _logc(spark, sf):
-    return _dense(spark, sf).withColumn("value", F.log2(F.col("value") + 0.5))
-
-
 def _count_tests(spark, sf):
-    return M.ebayes(M.fit_oneway(_logc(spark, sf), B.samples(spark, sf), "stage", STAGE), STAGE, CONTRASTS)
+    """Moderated tests of the whole count matrix, no feature filtered out."""
+    return M.count_tests(B.counts(spark, sf), B.samples(spark, sf), "stage", STAGE, CONTRASTS, n=0)
 
 
-def _count_results(spark, sf):
-    return M.results(_count_tests(spark, sf), p_max=0.4, lfc_min=0.1)
+def _study(spark, sf, *groups):
+    """Result table of the count comparison in some study groups, all in one plan."""
+    return M.count_de(B.counts(spark, sf), B.study_samples(spark, sf, list(groups)), "stage", STAGE, CONTRASTS, by="study")
 
 
 def _rounded(df, *names):
@@ -183,37 +262,54 @@ def _(spark, sf):
 
 @query("mat_classify", COUNT_RESULT + ROUNDED)
 def _(spark, sf):
-    return _rounded(_count_results(spark, sf), "lfc", "padj")
+    return _rounded(M.results(_count_tests(spark, sf), p_max=0.4, lfc_min=0.1), "lfc", "padj")
 
 
-@query("mat_voom")
+@query("mat_voom", COUNT_TABLES + count_model_sql("true", filtered=False) + f" SELECT feature, sample, {q6('value')} AS value, {q6('weight')} AS weight FROM cell")
 def _(spark, sf):
     cells = durable(B.counts(spark, sf))
-    dense = K.complete_cells(cells, B.samples(spark, sf))
-    return _rounded(M.voom(dense, B.samples(spark, sf), K.tmm(cells), "stage", STAGE), "value", "weight")
+    return _rounded(M.voom(cells, B.samples(spark, sf), durable(K.tmm(cells)), "stage", STAGE), "value", "weight")
 
 
 # ---------------------------------------------------------------- components
 
 
-@query("mat_pca")
+_SCORES = f" SELECT s.sample, stage, batch, grp, {q6('pc1')} AS \"PC1\", {q6('pc2')} AS \"PC2\" FROM score s LEFT JOIN assay_samples m ON m.sample = s.sample"
+_VARIANCE = f" SELECT component, {q6('variance')} AS variance, {q6('share')} AS share, component || ' (' || CAST(round_even(100*share, 0) AS INT) || '%)' AS label FROM vari"
+
+
+@query("mat_pca", recursive(sql_with("assay", "assay_samples")) + pca_sql("assay") + _SCORES)
 def _(spark, sf):
     parts = P.pca(B.assay(spark, sf))
     return _rounded(parts.scores.join(B.assay_samples(spark, sf), "sample", "left"), "PC1", "PC2")
 
 
-@query("mat_pca_batch")
+@query("mat_pca_batch", sql_with("assay", "assay_samples") + batch_sql("assay", "assay_samples") + ", clean AS (SELECT feature, sample, value - b*(z - 0.5::DOUBLE) AS value FROM x JOIN effect USING (feature))" + pca_sql("clean") + _SCORES)
 def _(spark, sf):
     meta = B.assay_samples(spark, sf)
     clean = M.remove_batch(B.assay(spark, sf), meta, "stage", STAGE, "batch", BATCHES)
     return _rounded(P.pca(clean).scores.join(meta, "sample", "left"), "PC1", "PC2")
 
 
-@query("mat_pca_counts")
+_KEPT_COUNTS = sql_with("counts", "samples").replace("counts AS (", "every AS (") + ", counts AS (SELECT * FROM every WHERE feature IN (SELECT feature FROM every GROUP BY 1 HAVING COUNT(*) FILTER (value > 20) >= 3))" + _DENSE + _LOGCPM
+
+
+@query("mat_pca_counts", _KEPT_COUNTS + pca_sql("logcpm") + _VARIANCE)
 def _(spark, sf):
     kept = durable(K.filter_features(B.counts(spark, sf)))
-    logged = K.log_cpm(K.complete_cells(kept, B.samples(spark, sf)), K.tmm(kept))
-    return _rounded(P.pca(logged).variance, "variance", "share")
+    factors = durable(K.tmm(kept))
+    # cells without a count stay unlisted
+    return _rounded(P.pca(K.log_cpm(kept, factors), base=K.log_cpm_base(factors)).variance, "variance", "share")
+
+
+@query("mat_pca_labels", sql_with("assay") + pca_sql("assay") + _VARIANCE)
+def _(spark, sf):
+    return _rounded(P.pca(B.assay(spark, sf)).variance, "variance", "share")
+
+
+@query("mat_loadings", sql_with("assay") + pca_sql("assay") + f" SELECT feature, {q6('pc1')} AS \"PC1\", {q6('pc2')} AS \"PC2\" FROM load")
+def _(spark, sf):
+    return _rounded(P.pca(B.assay(spark, sf)).loadings, "PC1", "PC2")
 
 
 @query("mat_pca_total_var", sql_with("assay") + f"SELECT {q6('SUM(v)')} AS total_variance, COUNT(*) AS features FROM (SELECT feature, var_samp(value) AS v FROM assay GROUP BY 1)")
@@ -221,7 +317,7 @@ def _(spark, sf):
     return _rounded(P.total_variance(B.assay(spark, sf)), "total_variance")
 
 
-@query("mat_contrib")
+@query("mat_contrib", sql_with("assay") + pca_sql("assay") + f" SELECT feature, {q6('pc1')} AS \"PC1\", {q6('pc2')} AS \"PC2\", {q6('sqrt(pc1*pc1 + pc2*pc2)')} AS magnitude FROM load ORDER BY sqrt(pc1*pc1 + pc2*pc2) DESC, feature LIMIT 30")
 def _(spark, sf):
     return _rounded(P.top_contributors(P.pca(B.assay(spark, sf)).loadings, 30), "PC1", "PC2", "magnitude")
 
@@ -229,37 +325,25 @@ def _(spark, sf):
 # ---------------------------------------------------------------- fold changes
 
 
-@query("mat_lfc_baseline", sql_with("obs") + """SELECT o.subject, o.t, o.feature, round(log2(o.value / b.value), 6) + 0::DOUBLE AS lfc FROM obs o LEFT JOIN obs b ON o.subject = b.subject AND o.feature = b.feature AND b.t = 0
-    WHERE o.feature IN ('click', 'error')""")
+@query("mat_lfc_baseline", sql_with("obs") + """SELECT o.subject, o.t, o.feature, round(log2(o.value / b.value), 6) + 0::DOUBLE AS lfc FROM obs o LEFT JOIN obs b ON o.subject = b.subject AND o.feature = b.feature AND b.t = 0""")
 def _(spark, sf):
-    some = B.obs(spark, sf).where(F.col("feature").isin("click", "error"))
-    joined = with_baseline(some, ["subject", "feature"], "value", F.col("t") == 0)
+    joined = with_baseline(B.obs(spark, sf), ["subject", "feature"], "value", F.col("t") == 0)
     out = M.lfc_from_baseline(joined, r_div(F.col("value"), F.col("baseline")))
     return _rounded(out.select("subject", "t", "feature", "lfc"), "lfc")
 
 
-def _grid_part(group):
-    return f"""SELECT '{group}' AS grp, feature, a.stage, a.m - b.m AS lfc FROM (SELECT feature, stage, AVG(value) AS m FROM logk JOIN samples USING (sample) WHERE grp = '{group}' GROUP BY 1, 2) a
-        JOIN (SELECT feature, AVG(value) AS m FROM logk JOIN samples USING (sample) WHERE grp = '{group}' AND stage = 'Baseline' GROUP BY 1) b USING (feature)
-        WHERE feature IN (SELECT feature FROM counts JOIN samples USING (sample) WHERE grp = '{group}' AND value > 400 GROUP BY 1 HAVING COUNT(*) >= 3)"""
-
-
 _GRID_COLUMNS = ", ".join(
     f"""COALESCE(MAX(CASE WHEN grp = '{g}' AND stage = '{s}' THEN {q6('lfc')} END), 0) AS "{g}, {s.lower()}" """ for s in SHOWN for g in GROUP
 )
+_GRID_KEYS = {"HD": "_hd", "LD-V": "_ldv", "LD-NV": "_ldnv"}
+_GRID_MODELS = "".join(count_model_sql(f"grp = '{g}'", k) for g, k in _GRID_KEYS.items())
+_GRID_PARTS = " UNION ALL ".join(f"SELECT '{g}' AS grp, feature, stage, lfc FROM contr{k}" for g, k in _GRID_KEYS.items())
 
 
-@query("mat_lfc_grid", sql_with("counts", "samples") + _DENSE + f", logk AS (SELECT feature, sample, log2(value + 0.5::DOUBLE) AS value FROM dense), grid AS ({' UNION ALL '.join(_grid_part(g) for g in GROUP)}) SELECT feature, {_GRID_COLUMNS} FROM grid WHERE stage IN ('Early','Middle','Late') GROUP BY 1")
+@query("mat_lfc_grid", COUNT_TABLES + _GRID_MODELS + f", grid AS ({_GRID_PARTS}) SELECT feature, {_GRID_COLUMNS} FROM grid GROUP BY 1")
 def _(spark, sf):
-    counts, samples = B.counts(spark, sf), B.samples(spark, sf)
-    parts = {}
-    for g in GROUP:
-        some = samples.where(F.col("grp") == g)
-        kept = K.filter_features(counts.join(some.select("sample"), "sample", "left_semi"), 3, 400)
-        logged = K.complete_cells(kept, some).withColumn("value", F.log2(F.col("value") + 0.5))
-        tests = M.contrast(M.fit_oneway(logged, some, "stage", STAGE), STAGE, CONTRASTS)
-        parts[g] = tests.select("feature", r6("lfc").alias("lfc"), F.col("contrast").alias("stage"))
-    return M.lfc_grid(parts, SHOWN)
+    grid = D.count_grid(B.counts(spark, sf), B.study_samples(spark, sf, GROUP), "stage", STAGE, CONTRASTS, "study", GROUP, SHOWN)
+    return _rounded(grid, *[c for c in grid.columns if c != "feature"])
 
 
 # ---------------------------------------------------------------- composite tables
@@ -271,16 +355,22 @@ def _(spark, sf):
     return joined.select("t", "stage").distinct()
 
 
-@query("omx_count_de")
-def _(spark, sf):
-    some = B.samples(spark, sf).where("grp <> 'LD-NV'")
-    return _rounded(M.count_de(B.counts(spark, sf), some, "stage", STAGE, CONTRASTS), "lfc", "padj")
+def _one_study(name, group, where):
+    @query(name, count_result_sql(where) + ROUNDED)
+    def _(spark, sf):
+        return _rounded(_study(spark, sf, group).drop("study"), "lfc", "padj")
+
+
+_one_study("omx_count_de", "viremic", VIREMIC)
+_one_study("omx_count_de_aviremic", "LD-NV", AVIREMIC)
+_one_study("omx_count_de_hd", "HD", HD)
+_one_study("omx_count_de_ldv", "LD-V", LDV)
 
 
-@query("omx_count_de_aviremic")
+@query("omx_count_de_groups")
 def _(spark, sf):
-    some = B.samples(spark, sf).where("grp = 'LD-NV'")
-    return _rounded(M.count_de(B.counts(spark, sf), some, "stage", STAGE, CONTRASTS), "lfc", "padj")
+    """Every study group in one plan; the queries above hold the groups one by one against SQL."""
+    return _rounded(_study(spark, sf, *B.STUDY_GROUPS), "lfc", "padj")
 
 
 _SICK = ", sick AS (SELECT * FROM assay_samples WHERE grp <> 'LD-NV')"
@@ -304,21 +394,27 @@ def _(spark, sf):
 _WIDE = ", ".join(f"""MAX(CASE WHEN stage = '{s}' THEN {q6(v)} END) AS "{s}.{v}" """ for s in SHOWN for v in ("lfc", "padj"))
 
 
-@query("omx_enrich_input", COUNT_RESULT + f" SELECT feature, {_WIDE} FROM res GROUP BY 1")
+@query("omx_enrich_input", count_result_sql(VIREMIC) + f" SELECT feature, {_WIDE} FROM res GROUP BY 1")
+def _(spark, sf):
+    return D.enrichment_input(_rounded(_study(spark, sf, "viremic"), "lfc", "padj"), SHOWN)
+
+
+@query("omx_enrich_input_aviremic", count_result_sql(AVIREMIC) + f" SELECT feature, {_WIDE} FROM res GROUP BY 1")
 def _(spark, sf):
-    return D.enrichment_input(_rounded(_count_results(spark, sf), "lfc", "padj"), SHOWN)
+    return D.enrichment_input(_rounded(_study(spark, sf, "LD-NV"), "lfc", "padj"), SHOWN)
 
 
-@query("omx_volcano", COUNT_RESULT + f""", top AS (SELECT feature, stage FROM res WHERE regulation = 'Up' QUALIFY rank() OVER (PARTITION BY stage ORDER BY lfc DESC) <= 8)
+@query("omx_volcano", count_result_sql(VIREMIC, "0.99", "0.02") + f""", top AS (SELECT feature, stage FROM res WHERE regulation = 'Up' QUALIFY rank() OVER (PARTITION BY stage ORDER BY lfc DESC) <= 8)
     SELECT feature, stage, {q6('lfc')} AS lfc, {q6('-log10(padj)')} AS height, significant, regulation, CASE WHEN top.feature IS NOT NULL THEN feature END AS label FROM res LEFT JOIN top USING (feature, stage)""")
 def _(spark, sf):
-    return _rounded(D.volcano(_count_results(spark, sf), 8), "lfc", "height")
+    results = M.count_de(B.counts(spark, sf), B.study_samples(spark, sf, ["viremic"]), "stage", STAGE, CONTRASTS, by="study", p_max=0.99, lfc_min=0.02)
+    return _rounded(D.volcano(results, 8), "lfc", "height")
 
 
-@query("omx_volcano_both", COUNT_RESULT + f""", top AS (SELECT feature, stage FROM res WHERE significant QUALIFY rank() OVER (PARTITION BY stage, regulation ORDER BY abs(lfc) DESC) <= 5)
+@query("omx_volcano_both", count_result_sql(AVIREMIC) + f""", top AS (SELECT feature, stage FROM res WHERE significant QUALIFY rank() OVER (PARTITION BY stage, regulation ORDER BY abs(lfc) DESC) <= 5)
     SELECT feature, stage, {q6('lfc')} AS lfc, {q6('-log10(padj)')} AS height, significant, regulation, CASE WHEN top.feature IS NOT NULL THEN feature END AS label FROM res LEFT JOIN top USING (feature, stage)""")
 def _(spark, sf):
-    return _rounded(D.volcano(_count_results(spark, sf), 5, by_class=True), "lfc", "height")
+    return _rounded(D.volcano(_study(spark, sf, "LD-NV"), 5, by_class=True), "lfc", "height")
 
 
 @query("omx_shortlist", """WITH s AS (SELECT n_name AS pathway, CAST(SUM(s_acctbal > 5000) AS DOUBLE) AS late, CAST(NULLIF(SUM(CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END), 0) AS DOUBLE) AS early FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),

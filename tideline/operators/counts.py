@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators.aggregate import count_above
@@ -119,10 +119,23 @@ def tmm(df: DataFrame, *, m_trim: float = 0.3, a_trim: float = 0.05, by: str | N
     return raw.select(*own, "lib_size", F.pow(F.lit(2.0), F.col("_f") - shift).alias("factor"))
 
 
-def log_cpm(df: DataFrame, factors: DataFrame, prior: float = 2.0) -> DataFrame:
-    """log2 counts per million, with a prior count scaled by the effective library size."""
+def _prior_counts(factors: DataFrame, prior: float) -> DataFrame:
+    """Per sample its effective library size ``_lib`` and the prior count ``_pad`` scaled to it."""
     sized = factors.select("sample", (F.col("lib_size") * F.col("factor")).alias("_lib"))
     mean = sized.agg(F.avg("_lib")).first()[0]
-    pad = F.lit(prior) * F.col("_lib") / F.lit(mean)
-    value = F.log2((F.col("value") + pad) / (F.col("_lib") + 2 * pad) * 1e6)
-    return df.join(sized, "sample").select("feature", "sample", value.alias("value"))
+    return sized.withColumn("_pad", F.lit(prior) * F.col("_lib") / F.lit(mean))
+
+
+def _per_million(count: Column) -> Column:
+    return F.log2((count + F.col("_pad")) / (F.col("_lib") + 2 * F.col("_pad")) * 1e6)
+
+
+def log_cpm(df: DataFrame, factors: DataFrame, prior: float = 2.0) -> DataFrame:
+    """log2 counts per million of the listed cells, with a prior count scaled by the effective library size."""
+    cells = df.join(_prior_counts(factors, prior), "sample")
+    return cells.select("feature", "sample", _per_million(F.col("value")).alias("value"))
+
+
+def log_cpm_base(factors: DataFrame, prior: float = 2.0) -> DataFrame:
+    """(sample, base): the log count per million of a cell that is not listed, for :func:`pca.pca`."""
+    return _prior_counts(factors, prior).select("sample", _per_million(F.lit(0.0)).alias("base"))

@@ -1,26 +1,38 @@
 """Principal components of samples over features, centred and unscaled.
 
-Up to ``DENSE_FEATURES`` features the library's own PCA is used on one bounded vector per sample.
-Beyond it, block power iteration on the long table: two equi-joins with map-side combined sums per
-round, with nothing larger than components x components on the driver.
+One route for any number of features and samples: a block Krylov space of the matrix that features share, grown from
+the long table. Each step multiplies the newest block of directions by the centred matrix and back, as two equi-joins
+with sums that combine on the map side. Centring is implicit: column means enter as corrections of the sums, so no
+centred copy is written; neither are cells that have no row, whose value depends on the sample alone (``base``). The
+directions are made orthonormal with themselves and all earlier ones in Arrow passes over one row per feature. The
+space holds the exact components once it is as wide as the matrix' rank, and mostly long before; it is grown until the
+wanted components no longer change the matrix' image, and restarted from its best directions where it gets too wide.
+
+The driver holds matrices of ``BLOCK * DEPTH`` columns at most; a feature's row holds twice as many numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tideline.functions.numeric import magnitude
 from tideline.functions.text import percent_label
 from tideline.operators.rank import top_k
 from tideline.session import durable
 
-DENSE_FEATURES = 2048
+#: Directions a step, steps before a restart, and restarts before giving up.
+BLOCK, DEPTH, RESTARTS = 32, 12, 40
+#: A direction shorter than this share of the matrix' image is rounding.
+NOTHING = 1e-13
+#: The image of a component may differ from its multiple by this share of the largest variance.
+TOLERANCE = 1e-10
 
 
 class Components(NamedTuple):
@@ -29,102 +41,220 @@ class Components(NamedTuple):
     variance: DataFrame  # component, variance, share, label
 
 
-def centred(df: DataFrame) -> DataFrame:
-    """Subtract each feature's mean."""
-    means = df.groupBy("feature").agg(F.avg("value").alias("_mean"))
-    return df.join(means, "feature").select("feature", "sample", (F.col("value") - F.col("_mean")).alias("value"))
-
-
 def total_variance(df: DataFrame) -> DataFrame:
     """Sum over features of their variance across samples, one row."""
     per = df.groupBy("feature").agg(F.var_samp("value").alias("v"))
     return per.agg(F.sum("v").alias("total_variance"), F.count(F.lit(1)).alias("features"))
 
 
-def pca(df: DataFrame, k: int = 2, *, dense_features: int = DENSE_FEATURES) -> Components:
+# ---- passes over one row per feature, in Arrow batches ---------------------------------------------
+
+
+def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Number and list columns side by side, one row per feature."""
+    parts = []
+    for name in names:
+        column = batch.column(name)
+        if pa.types.is_list(column.type):
+            parts.append(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
+        else:
+            parts.append(column.to_numpy(zero_copy_only=False)[:, None])
+    return np.concatenate(parts, axis=1).astype(float)
+
+
+def gram(df: DataFrame, names: list[str]) -> np.ndarray:
+    """Sums over all rows of the products of all pairs of columns; a task gives out one triangle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = _matrix(batch, names)
+            total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "part"])
+
+    found = df.select(*names).mapInArrow(run, "i int, j int, part double").groupBy("i", "j").agg(F.sum("part").alias("s")).toPandas()
+    i, j = found["i"].to_numpy(), found["j"].to_numpy()
+    out = np.zeros((int(i.max()) + 1,) * 2)
+    out[i, j] = out[j, i] = found["s"].to_numpy()
+    return out
+
+
+def _combined(df: DataFrame, names: list[str], weights: np.ndarray, out: str, keep: list[str]) -> DataFrame:
+    """``keep`` and the columns ``names`` times a matrix, as one list column."""
+    schema = df.select(*keep).schema.add(out, ArrayType(DoubleType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = _matrix(batch, names) @ weights
+            offsets = pa.array(np.arange(len(made) + 1, dtype=np.int32) * weights.shape[1])
+            lists = pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], names=[*keep, out])
+
+    return df.select(*dict.fromkeys([*keep, *names])).mapInArrow(run, schema)
+
+
+def _whitened(g: np.ndarray, least: float) -> np.ndarray:
+    """Weights that make columns with this Gram matrix orthonormal. Columns no longer than ``least`` are left out, and
+    directions in which the others differ by next to nothing."""
+    length = np.sqrt(np.maximum(np.diag(g), 0.0))
+    long = np.flatnonzero(length > least)
+    if not len(long):
+        return np.zeros((len(g), 0))
+    unit = g[np.ix_(long, long)] / np.outer(length[long], length[long])
+    values, vectors = np.linalg.eigh(unit)
+    good = values > 1e-12 * values[-1]
+    out = np.zeros((len(g), int(good.sum())))
+    out[long] = vectors[:, good] / np.sqrt(values[good]) / length[long, None]
+    return out
+
+
+# ---- the matrix, as sums over the long table --------------------------------------------------------
+
+
+class _Cells:
+    """The centred matrix of samples by features; cells without a row stand at their sample's base."""
+
+    def __init__(self, df: DataFrame, base: DataFrame | None):
+        cells = df.select("feature", "sample", F.col("value").cast("double").alias("value"))
+        if base is None:
+            cells = cells.withColumn("_d", F.col("value"))
+            self.samples = None
+        else:
+            self.samples = durable(base.select("sample", F.col("base").cast("double").alias("base")))
+            cells = cells.join(self.samples, "sample").withColumn("_d", F.col("value") - F.col("base"))
+        self.cells = durable(cells)
+        if base is None:
+            self.n = self.cells.agg(F.count_distinct("sample")).first()[0]
+            shift = 0.0
+        else:
+            self.n, shift = self.samples.agg(F.count(F.lit(1)), F.avg("base")).first()
+            shift = shift or 0.0
+        mean = F.sum("_d") / F.lit(float(max(self.n, 1))) + F.lit(shift)
+        self.features = durable(self.cells.groupBy("feature").agg(mean.alias("mu")))
+
+    def total(self) -> float:
+        """Sum of squares of the centred matrix."""
+        over = self.cells.join(self.features, "feature")
+        if self.samples is None:
+            return over.agg(F.sum((F.col("value") - F.col("mu")) ** 2)).first()[0] or 0.0
+        shift, about = self.samples.agg(F.avg("base"), F.var_pop("base")).first()
+        listed = over.agg(F.sum((F.col("value") - F.col("mu")) ** 2 - (F.col("base") - F.col("mu")) ** 2)).first()[0] or 0.0
+        zeros = self.features.agg(F.sum((F.lit(shift) - F.col("mu")) ** 2 + F.lit(about))).first()[0] or 0.0
+        return listed + zeros * self.n
+
+    def scores(self, block: DataFrame, name: str, ones: np.ndarray, means: np.ndarray) -> DataFrame:
+        """(sample, s0, s1, ...): the matrix times a list column, whose sums with ones and with the means are given."""
+        b = len(ones)
+        own = self.cells.join(block.select("feature", name), "feature").groupBy("sample")
+        own = own.agg(*[F.sum(F.col("_d") * F.get(name, F.lit(i))).alias(f"s{i}") for i in range(b)])
+        if self.samples is None:
+            return own.select("sample", *[(F.col(f"s{i}") - F.lit(float(means[i]))).alias(f"s{i}") for i in range(b)])
+        every = self.samples.join(own, "sample", "left")
+        return every.select("sample", *[(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + F.col("base") * F.lit(float(ones[i])) - F.lit(float(means[i]))).alias(f"s{i}") for i in range(b)])
+
+    def image(self, scores: DataFrame, b: int) -> DataFrame:
+        """(feature, z): the transposed matrix times the scores. Their sums vanish, so only the base needs a correction."""
+        s = [f"s{i}" for i in range(b)]
+        plus = [0.0] * b
+        if self.samples is not None:
+            row = scores.join(self.samples, "sample").agg(*[F.sum(F.col(c) * F.col("base")).alias(c) for c in s]).first()
+            plus = [row[c] or 0.0 for c in s]
+        sums = self.cells.join(scores, "sample").groupBy("feature").agg(*[F.sum(F.col("_d") * F.col(c)).alias(c) for c in s])
+        return sums.select("feature", F.array(*[F.col(c) + F.lit(float(p)) for c, p in zip(s, plus, strict=True)]).alias("z"))
+
+
+def _start(cells: _Cells, width: int) -> DataFrame:
+    random = [(F.pmod(F.xxhash64("feature", F.lit(i)), F.lit(1_000_003)) / 1_000_003.0 - 0.5) for i in range(width)]
+    return cells.features.select("feature", "mu", F.lit(1.0).alias("one"), F.array(*random).alias("w"))
+
+
+def _krylov(cells: _Cells, k: int) -> tuple[DataFrame, np.ndarray]:
+    """Loadings (feature, mu, one, l: list of k) and the sums of squares of their scores."""
+    known = ["feature", "mu", "one"]
+    fresh = durable(_start(cells, BLOCK))  # known, and w: candidates for directions
+    scale = 0.0
+    for _ in range(RESTARTS):
+        blocks: list[tuple[str, str]] = []  # names of the list columns of directions and of their images
+        while True:
+            held = known + [c for pair in blocks for c in pair]
+            weights = _whitened(gram(fresh, ["w"]), NOTHING * scale)
+            if not weights.shape[1]:
+                return _combined(space, qs, lead, "l", known), values[:top]  # the space is all there is
+            # orthonormal with themselves: twice, since once loses digits
+            fresh = durable(_combined(fresh, ["w"], weights, "w", held))
+            h = gram(fresh, ["one", "mu", "w"])
+            again = _whitened(h[2:, 2:], 0.0)
+            q, z = f"q{len(blocks)}", f"z{len(blocks)}"
+            space = durable(_combined(fresh, ["w"], again, q, held))
+            ones, means = h[0, 2:] @ again, h[1, 2:] @ again
+            scores = durable(cells.scores(space, q, ones, means))
+            space = durable(space.join(cells.image(scores, len(ones)), "feature").withColumnRenamed("z", z))
+            blocks.append((q, z))
+            qs, zs = [pair[0] for pair in blocks], [pair[1] for pair in blocks]
+            m = gram(space, [*qs, *zs])
+            r = len(m) // 2
+            t = (m[:r, r:] + m[r:, :r]) / 2
+            values, vectors = np.linalg.eigh((t + t.T) / 2)
+            values, vectors = values[::-1], vectors[:, ::-1]
+            scale, top = max(float(values[0]), 0.0), min(k, r)
+            lead = vectors[:, :top]
+            if _miss(space, qs, zs, lead, values[:top], m) <= TOLERANCE * scale and scale > 0:
+                return _combined(space, qs, lead, "l", known), values[:top]
+            if len(blocks) == DEPTH:
+                break
+            # the newest image, without what the space holds already; projected twice
+            newest = len(ones)
+            first = np.concatenate([-t[:, -newest:], np.eye(newest)])
+            fresh = durable(_combined(space, [*qs, z], first, "w", [*held, q, z]))
+            second = np.concatenate([-gram(fresh, [*qs, "w"])[:r, r:], np.eye(newest)])
+            fresh = durable(_combined(fresh, [*qs, "w"], second, "w", [*held, q, z]))
+        fresh = durable(_combined(space, qs, vectors[:, :BLOCK], "w", known))
+    raise RuntimeError(f"components have not converged in {RESTARTS} restarts")
+
+
+def _miss(space: DataFrame, qs: list[str], zs: list[str], lead: np.ndarray, values: np.ndarray, m: np.ndarray) -> float:
+    """How far the images of the components are from their multiples, at most. Near convergence the known products
+    lose it in rounding, so it is then summed row by row."""
+    both = np.concatenate([-lead * values, lead])
+    rough = float(np.sqrt(np.maximum(np.diag(both.T @ m @ both), 0.0)).max())
+    if rough > 1e-6 * float(values[0]):
+        return rough
+    return float(np.sqrt(np.diag(gram(_combined(space, [*qs, *zs], both, "e", []), ["e"])).max()))
+
+
+def pca(df: DataFrame, k: int = 2, *, base: DataFrame | None = None) -> Components:
     """Scores, loadings and variance shares; the largest loading of a component is positive.
 
-    ``df`` is the dense long matrix, one row per cell.
+    ``df`` is the long matrix. Without ``base`` it has a row for every cell; with it (sample, base) a cell without
+    a row has its sample's base value, and ``base`` lists all samples.
     """
-    cells = durable(centred(df))
-    names = [r[0] for r in cells.select("feature").distinct().limit(dense_features + 1).collect()]
-    loadings = _dense(cells, sorted(names), k) if len(names) <= dense_features else _power(cells, k)
+    cells = _Cells(df, base)
+    directions, squares = _krylov(cells, k)
+    found = len(squares)
     pcs = [f"PC{i + 1}" for i in range(k)]
-    loadings = durable(_fix_signs(loadings, pcs))
-    scores = cells.join(loadings, "feature").groupBy("sample").agg(
-        *[F.sum(F.col("value") * F.col(p)).alias(p) for p in pcs]
-    )
-    scores = durable(scores)
-    total = total_variance(cells).first()["total_variance"]
-    variance = scores.agg(*[F.var_samp(p).alias(p) for p in pcs]).unpivot([], pcs, "component", "variance")
-    variance = variance.withColumn("share", F.col("variance") / F.lit(total))
+    listed = directions.select("feature", "mu", "one", *[(F.get("l", F.lit(i)) if i < found else F.lit(0.0)).alias(p) for i, p in enumerate(pcs)])
+    loadings = durable(_fix_signs(listed, pcs))
+    sums = loadings.agg(*[F.sum(p).alias(f"o{p}") for p in pcs], *[F.sum(F.col("mu") * F.col(p)).alias(f"m{p}") for p in pcs]).first()
+    scores = cells.scores(loadings.withColumn("l", F.array(*pcs)), "l", np.array([sums[f"o{p}"] for p in pcs]), np.array([sums[f"m{p}"] for p in pcs]))
+    scores = durable(scores.withColumnsRenamed({f"s{i}": p for i, p in enumerate(pcs)}))
+    total, freedom = cells.total(), max(cells.n - 1, 1)
+    rows = []
+    for i, p in enumerate(pcs):
+        square = float(squares[i]) if i < found else 0.0
+        rows.append((p, square / freedom, square / total if total else None))
+    variance = df.sparkSession.createDataFrame(rows, "component string, variance double, share double")
     label = F.lit(None).cast("string")
     for p in pcs:
         label = F.when(F.col("component") == p, percent_label(p, F.col("share"))).otherwise(label)
-    return Components(scores, loadings, variance.withColumn("label", label))
+    return Components(scores, loadings.select("feature", *pcs), variance.withColumn("label", label))
 
 
 def _fix_signs(loadings: DataFrame, pcs: list[str]) -> DataFrame:
     tops = loadings.agg(*[F.max_by(p, F.struct(F.abs(p), F.col("feature"))).alias(p) for p in pcs]).first()
-    return loadings.select("feature", *[(F.col(p) * (-1.0 if tops[p] < 0 else 1.0)).alias(p) for p in pcs])
-
-
-def _dense(cells: DataFrame, names: list, k: int) -> DataFrame:
-    spark = cells.sparkSession
-    kind = cells.schema["feature"].dataType.simpleString()
-    index = spark.createDataFrame([(n, i) for i, n in enumerate(names)], f"feature {kind}, _i int")
-    rows = cells.join(index, "feature").groupBy("sample").agg(
-        F.array_sort(F.collect_list(F.struct("_i", "value"))).alias("_v")
-    )
-    rows = rows.select(array_to_vector(F.transform("_v", lambda s: s["value"])).alias("x"))
-    basis = PCA(k=k, inputCol="x", outputCol="y").fit(rows).pc.toArray()
-    pcs = ", ".join(f"PC{i + 1} double" for i in range(k))
-    table = [(n, *map(float, basis[i])) for i, n in enumerate(names)]
-    return spark.createDataFrame(table, f"feature {kind}, {pcs}")
-
-
-def _power(cells: DataFrame, k: int, *, extra: int = 6, rounds: int = 500, tol: float = 1e-10) -> DataFrame:
-    """Leading feature directions by block power iteration with Rayleigh-Ritz rotation."""
-    b = k + extra
-    q = [f"q{i}" for i in range(b)]
-
-    def product(block: DataFrame, on: str, out: str) -> DataFrame:
-        return cells.join(block, on).groupBy(out).agg(*[F.sum(F.col("value") * F.col(c)).alias(c) for c in q])
-
-    def gram(block: DataFrame) -> np.ndarray:
-        pairs = [(i, j) for i in range(b) for j in range(i, b)]
-        row = block.agg(*[F.sum(F.col(q[i]) * F.col(q[j])).alias(f"g{i}_{j}") for i, j in pairs]).first()
-        g = np.zeros((b, b))
-        for (i, j), v in zip(pairs, row):
-            g[i, j] = g[j, i] = v
-        return g
-
-    def rotate(block: DataFrame, key: str, m: np.ndarray) -> DataFrame:
-        mixed = [sum((F.col(q[i]) * F.lit(float(m[i, j])) for i in range(b)), F.lit(0.0)).alias(q[j]) for j in range(m.shape[1])]
-        return block.select(key, *mixed)
-
-    def whiten(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        vals, vecs = np.linalg.eigh(g)
-        vals, vecs = vals[::-1], vecs[:, ::-1]
-        safe = np.where(vals > vals[0] * 1e-14, vals, np.inf)
-        return vals, vecs / np.sqrt(safe)
-
-    start = cells.select("sample").distinct().select(
-        "sample", *[(F.pmod(F.xxhash64("sample", F.lit(i)), F.lit(1_000_003)) / 1_000_003.0 - 0.5).alias(c) for i, c in enumerate(q)]
-    )
-    block, last = durable(start), None
-    for _ in range(rounds):  # ends by convergence, or raises
-        block = rotate(block, "sample", whiten(gram(block))[1])
-        images = durable(product(block, "sample", "feature"))
-        vals, turn = whiten(gram(images))
-        if last is not None and np.all(np.abs(vals[:k] - last[:k]) <= tol * vals[0]):
-            break
-        last = vals
-        block = durable(product(rotate(images, "feature", turn), "feature", "sample"))
-    else:
-        raise RuntimeError(f"components have not converged in {rounds} rounds")
-    directions = rotate(images, "feature", turn)
-    return directions.select("feature", *[F.col(q[i]).alias(f"PC{i + 1}") for i in range(k)])
+    rest = [c for c in loadings.columns if c not in pcs]
+    return loadings.select(*rest, *[(F.col(p) * (-1.0 if tops[p] < 0 else 1.0)).alias(p) for p in pcs])
 
 
 def top_contributors(loadings: DataFrame, n: int = 30) -> DataFrame:

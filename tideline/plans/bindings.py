@@ -72,6 +72,17 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Groups of samples that the count comparisons run on: all that fell ill together, and each group alone.
+STUDY_GROUPS = {"viremic": ("HD", "LD-V"), "HD": ("HD",), "LD-V": ("LD-V",), "LD-NV": ("LD-NV",)}
+
+
+def study_samples(spark: SparkSession, sf: str, groups: list[str]) -> DataFrame:
+    """(study, sample, stage): the samples of the named study groups; one sample may be in several."""
+    listed = samples(spark, sf)
+    study = F.array_compact(F.array(*[F.when(F.col("grp").isin(*STUDY_GROUPS[g]), F.lit(g)) for g in groups]))
+    return listed.select(F.explode(study).alias("study"), "sample", "stage")
+
+
 def wells(spark: SparkSession, sf: str) -> DataFrame:
     """(subject, batch, dilution, plaques); subjects divisible by 20 act as batch controls."""
     return (

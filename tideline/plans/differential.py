@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions.numeric import neg_log10
 from tideline.functions.text import str_replace
 from tideline.operators.joins import shortlist
+from tideline.operators.linear import Contrasts, count_tests, lfc_grid
 from tideline.operators.rank import top_n, top_n_abs
 from tideline.operators.reshape import cast_composite, melt
 from tideline.session import durable
@@ -22,6 +23,14 @@ def enrichment_input(results: DataFrame, stages: Sequence[str]) -> DataFrame:
     return cast_composite(long, ["feature"], ["stage", "variable"], "value", names)
 
 
+def count_grid(
+    counts: DataFrame, samples: DataFrame, stage: str, levels: Sequence[str], contrasts: Contrasts, group: str, groups: Sequence[str], shown: Sequence[str]
+) -> DataFrame:
+    """Fold changes of every feature in every group and shown stage, each group's counts modelled on their own."""
+    tests = count_tests(counts, samples, stage, levels, contrasts, by=group)
+    return lfc_grid(tests.withColumnRenamed("contrast", "stage"), group, groups, shown)
+
+
 def volcano(results: DataFrame, n: int, *, by_class: bool = False) -> DataFrame:
     """Fold change against -log10 adjusted p, with labels on the leading significant features."""
     results = durable(results)  # one row per test, read for the labels and for the points
