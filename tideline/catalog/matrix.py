@@ -198,7 +198,7 @@ def _(spark, sf):
 
 @query("mat_tmm", sql_with("counts", "samples") + _DENSE + _TMM + f" SELECT sample, lib AS lib_size, {q6('factor')} AS factor FROM tmm")
 def _(spark, sf):
-    return _rounded(K.tmm(B.counts(spark, sf)), "factor")
+    return _rounded(K.tmm(durable(B.counts(spark, sf))), "factor")
 
 
 @query("mat_logcpm", sql_with("counts", "samples") + _DENSE + _LOGCPM + f" SELECT feature, sample, {q6('value')} AS value FROM logcpm")
@@ -268,7 +268,7 @@ def _(spark, sf):
 @query("mat_voom", COUNT_TABLES + count_model_sql("true", filtered=False) + f" SELECT feature, sample, {q6('value')} AS value, {q6('weight')} AS weight FROM cell")
 def _(spark, sf):
     cells = durable(B.counts(spark, sf))
-    return _rounded(M.voom(cells, B.samples(spark, sf), durable(K.tmm(cells)), "stage", STAGE), "value", "weight")
+    return _rounded(M.voom(cells, B.samples(spark, sf), K.tmm(cells), "stage", STAGE), "value", "weight")
 
 
 # ---------------------------------------------------------------- components
@@ -297,7 +297,7 @@ _KEPT_COUNTS = sql_with("counts", "samples").replace("counts AS (", "every AS ("
 @query("mat_pca_counts", _KEPT_COUNTS + pca_sql("logcpm") + _VARIANCE)
 def _(spark, sf):
     kept = durable(K.filter_features(B.counts(spark, sf)))
-    factors = durable(K.tmm(kept))
+    factors = K.tmm(kept)
     # cells without a count stay unlisted
     return _rounded(P.pca(K.log_cpm(kept, factors), base=K.log_cpm_base(factors)).variance, "variance", "share")
 

@@ -13,7 +13,7 @@ import numpy as np
 
 from tideline.llm.common import Words, mix, u64
 
-#: Words kept per Python worker; beyond it the cache starts anew.
+#: Words kept per Python worker, half of the places of its table; beyond it the table starts anew.
 CACHE_WORDS = 500_000
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 
@@ -70,33 +70,73 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self._clear()
 
-    def _clear(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # hashes in order
-        self.at = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+    def _clear(self, room: int = CACHE_WORDS) -> None:
+        """An empty hash table of words with room for so many, at most half full."""
+        size = 1 << max(2 * room - 1, 1).bit_length()
+        self.mask, self.room, self.held = size - 1, size // 2, 0
+        self.known = np.zeros(size, np.uint64)  # hashes by place, 0: free
+        self.at = np.zeros(size, np.int64)
+        self.length = np.zeros(size, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the words stand in the table, -1 for unknown ones."""
+        at = (hashes & u64(self.mask)).astype(np.int64)
+        got = self.known[at]
+        place = np.where(got == hashes, at, -1)
+        todo = np.flatnonzero((got != hashes) & (got != 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & self.mask
+            got = self.known[at[todo]]
+            hit = got == hashes[todo]
+            place[todo[hit]] = at[todo[hit]]
+            todo = todo[~hit & (got != 0)]
+        return place
+
+    def _put(self, hashes: np.ndarray) -> np.ndarray:
+        """Places for distinct new words."""
+        at = (hashes & u64(self.mask)).astype(np.int64)
+        todo = np.arange(len(hashes))
+        while len(todo):
+            free = todo[self.known[at[todo]] == 0]
+            self.known[at[free]] = hashes[free]  # of several that want one place the last has it
+            todo = todo[self.known[at[todo]] != hashes[todo]]
+            at[todo] = (at[todo] + 1) & self.mask
+        self.held += len(hashes)
+        return at
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: Words, fresh: np.ndarray, hashes: np.ndarray) -> None:
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self._clear()
         data = words.data.tobytes()
         texts = [data[a:b].decode("latin-1") for a, b in zip(words.start[fresh].tolist(), words.end[fresh].tolist(), strict=True)]
         made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         length = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for ids in made for i in ids), np.uint32, int(length.sum()))
-        at = np.cumsum(length) - length + len(self.ids)
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known = known[order]
-        self.at = np.concatenate([self.at, at])[order]
-        self.length = np.concatenate([self.length, length])[order]
-        self.ids = np.concatenate([self.ids, flat])
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids, and where each text's begin (with the total at the end)."""
+        place = self._put(hashes)
+        self.at[place] = np.cumsum(length) - length + len(self.ids)
+        self.length[place] = length
+        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in made for i in ids), np.uint32, int(length.sum()))])
+
+    def _look_up(self, words: Words) -> np.ndarray:
+        """The words' places in the table; unknown ones are learned first."""
+        # the hash holds the word's length too; 0 means a free place
+        hashes = words.span_hash(words.start, words.end)
+        hashes = np.maximum(mix(hashes + (words.end - words.start).astype(np.uint64) * u64(0xA24BAED4963EE407)), u64(1))
+        place = self._places(hashes)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            distinct, first = np.unique(hashes[missing], return_index=True)
+            if self.held + len(distinct) > self.room:
+                distinct, first = np.unique(hashes, return_index=True)
+                missing = np.arange(len(hashes))
+                self._clear(max(CACHE_WORDS, len(distinct)))
+            self._learn(words, missing[first], distinct)
+            place[missing] = self._places(hashes[missing])
+        return place
+
+    def _split(self, texts: list[str | None]) -> tuple[Words, np.ndarray, dict[int, str]]:
+        """The words of the Latin-1 texts, where each text's bytes begin, and the other texts by row."""
         plain, odd = [], {}
         for i, text in enumerate(texts):
             text = text or ""
@@ -113,20 +153,22 @@ class Encoder:
         words = Words.__new__(Words)
         words.data, words.offsets = data, offsets
         words.start, words.end = word_bounds(data, offsets)
-        # the hash holds the word's length too
-        hashes = words.span_hash(words.start, words.end)
-        hashes = mix(hashes + (words.end - words.start).astype(np.uint64) * u64(0xA24BAED4963EE407))
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > CACHE_WORDS:
-            self._clear()
-        slot = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = slot < len(self.known)
-        new[inside] = self.known[slot[inside]] != distinct[inside]
-        if new.any():
-            self._learn(words, first[new], distinct[new])
-            slot = np.searchsorted(self.known, distinct)
-        slot = slot[which]
+        return words, offsets, odd
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """The number of ids of each text, without the ids."""
+        words, offsets, odd = self._split(texts)
+        total = np.zeros(len(words.start) + 1, np.int64)
+        np.cumsum(self.length[self._look_up(words)], out=total[1:])
+        found = np.diff(total[np.searchsorted(words.start, offsets)])
+        for i, made in zip(odd, self.whole(list(odd.values())), strict=True):
+            found[i] = len(made)
+        return found
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids, and where each text's begin (with the total at the end)."""
+        words, offsets, odd = self._split(texts)
+        slot = self._look_up(words)
         length = self.length[slot]
         total = np.zeros(len(slot) + 1, np.int64)
         np.cumsum(length, out=total[1:])

@@ -22,10 +22,9 @@ def filter_features(df: DataFrame, n: int = 3, threshold: float = 20, *, by: str
     return df.join(passed.select(*keys), keys, "left_semi")
 
 
-def sample_blocks(samples: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Samples gathered per key in blocks of about ``PER_BLOCK``: an array ``_members`` of structs a row."""
-    n = max(1, -(-samples.count() // PER_BLOCK))
-    hashed = samples.withColumn("_block", F.pmod(F.xxhash64("sample"), F.lit(n)))
+def sample_blocks(samples: DataFrame, keys: Sequence[str], columns: Sequence[str], n: int) -> DataFrame:
+    """``n`` samples gathered per key in blocks of about ``PER_BLOCK``: an array ``_members`` of structs a row."""
+    hashed = samples.withColumn("_block", F.pmod(F.xxhash64("sample"), F.lit(max(1, -(-n // PER_BLOCK)))))
     return hashed.groupBy(*keys, "_block").agg(F.collect_list(F.struct(*columns)).alias("_members")).drop("_block")
 
 
@@ -65,11 +64,12 @@ def tmm(df: DataFrame, *, m_trim: float = 0.3, a_trim: float = 0.05, by: str | N
     half the samples have an upper quartile of zero, the one with the greatest sum of square roots. A
     sample that occurs in ``df`` but has no count above zero raises. The trims are by average rank
     within a sample; a trim is a value range, so only its bounds are looked for, and only the values next to
-    them are ordered. Zero cells have no finite M or A and so never enter.
+    them are ordered. Zero cells have no finite M or A and so never enter. ``df`` is read several times, so it should
+    be a written table.
     """
     keys = [by] if by else []
     own = [*keys, "sample"]
-    cells = durable(df.select(*own, "feature", F.col("value").cast("double").alias("value")))  # read five times below
+    cells = df.select(*own, "feature", F.col("value").cast("double").alias("value"))
     above = cells.where(F.col("value") > 0)
     features = {(r[by] if by else None): r["n"] for r in above.select(*keys, "feature").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not features:
@@ -109,11 +109,10 @@ def tmm(df: DataFrame, *, m_trim: float = 0.3, a_trim: float = 0.05, by: str | N
         low, high = F.col(f"{c}_low"), F.col(f"{c}_high")
         inside = inside & ((F.col(c) > low["x"]) | ((F.col(c) == low["x"]) & low["in"]))
         inside = inside & ((F.col(c) < high["x"]) | ((F.col(c) == high["x"]) & high["in"]))
-    top = both.groupBy(*own).agg(F.max(F.abs("_m")).alias("_top"))
     mean = F.sum(F.col("_m") / F.col("_v")) / F.sum(1 / F.col("_v"))
+    inside = inside & (F.greatest(F.abs("_m_least"), F.abs("_m_most")) >= 1e-6)
     kept = both.join(bounds, own).where(inside).groupBy(*own).agg(mean.alias("_f"))
-    raw = sizes.select(*own, "lib_size").join(kept, own, "left").join(top, own, "left")
-    raw = raw.select(*own, "lib_size", F.when(F.col("_top") >= 1e-6, F.col("_f")).alias("_f"))
+    raw = per.select(*own, "lib_size").join(kept, own, "left")
     raw = durable(raw.withColumn("_f", F.coalesce("_f", F.lit(0.0))))
     shift = per_group(by, {(r[by] if by else None): r["m"] for r in raw.groupBy(*keys).agg(F.avg("_f").alias("m")).collect()})
     return raw.select(*own, "lib_size", F.pow(F.lit(2.0), F.col("_f") - shift).alias("factor"))

@@ -219,13 +219,20 @@ def variance_priors(fit: DataFrame, *, by: str | None = None) -> dict[object, Pr
     """
     keys = _by(by)
     var = fit.where((F.col("df") > 0) & F.col("sigma").isNotNull()).select(*keys, "df", (F.col("sigma") ** 2).alias("_x"))
-    middle = middles(Line(var, by, "_x"))
-    if not middle:
-        return {}
-    var = var.withColumn("_x", F.greatest(F.col("_x"), per_group(by, {g: 1e-5 * (m or 1.0) for g, m in middle.items()})))
     x = F.log("_x")
     # one row per group and number of degrees of freedom: at most as many as there are samples
-    sums = var.groupBy(*keys, "df").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("spread")).collect()
+    summary = [F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("spread"), F.min("_x").alias("least"), F.max("_x").alias("most")]
+    sums = var.groupBy(*keys, "df").agg(*summary).collect()
+    if not sums:
+        return {}
+    ends: dict = {}
+    for r in sums:
+        least, most = ends.get(r[by] if by else None, (math.inf, 0.0))
+        ends[r[by] if by else None] = (min(least, r["least"]), max(most, r["most"]))
+    if any(least < 1e-5 * most for least, most in ends.values()):  # else no variance is below the floor
+        middle = middles(Line(var, by, "_x"))
+        var = var.withColumn("_x", F.greatest(F.col("_x"), per_group(by, {g: 1e-5 * (m or 1.0) for g, m in middle.items()})))
+        sums = var.groupBy(*keys, "df").agg(*summary).collect()
     classes: dict[object, list[tuple[float, int, float, float]]] = {}
     for r in sums:
         half = np.array([r["df"] / 2])
@@ -366,16 +373,21 @@ def log_scales(samples: DataFrame, factors: DataFrame, stage: str, levels: Seque
     keys = _by(by)
     place = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col(stage)).cast("int")
     sized = factors.select(*keys, "sample", F.log2(F.col("lib_size") * F.col("factor") + 1).alias("_log"))
-    mean_log = {(r[by] if by else None): r["m"] for r in sized.groupBy(*keys).agg(F.avg("_log").alias("m")).collect()}
-    known = samples.select(*keys, "sample", stage, place.alias("place")).where(F.col("place") > 0)
-    known = durable(known.join(sized, [*keys, "sample"]).withColumn("_zero", F.lit(ZERO) - F.col("_log")))
-    means = known.groupBy(*keys, "place").agg(F.count(F.lit(1)).alias("n"), F.avg("_zero").alias("m"), F.var_pop("_zero").alias("v")).collect()
+    sized = sized.join(samples.select(*keys, "sample", stage, place.alias("place")), [*keys, "sample"], "left")
+    sized = sized.withColumn("_zero", F.lit(ZERO) - F.col("_log"))
+    found = sized.groupBy(*keys, "place").agg(F.count(F.lit(1)).alias("n"), F.avg("_zero").alias("m"), F.var_pop("_zero").alias("v"), F.avg("_log").alias("log")).collect()
     zeros: dict = {}
-    for r in means:
-        at = zeros.setdefault(r[by] if by else None, [(0.0, 0.0, 0.0)] * len(levels))
-        at[r["place"] - 1] = (float(r["n"]), r["m"], r["v"] * r["n"])
+    logs: dict = {}
+    for r in found:
+        g = r[by] if by else None
+        at = zeros.setdefault(g, [(0.0, 0.0, 0.0)] * len(levels))
+        if r["place"]:
+            at[r["place"] - 1] = (float(r["n"]), r["m"], r["v"] * r["n"])
+        logs.setdefault(g, []).append((r["n"], r["log"]))
+    mean_log = {g: sum(n * m for n, m in rows) / sum(n for n, _ in rows) for g, rows in logs.items()}
     about = per_group(by, {g: [m for _, m, _ in rows] for g, rows in zeros.items()})
-    return Scales(known.withColumn("_about", F.element_at(about, F.col("place"))), zeros, mean_log)
+    known = sized.where(F.col("place") > 0).withColumn("_about", F.element_at(about, F.col("place")))
+    return Scales(known, zeros, mean_log)
 
 
 def _log_cells(df: DataFrame, scales: Scales, by: str | None) -> DataFrame:
@@ -431,7 +443,7 @@ def count_trend(
     fit = durable(fit_counts(_log_cells(df, scales, by), features, scales, levels, by=by))
     size = F.col("amean") + per_group(by, {g: m - MILLION for g, m in scales.mean_log.items()})
     points = fit.where(F.col("sigma").isNotNull()).select(*_by(by), size.alias("x"), F.sqrt("sigma").alias("y"))
-    return Trend(scales, fit, lowess(durable(points), span=span, by=by))
+    return Trend(scales, fit, lowess(points, span=span, by=by))
 
 
 def _weight(trend: Trend, beta: Column) -> Column:
@@ -457,7 +469,8 @@ def voom(
 def _zero_cells(trend: Trend, by: str | None) -> DataFrame:
     """Every feature and sample, with the feature's fitted value for the sample's level."""
     keys = _by(by)
-    blocks = sample_blocks(trend.scales.samples.select(*keys, "place", "sample", "_log", "_zero"), [*keys, "place"], ["sample", "_log", "_zero"])
+    n = int(sum(level[0] for rows in trend.scales.zeros.values() for level in rows))
+    blocks = sample_blocks(trend.scales.samples.select(*keys, "place", "sample", "_log", "_zero"), [*keys, "place"], ["sample", "_log", "_zero"], n)
     fitted = trend.fit.select(*keys, "feature", F.posexplode("beta").alias("_i", "_beta")).where(F.col("_beta").isNotNull())
     fitted = fitted.withColumn("place", F.col("_i") + 1)
     return fitted.join(blocks, [*keys, "place"]).select(*keys, "feature", "place", "_beta", F.explode("_members").alias("_s")).select(*keys, "feature", "place", "_beta", "_s.*")
@@ -501,7 +514,7 @@ def count_tests(
     """
     subset = df.join(samples.select(*_by(by), "sample").distinct(), "sample")
     kept = durable(filter_features(subset, n, threshold, by=by))
-    factors = durable(tmm(kept, by=by))
+    factors = tmm(kept, by=by)
     trend = count_trend(kept, samples, factors, stage, levels, span=span, by=by)
     return ebayes(fit_weighted_counts(kept, trend, levels, by=by), levels, contrasts, by=by)
 

@@ -174,27 +174,25 @@ def _krylov(cells: _Cells, k: int) -> tuple[DataFrame, np.ndarray]:
     """Loadings (feature, mu, one, l: list of k) and the sums of squares of their scores."""
     known = ["feature", "mu", "one"]
     fresh = durable(_start(cells, BLOCK))  # known, and w: candidates for directions
-    scale = 0.0
+    names, weights = ["w"], _whitened(gram(fresh, ["w"]), 0.0)
     for _ in range(RESTARTS):
         blocks: list[tuple[str, str]] = []  # names of the list columns of directions and of their images
         while True:
             held = known + [c for pair in blocks for c in pair]
-            weights = _whitened(gram(fresh, ["w"]), NOTHING * scale)
-            if not weights.shape[1]:
-                return _combined(space, qs, lead, "l", known), values[:top]  # the space is all there is
             # orthonormal with themselves: twice, since once loses digits
-            fresh = durable(_combined(fresh, ["w"], weights, "w", held))
+            fresh = durable(_combined(fresh, names, weights, "w", held))
             h = gram(fresh, ["one", "mu", "w"])
             again = _whitened(h[2:, 2:], 0.0)
             q, z = f"q{len(blocks)}", f"z{len(blocks)}"
-            space = durable(_combined(fresh, ["w"], again, q, held))
+            space = _combined(fresh, ["w"], again, q, held)
             ones, means = h[0, 2:] @ again, h[1, 2:] @ again
-            scores = durable(cells.scores(space, q, ones, means))
+            scores = cells.scores(space, q, ones, means)
+            scores = scores if cells.samples is None else durable(scores)
             space = durable(space.join(cells.image(scores, len(ones)), "feature").withColumnRenamed("z", z))
             blocks.append((q, z))
             qs, zs = [pair[0] for pair in blocks], [pair[1] for pair in blocks]
             m = gram(space, [*qs, *zs])
-            r = len(m) // 2
+            r, newest = len(m) // 2, len(ones)
             t = (m[:r, r:] + m[r:, :r]) / 2
             values, vectors = np.linalg.eigh((t + t.T) / 2)
             values, vectors = values[::-1], vectors[:, ::-1]
@@ -204,13 +202,17 @@ def _krylov(cells: _Cells, k: int) -> tuple[DataFrame, np.ndarray]:
                 return _combined(space, qs, lead, "l", known), values[:top]
             if len(blocks) == DEPTH:
                 break
-            # the newest image, without what the space holds already; projected twice
-            newest = len(ones)
+            # the newest image, without what the space holds already; what rounding left of that goes with the lengths
             first = np.concatenate([-t[:, -newest:], np.eye(newest)])
             fresh = durable(_combined(space, [*qs, z], first, "w", [*held, q, z]))
-            second = np.concatenate([-gram(fresh, [*qs, "w"])[:r, r:], np.eye(newest)])
-            fresh = durable(_combined(fresh, [*qs, "w"], second, "w", [*held, q, z]))
+            h = gram(fresh, [*qs, "w"])
+            over = h[:r, r:]
+            weights = _whitened(h[r:, r:] - over.T @ over, NOTHING * scale)
+            if not weights.shape[1]:  # the space is all there is
+                return _combined(space, qs, lead, "l", known), values[:top]
+            names, weights = [*qs, "w"], np.concatenate([-over @ weights, weights])
         fresh = durable(_combined(space, qs, vectors[:, :BLOCK], "w", known))
+        names, weights = ["w"], _whitened(gram(fresh, ["w"]), 0.0)
     raise RuntimeError(f"components have not converged in {RESTARTS} restarts")
 
 
@@ -235,10 +237,14 @@ def pca(df: DataFrame, k: int = 2, *, base: DataFrame | None = None) -> Componen
     found = len(squares)
     pcs = [f"PC{i + 1}" for i in range(k)]
     listed = directions.select("feature", "mu", "one", *[(F.get("l", F.lit(i)) if i < found else F.lit(0.0)).alias(p) for i, p in enumerate(pcs)])
-    loadings = durable(_fix_signs(listed, pcs))
-    sums = loadings.agg(*[F.sum(p).alias(f"o{p}") for p in pcs], *[F.sum(F.col("mu") * F.col(p)).alias(f"m{p}") for p in pcs]).first()
-    scores = cells.scores(loadings.withColumn("l", F.array(*pcs)), "l", np.array([sums[f"o{p}"] for p in pcs]), np.array([sums[f"m{p}"] for p in pcs]))
-    scores = durable(scores.withColumnsRenamed({f"s{i}": p for i, p in enumerate(pcs)}))
+    listed = durable(listed)
+    ends = [F.max_by(p, F.struct(F.abs(p), F.col("feature"))).alias(p) for p in pcs]
+    row = listed.agg(*ends, *[F.sum(p).alias(f"o{p}") for p in pcs], *[F.sum(F.col("mu") * F.col(p)).alias(f"m{p}") for p in pcs]).first()
+    sign = [-1.0 if row[p] < 0 else 1.0 for p in pcs]
+    loadings = listed.select("feature", *[(F.col(p) * s).alias(p) for p, s in zip(pcs, sign, strict=True)])
+    ones, means = (np.array([row[f"{c}{p}"] * s for p, s in zip(pcs, sign, strict=True)]) for c in "om")
+    scores = cells.scores(loadings.withColumn("l", F.array(*pcs)), "l", ones, means)
+    scores = scores.withColumnsRenamed({f"s{i}": p for i, p in enumerate(pcs)})
     total, freedom = cells.total(), max(cells.n - 1, 1)
     rows = []
     for i, p in enumerate(pcs):
@@ -248,13 +254,7 @@ def pca(df: DataFrame, k: int = 2, *, base: DataFrame | None = None) -> Componen
     label = F.lit(None).cast("string")
     for p in pcs:
         label = F.when(F.col("component") == p, percent_label(p, F.col("share"))).otherwise(label)
-    return Components(scores, loadings.select("feature", *pcs), variance.withColumn("label", label))
-
-
-def _fix_signs(loadings: DataFrame, pcs: list[str]) -> DataFrame:
-    tops = loadings.agg(*[F.max_by(p, F.struct(F.abs(p), F.col("feature"))).alias(p) for p in pcs]).first()
-    rest = [c for c in loadings.columns if c not in pcs]
-    return loadings.select(*rest, *[(F.col(p) * (-1.0 if tops[p] < 0 else 1.0)).alias(p) for p in pcs])
+    return Components(scores, loadings, variance.withColumn("label", label))
 
 
 def top_contributors(loadings: DataFrame, n: int = 30) -> DataFrame:

@@ -207,6 +207,7 @@ def quantiles_of_counts(
 def trim_bounds(df: DataFrame, by: Sequence[str], trims: Mapping[str, float]) -> DataFrame:
     """Per group and measure the structs ``<measure>_low`` and ``<measure>_high``: the values ``x`` on which the cuts
     fall that take that share of the group's values off either end by average rank, and whether they stay (``in``).
+    ``<measure>_least`` and ``<measure>_most`` are the ends of all values.
 
     Chunks of all measures are counted in one pass; the values come back only for the chunks in which a cut falls.
     """
@@ -216,7 +217,10 @@ def trim_bounds(df: DataFrame, by: Sequence[str], trims: Mapping[str, float]) ->
     held = held.agg(F.count(F.lit(1)).alias("_held"), F.min("_h._x").alias("_least"), F.max("_h._x").alias("_most"))
     stratum = Window.partitionBy(*by, "_w")
     cut = F.floor(F.col("_size") * F.element_at(F.array(*[F.lit(float(t)) for t in trims.values()]), F.col("_w") + 1)) + 1
-    held = held.withColumns({"_size": F.sum("_held").over(stratum), "_end": F.sum("_held").over(stratum.orderBy("_c"))})
+    held = held.withColumns({
+        "_size": F.sum("_held").over(stratum), "_lo": F.min("_least").over(stratum), "_hi": F.max("_most").over(stratum),
+        "_end": F.sum("_held").over(stratum.orderBy("_c")),
+    })
     held = held.withColumns({"_first": cut, "_last": F.col("_size") + 1 - cut, "_off": F.col("_end") - F.col("_held")})
     falls = [(F.col("_off") < F.col(k)) & (F.col(k) <= F.col("_end")) for k in ("_first", "_last")]
     held = held.where(falls[0] | falls[1]).withColumnsRenamed({c: f"_by_{c}" for c in by})
@@ -230,13 +234,14 @@ def trim_bounds(df: DataFrame, by: Sequence[str], trims: Mapping[str, float]) ->
     rows = near[0]
     for more in near[1:]:
         rows = rows.unionByName(more)
-    kept = ["_first", "_last", "_off", "_held", "_least", "_most"]
+    kept = ["_first", "_last", "_off", "_held", "_least", "_most", "_lo", "_hi"]
     rows = rows.groupBy(*by, "_w", "_c", "_x").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in kept])
     rows = running(rows, [*by, "_w", "_c"], "_x")
     at = F.col("_off") + F.col("_at")
     rank = at - F.col("_n") + (F.col("_n") + 1) / 2
     bounds = []
     for i, m in enumerate(names):
+        bounds += [F.max(F.when(F.col("_w") == i, F.col(c))).alias(f"{m}_{end}") for c, end in (("_lo", "least"), ("_hi", "most"))]
         for k, side, agg in (("_first", "low", F.min), ("_last", "high", F.max)):
             here = (F.col("_w") == i) & (F.col(k) > at - F.col("_n")) & (F.col(k) <= at)
             stays = rank >= F.col(k) if side == "low" else rank <= F.col(k)

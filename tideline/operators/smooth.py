@@ -14,6 +14,7 @@ like stages: what is known of each lies on the driver.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -131,7 +132,7 @@ class Ranges:
         stay[gone] = False
         a, z, n, name = (np.concatenate([x[stay], y]) for x, y in ((self.a, a), (self.z, z), (self.n, n), (self.name, name)))
         # a range of two points is two values
-        pair = (n == 2) & (a < z)
+        pair = (n == 2) & (a < z) & np.isfinite(a)
         a, z, n, name = np.concatenate([a, z[pair]]), np.concatenate([np.where(pair, a, z), z[pair]]), np.concatenate([np.where(pair, 1, n), n[pair] - 1]), np.concatenate([name, name[pair]])
         order = np.argsort(a, kind="stable")
         return Ranges(a[order], z[order], n[order], name[order])
@@ -140,17 +141,25 @@ class Ranges:
 class Line:
     """All groups' points, known as closely as questions have asked for."""
 
-    def __init__(self, points: DataFrame, by: str | None, x: str, held: int = HELD):
+    def __init__(self, points: DataFrame, by: str | None, x: str, held: int = HELD, sizes: dict | None = None):
+        """``sizes``: the groups' numbers of points, where they are known; then the ends are only asked for if all
+        points are too many to be fetched."""
         self.by, self.held, self.asked = by, held, 0
         keys = [by] if by else []
         self.rows = points.select(*keys, F.col(x).cast("double").alias("_x"), F.lit("").alias("_in"))
-        found = self.rows.where(F.col("_x").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.avg("_x").alias("m")).collect()
-        self.groups: dict = {}
-        self.mean = {(r[by] if by else None): r["m"] for r in found}
-        for r in found:
-            if r["n"]:
-                empty = Ranges(np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object))
-                self.groups[r[by] if by else None] = empty.replaced(np.zeros(0, int), np.array([r["lo"]]), np.array([r["hi"]]), np.array([r["n"]]), np.array([""], object))
+        self.mean: dict = {}
+        if sizes and sum(sizes.values()) <= held * len(sizes):
+            ends = {g: (n, -math.inf, math.inf) for g, n in sizes.items() if n}
+        else:
+            found = self.rows.where(F.col("_x").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.avg("_x").alias("m")).collect()
+            self.mean = {(r[by] if by else None): r["m"] for r in found}
+            ends = {(r[by] if by else None): (r["n"], r["lo"], r["hi"]) for r in found if r["n"]}
+        empty = Ranges(np.zeros(0), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object))
+        gone = np.zeros(0, int)
+        self.groups: dict = {g: empty.replaced(gone, np.array([lo]), np.array([hi]), np.array([n]), np.array([""], object)) for g, (n, lo, hi) in ends.items()}
+        if not self.mean:
+            self.look_into({g: np.flatnonzero(r.open) for g, r in self.groups.items()})
+            self.mean = {g: float((r.a * r.n).sum() / r.n.sum()) for g, r in self.groups.items()}
 
     def look_into(self, wanted: dict) -> None:
         """Find out what lies in some open ranges: their values, or finer ranges where these are too many."""
@@ -326,7 +335,7 @@ def lowess(df: DataFrame, *, span: float = 0.5, rounds: int = 3, by: str | None
         if step == rounds:
             break
         resid = df.withColumn("_e", F.abs(F.col("y") - Curves(by, {g: curves.knots[g] for g in live}, {g: curves.values[g] for g in live}).at(F.col("x"))))
-        scale = _scales(resid, by)
+        scale = _scales(resid, by, {g: size[g] for g in live})
         # where the curve meets all points as well as numbers can tell, it stays
         open_groups = {g for g in open_groups if scale[g][0] >= 1e-7 * scale[g][1] and scale[g][0] > 0}
         if not open_groups:
@@ -337,9 +346,9 @@ def lowess(df: DataFrame, *, span: float = 0.5, rounds: int = 3, by: str | None
     return curves
 
 
-def _scales(resid: DataFrame, by: str | None) -> dict:
+def _scales(resid: DataFrame, by: str | None, sizes: dict) -> dict:
     """Per group six times the median residual, and the mean one."""
-    line = Line(resid, by, "_e")
+    line = Line(resid, by, "_e", sizes=sizes)
     return {g: (6 * m, line.mean[g]) for g, m in middles(line).items()}
 
 
