@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -54,9 +55,27 @@ def test_only_unseen_blobs_are_scanned(spark, docs):
     more = docs.unionByName(spark.createDataFrame([(7, "fresh secret=abcdefgh")], "doc_id long, text string"))
     assert secrets.secret_scan(more, ledger).count() == more.count()
     assert written() == n + 1
-    secrets.secret_scan(docs, ledger, rule_version=2)
+    secrets.secret_scan(docs, ledger, rule_version=secrets.RULE_VERSION + 1)
     assert written() == 2 * n + 1
 
 
+@pytest.mark.parametrize("unit", ["eyJ", "eyJabcdefgh.", "eyJabcdefgh.eyJabcdefgh ", "-----BEGIN ", "ghp_", "xoxa-", "token    ", "AKIA", "secret=", "a."])
+def test_long_texts_take_linear_time(unit):
+    def took(size):
+        text = unit * (size // len(unit))
+        start = time.perf_counter()
+        secrets.find_secrets(text)
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(2_000_000) < 2 + 20 * took(200_000)
+
+
+def test_a_blob_of_very_many_rows(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "if(id % 10 = 0, 'secret=abcdefgh', '') AS text")
+    rows = secrets.secret_digest(secrets.secret_scan(docs, f"{scratch_path(spark)}/ledger")).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(5000)) and sum(r["n_assign"] for r in rows) == 500
+
+
 def test_empty_table(spark, empty):
     assert secrets.secret_digest(secrets.secret_scan(empty, f"{scratch_path(spark)}/ledger")).count() == 0

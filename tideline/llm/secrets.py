@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import durable, map_slices
+from tideline.llm.common import durable, look_up, map_slices
 
 # The rules, in their order. Of each, leftmost matches that do not overlap; those that fail a length go.
 BASE_KINDS = ["assign", "access", "hex"]
 MORE_KINDS = ["github", "slack", "jwt", "pem"]
 KINDS = BASE_KINDS + MORE_KINDS
-RULE_VERSION = 1
+RULE_VERSION = 2
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -34,7 +34,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")  # a shorter run fails, so only long ones ar
 _MORE = {
     "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
     "slack": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # begins at a word's edge and gives nothing back, so no run of characters is read more than three times
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 }
 _MARKS = {"github": "gh", "slack": "xox", "jwt": "eyJ", "pem": "-----BEGIN"}
@@ -88,6 +89,7 @@ def secret_scan(docs: DataFrame, ledger: str, rule_version: int = RULE_VERSION)
     """Each row of ``docs`` as (doc_id, blob, kind, start, end) with the findings of its text; new blobs join the ledger.
 
     A null text is the empty blob. Rows that repeat share a blob and each get its findings. An empty table gives none.
+    Every rule reads a text in time proportional to its length. A blob that very many rows hold is looked up in parts.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -98,7 +100,7 @@ def secret_scan(docs: DataFrame, ledger: str, rule_version: int = RULE_VERSION)
     texts = rows.join(owners, F.col("doc_id").eqNullSafe(F.col("_owner")) & (F.col("blob") == F.col("_blob")))
     made = scan_texts(texts.select("blob", "text")).dropDuplicates(["blob"])
     made.withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(ledger)
-    return paths.join(read_ledger(spark, ledger, rule_version), "blob").select("doc_id", "blob", "kind", "start", "end")
+    return look_up(paths, read_ledger(spark, ledger, rule_version), "blob", "doc_id").select("doc_id", "blob", "kind", "start", "end")
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
