@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 from tideline.llm import licenses
@@ -69,3 +70,59 @@ def test_empty_table(empty):
 
 def test_a_long_anchor_behind_a_distant_short_one_is_found():
     assert (0, 1050, 1030) in licenses.chain([(0, 0, 1000), (10, 900, 20), (1020, 1020, 30)], 50)
+
+
+def test_sister_licences_are_told_apart(spark):
+    texts = {
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa",
+        "Licensed under the Apache License, Version 1.1.": "apache-1.1",
+        "Licensed under the Apache License, Version 2.0.": "apache-2",
+        "This work is licensed under the GNU General Public License, version 1.": "gpl-1",
+        "This work is licensed under the GNU General Public License.": "gpl",
+        "This work is licensed under the GNU General Public License, version 7.": "",
+        "Released under the BSD license.": "bsd",
+        "Released under the MIT license.": "mit",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = licenses.license_digest(licenses.license_scan(docs)).orderBy("doc_id").collect()
+    assert [r["labels"] for r in rows] == list(texts.values())
+    for label, text in licenses.TEMPLATES:
+        assert label in labels(spark, "word " + text + " more").split(","), text
+
+
+def brute_chains(anchors, gap):
+    """The greatest number of covered words that any chain ending with each anchor has."""
+    anchors = sorted(set(anchors))
+    best = {}
+    for d, t, n in anchors:
+        options = [n]
+        for (d0, t0, n0), b in best.items():
+            if d0 < d and t0 < t and d - (d0 + n0) <= gap and d + n > d0 + n0 and t + n > t0 + n0:
+                options.append(b + n - max(0, d0 + n0 - d, t0 + n0 - t))
+        best[d, t, n] = max(options)
+    return max(best.values(), default=0)
+
+
+def test_best_chain_covers_as_much_as_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        anchors = [(rng.randrange(60), rng.randrange(60), rng.randint(1, 12)) for _ in range(rng.randint(1, 14))]
+        assert max(c for _, _, c in licenses.chain(anchors, 10)) == brute_chains(anchors, 10)
+
+
+def test_spans_do_not_overlap_and_a_long_text_takes_linear_time():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES, licenses.MIN_MATCH, licenses.MIN_COVERAGE, licenses.MAX_GAP)
+    vocabulary = {w: i for i, w in enumerate(sorted({w for _, t in licenses.TEMPLATES for w in words_of(t)} | {w for p in licenses.PHRASES for w in p.split(" ")}))}
+    notice = [vocabulary.get(w, -1) for w in words_of("Licensed under the Apache License, Version 2.0.")]
+
+    def took(copies):
+        runs = [(i * 20, notice) for i in range(copies)]
+        start = time.perf_counter()
+        _, spans = scanner.scan(runs)
+        assert len(spans) >= copies / 4 and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+        return time.perf_counter() - start
+
+    took(100)
+    assert took(40_000) < 12 * max(took(8_000), 0.05)

@@ -4,7 +4,9 @@ The automaton holds every run of words of every template and phrase. A text's wo
 the state and length say how many of the last words stand consecutively in some template (the matching statistics).
 A phrase that ends at the state within that length has a place there. Matches that cannot be extended and have at
 least ``MIN_MATCH`` words become anchors (template place, text place); anchors of one template in the same order, at
-most ``MAX_GAP`` words apart, are chained, and a chain that covers enough of its template is a span.
+most ``MAX_GAP`` words apart, are chained, and a chain that covers enough of its template is a span. Licences come in
+families whose notices differ in a word or a number. The words that tell a template from one of another label that it
+resembles must be among the covered ones, so a notice of a version that is not listed gets no label of its sister.
 
 Only words that occur in a template can move the automaton, so all others are passed over by array operations.
 """
@@ -12,6 +14,8 @@ Only words that occur in a template can move the automaton, so all others are pa
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from difflib import SequenceMatcher
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,19 +38,41 @@ PHRASES = {
 TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("apache-2", "Licensed under the Apache License, Version 2.0."),
     ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("gpl", "This work is licensed under the GNU General Public License."),
     ("gpl-3", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("gpl-2", "This work is licensed under the GNU General Public License, version 2."),
     ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-1", "This work is licensed under the GNU General Public License, version 1."),
+    ("gpl-1", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version."),
     ("lgpl-3", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd", "Released under the BSD License."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("cc-by", "Licensed under CC BY 4.0."),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 ]
+#: Templates of other labels that share so much of their words are told apart word by word.
+ALIKE = 0.5
 
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[ord("0") : ord("9") + 1] = _IS_WORD[ord("a") : ord("z") + 1] = _IS_WORD[128:] = True
@@ -121,8 +147,32 @@ class Automaton:
         return 0, 0
 
 
+def telling_words(texts: list[list[str]], labels: list[str]) -> list[tuple[set[int], list[tuple[int, int]]]]:
+    """For each template the places of the words that tell it from alike templates of other labels, and the pairs of
+    neighbours between which such a template has more words: nothing may stand between those."""
+    out: list[tuple[set[int], list[tuple[int, int]]]] = [(set(), []) for _ in texts]
+    for i, own in enumerate(texts):
+        for j, other in enumerate(texts):
+            if labels[i] == labels[j] or not own or not other:
+                continue
+            match = SequenceMatcher(None, own, other, autojunk=False)
+            if 2 * sum(b.size for b in match.get_matching_blocks()) < ALIKE * (len(own) + len(other)):
+                continue
+            for kind, a, b, _, _ in match.get_opcodes():
+                if kind in ("replace", "delete") and b - a <= MIN_MATCH:  # a word or two, not a paragraph
+                    out[i][0].update(range(a, b))
+                elif kind == "insert" and 0 < a < len(own):
+                    out[i][1].append((a - 1, a))
+    return out
+
+
 def chain(anchors: list[tuple[int, int, int]], gap: int = MAX_GAP) -> list[tuple[int, int, int]]:
-    """Chains of (text start, template start, words) anchors of one template: (text start, text end, words covered).
+    """Chains of (text start, template start, words) anchors of one template: (text start, text end, words covered)."""
+    return [(begin, end, covered) for begin, end, covered, _ in chains(anchors, gap)]
+
+
+def chains(anchors: list[tuple[int, int, int]], gap: int = MAX_GAP) -> list[tuple[int, int, int, list[tuple[int, int, int]]]]:
+    """:func:`chain` with the anchors of each chain, last first.
 
     An anchor may follow another that starts earlier in both and ends at most ``gap`` words before; words that both
     cover count once. Each anchor takes its best predecessor; chains are read off from the best ends, each anchor in
@@ -159,7 +209,7 @@ def chain(anchors: list[tuple[int, int, int]], gap: int = MAX_GAP) -> list[tuple
             k = previous[k]
         used.update(trail)
         covered = best[i] if whole else best[i] - best[k]
-        out.append((anchors[trail[-1]][0], anchors[i][0] + anchors[i][2], covered))
+        out.append((anchors[trail[-1]][0], anchors[i][0] + anchors[i][2], covered, [anchors[t] for t in trail]))
     return out
 
 
@@ -180,6 +230,7 @@ class Scanner:
         number = {w: i for i, w in enumerate(vocabulary)}
         self.automaton = Automaton([[number[w] for w in t] for t in texts])
         self.min_match, self.min_coverage, self.gap = min_match, min_coverage, gap
+        self.telling = telling_words(texts[: self.n_templates], self.labels[: self.n_templates])
         self.least = min([min_match, *(n for n in self.lengths)])
         # the phrases that end wherever a state's strings do: those of the state itself and of its suffix links
         self.phrase_ends: list[list[int]] = [[] for _ in self.automaton.step]
@@ -211,17 +262,26 @@ class Scanner:
                 self._anchor(anchors, state, length, begin + len(words))
         found = []
         for template, own in anchors.items():
-            for start, end, covered in chain(own, self.gap):
-                if covered >= self.min_coverage * self.lengths[template]:
+            for start, end, covered, trail in chains(own, self.gap):
+                if covered >= self.min_coverage * self.lengths[template] and self._told(template, trail):
                     found.append((covered, covered / self.lengths[template], start, end, self.labels[template]))
         spans: list[tuple[int, int, str, float]] = []
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # in order, none overlapping another
         for _, share, start, end, label in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[4])):
-            if not any(start < b and a < end for a, b in taken):
-                taken.append((start, end))
+            at = bisect_left(taken, (end, 0))  # the spans before this place begin before the end
+            if not at or taken[at - 1][1] <= start:
+                taken.insert(at, (start, end))
                 spans.append((start, end, label, share))
         return sorted(places), sorted(spans)
 
+    def _told(self, template: int, trail: list[tuple[int, int, int]]) -> bool:
+        """Whether a chain covers the words that tell its template from others."""
+        words, together = self.telling[template]
+        if not all(any(t <= w < t + n for _, t, n in trail) for w in words):
+            return False
+        # where another template has more words, this text has none: both neighbours are in one anchor, or not at all
+        return all(any(t <= a and b < t + n for _, t, n in trail) for a, b in together)
+
     def _anchor(self, anchors: dict, state: int, length: int, end: int) -> None:
         for sequence, place in self.automaton.ends[state]:
             if sequence < self.n_templates:
@@ -232,7 +292,8 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     """One row per row of ``docs``: word count, phrase places and chained template spans, places in words from 0.
 
     A null or empty text has no words, places or spans. Where spans overlap, the one that covers more words stays, at
-    a tie the one with the greater share of its template. No shuffle; other columns of ``docs`` are not read.
+    a tie the one with the greater share of its template. Time is proportional to a text's length, but for the sorting
+    of its anchors and spans. No shuffle; other columns of ``docs`` are not read.
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
