@@ -49,6 +49,14 @@ def test_kept_rows_have_all_columns(edge):
     assert sorted(got, key=repr) == sorted(best.items(), key=repr)
 
 
+def test_clashing_columns_stay_as_they_are(spark):
+    names = ["_text_sha256", "_maybe", "_b0", "_bucket0", "_bitmap1", "_key", "_keep", "_row", "_in_text", "a.b"]
+    df = spark.createDataFrame([(i, f"Text {i % 3}", *[f"{n}{i}" for n in names]) for i in range(7)], ["doc_id", "text", *names])
+    kept = dedup.drop_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.where("doc_id >= 4").collect()))
+
+
 def test_empty_table(empty):
     assert dedup.mark_duplicates(empty).count() == 0
     assert dedup.drop_duplicates(empty).count() == 0

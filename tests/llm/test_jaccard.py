@@ -139,3 +139,12 @@ def test_short_texts_and_their_hashes():
     sets = jaccard.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), offsets)
     assert [len(s) for s in sets] == [1, 1, 1, 1, 1, 0, 1]
     assert sets[4][0] == sets[6][0] and len({int(s[0]) for s in sets if len(s)}) == 5
+
+
+def test_clashing_columns_stay_as_they_are(spark):
+    names = ["_row", "cls", "n", "root", "_in_text", "a.b"]
+    texts = ["one two three four five six", "one two three four five six", "other words that stand alone here", None]
+    df = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)], ["doc_id", "text", *names])
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.where("doc_id <> 1").collect()))

@@ -49,10 +49,10 @@ def test_empty_documents(spark, empty):
         assert docs.count() == 0
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_the_operators_and_the_pipeline_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in catalog.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in catalog.QUERIES} == set(range(1, 14))
     assert set(catalog.QUERIES) <= set(names) and set(catalog.ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
@@ -60,5 +60,7 @@ def test_every_query_gives_one_row_per_document(spark, small):
     n = spark.read.parquet(f"{small}/documents.parquet").count()
     for name, plan in catalog.QUERIES.items():
         made = plan(spark, small)
+        if "doc_id" not in made.columns:  # of other tables: tested with their operators
+            continue
         ids = made.select("doc_id").distinct().count() if "length" in made.columns else made.count()
         assert ids == n, name

@@ -85,8 +85,9 @@ def drop_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     Rows whose text cannot repeat pass straight through; the others are narrowed to ids, grouped, and only they join.
     """
     key = "_text_sha256"
-    columns = docs.columns
-    hashed = docs.withColumn(key, digest(F.col("text")))
+    # the rows' own columns travel under names that nothing here uses
+    columns = [f"_in_{i}" for i in range(len(docs.columns))]
+    hashed = docs.select(*[F.col(f"`{c}`").alias(inner) for c, inner in zip(docs.columns, columns, strict=True)], "doc_id", digest(F.col("text")).alias(key))
     keys = durable(hashed.select("doc_id", key))
     filters = durable(repeated_cells(keys, key, bits))
     tested = maybe_repeated(hashed, key, filters, bits)
@@ -95,4 +96,5 @@ def drop_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
     stays = likely.groupBy(F.col(key).alias("_key")).agg(F.max("doc_id").alias("_keep"))
     # joined by the row that stays, not by the text alone, so that no group of copies meets in one task
     rest = tested.where("_maybe").join(stays, (F.col(key) == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_keep")))
-    return straight.unionByName(rest.dropDuplicates(["_key", "_keep"]).select(*columns))
+    kept = straight.unionByName(rest.dropDuplicates(["_key", "_keep"]).select(*columns))
+    return kept.toDF(*docs.columns)

@@ -541,4 +541,6 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, part_keys: int = PART_K
     found = durable(_rooted(docs, percent, part_keys, heavy))
     first = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     stay = first.select(F.col("first")["row"].alias("_row")).unionByName(found.where("root IS NULL").select(F.col("row").alias("_row"))).distinct()
-    return docs.withColumn("_row", row_key(docs)).join(stay, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_in_{c}") for c in docs.columns], row_key(docs).alias("_row"))
+    rows = rows.join(stay, "_row", "left_semi").dropDuplicates(["_row"])
+    return rows.select(*[F.col(f"`_in_{c}`").alias(c) for c in docs.columns])
