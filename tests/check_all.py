@@ -16,7 +16,7 @@ from tideline.session import get_session
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
 parts = sys.argv[2:]
-spark = get_session(**{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tideline-check-"), "spark.ui.showConsoleProgress": "false"})
+spark = get_session(**{"spark.master": f"local[{os.environ.get('CHECK_CPUS', 8)}]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tideline-check-"), "spark.ui.showConsoleProgress": "false"})
 spark.sparkContext.setLogLevel("ERROR")
 folder = f"/root/testdata/sf{sf}"
 con = connect(folder)

@@ -20,7 +20,7 @@ from tideline.plans.bindings import sql_with, table
 from tideline.session import scratch_path
 from tideline.sources import tables as S
 
-FEATURES = ["click", "error", "purchase", "signup", "view"]
+FEATURES = B.FEATURES
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 # ---------------------------------------------------------------- sources
@@ -175,9 +175,10 @@ def _(spark, sf):
     return B.samples(spark, sf).select("sample", "grp", plate.alias("plate"))
 
 
-@query("level_present", sql_with("samples") + "SELECT stage AS level, MIN(CASE stage WHEN 'Baseline' THEN 1 WHEN 'Early' THEN 2 WHEN 'Middle' THEN 3 WHEN 'Late' THEN 4 ELSE 5 END) AS ordinal FROM samples WHERE sample % 5 <> 4 GROUP BY 1")
+@query("level_present", sql_with("samples") + "SELECT stage AS level, MIN(CASE stage WHEN 'Baseline' THEN 2 WHEN 'Early' THEN 3 WHEN 'Middle' THEN 4 WHEN 'Late' THEN 6 ELSE 7 END) AS ordinal FROM samples GROUP BY 1")
 def _(spark, sf):
-    return C.present_levels(B.samples(spark, sf).where("sample % 5 <> 4"), "stage", L.STAGE)
+    # two levels that no sample has
+    return C.present_levels(B.samples(spark, sf), "stage", ["Screening", *L.STAGE[:3], "Interim", *L.STAGE[3:]])
 
 
 @query("level_by_order", sql_with("subj") + "SELECT subject, CAST(row_number() OVER (ORDER BY death, subject) AS INT) AS level FROM subj")
@@ -204,14 +205,16 @@ def _(spark, sf):
     FROM (SELECT * FROM obs WHERE feature = 'view') o LEFT JOIN (SELECT * FROM obs WHERE feature = 'view' AND t = 0) b ON o.subject = b.subject""")
 def _(spark, sf):
     view = B.obs(spark, sf).where("feature = 'view'").drop("feature")
-    joined = J.with_baseline(view, ["subject"], "value", F.col("t") == 0)
+    first = B.obs(spark, sf, days=(0, 0)).where("feature = 'view'")
+    joined = J.with_baseline(view, ["subject"], "value", F.col("t") == 0, source=first)
     return joined.select("subject", "t", r6("value").alias("value"), r6("baseline").alias("baseline"), r6(F.col("value") - F.col("baseline")).alias("delta"))
 
 
 @query("join_multi_key", sql_with("obs") + f"""SELECT o.subject, o.t, o.feature, {q6('o.value / b.base')} AS fraction FROM obs o
     LEFT JOIN (SELECT subject, feature, AVG(value) AS base FROM obs WHERE t <= 6 GROUP BY 1, 2) b ON o.subject = b.subject AND o.feature = b.feature""")
 def _(spark, sf):
-    joined = J.with_baseline(B.obs(spark, sf), ["subject", "feature"], "value", F.col("t") <= B.BASE_DAYS, agg=F.avg)
+    early = B.obs(spark, sf, days=(0, B.BASE_DAYS))
+    joined = J.with_baseline(B.obs(spark, sf), ["subject", "feature"], "value", F.col("t") <= B.BASE_DAYS, agg=F.avg, source=early)
     return joined.select("subject", "t", "feature", r6(N.r_div(F.col("value"), F.col("baseline"))).alias("fraction"))
 
 
@@ -463,10 +466,10 @@ def _(spark, sf):
     return top.withColumn("magnitude", r6("magnitude"))
 
 
-@query("win_dominant", sql_with("obs") + """SELECT subject, t, feature FROM (SELECT *, CASE feature WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 3 END AS o FROM obs WHERE feature IN ('view','click','error'))
+@query("win_dominant", sql_with("obs") + """SELECT subject, t, feature FROM (SELECT *, CASE feature WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS o FROM obs)
     QUALIFY rank() OVER (PARTITION BY subject, t ORDER BY o DESC) = 1""")
 def _(spark, sf):
-    return W.dominant_class(B.obs(spark, sf).select("subject", "t", "feature"), ["subject", "t"], "feature", ["view", "click", "error"])
+    return W.dominant_class(B.obs(spark, sf).select("subject", "t", "feature"), ["subject", "t"], "feature", ["view", "click", "purchase", "signup", "error"])
 
 
 @query("sort_asc", sql_with("subj") + "SELECT subject, arm, death FROM subj ORDER BY arm, death, subject")
@@ -493,20 +496,19 @@ def _(spark, sf):
     return both.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("events"))
 
 
-@query("set_union_all", sql_with("obs") + f"""SELECT subject, feature, 'chem' AS kind, {q6('value')} AS value FROM obs WHERE feature IN ('click','view')
-    UNION ALL SELECT subject, feature, 'hema', {q6('value')} FROM obs WHERE feature = 'error'""")
+@query("set_union_all", sql_with("obs") + f"""SELECT subject, feature, 'chem' AS kind, {q6('value')} AS value FROM obs WHERE feature IN ('click','purchase','view')
+    UNION ALL SELECT subject, feature, 'hema', {q6('value')} FROM obs WHERE feature IN ('error','signup')""")
 def _(spark, sf):
     o = B.obs(spark, sf).select("subject", "feature", r6("value").alias("value"))
-    chem = o.where(F.col("feature").isin("click", "view")).withColumn("kind", F.lit("chem"))
-    return U.union_all([chem, o.where("feature = 'error'").withColumn("kind", F.lit("hema"))])
+    chem = o.where(F.col("feature").isin("click", "purchase", "view")).withColumn("kind", F.lit("chem"))
+    return U.union_all([chem, o.where(F.col("feature").isin("error", "signup")).withColumn("kind", F.lit("hema"))])
 
 
 @query("set_union_list", sql_with("obs") + " UNION ALL ".join(
     f"SELECT 'week {w}' AS part, feature, COUNT(*) AS n FROM obs WHERE t // 7 = {w} GROUP BY 2" for w in range(5)))
 def _(spark, sf):
-    o = B.obs(spark, sf)
-    parts = [o.where(F.expr(f"t div 7 = {w}")).groupBy(F.lit(f"week {w}").alias("part"), "feature").agg(F.count(F.lit(1)).alias("n")) for w in range(5)]
-    return U.union_all(parts)
+    weeks = {f"week {w}": F.expr(f"t div 7 = {w}") for w in range(5)}
+    return U.fan_out(B.obs(spark, sf), weeks, "part").groupBy("part", "feature").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("set_intersect", sql_with("samples") + "SELECT sample FROM samples WHERE stage = 'Late' INTERSECT SELECT sample FROM samples WHERE batch = 'A'")

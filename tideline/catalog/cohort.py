@@ -6,14 +6,28 @@ from pyspark.sql import functions as F
 
 from tideline.catalog.basics import FEATURES
 from tideline.catalog.registry import q6, query, r6, sql_norm_p
-from tideline.catalog.stats import DAILY, PEAK_ARM, WEEKS, dunn_sql, kruskal_sql, ranksum_sql
+from tideline.catalog.stats import DAILY, PEAK_ARM, WEEKS, dunn_sql, kruskal_sql, mean_ci_sql, ranksum_p_sql, ranksum_sql
 from tideline.operators import nonparametric as NP
 from tideline.operators.reshape import cast_wide
 from tideline.plans import bindings as B
 from tideline.plans import cohort as C
-from tideline.plans.bindings import sql_with, table
+from tideline.plans.bindings import DAY_SQL, sql_with, table
+from tideline.session import durable
 
 HIGH = ["27.5", "10"]
+BOUNDS = ["mean", "se", "lower", "upper"]
+
+
+def _interval_sql(source, value):
+    bounds = ", ".join(f"{q6(c)} AS {c}" for c in BOUNDS)
+    return f"SELECT arm, n, {bounds} FROM {mean_ci_sql(source, 'arm', value)}"
+
+
+def _test_sql(source, group, value, a, b, strata=""):
+    """The columns of a rank-sum test, over all rows where there are no strata."""
+    keys = f"{strata}, " if strata else ""
+    every = source if strata else f"(SELECT *, 1 AS one FROM {source})"
+    return f"SELECT {keys}n1, n2, w, z, {q6('p')} AS p FROM {ranksum_p_sql(every, strata or 'one', group, value, a, b)}"
 
 
 def _rounded(df, *names):
@@ -30,17 +44,14 @@ def _(spark, sf):
     return C.outcome_table(B.subj(spark, sf))
 
 
-@query("coh_time_to_event", sql_with("subj") + f"SELECT arm, COUNT(*) AS n, {q6('AVG(death)')} AS mean, {q6('stddev_samp(death)/sqrt(COUNT(*))')} AS se FROM subj WHERE event = 1 GROUP BY 1")
+@query("coh_time_to_event", sql_with("subj") + _interval_sql("(SELECT * FROM subj WHERE event = 1)", "death"))
 def _(spark, sf):
-    return _rounded(C.time_to_event(B.subj(spark, sf)).drop("lower", "upper"), "mean", "se")
+    return _rounded(C.time_to_event(B.subj(spark, sf)), *BOUNDS)
 
 
-_ENDED = "(SELECT arm, CAST(death AS DOUBLE) AS death, 1 AS one FROM subj WHERE event = 1)"
-
-
-@query("coh_time_to_event_test", sql_with("subj") + f"SELECT n1, n2, w, z FROM ({ranksum_sql(_ENDED, 'one', 'arm', 'death', '27.5', '10')})")
+@query("coh_time_to_event_test", sql_with("subj") + _test_sql("(SELECT arm, CAST(death AS DOUBLE) AS death FROM subj WHERE event = 1)", "arm", "death", "27.5", "10"))
 def _(spark, sf):
-    return C.time_to_event_test(B.subj(spark, sf), HIGH).select("n1", "n2", "w", r6("z").alias("z"))
+    return _rounded(C.time_to_event_test(B.subj(spark, sf), HIGH), "z", "p")
 
 
 @query("coh_elapsed", """SELECT event_id, user_id AS subject, round((epoch(date_trunc('second', ts)) - MIN(epoch(date_trunc('second', ts))) OVER (PARTITION BY user_id))/86400.0::DOUBLE, 8) AS elapsed FROM events""")
@@ -65,16 +76,54 @@ def _(spark, sf):
     return _rounded(out, "mean", "median").select("arm", "n", "mean", "median", "min", "max")
 
 
-@query("coh_onset_test", sql_with("obs", "subj") + f"SELECT n1, n2, w, z FROM ({ranksum_sql(f'(SELECT *, 1 AS one FROM {_ONSET})', 'one', 'arm', 't', '27.5', '10')})")
+def _starts(spark, sf):
+    return C.onset(B.obs(spark, sf).where("feature = 'error'"), B.subj(spark, sf), 100)
+
+
+@query("coh_onset_interval", sql_with("obs", "subj") + _interval_sql(_ONSET, "t"))
 def _(spark, sf):
-    start = C.onset(B.obs(spark, sf).where("feature = 'error'"), B.subj(spark, sf), 100)
-    return NP.ranksum(start, [], "arm", "t", HIGH).select("n1", "n2", "w", r6("z").alias("z"))
+    return _rounded(C.onset_interval(_starts(spark, sf)), *BOUNDS)
+
+
+@query("coh_onset_test", sql_with("obs", "subj") + _test_sql(_ONSET, "arm", "t", "27.5", "10"))
+def _(spark, sf):
+    return _rounded(NP.ranksum(_starts(spark, sf), [], "arm", "t", HIGH), "z", "p")
+
+
+_DURATION = f"(SELECT subject, o.arm, o.t, death, death - o.t + 1 AS duration FROM {_ONSET} o JOIN subj USING (subject))"
+
+
+def _durations(spark, sf):
+    subjects = durable(B.subj(spark, sf))
+    return C.durations(C.onset(B.obs(spark, sf).where("feature = 'error'"), subjects, 100), subjects)
+
+
+@query("coh_duration", sql_with("obs", "subj") + f"SELECT subject, arm, t, death, duration FROM {_DURATION}")
+def _(spark, sf):
+    return _durations(spark, sf)
+
+
+@query("coh_duration_summary", sql_with("obs", "subj") + f"SELECT arm, COUNT(*) AS n, {q6('AVG(duration)')} AS mean, {q6('quantile_cont(CAST(duration AS DOUBLE), 0.5)')} AS median, MIN(duration) AS min, MAX(duration) AS max FROM {_DURATION} GROUP BY 1")
+def _(spark, sf):
+    out = C.summary_stats(_durations(spark, sf), ["arm"], "duration")
+    return _rounded(out, "mean", "median").select("arm", "n", "mean", "median", "min", "max")
+
+
+@query("coh_duration_interval", sql_with("obs", "subj") + _interval_sql(_DURATION, "duration"))
+def _(spark, sf):
+    return _rounded(C.mean_ci(_durations(spark, sf), ["arm"], "duration"), *BOUNDS)
+
+
+@query("coh_duration_test", sql_with("obs", "subj") + _test_sql(_DURATION, "arm", "duration", "27.5", "10"))
+def _(spark, sf):
+    return _rounded(NP.ranksum(_durations(spark, sf), [], "arm", "duration", HIGH), "z", "p")
 
 
 @query("coh_relative_capped", sql_with("obs") + f"""SELECT o.subject, o.t, {q6('b.base')} AS baseline, {q6('least(o.value/b.base, 1.0::DOUBLE)')} AS relative FROM (SELECT * FROM obs WHERE feature='click' AND t > 0) o
     LEFT JOIN (SELECT subject, AVG(value) AS base FROM obs WHERE feature='click' AND t BETWEEN 1 AND 4 GROUP BY 1) b ON o.subject = b.subject""".replace("least(o.value/b.base, 1.0::DOUBLE)", "CASE WHEN o.value/b.base > 1 THEN 1.0::DOUBLE ELSE o.value/b.base END"))
 def _(spark, sf):
-    out = C.relative_capped(B.obs(spark, sf).where("feature = 'click'"))
+    early = B.obs(spark, sf, days=(1, 4)).where("feature = 'click'")
+    out = C.relative_capped(B.obs(spark, sf).where("feature = 'click'"), early=early)
     return _rounded(out.select("subject", "t", "baseline", "relative"), "baseline", "relative")
 
 
@@ -87,10 +136,10 @@ def _(spark, sf):
 _ONSET_F = "(SELECT subject, feature, t, round(value, 9) AS value, arm FROM obs JOIN subj USING (subject) WHERE value > 100 QUALIFY rank() OVER (PARTITION BY subject, feature ORDER BY t) = 1)"
 
 
-@query("coh_onset_value", sql_with("obs", "subj") + ranksum_sql(_ONSET_F, "feature", "arm", "value", "27.5", "10"))
+@query("coh_onset_value", sql_with("obs", "subj") + _test_sql(_ONSET_F, "arm", "value", "27.5", "10", "feature"))
 def _(spark, sf):
     values = B.obs(spark, sf).withColumn("value", F.round("value", 9))
-    return _rounded(C.onset_value(values, B.subj(spark, sf), HIGH, 100).drop("p"), "z")
+    return _rounded(C.onset_value(values, B.subj(spark, sf), HIGH, 100), "z", "p")
 
 
 @query("coh_peak", sql_with("obs", "subj") + f"SELECT arm, feature, COUNT(*) AS n, {q6('AVG(value)')} AS mean, {q6('quantile_cont(value, 0.5)')} AS median, {q6('MIN(value)')} AS min, {q6('MAX(value)')} AS max FROM {PEAK_ARM} GROUP BY 1, 2")
@@ -105,7 +154,7 @@ def _(spark, sf):
 
 
 @query("coh_peak_outcome", sql_with("obs", "subj") + f"""SELECT s.feature, outcome, {q6('max')} AS max, {q6('min')} AS min, w, {q6('p')} AS p, CASE WHEN p <= 0.0001 THEN '****' WHEN p <= 0.001 THEN '***' WHEN p <= 0.01 THEN '**' WHEN p <= 0.05 THEN '*' ELSE 'ns' END AS mark FROM
-    (SELECT feature, outcome, MAX(value) AS max, MIN(value) AS min FROM {PEAK_ARM} GROUP BY 1, 2) s JOIN (SELECT feature, w, {sql_norm_p('zz')} AS p FROM ({ranksum_sql(PEAK_ARM, 'feature', 'outcome', 'value', 'Survived', 'Succumbed', ', z AS zz').replace(q6('z') + ' AS z ,', '')})) USING (feature)""")
+    (SELECT feature, outcome, MAX(value) AS max, MIN(value) AS min FROM {PEAK_ARM} GROUP BY 1, 2) s JOIN (SELECT feature, w, p FROM {ranksum_p_sql(PEAK_ARM, 'feature', 'outcome', 'value', 'Survived', 'Succumbed')}) USING (feature)""")
 def _(spark, sf):
     return _rounded(C.peak_by_outcome(B.obs(spark, sf), B.subj(spark, sf)), "max", "min", "p")
 
@@ -115,9 +164,9 @@ _TISSUE = "(SELECT o.subject, o.feature, floor(value*10)/10 AS value, outcome FR
 
 @query("coh_tissue", sql_with("obs", "subj") + f""", tis AS {_TISSUE}, q AS (SELECT feature, outcome, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM tis GROUP BY 1, 2),
     b AS (SELECT feature, outcome, q1, median, q3, value, value BETWEEN q1 - 1.5::DOUBLE*(q3-q1) AND q3 + 1.5::DOUBLE*(q3-q1) AS inside FROM tis JOIN q USING (feature, outcome)),
-    r AS ({ranksum_sql('tis', 'feature', 'outcome', 'value', 'Survived', 'Succumbed', ', z AS zz')})
-    SELECT feature, outcome, {q6('q1')} AS q1, {q6('median')} AS median, {q6('q3')} AS q3, {q6('MIN(value) FILTER (inside)')} AS low, {q6('MAX(value) FILTER (inside)')} AS high, COUNT(*) FILTER (NOT inside) AS outliers, {q6(sql_norm_p('zz'))} AS p
-    FROM b JOIN r USING (feature) GROUP BY feature, outcome, q1, median, q3, zz""")
+    r AS (SELECT feature, p FROM {ranksum_p_sql('tis', 'feature', 'outcome', 'value', 'Survived', 'Succumbed')})
+    SELECT feature, outcome, {q6('q1')} AS q1, {q6('median')} AS median, {q6('q3')} AS q3, {q6('MIN(value) FILTER (inside)')} AS low, {q6('MAX(value) FILTER (inside)')} AS high, COUNT(*) FILTER (NOT inside) AS outliers, {q6('p')} AS p
+    FROM b JOIN r USING (feature) GROUP BY feature, outcome, q1, median, q3, p""")
 def _(spark, sf):
     values = B.obs(spark, sf).withColumn("value", F.floor(F.col("value") * 10) / 10)
     return _rounded(C.tissue_comparison(values, B.subj(spark, sf), ["signup"]), "q1", "median", "q3", "low", "high", "p")
@@ -161,11 +210,11 @@ _EXTREME = """(SELECT subject, feature, comparison, round(value, 9) AS value, ou
     UNION ALL SELECT subject, feature, MIN(value), 'Min' FROM obs GROUP BY 1, 2 UNION ALL SELECT subject, feature, MAX(value), 'Max' FROM obs GROUP BY 1, 2) JOIN subj USING (subject))"""
 
 
-@query("coh_extremes", sql_with("obs", "subj") + ranksum_sql(_EXTREME, "feature, comparison", "outcome", "value", "Survived", "Succumbed"))
+@query("coh_extremes", sql_with("obs", "subj") + _test_sql(_EXTREME, "outcome", "value", "Survived", "Succumbed", "feature, comparison"))
 def _(spark, sf):
     values = B.obs(spark, sf).withColumn("value", F.round("value", 9))
     out = C.extremes_test(values, B.subj(spark, sf))
-    return _rounded(out.select("feature", "comparison", "n1", "n2", "w", "z"), "z")
+    return _rounded(out.select("feature", "comparison", "n1", "n2", "w", "z", "p"), "z", "p")
 
 
 @query("coh_extremes_table", sql_with("obs", "subj") + f"SELECT subject, feature, comparison, {q6('value')} AS value, outcome FROM {_EXTREME}")
@@ -174,13 +223,13 @@ def _(spark, sf):
 
 
 # titer sheet: one row per (subject, t, antigen), two measured classes
-_SHEET = "(SELECT user_id AS subject, CAST(day(ts)-1 AS INT) AS t, event_type AS antigen, MAX(floor(value/50))*50 AS igm, MIN(floor(value/50))*50 AS igg FROM events GROUP BY 1, 2, 3)"
+_SHEET = f"(SELECT user_id AS subject, {DAY_SQL} AS t, event_type AS antigen, MAX(floor(value/50))*50 AS igm, MIN(floor(value/50))*50 AS igg FROM events GROUP BY 1, 2, 3)"
 
 
 def _sheet(spark, sf):
     step = F.floor(F.col("value") / 50)
     return table(spark, sf, "events").groupBy(
-        F.col("user_id").alias("subject"), B.day().alias("t"), F.col("event_type").alias("antigen")
+        F.col("user_id").alias("subject"), B.study_day(table(spark, sf, "events")).alias("t"), F.col("event_type").alias("antigen")
     ).agg((F.max(step) * 50).cast("double").alias("igm"), (F.min(step) * 50).cast("double").alias("igg"))
 
 
@@ -232,13 +281,13 @@ def _(spark, sf):
     return _rounded(out.select("subject", "batch", "dilution", "reduction", "arm"), "reduction")
 
 
-_BEST = f"(SELECT subject, round(MAX(reduction), 9) AS reduction, outcome, 1 AS one FROM {_RED} JOIN subj USING (subject) WHERE dilution = 10 GROUP BY subject, outcome)"
+_BEST = f"(SELECT subject, round(MAX(reduction), 9) AS reduction, outcome FROM {_RED} JOIN subj USING (subject) WHERE dilution = 10 GROUP BY subject, outcome)"
 
 
-@query("coh_best_response", sql_with("wells", "subj") + f"SELECT n1, n2, w, z FROM ({ranksum_sql(_BEST, 'one', 'outcome', 'reduction', 'Survived', 'Succumbed')})")
+@query("coh_best_response", sql_with("wells", "subj") + _test_sql(_BEST, "outcome", "reduction", "Survived", "Succumbed"))
 def _(spark, sf):
     best = C.best_response(_reductions(spark, sf), B.subj(spark, sf), 10).withColumn("reduction", F.round("reduction", 9))
-    return NP.ranksum(best, [], "outcome", "reduction", C.OUTCOME).select("n1", "n2", "w", r6("z").alias("z"))
+    return _rounded(NP.ranksum(best, [], "outcome", "reduction", C.OUTCOME), "z", "p")
 
 
 @query("coh_best_response_table", sql_with("wells", "subj") + f"SELECT subject, {q6('MAX(reduction)')} AS reduction, outcome FROM {_RED} JOIN subj USING (subject) WHERE dilution = 10 GROUP BY subject, outcome")

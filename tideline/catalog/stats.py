@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.catalog.registry import q6, query, r6, sql_chi2_p, sql_norm_p
+from tideline.catalog.registry import q6, query, r6, sql_chi2_p, sql_norm_p, sql_t_p
 from tideline.functions.levels import ARM, OUTCOME
-from tideline.functions.special import t_p_udf
 from tideline.operators import aggregate as A
 from tideline.operators import nonparametric as NP
 from tideline.operators import survival as SV
@@ -36,6 +35,33 @@ def ranksum_sql(source: str, strata: str, group: str, value: str, a: str, b: str
         FROM {ranked(only, strata, group, value)} {by}) WHERE n1 > 0 AND n2 > 0))"""
 
 
+def ranksum_p_sql(source: str, strata: str, group: str, value: str, a: str, b: str) -> str:
+    """n1, n2, w, z and p of a two-sample rank-sum test, as a subquery. Below fifty a group and without ties p comes
+    from the numbers of ways in which each w can arise, counted by a recursion in whole numbers; else from z."""
+    keys = f"{strata}, " if strata else ""
+    return f"""(WITH RECURSIVE rs AS ({ranksum_sql(source, strata, group, value, a, b, ", CAST(ties AS DOUBLE) AS tied, z AS zz")}),
+        sizes AS (SELECT DISTINCT n1, n2 FROM rs WHERE n1 < 50 AND n2 < 50 AND tied = 0),
+        ways AS (SELECT n1, n2, 0 AS i, u, CAST(CASE WHEN u = 0 THEN 1 ELSE 0 END AS HUGEINT) AS c FROM sizes, LATERAL (SELECT unnest(range(0, n1*n2 + 1)) AS u) UNION ALL
+            SELECT n1, n2, i + 1, u, CAST(SUM(d) OVER (PARTITION BY n1, n2, u % (i + 1) ORDER BY u) AS HUGEINT) FROM
+            (SELECT n1, n2, i, u, c - COALESCE(lag(c, n2 + i + 1) OVER (PARTITION BY n1, n2 ORDER BY u), 0) AS d FROM ways WHERE i < n1)),
+        tails AS (SELECT n1, n2, u, CAST(SUM(c) OVER (PARTITION BY n1, n2 ORDER BY u) AS DOUBLE) / CAST(SUM(c) OVER (PARTITION BY n1, n2) AS DOUBLE) AS low FROM ways WHERE i = n1)
+        SELECT {keys}rs.n1, rs.n2, w, z, CASE WHEN low IS NULL THEN {sql_norm_p('zz')} WHEN zz IS NOT NULL THEN least(1.0::DOUBLE, 2*low) END AS p
+        FROM rs LEFT JOIN tails ON rs.n1 = tails.n1 AND rs.n2 = tails.n2 AND tied = 0 AND u = CAST(least(w, rs.n1*rs.n2 - w) AS BIGINT))"""
+
+
+def mean_ci_sql(source: str, keys: str, value: str, level: float = 0.95) -> str:
+    """n, mean, se and the bounds of a t interval per group, as a subquery. The quantile is found by halving, from the
+    tail that Simpson's rule gives."""
+    return f"""(WITH RECURSIVE ms AS (SELECT {keys}, COUNT({value}) AS n, AVG({value}) AS mean, stddev_samp({value})/sqrt(COUNT({value})) AS se FROM {source} GROUP BY {keys}),
+        tq AS (SELECT DISTINCT CAST(n - 1 AS DOUBLE) AS df, 0.0::DOUBLE AS lo, 700.0::DOUBLE AS hi, 0 AS i FROM ms WHERE n > 1 UNION ALL
+            SELECT df, CASE WHEN p > {1 - level:.6g}::DOUBLE THEN mid ELSE lo END, CASE WHEN p > {1 - level:.6g}::DOUBLE THEN hi ELSE mid END, i + 1 FROM
+            (SELECT *, (lo + hi)/2 AS mid, {sql_t_p('((lo + hi)/2)', 'df', 800)} AS p FROM tq WHERE i < 52))
+        SELECT {keys}, n, mean, CASE WHEN n > 1 THEN se END AS se, mean - (lo + hi)/2*se AS lower, mean + (lo + hi)/2*se AS upper FROM ms LEFT JOIN tq ON df = n - 1 AND i = 52)"""
+
+
+_BOUNDS = ", ".join(f"{q6(c)} AS {c}" for c in ("mean", "se", "lower", "upper"))
+
+
 def kruskal_sql(source: str, strata: str, group: str, value: str) -> str:
     keys = f"{strata}, " if strata else ""
     by = f"GROUP BY {strata}" if strata else ""
@@ -126,16 +152,16 @@ def _(spark, sf):
 # ---------------------------------------------------------------- rank tests
 
 
-@query("stat_ranksum", sql_with("obs", "subj") + ranksum_sql(DAILY, "feature", "arm", "value", "27.5", "10", f", {q6(sql_norm_p('z'))} AS p"))
+@query("stat_ranksum", sql_with("obs", "subj") + f"SELECT feature, n1, n2, w, z, {q6('p')} AS p FROM {ranksum_p_sql(DAILY, 'feature', 'arm', 'value', '27.5', '10')}")
 def _(spark, sf):
     out = NP.ranksum(_daily(spark, sf), ["feature"], "arm", "value", ["27.5", "10"])
     return out.select("feature", "n1", "n2", "w", r6("z").alias("z"), r6("p").alias("p"))
 
 
-@query("stat_ranksum_by", sql_with("obs", "subj") + ranksum_sql(DAILY, "feature, t", "outcome", "value", "Survived", "Succumbed"))
+@query("stat_ranksum_by", sql_with("obs", "subj") + f"SELECT feature, t, n1, n2, w, z, {q6('p')} AS p FROM {ranksum_p_sql(DAILY, 'feature, t', 'outcome', 'value', 'Survived', 'Succumbed')}")
 def _(spark, sf):
     out = NP.ranksum(_daily(spark, sf), ["feature", "t"], "outcome", "value", OUTCOME)
-    return out.select("feature", "t", "n1", "n2", "w", r6("z").alias("z"))
+    return out.select("feature", "t", "n1", "n2", "w", r6("z").alias("z"), r6("p").alias("p"))
 
 
 @query("stat_kruskal", sql_with("obs", "subj") + f"SELECT feature, n, {q6('h')} AS h, df, {q6('p')} AS p FROM ({kruskal_sql(DAILY, 'feature', 'arm', 'value')})")
@@ -189,17 +215,7 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- mean interval
 
-@query("agg_mean_ci", sql_with("obs", "subj") + f"""SELECT arm, feature, COUNT(value) AS n, {q6('AVG(value)')} AS mean, {q6('stddev_samp(value)/sqrt(COUNT(value))')} AS se
-    FROM obs JOIN subj USING (subject) GROUP BY 1, 2""")
-def _(spark, sf):
-    out = A.mean_ci(B.obs(spark, sf).join(B.subj(spark, sf), "subject"), ["arm", "feature"], "value")
-    return out.select("arm", "feature", "n", r6("mean").alias("mean"), r6("se").alias("se"))
-
-
-@query("agg_mean_ci_level", sql_with("obs", "subj") + f"""SELECT arm, feature, n, 0.05::DOUBLE AS outside FROM
-    (SELECT arm, feature, COUNT(value) AS n FROM obs JOIN subj USING (subject) GROUP BY 1, 2)""")
+@query("agg_mean_ci", sql_with("obs", "subj") + f"SELECT arm, feature, n, {_BOUNDS} FROM {mean_ci_sql('(SELECT * FROM obs JOIN subj USING (subject))', 'arm, feature', 'value')}")
 def _(spark, sf):
-    # the bounds, turned back into a tail probability, must give 1 - level
     out = A.mean_ci(B.obs(spark, sf).join(B.subj(spark, sf), "subject"), ["arm", "feature"], "value")
-    half = (F.col("upper") - F.col("mean")) / F.col("se")
-    return out.select("arm", "feature", "n", r6(t_p_udf(half, (F.col("n") - 1).cast("double"))).alias("outside"))
+    return out.select("arm", "feature", "n", *[r6(c).alias(c) for c in ("mean", "se", "lower", "upper")])

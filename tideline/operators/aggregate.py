@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tideline.functions.numeric import strict
 from tideline.functions.special import t_quantile_udf
 from tideline.operators.columns import col
 from tideline.operators.joins import match
-from tideline.operators.scan import quantiles_of_counts, value_counts
+from tideline.operators.scan import order_chunk, quantiles_of_counts, value_counts
 
 
 def summary_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -55,11 +56,17 @@ def mean_ci(df: DataFrame, by: Sequence[str], value: str, level: float = 0.95) -
 def collapse(
     df: DataFrame, keys: Sequence[str], text: str, order: Sequence[str], sep: str = ", ", out: str | None = None
 ) -> DataFrame:
-    """Join the texts of a group in the given order. The result is one cell per group by definition;
-    callers reduce to threshold events first, so a group holds at most its days times its labels."""
+    """Join the texts of a group in the given order.
+
+    The result is one cell per group by definition, but no task orders a whole group: texts are joined within chunks
+    of the first order column (a number's chunk, a text's beginning), then the chunks' texts in the chunks' order.
+    """
     by = ", ".join(f"`{c}`" for c in order)
-    joined = F.expr(f"listagg(cast(`{text}` as string), '{sep}') within group (order by {by})")
-    return df.groupBy(*keys).agg(joined.alias(out or text))
+    first = df.schema[order[0]].dataType
+    chunk = order_chunk(col(order[0])) if isinstance(first, NumericType) else F.substring(col(order[0]).cast("string"), 1, 4)
+    inside = F.expr(f"listagg(cast(`{text}` as string), '{sep}') within group (order by {by})")
+    parts = df.groupBy(*keys, chunk.alias("_chunk")).agg(inside.alias("_text"))
+    return parts.groupBy(*keys).agg(F.expr(f"listagg(_text, '{sep}') within group (order by _chunk)").alias(out or text))
 
 
 def duration(df: DataFrame, starts: DataFrame, key: str, start: str, end: str, out: str = "duration") -> DataFrame:

@@ -27,13 +27,15 @@ def with_baseline(
     *,
     agg: Callable[[Column], Column] = F.max,
     out: str = "baseline",
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Attach the per-key summary of ``value`` over the rows where ``at`` holds.
+    """Attach the per-key summary of ``value`` over the rows where ``at`` holds. ``source``: a table that has these
+    rows and can be read more narrowly than ``df``.
 
     Aggregate then join, not a window: the aggregate combines on the map side and the join can be
     split when one key is hot.
     """
-    base = df.where(at).groupBy(*keys).agg(agg(col(value)).alias(out))
+    base = (df if source is None else source).where(at).groupBy(*keys).agg(agg(col(value)).alias(out))
     return df.join(base, list(keys), "left")
 
 

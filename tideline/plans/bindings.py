@@ -5,7 +5,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.levels import ARM, STAGE
@@ -18,28 +20,76 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def day() -> F.Column:
-    return (F.dayofmonth("ts") - 1).cast("int")
+_STARTS: dict[tuple[str, ...], datetime.date | None] = {}
 
 
-def obs(spark: SparkSession, sf: str) -> DataFrame:
-    """(subject, t, feature, value): daily mean per subject and feature."""
-    return (
-        table(spark, sf, "events")
-        .groupBy(F.col("user_id").alias("subject"), day().alias("t"), F.col("event_type").alias("feature"))
-        .agg(F.avg("value").alias("value"))
+def study_start(events: DataFrame) -> datetime.date | None:
+    """The first day of the study. One small job per set of files; later plans have it as a constant."""
+    files = tuple(events.inputFiles())
+    if files not in _STARTS:
+        _STARTS[files] = events.agg(F.min(F.to_date("ts"))).first()[0]
+    return _STARTS[files]
+
+
+def study_day(events: DataFrame) -> Column:
+    """Whole days since the start of the study."""
+    return F.datediff(F.to_date("ts"), F.lit(study_start(events)).cast("date"))
+
+
+def between_days(events: DataFrame, first: int, last: int) -> DataFrame:
+    """The events of some study days, as a range of the time stamp that the file reader can use."""
+    start = study_start(events)
+    if start is None:
+        return events
+    lo, hi = (F.expr(f"TIMESTAMP_NTZ '{start + datetime.timedelta(days=d)} 00:00:00'") for d in (first, last + 1))
+    return events.where((F.col("ts") >= lo) & (F.col("ts") < hi))
+
+
+def obs(spark: SparkSession, sf: str, days: tuple[int, int] | None = None) -> DataFrame:
+    """(subject, t, feature, value): daily mean per subject and feature, of all days or from one to another."""
+    events = table(spark, sf, "events")
+    kept = between_days(events, *days) if days else events
+    return kept.groupBy(F.col("user_id").alias("subject"), study_day(events).alias("t"), F.col("event_type").alias("feature")).agg(
+        F.avg("value").alias("value")
     )
 
 
+FEATURES = ["click", "error", "purchase", "signup", "view"]
+# The sheets' columns, to which the events are dealt out.
+CELL_TYPES = ["Leukocytes", "Lymphocytes", "Monocytes", "Neutrophils", "Eosinophils", "Basophils", "Erythrocytes", "Platelets"]
+ANALYTES = [
+    "Glucose (GLU)", "Amylase (AMY)", "Albumin (ALB)", "Total protein (TP)", "Calcium (CA)", "Erythrocytes", "Hematocrit", "Hemoglobin",
+    "Alanine aminotransferase (ALT)", "Aspartate transferase (AST)", "Creatinine (CRE)", "C-reactive protein (CRP)",
+]
+
+
+def _sheet(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
+    """(subject, t, feature, value): daily means of all events, each dealt to one of the named columns by type and number."""
+    events = table(spark, sf, "events")
+    code = F.array_position(F.array(*[F.lit(f) for f in FEATURES]), F.col("event_type")) * 5 + F.col("event_id") % 5
+    feature = F.element_at(F.array(*[F.lit(n) for n in names]), (code % len(names) + 1).cast("int"))
+    return events.groupBy(F.col("user_id").alias("subject"), study_day(events).alias("t"), feature.alias("feature")).agg(F.avg("value").alias("value"))
+
+
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cell counts of every type."""
+    return _sheet(spark, sf, CELL_TYPES)
+
+
+def chem(spark: SparkSession, sf: str) -> DataFrame:
+    """Concentrations of every analyte that a term or an arrow needs."""
+    return _sheet(spark, sf, ANALYTES)
+
+
 def subj(spark: SparkSession, sf: str) -> DataFrame:
     """One row per subject: arm, time to event, event flag, outcome."""
     hit = (F.col("event_type") == "error") & (F.col("value") > 150)
     arm = F.element_at(F.array(*[F.lit(a) for a in ARM]), (F.col("subject") % 4 + 1).cast("int"))
+    events = table(spark, sf, "events")
     return (
-        table(spark, sf, "events")
-        .groupBy(F.col("user_id").alias("subject"))
+        events.groupBy(F.col("user_id").alias("subject"))
         .agg(
-            F.coalesce(F.min(F.when(hit, day())), F.lit(END)).alias("death"),
+            F.coalesce(F.min(F.when(hit, study_day(events))), F.lit(END)).alias("death"),
             F.max(F.when(hit, 1).otherwise(0)).alias("event"),
         )
         .withColumn("arm", arm)
@@ -123,11 +173,20 @@ def assay_samples(spark: SparkSession, sf: str) -> DataFrame:
 _STAGE_SQL = "CASE {x} % 5 WHEN 0 THEN 'Baseline' WHEN 1 THEN 'Early' WHEN 2 THEN 'Middle' WHEN 3 THEN 'Late' ELSE 'Recovered' END"
 _GRP_SQL = "CASE {x} % 3 WHEN 0 THEN 'HD' WHEN 1 THEN 'LD-V' ELSE 'LD-NV' END"
 
+DAY_SQL = "CAST(date_diff('day', CAST((SELECT min(ts) FROM events) AS DATE), CAST(ts AS DATE)) AS INT)"
+
+
+def _sheet_sql(names: list[str]) -> str:
+    return f"SELECT user_id AS subject, {DAY_SQL} AS t, {names}[(list_position({FEATURES}, event_type)*5 + event_id % 5) % {len(names)} + 1] AS feature, AVG(value) AS value FROM events GROUP BY 1, 2, 3"
+
+
 VIEW_SQL = {
-    "obs": "SELECT user_id AS subject, CAST(day(ts) - 1 AS INT) AS t, event_type AS feature, AVG(value) AS value FROM events GROUP BY 1, 2, 3",
-    "subj": """SELECT user_id AS subject,
+    "obs": f"SELECT user_id AS subject, {DAY_SQL} AS t, event_type AS feature, AVG(value) AS value FROM events GROUP BY 1, 2, 3",
+    "cells": _sheet_sql(CELL_TYPES),
+    "chem": _sheet_sql(ANALYTES),
+    "subj": f"""SELECT user_id AS subject,
         CASE user_id % 4 WHEN 0 THEN '27.5' WHEN 1 THEN '10' WHEN 2 THEN '1' ELSE '0.1' END AS arm,
-        CAST(COALESCE(MIN(CASE WHEN event_type='error' AND value > 150 THEN day(ts) - 1 END), 29) AS INT) AS death,
+        CAST(COALESCE(MIN(CASE WHEN event_type='error' AND value > 150 THEN {DAY_SQL} END), 29) AS INT) AS death,
         MAX(CASE WHEN event_type='error' AND value > 150 THEN 1 ELSE 0 END) AS event,
         CASE WHEN MAX(CASE WHEN event_type='error' AND value > 150 THEN 1 ELSE 0 END) = 1 THEN 'Succumbed' ELSE 'Survived' END AS outcome
         FROM events GROUP BY 1""",

@@ -11,11 +11,11 @@ from tideline.functions.levels import ARM, OUTCOME, level_rank, relabel
 from tideline.functions.numeric import clamp, elapsed_days, floor_at_limit, r_div, strict
 from tideline.functions.text import stars
 from tideline.operators.adjust import p_adjust
-from tideline.operators.aggregate import box_stats, mean_ci, merge_replicates, percent_outcome, summary_stats
+from tideline.operators.aggregate import box_stats, duration, mean_ci, merge_replicates, percent_outcome, summary_stats
 from tideline.operators.columns import select_prefix, set_where
 from tideline.operators.joins import with_baseline, with_control
 from tideline.operators.nonparametric import kruskal, ranksum
-from tideline.operators.rank import first_by, last_by, peak_by, trough_by
+from tideline.operators.rank import first_by, last_by, peak_by
 from tideline.operators.reshape import cast_wide, crosstab, melt
 from tideline.operators.sets import union_all
 from tideline.session import durable
@@ -55,12 +55,24 @@ def onset(values: DataFrame, subjects: DataFrame, above: float, keys: Sequence[s
     )
 
 
-def relative_capped(values: DataFrame, first: int = 1, last: int = 4) -> DataFrame:
-    """Values after day 0 relative to the subject's mean of an early window, capped at one."""
+def onset_interval(starts: DataFrame) -> DataFrame:
+    """Mean day of onset and its t interval per arm."""
+    return mean_ci(starts, ["arm"], "t")
+
+
+def durations(starts: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Inclusive days from each subject's onset to its end, with the arm."""
+    timed = duration(subjects, starts.select("subject", "arm", "t").distinct(), "subject", "t", "death")
+    return timed.select("subject", "arm", "t", "death", "duration")
+
+
+def relative_capped(values: DataFrame, first: int = 1, last: int = 4, early: DataFrame | None = None) -> DataFrame:
+    """Values after day 0 relative to the subject's mean of an early window, capped at one. ``early``: a table with the
+    window's rows, where there is a narrower one."""
     after = values.where(F.col("t") > 0)
     mean = lambda x: strict(F.avg, x)
-    early = with_baseline(after, ["subject"], "value", F.col("t").between(first, last), agg=mean)
-    return early.withColumn("relative", clamp(r_div(F.col("value"), F.col("baseline")), hi=1.0))
+    based = with_baseline(after, ["subject"], "value", F.col("t").between(first, last), agg=mean, source=early)
+    return based.withColumn("relative", clamp(r_div(F.col("value"), F.col("baseline")), hi=1.0))
 
 
 def first_detection(values: DataFrame, subjects: DataFrame, assays: Sequence[str], above: float = 0) -> DataFrame:
@@ -123,13 +135,11 @@ def panel(
 
 def extremes(values: DataFrame, subjects: DataFrame) -> DataFrame:
     """Baseline, least and greatest value per subject and feature, stacked."""
-    base = values.where("t = 0").select("subject", "feature", "value", F.lit("D0").alias("comparison"))
-    low = trough_by(values, ["subject", "feature"], "value", ["t"])
-    high = peak_by(values, ["subject", "feature"], "value", ["t"])
-    parts = [base] + [
-        x.select("subject", "feature", "value", F.lit(name).alias("comparison")) for x, name in ((low, "Min"), (high, "Max"))
-    ]
-    return union_all(parts).join(subjects.select("subject", "outcome"), "subject", "left")
+    found = values.groupBy("subject", "feature").agg(
+        F.max(F.when(F.col("t") == 0, F.col("value"))).alias("D0"), F.min("value").alias("Min"), F.max("value").alias("Max")
+    )
+    stacked = found.unpivot(["subject", "feature"], ["D0", "Min", "Max"], "comparison", "value").where(F.col("value").isNotNull())
+    return stacked.select("subject", "feature", "value", "comparison").join(subjects.select("subject", "outcome"), "subject", "left")
 
 
 def extremes_test(values: DataFrame, subjects: DataFrame) -> DataFrame:

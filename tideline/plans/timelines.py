@@ -85,10 +85,11 @@ def flags_to_events(flags: DataFrame, names: Sequence[str]) -> DataFrame:
     return long.where("_on").drop("_on")
 
 
-def temperature(df: DataFrame) -> DataFrame:
-    """Fever and hypothermia relative to each subject's own day 0, from (subject, t, value)."""
+def temperature(df: DataFrame, first_day: DataFrame | None = None) -> DataFrame:
+    """Fever and hypothermia relative to each subject's own day 0, from (subject, t, value). ``first_day``: a table with
+    the rows of day 0, where there is a narrower one."""
     delta = F.col("value") - F.col("baseline")
-    flags = with_baseline(df, ["subject"], "value", F.col("t") == 0).select(
+    flags = with_baseline(df, ["subject"], "value", F.col("t") == 0, source=first_day).select(
         "subject", "t",
         ((delta > 2.5) | ((delta > 1.5) & (F.col("value") > 103.5))).alias("fever"),
         (delta <= -3.5).alias("hypothermia"),
@@ -122,18 +123,18 @@ def outcome_sentence(animals: DataFrame) -> DataFrame:
 
 
 def join_topics(topics: Sequence[DataFrame], names: Sequence[str], ids: Sequence[str], out: str) -> DataFrame:
-    """Full-join topic texts and collapse what is there, in the order of ``names``."""
+    """Full-join topic texts (one row per subject) and put together what is there, in the order of ``names``.
+
+    A subject's topics then stand in one row, so nothing is gathered; a subject without any reads null.
+    """
     wide = full_join_all(topics, "subject")
-    long = melt(wide.select(*ids, *names), ids, names, "metric", out, ordinal="ordinal")
-    return collapse(long.where(col(out).isNotNull()), ids, out, ["ordinal"], "; ")
+    return wide.select(*ids, F.nullif(F.concat_ws("; ", *[col(n) for n in names]), F.lit("")).alias(out))
 
 
 def illness(outcomes: DataFrame, topics: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
     """The clinical illness column; a subject without any topic reads ``None``."""
     told = join_topics([outcomes, *topics], names, ["subject", "outcome"], "clinical")
-    told = told.withColumn("clinical", sentence_case(F.col("clinical")))
-    everyone = full_join_all([outcomes, *topics], "subject").select("subject", "outcome").distinct()
-    full = fill_missing(everyone.join(told.drop("outcome"), "subject", "left"), {"clinical": "None"})
+    full = fill_missing(told.withColumn("clinical", sentence_case(F.col("clinical"))), {"clinical": "None"})
     return full.select("subject", F.concat("clinical", F.lit(". "), "outcome").alias("illness"))
 
 
@@ -187,7 +188,7 @@ def arrows(changes: DataFrame, analytes: Sequence[str]) -> DataFrame:
 
 def pathology(topics: Sequence[DataFrame], names: Sequence[str] = ("hematology", "chemistry", "arrows")) -> DataFrame:
     """The clinical pathology column in fixed topic order."""
-    told = join_topics(topics, list(names), ["subject"], "pathology")
+    told = join_topics(topics, list(names), ["subject"], "pathology").where(F.col("pathology").isNotNull())
     return told.withColumn("pathology", cap_first(F.col("pathology")))
 
 
