@@ -1,7 +1,10 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tideline.functions.special import digamma, trigamma, trigamma_inverse
@@ -150,6 +153,35 @@ def test_smooth_equals_the_published_algorithm(spark, seed, n):
     assert read["f"].to_numpy() == pytest.approx(np.interp(read["x"], curves.knots[None], curves.values[None]), abs=1e-12)
 
 
+def test_smooth_of_many_points_in_groups(spark):
+    """Far more points than ranges at a time, and far more points than anchors; a group of one point; equal points."""
+    rng = np.random.default_rng(5)
+    parts = {"a": rng.gamma(2, 3, 200_000), "b": np.round(rng.normal(size=3000), 2), "c": np.array([4.0]), "d": np.full(7, 2.5)}
+    frames = [pd.DataFrame({"g": g, "x": x, "y": np.sin(x / 3) + rng.standard_t(2, len(x)) / 5}) for g, x in parts.items()]
+    every = pd.concat(frames)
+    curves = SM.lowess(durable(spark.createDataFrame(every)), by="g", held=5000)
+    for g in ("a", "b"):
+        mine = every[every["g"] == g]
+        xs, want = plain_lowess(mine["x"].to_numpy(), mine["y"].to_numpy())
+        assert np.interp(xs, curves.knots[g], curves.values[g]) == pytest.approx(want, abs=1e-9)
+    for g in ("c", "d"):
+        assert curves.values[g] == pytest.approx([every[every["g"] == g]["y"].mean()])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.floats(-1e6, 1e6, allow_nan=False).map(lambda v: round(v, 3)), min_size=2, max_size=40, unique=True), st.integers(0, 2**32))
+def test_steps_of_a_curve_give_its_value(knots, seed):
+    knots = np.sort(np.array(knots))
+    rng = np.random.default_rng(seed)
+    values = rng.normal(size=len(knots))
+    t = SM._steps(knots, values)
+    x = np.concatenate([knots, rng.uniform(knots[0], knots[-1], 200)])
+    i = np.clip(np.floor((x - knots[0]) * t["scale"]).astype(int), 0, SM.STEPS - 1)
+    got = t["value"][i] + t["slope"][i] * (x - t["edge"][i]) + (t["bend"][i] * np.maximum(x[:, None] - t["knot"][i], 0)).sum(axis=1)
+    steep = np.abs(np.diff(values) / np.diff(knots)).max() * (knots[-1] - knots[0])
+    assert got == pytest.approx(np.interp(x, knots, values), abs=1e-9 + 1e-11 * steep)
+
+
 def test_precision_weights(spark):
     x = count_matrix(seed=7, features=120, samples=12)
     x = x[(x > 5).sum(axis=1) >= 3]
@@ -254,6 +286,94 @@ def test_equal_variances_give_an_infinite_prior(spark):
     assert got.df_total == 36 and got.s2_post == pytest.approx(s0)
 
 
+def scaled_f_likelihood(s2, df, d0, s0):
+    x, half = s2 / s0, df / 2
+    if math.isinf(d0):
+        each = half * np.log(half) - [math.lgamma(h) for h in half] + (half - 1) * np.log(x) - half * x
+    else:
+        gamma = np.array([math.lgamma(h + d0 / 2) - math.lgamma(h) - math.lgamma(d0 / 2) for h in half])
+        each = gamma + half * np.log(df / d0) + (half - 1) * np.log(x) - (half + d0 / 2) * np.log1p(df * x / d0)
+    return (each - np.log(s0)).sum()
+
+
+def test_prior_of_unequal_degrees_of_freedom(spark):
+    rng = np.random.default_rng(17)
+    df = rng.choice([2.0, 5.0, 9.0, 14.0], 1500)
+    s2 = 0.7 * rng.chisquare(df) / df / (rng.chisquare(6, 1500) / 6)
+    fit = spark.createDataFrame([(i, float(math.sqrt(v)), float(d), "ab"[i % 2]) for i, (v, d) in enumerate(zip(s2, df, strict=True))], "feature int, sigma double, df double, g string")
+    priors = M.variance_priors(fit, by="g")
+    for k, g in enumerate("ab"):
+        own, d = s2[k::2], df[k::2]
+        e = np.log(own) + np.log(d / 2) - digamma(d / 2)
+        def at(d0, e=e, own=own, d=d):
+            w = 1 / (trigamma(d / 2) + trigamma(np.array([d0 / 2]))[0])
+            s0 = math.exp((w * e).sum() / w.sum() + digamma(np.array([d0 / 2]))[0] - math.log(d0 / 2))
+            return scaled_f_likelihood(own, d, d0, s0), s0
+        grid = np.exp(np.linspace(math.log(0.5), math.log(200), 4000))
+        best = max(grid, key=lambda d0: at(d0)[0])
+        assert priors[g].df == pytest.approx(best, rel=5e-3)
+        assert priors[g].variance == pytest.approx(at(best)[1], rel=1e-3)
+        assert priors[g].pooled == d.sum()
+    # a constant variance has the infinite prior
+    flat = spark.createDataFrame([(i, float(math.sqrt(rng.chisquare(d) / d)), float(d)) for i, d in enumerate(rng.choice([40.0, 60.0], 300))], "feature int, sigma double, df double")
+    d0, s0, _ = M.variance_prior(flat)
+    assert d0 > 100 and s0 == pytest.approx(1, rel=0.05)
+
+
+def test_moderated_tests_with_missing_cells(spark):
+    rng = np.random.default_rng(23)
+    y = rng.normal(size=(120, 12)) * rng.gamma(2, 0.5, 120)[:, None]
+    y[rng.random(y.shape) < 0.15] = np.nan
+    y = y[[all(np.isfinite(row[k::3]).any() for k in range(3)) and np.isfinite(row).sum() > 4 for row in y]]
+    fit = M.fit_oneway(long(spark, y), meta(spark, 12), "stage", STAGES)
+    d0, s0, pooled = M.variance_prior(fit)
+    for r in M.ebayes(fit, STAGES, M.versus("Baseline", ["Late"])).collect():
+        row = y[int(r.feature[1:])]
+        ok = np.isfinite(row)
+        b, cov, sigma, df = plain_fit(row[ok], onehot(12)[ok])
+        post = (d0 * s0 + df * sigma**2) / (d0 + df) if math.isfinite(d0) else s0
+        assert r.s2_post == pytest.approx(post, rel=1e-7)
+        assert r.t == pytest.approx((b[2] - b[0]) / math.sqrt(post * (cov[0, 0] + cov[2, 2])), rel=1e-7)
+        assert r.df_total == pytest.approx(min(df + d0, pooled), rel=1e-9)
+
+
+def test_groups_in_one_plan_equal_groups_alone(spark):
+    rng = np.random.default_rng(31)
+    mean = rng.gamma(1.2, 60, 80)[:, None] * rng.uniform(0.5, 2, 18)[None, :]
+    x = rng.poisson(mean)
+    cells = long(spark, x, "bigint").where("value > 0")
+    groups = {"all": range(18), "one": range(0, 9), "two": range(6, 18)}
+    who = spark.createDataFrame([(g, j, STAGES[j % 3]) for g, js in groups.items() for j in js], "grp string, sample int, stage string")
+    contrasts = M.versus("Baseline", ["Early", "Late"])
+    together = M.count_tests(cells, who, "stage", STAGES, contrasts, by="grp").collect()
+    got = {(r.grp, r.feature, r.contrast): r for r in together}
+    seen = 0
+    for g, js in groups.items():
+        alone = M.count_tests(cells, who.where(F.col("grp") == g).drop("grp"), "stage", STAGES, contrasts).collect()
+        for r in alone:
+            other = got[g, r.feature, r.contrast]
+            assert (other.lfc, other.t, other.p) == pytest.approx((r.lfc, r.t, r.p), rel=1e-9)
+            seen += 1
+    assert seen == len(got)
+    # and the plain formulas give the same weighted fit
+    js = list(groups["one"])
+    sub = x[:, js]
+    sub = sub[(sub > 20).sum(axis=1) >= 3]
+    names = [f"f{i:03d}" for i in np.flatnonzero((x[:, js] > 20).sum(axis=1) >= 3)]
+    lib, factor = plain_tmm(sub)
+    eff = lib * factor + 1
+    y = np.log2((sub + 0.5) / eff * 1e6)
+    design = np.array([[1.0 if j % 3 == k else 0.0 for k in range(3)] for j in js])
+    fits = [plain_fit(row, design) for row in y]
+    gx, gy = plain_lowess(y.mean(axis=1) + np.log2(eff).mean() - np.log2(1e6), np.sqrt([f[2] for f in fits]))
+    weights = np.interp(np.array([design @ f[0] for f in fits]) + np.log2(eff) - np.log2(1e6), gx, gy) ** -4.0
+    for name, row, w in zip(names, y, weights, strict=True):
+        b, cov, sigma, df = plain_fit(row, design, w)
+        r = got["one", name, "Late"]
+        assert r.lfc == pytest.approx(b[2] - b[0], rel=1e-8)
+        assert r.sigma == pytest.approx(sigma, rel=1e-7) and r.unscaled == pytest.approx(math.sqrt(cov[0, 0] + cov[2, 2]), rel=1e-8)
+
+
 def test_classification_limits_are_strict(spark):
     # fixed values: published rows (name, lfc, padj, significant, regulation)
     rows = [

@@ -250,3 +250,56 @@ def test_missing_keys_are_a_group(spark):
     assert pick(K.top_n(df, ["k"], "v", 2)) == pick(df)
     counted = crosstab(df, "k", "t", [1, 2, 3])
     assert pick(counted) == sorted([(None, 1, 1, 0), (1, 1, 1, 1)], key=str)
+
+
+def test_texts_of_a_large_group_are_joined_in_order(spark):
+    from tideline.operators.aggregate import collapse
+
+    df = spark.range(200_000).selectExpr("if(id < 150000, 'hot', 'k' || id % 50) AS g", "cast((id * 7919) % 200000 AS int) AS t", "id % 3 AS label")
+    got = {r["g"]: r["label"] for r in collapse(df, ["g"], "label", ["t"], ",").collect()}
+    rows = sorted((t, g, label) for g, t, label in map(tuple, df.collect()))
+    want = {}
+    for _, g, label in rows:
+        want.setdefault(g, []).append(str(label))
+    assert got == {g: ",".join(labels) for g, labels in want.items()}
+    words = spark.createDataFrame([(1, w, w) for w in ("b", "abcde", "abcd", "é", "abcdf", "a", None)], "g int, w string, x string")
+    assert collapse(words, ["g"], "w", ["x"], " ").first()["w"] == "a abcd abcde abcdf b é"
+
+
+def test_fan_out_reads_once_and_repeats_rows(spark):
+    from tideline.operators.sets import fan_out
+
+    df = fan_out(spark.range(6), {"low": F.col("id") < 3, "even": F.col("id") % 2 == 0, "none": F.col("id") > 9}, "part")
+    assert sorted((r["part"], r["id"]) for r in df.collect()) == [("even", 0), ("even", 2), ("even", 4), ("low", 0), ("low", 1), ("low", 2)]
+    assert df._jdf.queryExecution().executedPlan().toString().count("Range") == 1
+
+
+def test_trim_bounds_by_average_rank(spark):
+    import math
+
+    from tideline.operators.scan import trim_bounds
+
+    values = [1.0, 1.0, 1.0, 2.0, 3.0, 3.0, 4.0, 5.0, 5.0, 9.0, -7.5, 0.0]
+    df = spark.createDataFrame([("a", v, -v) for v in values] + [("b", 1.0, 2.0)], "g string, m double, a double")
+    got = {r["g"]: r for r in trim_bounds(df, ["g"], {"m": 0.3, "a": 0.05}).collect()}
+    for name, sign, trim in (("m", 1, 0.3), ("a", -1, 0.05)):
+        own = [sign * v for v in values]
+        first = math.floor(len(own) * trim) + 1
+        rank = {v: sum(w < v for w in own) + (own.count(v) + 1) / 2 for v in own}
+        stay = {v for v in own if first <= rank[v] <= len(own) + 1 - first}
+        low, high = got["a"][f"{name}_low"], got["a"][f"{name}_high"]
+        kept = {v for v in own if (v > low["x"] or (v == low["x"] and low["in"])) and (v < high["x"] or (v == high["x"] and high["in"]))}
+        assert kept == stay
+    assert got["b"]["m_low"]["x"] == got["b"]["m_high"]["x"] == 1.0
+
+
+def test_study_days_count_from_the_first_event(spark, tmp_path):
+    from tideline.plans import bindings as B
+
+    rows = [(1, 7, "view", 1.0, "2024-03-30 23:59:59"), (2, 7, "view", 3.0, "2024-04-01 00:00:00"), (3, 8, "click", 5.0, "2024-05-01 12:00:00")]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts string").withColumn("ts", F.expr("cast(ts as timestamp_ntz)"))
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted((r["subject"], r["t"]) for r in B.obs(spark, str(tmp_path)).collect()) == [(7, 0), (7, 2), (8, 32)]
+    early = B.obs(spark, str(tmp_path), days=(0, 1))
+    assert [(r["subject"], r["t"]) for r in early.collect()] == [(7, 0)]
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in early._jdf.queryExecution().executedPlan().toString()

@@ -9,8 +9,6 @@ import __spark_entry__ as entry_point
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
-# exact p-values below fifty subjects per group; the SQL has the normal form used at larger scales
-EXACT_HERE = {"coh_peak_outcome"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="given tables are not here")
 
@@ -22,8 +20,6 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
-    if name in EXACT_HERE and SF.endswith("sf0.001"):
-        pytest.skip("exact test at this scale")
     # a value halfway between two sixth decimals may round either way
     assert compare(spark, con, name, QUERIES[name], ORACLES[name], SF, atol=1.01e-6) is None
 
