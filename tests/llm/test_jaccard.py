@@ -1,4 +1,5 @@
 import random
+import time
 import re
 from collections import Counter, defaultdict
 
@@ -91,6 +92,22 @@ def test_trie_links_span_the_components(sets, percent, lot):
     assert [min(i for i, q in enumerate(parent) if q == p) for p in parent] == want
 
 
+def test_a_block_of_thousands_of_near_copies():
+    """Copies of one page that each differ from it in one word: every one replaces five shingles of 36."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(1, 2**63, 36).astype(np.uint64)
+    sets = []
+    for _ in range(8000):
+        own = base.copy()
+        at = int(rng.integers(0, 32))
+        own[at : at + 5] = rng.integers(1, 2**63, 5).astype(np.uint64)
+        sets.append(np.unique(own))
+    start = time.perf_counter()
+    links = jaccard.block_links(sets, 75)
+    assert time.perf_counter() - start < 4
+    assert len(links) == 8000 - 32  # only copies that differ in the same word are near enough
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.frozensets(st.integers(0, 60), min_size=1, max_size=50), min_size=2, max_size=12), st.sampled_from([50, 75, 90]))
 def test_signatures_miss_no_pair(sets, percent):

@@ -44,6 +44,8 @@ LIVE_BITS = 26
 #: over tasks (8 * 17: a count of 2^17).
 BUCKET_POSTINGS = 500_000
 PART_KEYS = 2_000_000
+#: Sets that a part of a block holds at most: those that meet are compared in one task.
+PART_SETS = 8192
 LEVELS = 8
 HEAVY = LEVELS * 17
 HASH_BITS = 56
@@ -379,52 +381,173 @@ class Trie:
         self.label_end = self.bounds[self.lo] + self.depth
 
 
-def block_links(sequences: list[np.ndarray], percent: int, lot: int = 64) -> list[tuple[int, int]]:
+class Groups:
+    """Components of the sets of a block, numbered by one of them; the smaller one takes the other's name."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+        self.members: dict[int, np.ndarray] = {}
+        self._runs: np.ndarray | None = None
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether two sets were in different components, which are then one."""
+        a, b = int(self.of[x]), int(self.of[y])
+        if a == b:
+            return False
+        own, other = self.members.pop(a, np.array([a])), self.members.pop(b, np.array([b]))
+        if len(own) > len(other):
+            a, b, own, other = b, a, other, own
+        self.of[own] = b
+        self.members[b] = np.concatenate([other, own])
+        self._runs = None
+        return True
+
+    def runs(self) -> np.ndarray:
+        """For each place the first place after it where another component stands, and one end more."""
+        if self._runs is None:
+            n = len(self.of)
+            edge = np.concatenate([np.flatnonzero(self.of[1:] != self.of[:-1]) + 1, [n]])
+            self._runs = np.append(edge[np.searchsorted(edge, np.arange(n), "right")], n)
+        return self._runs
+
+
+class Block:
+    """The sets of a block, ready for the walk.
+
+    Keys that only one set has are in no overlap, so the trie holds the other keys; sizes count all. Sets with the same
+    other keys, such as copies that differ in a word each, are one *bundle*: one path of the trie, members by size.
+    """
+
+    def __init__(self, sequences: list[np.ndarray], percent: int):
+        self.percent, self.links = percent, []
+        sizes = np.array([len(s) for s in sequences])
+        _, number, count = np.unique(np.concatenate(sequences), return_inverse=True, return_counts=True)
+        shared = count[number] > 1
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        bundles: dict[bytes, list[int]] = {}
+        for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            kept = number[lo:hi][shared[lo:hi]]
+            if len(kept):
+                bundles.setdefault(kept.astype(np.int64).tobytes(), []).append(i)
+        self.trie = Trie([np.frombuffer(k, np.int64) for k in bundles]) if bundles else None
+        if self.trie is None:
+            return
+        members = list(bundles.values())
+        members = [sorted(members[i], key=lambda j: sizes[j]) for i in self.trie.order]
+        self.sets = np.concatenate(members)  # by bundle, then by size
+        self.size = sizes[self.sets]
+        self.at = np.concatenate([[0], np.cumsum([len(m) for m in members])])
+        self.small, self.large = self.size[self.at[:-1]], self.size[self.at[1:] - 1]
+        self.least = np.array([self.small[a:b].min() for a, b in zip(self.trie.lo, self.trie.hi, strict=True)])
+        self.most = np.array([self.large[a:b].max() for a, b in zip(self.trie.lo, self.trie.hi, strict=True)])
+        self.groups = Groups(len(self.sets))
+        for i, keys in enumerate(self.trie.sets):
+            self.link(i, i, len(keys))
+
+    def limit(self, overlap: np.ndarray | int) -> np.ndarray | int:
+        """The greatest sum of two sizes that such an overlap links."""
+        return overlap + 100 * overlap // self.percent
+
+    def link(self, x: int, y: int, overlap: int) -> None:
+        """Join the sets of two bundles (or of one) that their overlap links: all of them by way of the smallest ones."""
+        top = self.limit(overlap)
+        first, other = int(self.at[x]), int(self.at[y])
+        for own, mate in ((first, y), (other, x)):
+            stop = int(np.searchsorted(self.size[self.at[mate] : self.at[mate + 1]], top - self.size[own], "right")) + int(self.at[mate])
+            for k in range(int(self.at[mate]), stop):
+                if k != own and self.groups.join(own, k):
+                    self.links.append((int(self.sets[own]), int(self.sets[k])))
+            if x == y:
+                break
+
+    def settled(self, x: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether bundle x and all bundles from lo to hi are one component already."""
+        runs, begin = self.groups.runs(), int(self.at[x])
+        if runs[begin] < self.at[x + 1]:
+            return np.zeros(len(lo), bool)
+        return (self.groups.of[self.at[lo]] == self.groups.of[begin]) & (runs[self.at[lo]] >= self.at[hi])
+
+
+#: Bundles that are compared with all others of a block before its trie is walked, at most.
+PIVOTS = 64
+
+
+def _pivot_links(block: Block) -> None:
+    """Link some bundles with all others: in a group of near copies these settle most of it. What they leave open is for
+    the walk, so their choice changes time only."""
+    trie = block.trie
+    n = len(trie.sets)
+    mark, settled = np.zeros(trie.width, bool), np.zeros(n, bool)
+    for _ in range(min(PIVOTS, n // 8)):
+        rest = np.flatnonzero(~settled)
+        if not len(rest):
+            break
+        x = int(rest[len(rest) // 2])
+        mark[trie.sets[x]] = True
+        overlap = np.add.reduceat(mark[trie.flat].astype(np.int64), trie.bounds[:-1])
+        mark[trie.sets[x]] = False
+        near = np.flatnonzero(block.small[x] + block.small <= block.limit(overlap))
+        for y in near[near != x].tolist():
+            block.link(x, y, int(overlap[y]))
+        fresh = int((~settled[near]).sum())
+        settled[near] = settled[x] = True
+        if fresh * 100 < n:
+            break
+
+
+def block_links(sequences: list[np.ndarray], percent: int, lot: int = 1 << 17) -> list[tuple[int, int]]:
     """Links that span the components of the sets: every linked pair is joined by them, directly or by others.
 
-    The sets are walked against the trie of all, each against those before it in lexicographic order.
+    The bundles are walked against the trie of all, each against those before it in lexicographic order. Subtrees that
+    are in the walking bundle's component already are left out as a whole. ``lot``: keys looked at in one step.
     """
-    trie = Trie(sequences)
-    n = len(sequences)
-    group = np.arange(n)
+    block = Block(sequences, percent)
+    trie = block.trie
+    if trie is None:
+        return []
+    _pivot_links(block)
     mark = np.zeros(trie.width, bool)
-    links = []
-    for x in range(1, n):
-        own = trie.sets[x]
-        mark[own] = True
-        size = len(own)
+    for x in range(1, len(trie.sets)):
+        own, small, large = trie.sets[x], int(block.small[x]), int(block.large[x])
         waiting = [(trie.children[trie.child_at[0] : trie.child_at[1]], np.zeros(trie.child_at[1] - trie.child_at[0], np.int64))]
+        marked = False
         while waiting:
             nodes, had = waiting.pop()
-            if len(nodes) > lot:
-                waiting.append((nodes[lot:], had[lot:]))
-                nodes, had = nodes[:lot], had[:lot]
-            # sizes that fit, sets before this one, and not all linked with it already (settled for single sets only)
-            keep = (trie.lo[nodes] < x) & (trie.most[nodes] * 100 >= percent * size) & (trie.least[nodes] * percent <= 100 * size)
-            keep &= (trie.hi[nodes] - trie.lo[nodes] > 1) | (group[trie.lo[nodes]] != group[x])
+            # sizes that fit, bundles before this one, and not all linked with it already
+            lo = trie.lo[nodes]
+            keep = (lo < x) & (block.most[nodes] * 100 >= percent * small) & (block.least[nodes] * percent <= 100 * large)
+            nodes, had, lo = nodes[keep], had[keep], lo[keep]
+            keep = ~block.settled(x, lo, np.minimum(trie.hi[nodes], x))
             nodes, had = nodes[keep], had[keep]
             if not len(nodes):
                 continue
             begin, long = trie.label_at[nodes], trie.label_end[nodes] - trie.label_at[nodes]
             total = np.concatenate([[0], np.cumsum(long)])
+            if total[-1] > lot and len(nodes) > 1:
+                cut = max(1, int(np.searchsorted(total, lot, "right")) - 1)
+                waiting.append((nodes[cut:], had[cut:]))
+                nodes, had, begin, long, total = nodes[:cut], had[:cut], begin[:cut], long[:cut], total[: cut + 1]
+            if not marked:
+                mark[own] = marked = True
             place = np.arange(total[-1]) + np.repeat(begin - total[:-1], long)
             hits = np.concatenate([[0], np.cumsum(mark[trie.flat[place]])])
             had = had + hits[total[1:]] - hits[total[:-1]]
-            for node, overlap in zip(nodes.tolist(), had.tolist(), strict=True):
-                y = int(trie.ends[node])
-                if 0 <= y < x and group[y] != group[x] and 100 * overlap >= percent * (size + trie.size[y] - overlap):
-                    links.append((trie.order[x], trie.order[y]))
-                    group[group == group[x]] = group[y]
-            # what this set has left beyond the path's last key, and what the longest set below has left
+            ends = trie.ends[nodes]
+            near = np.flatnonzero((ends >= 0) & (ends < x) & (small + block.small[np.maximum(ends, 0)] <= block.limit(had)))
+            for y, overlap in zip(ends[near].tolist(), had[near].tolist(), strict=True):
+                block.link(x, y, overlap)
+            # what this bundle has left beyond the path's last key, and what the longest path below has left
             last = trie.flat[np.maximum(trie.label_end[nodes] - 1, 0)]
-            left = np.minimum(size - np.searchsorted(own, last, "right"), trie.most[nodes] - trie.depth[nodes])
-            need = -(-percent * (size + trie.least[nodes]) // (100 + percent))
-            go = (trie.child_at[nodes + 1] > trie.child_at[nodes]) & (had + left >= need)
-            for node, overlap in zip(nodes[go].tolist(), had[go].tolist(), strict=True):
-                below = trie.children[trie.child_at[node] : trie.child_at[node + 1]]
-                waiting.append((below, np.full(len(below), overlap)))
-        mark[own] = False
-    return links
+            left = np.minimum(len(own) - np.searchsorted(own, last, "right"), trie.most[nodes] - trie.depth[nodes])
+            go = (trie.child_at[nodes + 1] > trie.child_at[nodes]) & (small + block.least[nodes] <= block.limit(had + left))
+            if go.any():
+                first, after = trie.child_at[nodes[go]], trie.child_at[nodes[go] + 1]
+                count = after - first
+                below = trie.children[np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)]
+                waiting.append((below, np.repeat(had[go], count)))
+        if marked:
+            mark[own] = False
+    return block.links
 
 
 def _by_block(blocks: DataFrame, work, schema: pa.Schema, text: str) -> DataFrame:
@@ -497,10 +620,10 @@ def class_links(docs: DataFrame, sketch: np.ndarray, postings: int, percent: int
     buckets = max(64, -(-postings // BUCKET_POSTINGS))
     members = durable(_members(durable(_shared_keys(_postings(docs, levels, buckets, percent, heavy)))))
     marks = durable(_live_sets(docs, levels, sc.broadcast(_live_bits(members)), whole=False))
-    likely = durable(_with_partners(_blocks(members, marks, "n / 8", part_keys), percent).distinct())
+    likely = durable(_with_partners(_blocks(members, marks, f"greatest(n / 8, {part_keys / PART_SETS})", part_keys), percent).distinct())
     sets = _live_sets(docs, levels, sc.broadcast(_live_bits(likely)), whole=True)
     sizes = marks.select("cls", "n")
-    return _joined_blocks(_blocks(likely, sets, "n", part_keys, sizes), percent).distinct()
+    return _joined_blocks(_blocks(likely, sets, f"greatest(n, {part_keys / PART_SETS})", part_keys, sizes), percent).distinct()
 
 
 def _rooted(docs: DataFrame, percent: int, part_keys: int, heavy: int) -> DataFrame:
