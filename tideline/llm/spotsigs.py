@@ -41,8 +41,9 @@ def _words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
 
 
-def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """``rows`` with ``out``: the distinct signature hashes of the text, in order, 31 bits each.
+def with_signatures(rows: DataFrame, text: str, out: str, bits: int = 31) -> DataFrame:
+    """``rows`` with ``out``: the distinct signature hashes of the text, in order, of 31 bits, or up to 63 where signatures
+    of a whole corpus are told apart.
 
     Null or no word: an empty array. Steps are columns of their own, since each is read more than once by the next.
     """
@@ -61,7 +62,7 @@ def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
     rows = rows.withColumn("_bare", F.filter(F.transform(F.concat(F.slice("_parts", 1, 1), behind), lambda t: F.trim(t)), lambda t: t != ""))
     rows = rows.withColumn("_runs", F.transform("_bare", lambda t: F.split(t, " ")))
     dense = F.flatten(F.transform("_runs", lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: F.concat_ws(" ", *[F.get(ws, i + k) for k in range(CHAIN + 1)]))))
-    hashes = F.transform(F.concat(col("_chains"), dense), lambda s: F.shiftrightunsigned(F.xxhash64(s), 33).cast("int"))
+    hashes = F.transform(F.concat(col("_chains"), dense), lambda s: F.shiftrightunsigned(F.xxhash64(s), 64 - bits).cast("int" if bits < 32 else "bigint"))
     rows = rows.withColumn(out, F.sort_array(F.array_distinct(hashes)))
     return rows.drop("_parts", "_spots", "_after", "_zipped", "_chains", "_bare", "_runs")
 
@@ -83,7 +84,7 @@ def with_likeness(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
 
 
 def with_next(ids: DataFrame) -> DataFrame:
-    """``ids`` (doc_id, _h, n_chars) with the ``_next_id``, ``_next_h`` of the row that follows by (doc_id, _h); after the last comes the first.
+    """``ids`` (doc_id, _h, n_chars, copies) with the ``_next_id``, ``_next_h`` of the row that follows by (doc_id, _h); after the last comes the first.
 
     The rows are written in global order, one file per range; within a file they are linked by a window, and the last
     of a file with the first of the next, for which only one row per file is ordered as a whole.
@@ -98,37 +99,44 @@ def with_next(ids: DataFrame) -> DataFrame:
     after = first.select("_file", F.coalesce(F.lead("_first").over(by_file), F.min("_first").over(whole)).alias("_after"))
     linked = inside.join(after, "_file")
     follow = F.coalesce(F.col("_next"), F.struct(F.col("_after")["doc_id"], F.col("_after")["_h"]))
-    return linked.withColumn("_next", follow).select("doc_id", "_h", "n_chars", F.col("_next")["doc_id"].alias("_next_id"), F.col("_next")["_h"].alias("_next_h"))
+    return linked.withColumn("_next", follow).select("doc_id", "_h", "n_chars", "copies", F.col("_next")["doc_id"].alias("_next_id"), F.col("_next")["_h"].alias("_next_h"))
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited, own, following, _h): each text's edited form, its signatures and the next document's.
+    """(doc_id, n_chars, copies, edited, own, following): each text's edited form, its signatures and the next document's.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
-    document's. Documents are distinct (doc_id, text) pairs: rows that repeat count once. Null texts are empty.
+    document's. Documents are distinct (doc_id, text) pairs in this order; ``copies`` rows repeat each. Null texts are empty.
+    A document is known by its doc_id and 64 bits of its text, so only texts of one doc_id could be mistaken.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("_h", F.xxhash64("doc_id", "text"))
-    ids = rows.select("doc_id", "_h", F.char_length("text").cast("bigint").alias("n_chars")).distinct()
+    rows = rows.withColumn("_h", F.xxhash64("text"))
+    ids = rows.groupBy("doc_id", "_h", F.char_length("text").cast("bigint").alias("n_chars")).agg(F.count("*").alias("copies"))
     links = durable(with_next(ids))
-    back = links.select(F.col("_next_h").alias("_h"), F.col("_h").alias("_to"), F.floor(F.col("n_chars") / 4).cast("int").alias("_k"))
-    told = durable(links.join(back, "_h"))
+    back = links.select(F.col("_next_id"), F.col("_next_h"), F.col("doc_id").alias("_to_id"), F.col("_h").alias("_to_h"), F.floor(F.col("n_chars") / 4).cast("int").alias("_k"))
+    own = links.drop("_next_id", "_next_h")
+    told = own.join(back, F.col("doc_id").eqNullSafe(F.col("_next_id")) & (F.col("_h") == F.col("_next_h"))).drop("_next_id", "_next_h")
+    told = durable(told.withColumnsRenamed({"doc_id": "_d", "_h": "_g"}))
     # the texts are shuffled once; both what a document lends to the one before it (the beginning of its text and all its
     # signatures) and its own row come from there
-    dealt = rows.select("_h", "text").repartition("_h").join(told, "_h").dropDuplicates(["_h"])
-    dealt = with_signatures(dealt, "text", "own")
-    lent = dealt.select(F.col("_to").alias("_h"), F.substring(F.col("text"), F.lit(1), F.col("_k")).alias("_head"), F.col("own").alias("following"))
-    made = dealt.join(lent, "_h")
+    dealt = rows.repartition("doc_id", "_h").dropDuplicates(["doc_id", "_h"]).join(told, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")))
+    dealt = with_signatures(dealt.drop("_d", "_g"), "text", "own")
+    lent = dealt.select(F.col("_to_id").alias("_d"), F.col("_to_h").alias("_g"), F.substring(F.col("text"), F.lit(1), F.col("_k")).alias("_head"), F.col("own").alias("following"))
+    made = dealt.join(lent, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")))
     keep = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), keep), F.col("_head"))
-    return made.select("doc_id", "_h", "n_chars", edited.alias("edited"), "own", "following")
+    return made.select("doc_id", "n_chars", "copies", edited.alias("edited"), "own", "following")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row per document: its fingerprint, its edited text's, and their likeness and that with the next document's."""
+    """One row per row of ``docs``: its fingerprint, its edited text's, and their likeness and that with the next document's.
+
+    Rows that repeat are one document in the order, and each of them gets its result.
+    """
     made = edited_pairs(docs).withColumn("edited_sha256", F.sha2("edited", 256))
     made = with_signatures(made, "edited", "changed").drop("edited")
     made = with_likeness(with_likeness(made, "own", "changed", "near_edited"), "own", "following", "near_next")
+    made = made.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     return made.select("doc_id", "n_chars", "edited_sha256", fingerprint("own").alias("fingerprint"), fingerprint("changed").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
@@ -167,14 +175,14 @@ def near_pairs(sets: DataFrame) -> DataFrame:
 
 
 def near_counts(docs: DataFrame) -> DataFrame:
-    """One row per distinct (doc_id, text): its number of signatures and of other documents at least ``PERCENT`` alike.
+    """One row per row of ``docs``: its number of signatures and of other documents at least ``PERCENT`` alike.
 
-    Texts of equal signature sets are one set from here on, known by a digest of 64 bits, so copies make no pairs.
+    Rows that repeat are one document. Texts of equal signature sets are one set from here on, known by a digest of 64 bits, so copies make no pairs.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_signatures(rows.withColumn("_h", F.xxhash64("doc_id", "text")), "text", "sigs")
+    rows = with_signatures(rows.withColumn("_h", F.xxhash64("text")), "text", "sigs", 63)
     rows = durable(rows.select("doc_id", "_h", F.xxhash64("sigs").alias("set_id"), "sigs"))
-    ids = rows.select("doc_id", "_h", "set_id", F.size("sigs").alias("n_signatures")).distinct()
+    ids = rows.groupBy("doc_id", "_h", "set_id", F.size("sigs").alias("n_signatures")).agg(F.count("*").alias("copies"))
     members = ids.groupBy("set_id").agg(F.count("*").alias("members"))
     sets = durable(rows.select("set_id", "sigs").dropDuplicates(["set_id"]))
     pairs = durable(near_pairs(sets))
@@ -182,4 +190,6 @@ def near_counts(docs: DataFrame) -> DataFrame:
     near = ends.join(members, F.col("b") == F.col("set_id")).groupBy("a").agg(F.sum("members").alias("others")).withColumnRenamed("a", "set_id")
     counted = members.join(near, "set_id", "left").select("set_id", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
     # one row per set is looked up by many documents where copies are: only the narrow rows meet
-    return look_up(ids, counted, "set_id", "_h").select("doc_id", "n_signatures", "n_near")
+    told = look_up(ids, counted, "set_id", "_h")
+    told = told.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return told.select("doc_id", "n_signatures", "n_near")
