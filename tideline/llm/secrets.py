@@ -93,14 +93,18 @@ def secret_scan(docs: DataFrame, ledger: str, rule_version: int = RULE_VERSION)
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("blob", F.sha2("text", 256))
-    paths = durable(rows.select("doc_id", "blob"))
-    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("_owner"))
-    owners = blobs.join(read_ledger(spark, ledger, rule_version).select("blob"), "blob", "left_anti").withColumnRenamed("blob", "_blob")
-    texts = rows.join(owners, F.col("doc_id").eqNullSafe(F.col("_owner")) & (F.col("blob") == F.col("_blob")))
-    made = scan_texts(texts.select("blob", "text")).dropDuplicates(["blob"])
+    # addresses travel as 32 bytes, and as hex only in the ledger and the result
+    rows = rows.withColumn("_b", F.unhex(F.sha2("text", 256)))
+    paths = durable(rows.select("doc_id", "_b"))
+    blobs = paths.groupBy("_b").agg(F.min("doc_id").alias("_owner"))
+    scanned = read_ledger(spark, ledger, rule_version).select(F.unhex("blob").alias("_b"))
+    owners = blobs.join(scanned, "_b", "left_anti").withColumnRenamed("_b", "_blob")
+    texts = rows.join(owners, F.col("doc_id").eqNullSafe(F.col("_owner")) & (F.col("_b") == F.col("_blob")))
+    # rows that repeat are scanned each, and their findings, not their texts, are thinned out
+    made = scan_texts(texts.select(F.lower(F.hex("_b")).alias("blob"), "text")).dropDuplicates(["blob"])
     made.withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(ledger)
-    return look_up(paths, read_ledger(spark, ledger, rule_version), "blob", "doc_id").select("doc_id", "blob", "kind", "start", "end")
+    found = read_ledger(spark, ledger, rule_version).withColumn("_b", F.unhex("blob")).drop("blob")
+    return look_up(paths, found, "_b", "doc_id").withColumn("blob", F.lower(F.hex("_b"))).select("doc_id", "blob", "kind", "start", "end")
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
