@@ -7,6 +7,7 @@ array operations; any other text goes through the tokenizer as a whole. Both way
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import numpy as np
@@ -61,6 +62,24 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return start[keep], end[keep]
 
 
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each word, never 0, from its first and last eight bytes and its length, which are all of a word of up
+    to sixteen; longer ones, which are rare, are hashed one by one."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    length = end - start
+    first = eight[start] & _KEPT[np.minimum(length, 8)]
+    last = np.where(length > 8, eight[np.maximum(end - 8, 0)], u64(0))
+    out = mix(first * u64(0x9FB21C651E98DF25) + mix(last + length.astype(np.uint64) * u64(0xA24BAED4963EE407)))
+    for i in np.flatnonzero(length > 16).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return np.maximum(out, u64(1))
+
+
 class Encoder:
     """Ids of many texts at once. One per Python worker, see :func:`encoder`."""
 
@@ -120,9 +139,7 @@ class Encoder:
 
     def _look_up(self, words: Words) -> np.ndarray:
         """The words' places in the table; unknown ones are learned first."""
-        # the hash holds the word's length too; 0 means a free place
-        hashes = words.span_hash(words.start, words.end)
-        hashes = np.maximum(mix(hashes + (words.end - words.start).astype(np.uint64) * u64(0xA24BAED4963EE407)), u64(1))
+        hashes = word_hashes(words.data, words.start, words.end)
         place = self._places(hashes)
         missing = np.flatnonzero(place < 0)
         if len(missing):
