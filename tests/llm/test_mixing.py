@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 from collections import defaultdict
 
@@ -94,3 +95,15 @@ def test_one_more_very_long_document_is_taken_where_that_is_nearer():
     assert mixing.fit_counts({40_000: 10}, 395_000) == {40_000: 10}
     assert mixing.fit_counts({1_000_000: 1}, 900_000) == {1_000_000: 1}
     assert mixing.fit_counts({1_000_000: 1}, 400_000) == {1_000_000: 0}
+
+
+def test_few_long_documents_are_fitted_as_near_as_any_choice():
+    rng = random.Random(1)
+    for _ in range(150):
+        counts = {rng.randint(17_000, 90_000): rng.randint(1, 3) for _ in range(rng.randint(1, 4))}
+        budget = rng.randint(1, sum(length * n for length, n in counts.items()))
+        taken = mixing.fit_counts(counts, budget)
+        assert all(0 <= n <= counts[length] for length, n in taken.items())
+        made = sum(length * n for length, n in taken.items())
+        choices = itertools.product(*[range(n + 1) for n in counts.values()])
+        assert abs(budget - made) == min(abs(budget - sum(length * n for length, n in zip(counts, c, strict=True))) for c in choices)

@@ -3,7 +3,8 @@
 Every source gets a target number of words. Whole repeats of all its documents fill the target as far as they go; what
 is left is a budget for a subset of its documents. The subset is chosen by *how many documents of each exact length*:
 first the same share of every length, then long documents until the budget is small, then bounded-knapsack dynamic
-programming over the remaining counts, which meets the budget exactly wherever some subset can. Which documents of a
+programming over the remaining counts, which meets the budget exactly wherever some subset of these can. Small means at
+least twice the longest document, so few and long documents are all left to the programme. Which documents of a
 length are taken is settled by a seeded hash of doc_id. The fit sees counts by length only, never documents.
 """
 
@@ -18,8 +19,10 @@ from tideline.llm.common import SPACE, durable
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
-#: The dynamic programme works on sums below twice this many words.
+#: The dynamic programme works on sums below twice this many words at least, and below four times the longest document.
 WINDOW = 1 << 15
+#: Where documents are long, sixteen of the longest are left to the programme if that is no more words than this.
+ROOM = 1 << 21
 CHUNKS = 256
 
 
@@ -31,12 +34,18 @@ def size_of(text: Column) -> Column:
 def fit_counts(counts: dict[int, int], budget: int, window: int = WINDOW) -> dict[int, int]:
     """How many documents of each length to take, of ``counts`` there are, to come as near to ``budget`` as can be found.
 
-    Lengths are positive. The sum is exact where the documents left after the proportional part allow it.
+    Lengths are positive. The sum is exact where the documents left after the proportional part allow it. Where documents
+    are long against ``window``, it grows with the longest, and the proportional part stops short of it.
     """
     total = sum(length * n for length, n in counts.items())
     if budget <= 0 or not total:
         return {}
-    taken = {length: min(n, n * budget // total) for length, n in counts.items()}
+    longest = max(counts)
+    share = budget
+    if 2 * longest > window:
+        window = max(2 * longest, min(16 * longest, ROOM))
+        share = max(0, budget - window)
+    taken = {length: min(n, n * share // total) for length, n in counts.items()}
     rest = budget - sum(length * n for length, n in taken.items())
     for length in sorted(counts, reverse=True):
         if rest <= window:
