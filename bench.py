@@ -1,7 +1,8 @@
 """Time the headline queries; prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 1),
-BENCH_QUERIES (comma-separated names, or ``all``).
+BENCH_QUERIES (comma-separated names, or ``all``), BENCH_SHARED_DIR (folder for intermediate tables; default: the
+warehouse of the local session).
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def main() -> None:
             "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
-            "spark.checkpoint.dir": os.environ.get("BENCH_SHARED_DIR", "/tmp/tideline-bench"),
+            **({"spark.checkpoint.dir": os.environ["BENCH_SHARED_DIR"]} if "BENCH_SHARED_DIR" in os.environ else {}),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

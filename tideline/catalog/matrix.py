@@ -367,9 +367,12 @@ _one_study("omx_count_de_hd", "HD", HD)
 _one_study("omx_count_de_ldv", "LD-V", LDV)
 
 
-@query("omx_count_de_groups")
+_STUDIES = {"viremic": VIREMIC, "HD": HD, "LD-V": LDV, "LD-NV": AVIREMIC}
+
+
+@query("omx_count_de_groups", " UNION ALL ".join(f"SELECT '{study}' AS study, * FROM ({count_result_sql(where)}{ROUNDED})" for study, where in _STUDIES.items()))
 def _(spark, sf):
-    """Every study group in one plan; the queries above hold the groups one by one against SQL."""
+    """Every study group in one plan."""
     return _rounded(_study(spark, sf, *B.STUDY_GROUPS), "lfc", "padj")
 
 
