@@ -28,7 +28,7 @@ from tideline.operators.rank import top_k
 from tideline.session import durable
 
 #: Directions a step, steps before a restart, and restarts before giving up.
-BLOCK, DEPTH, RESTARTS = 32, 12, 40
+BLOCK, DEPTH, RESTARTS = 64, 6, 40
 #: A direction shorter than this share of the matrix' image is rounding.
 NOTHING = 1e-13
 #: The image of a component may differ from its multiple by this share of the largest variance.
@@ -173,7 +173,7 @@ def _start(cells: _Cells, width: int) -> DataFrame:
 def _krylov(cells: _Cells, k: int) -> tuple[DataFrame, np.ndarray]:
     """Loadings (feature, mu, one, l: list of k) and the sums of squares of their scores."""
     known = ["feature", "mu", "one"]
-    fresh = durable(_start(cells, BLOCK))  # known, and w: candidates for directions
+    fresh = _start(cells, BLOCK)  # known, and w: candidates for directions
     names, weights = ["w"], _whitened(gram(fresh, ["w"]), 0.0)
     for _ in range(RESTARTS):
         blocks: list[tuple[str, str]] = []  # names of the list columns of directions and of their images
