@@ -68,8 +68,8 @@ EBAYES = f""", e AS (SELECT df, ln(sigma*sigma) - {sql_digamma('(df/2)')} + ln(d
     post AS (SELECT contr.*, CASE WHEN y IS NULL THEN s0 ELSE (2*y*s0 + df*sigma*sigma)/(2*y + df) END AS s2, CASE WHEN y IS NULL THEN pooled ELSE least(df + 2*y, pooled) END AS dft FROM contr, prior),
     tt AS (SELECT *, lfc/(unscaled*sqrt(s2)) AS t FROM post),
     eb AS (SELECT *, {sql_t_p('t', 'dft', 600)} AS p FROM tt)"""
-RESULT = """, bh AS (SELECT *, COUNT(*) OVER (PARTITION BY stage) AS mm, COUNT(*) OVER (PARTITION BY stage ORDER BY p) AS upto FROM eb),
-    adj AS (SELECT *, least(1.0::DOUBLE, min(p*mm/upto) OVER (PARTITION BY stage ORDER BY p DESC)) AS padj FROM bh),
+RESULT = """, bh AS (SELECT *, COUNT(p) OVER (PARTITION BY stage) AS mm, COUNT(p) OVER (PARTITION BY stage ORDER BY p) AS upto FROM eb),
+    adj AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0::DOUBLE, min(p*mm/upto) OVER (PARTITION BY stage ORDER BY p DESC NULLS LAST)) END AS padj FROM bh),
     res AS (SELECT feature, stage, lfc, padj, padj < {p} AND abs(lfc) > {f} AS significant, CASE WHEN padj < {p} AND abs(lfc) > {f} THEN CASE WHEN lfc < 0 THEN 'Down' ELSE 'Up' END ELSE 'None' END AS regulation FROM adj)"""
 
 
@@ -80,7 +80,7 @@ def recursive(sql: str) -> str:
 def _between(at: str, curve: str) -> str:
     """SQL text: rows of ``at`` (id, x) with the curve's value, constant beyond its ends."""
     return f"""SELECT p.id, CASE WHEN c.a1 IS NULL THEN c.f0 WHEN p.x <= c.a0 THEN c.f0 ELSE c.f0 + (p.x - c.a0)/(c.a1 - c.a0)*(c.f1 - c.f0) END AS f
-        FROM (SELECT id, x, greatest(x, (SELECT min(a) FROM {curve})) AS xx FROM {at}) p ASOF JOIN (SELECT a AS a0, f AS f0, lead(a) OVER (ORDER BY a) AS a1, lead(f) OVER (ORDER BY a) AS f1 FROM {curve}) c ON p.xx >= c.a0"""
+        FROM (SELECT id, x, greatest(x, (SELECT min(a) FROM {curve})) AS xx FROM {at}) p ASOF LEFT JOIN (SELECT a AS a0, f AS f0, lead(a) OVER (ORDER BY a) AS a1, lead(f) OVER (ORDER BY a) AS f1 FROM {curve}) c ON p.xx >= c.a0"""
 
 
 def lowess_sql(points: str, out: str, span: float = 0.5, rounds: int = 3) -> str:
@@ -118,13 +118,13 @@ def count_model_sql(where: str, k: str = "", *, n: int = 3, threshold: int = 20,
     size{k} AS (SELECT sample, stage, log2(lib*factor + 1) AS lg, AVG(log2(lib*factor + 1)) OVER () AS mlg FROM tmm{k} JOIN sel{k} USING (sample)),
     y{k} AS (SELECT feature, sample, stage, log2(value + 0.5::DOUBLE) + log2(1e6::DOUBLE) - lg AS value, lg, mlg FROM dense{k} JOIN size{k} USING (sample)),
     plain{k} AS (SELECT feature, stage, COUNT(*) AS n, AVG(value) AS m, var_pop(value)*COUNT(*) AS ss FROM y{k} GROUP BY 1, 2),
-    pts{k} AS (SELECT feature AS id, SUM(n*m)/SUM(n) + (SELECT any_value(mlg) FROM size{k}) - log2(1e6::DOUBLE) AS x, sqrt(sqrt(SUM(ss)/(SUM(n) - COUNT(*)))) AS y FROM plain{k} GROUP BY 1){lowess_sql(f"pts{k}", f"curve{k}")},
+    pts{k} AS (SELECT feature AS id, SUM(n*m)/SUM(n) + (SELECT any_value(mlg) FROM size{k}) - log2(1e6::DOUBLE) AS x, sqrt(sqrt(SUM(ss)/(SUM(n) - COUNT(*)))) AS y FROM plain{k} GROUP BY 1 HAVING SUM(n) > COUNT(*)){lowess_sql(f"pts{k}", f"curve{k}")},
     spot{k} AS (SELECT feature || '#' || sample AS id, feature, sample, stage, value, m + lg - log2(1e6::DOUBLE) AS x FROM y{k} JOIN plain{k} USING (feature, stage)),
     cell{k} AS (SELECT feature, sample, stage, value, pow(f, -4) AS weight FROM spot{k} JOIN ({_between(f"spot{k}", f"curve{k}")}) USING (id)),
     st{k} AS (SELECT feature, stage, COUNT(*) AS n, SUM(weight) AS mass, SUM(weight*value)/SUM(weight) AS m FROM cell{k} GROUP BY 1, 2),
-    fit{k} AS (SELECT feature, CAST(COUNT(*) - COUNT(DISTINCT stage) AS DOUBLE) AS df, sqrt(SUM(weight*pow(value - m, 2))/(COUNT(*) - COUNT(DISTINCT stage))) AS sigma FROM cell{k} JOIN st{k} USING (feature, stage) GROUP BY 1),
-    contr{k} AS (SELECT a.feature, a.stage, a.m - b.m AS lfc, sqrt(1/a.mass + 1/b.mass) AS unscaled, sigma, df FROM st{k} a JOIN st{k} b ON a.feature = b.feature AND b.stage = 'Baseline'
-        AND a.stage IN ('Early','Middle','Late') JOIN fit{k} fit ON fit.feature = a.feature)"""
+    fit{k} AS (SELECT feature, CAST(COUNT(*) - COUNT(DISTINCT stage) AS DOUBLE) AS df, sqrt(SUM(weight*pow(value - m, 2))/nullif(COUNT(*) - COUNT(DISTINCT stage), 0)) AS sigma FROM cell{k} JOIN st{k} USING (feature, stage) GROUP BY 1),
+    contr{k} AS (SELECT fit.feature, shown.stage, a.m - b.m AS lfc, sqrt(1/a.mass + 1/b.mass) AS unscaled, sigma, df FROM fit{k} fit CROSS JOIN (VALUES ('Early'), ('Middle'), ('Late')) shown(stage)
+        LEFT JOIN st{k} a ON a.feature = fit.feature AND a.stage = shown.stage LEFT JOIN st{k} b ON b.feature = fit.feature AND b.stage = 'Baseline')"""
 
 
 COUNT_TABLES = recursive(sql_with("counts", "samples"))

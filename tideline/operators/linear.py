@@ -494,7 +494,8 @@ def fit_weighted_counts(df: DataFrame, trend: Trend, levels: Sequence[str], *, b
     sums = zeros.unionByName(cells).groupBy(*keys, "feature").agg(*aggs)
     out = sums.join(trend.fit.select(*keys, "feature", F.col("beta").alias("_b"), "df", "amean"), [*keys, "feature"])
     k = range(len(levels))
-    mass, shift = [F.col(f"_w{i}") for i in k], [F.col(f"_s{i}") / F.col(f"_w{i}") for i in k]
+    mass = [F.nullif(F.col(f"_w{i}"), F.lit(0.0)) for i in k]  # none where a group has no trend
+    shift = [F.col(f"_s{i}") / mass[i] for i in k]
     left = [F.coalesce(F.greatest(F.col(f"_q{i}") - F.col(f"_s{i}") * shift[i], F.lit(0.0)), F.lit(0.0)) for i in k]
     return out.select(
         *keys, "feature", F.array(*[F.col("_b")[i] + shift[i] for i in k]).alias("beta"),
