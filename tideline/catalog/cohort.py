@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tideline.catalog.basics import FEATURES
 from tideline.catalog.registry import q6, query, r6, sql_norm_p
-from tideline.catalog.stats import DAILY, PEAK_ARM, WEEKS, dunn_sql, kruskal_sql, mean_ci_sql, ranksum_p_sql, ranksum_sql
+from tideline.catalog.stats import PEAK_ARM, WEEKS, dunn_sql, kruskal_sql, mean_ci_sql, ranksum_p_sql, ranksum_sql
 from tideline.operators import nonparametric as NP
 from tideline.operators.reshape import cast_wide
 from tideline.plans import bindings as B
