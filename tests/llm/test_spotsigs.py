@@ -4,7 +4,6 @@ import re
 from collections import Counter
 
 import xxhash
-from pyspark.sql import functions as F
 
 from tideline.llm import spotsigs
 
