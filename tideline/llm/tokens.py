@@ -15,7 +15,7 @@ import numpy as np
 from tideline.llm.common import Words, mix, u64
 
 #: Words kept per Python worker, half of the places of its table; beyond it the table starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_500_000
 LETTER, NUMBER, BLANK, OTHER = 0, 1, 2, 3
 
 
@@ -94,8 +94,8 @@ class Encoder:
         size = 1 << max(2 * room - 1, 1).bit_length()
         self.mask, self.room, self.held = size - 1, size // 2, 0
         self.known = np.zeros(size, np.uint64)  # hashes by place, 0: free
-        self.at = np.zeros(size, np.int64)
-        self.length = np.zeros(size, np.int64)
+        self.at = np.zeros(size, np.int32)
+        self.length = np.zeros(size, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def _places(self, hashes: np.ndarray) -> np.ndarray:
@@ -186,7 +186,7 @@ class Encoder:
         """Flat ids, and where each text's begin (with the total at the end)."""
         words, offsets, odd = self._split(texts)
         slot = self._look_up(words)
-        length = self.length[slot]
+        length = self.length[slot].astype(np.int64)
         total = np.zeros(len(slot) + 1, np.int64)
         np.cumsum(length, out=total[1:])
         place = np.arange(total[-1]) + np.repeat(self.at[slot] - total[:-1], length)
