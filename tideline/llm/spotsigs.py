@@ -107,22 +107,22 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     document's. Documents are distinct (doc_id, text) pairs in this order; ``copies`` rows repeat each. Null texts are empty.
-    A document is known by its doc_id and 64 bits of its text, so only texts of one doc_id could be mistaken.
+    A document is known by two hashes of 64 bits, of its doc_id with its text and of its text.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("_h", F.xxhash64("text"))
+    # keys without nulls: a join on them finds the texts where the one shuffle has put them
+    key = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text").alias("b"))
+    rows = rows.withColumn("_h", key)
     ids = rows.groupBy("doc_id", "_h", F.char_length("text").cast("bigint").alias("n_chars")).agg(F.count("*").alias("copies"))
     links = durable(with_next(ids))
-    back = links.select(F.col("_next_id"), F.col("_next_h"), F.col("doc_id").alias("_to_id"), F.col("_h").alias("_to_h"), F.floor(F.col("n_chars") / 4).cast("int").alias("_k"))
-    own = links.drop("_next_id", "_next_h")
-    told = own.join(back, F.col("doc_id").eqNullSafe(F.col("_next_id")) & (F.col("_h") == F.col("_next_h"))).drop("_next_id", "_next_h")
-    told = durable(told.withColumnsRenamed({"doc_id": "_d", "_h": "_g"}))
+    back = links.select(F.col("_next_h").alias("_h"), F.col("_h").alias("_to"), F.floor(F.col("n_chars") / 4).cast("int").alias("_k"))
+    told = durable(links.drop("_next_id", "_next_h").join(back, "_h").drop("doc_id"))
     # the texts are shuffled once; both what a document lends to the one before it (the beginning of its text and all its
     # signatures) and its own row come from there
-    dealt = rows.repartition("doc_id", "_h").dropDuplicates(["doc_id", "_h"]).join(told, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")))
-    dealt = with_signatures(dealt.drop("_d", "_g"), "text", "own")
-    lent = dealt.select(F.col("_to_id").alias("_d"), F.col("_to_h").alias("_g"), F.substring(F.col("text"), F.lit(1), F.col("_k")).alias("_head"), F.col("own").alias("following"))
-    made = dealt.join(lent, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")))
+    dealt = rows.repartition("_h").join(told, "_h").dropDuplicates(["_h"])
+    dealt = with_signatures(dealt, "text", "own")
+    lent = dealt.select(F.col("_to").alias("_h"), F.substring(F.col("text"), F.lit(1), F.col("_k")).alias("_head"), F.col("own").alias("following"))
+    made = dealt.join(lent, "_h")
     keep = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), keep), F.col("_head"))
     return made.select("doc_id", "n_chars", "copies", edited.alias("edited"), "own", "following")
