@@ -86,6 +86,21 @@ def test_no_python_in_the_plan(edge):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_texts_are_shuffled_once(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = spotsigs.fingerprints(docs)
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # the texts (read by both branches), what is told of them (twice), and what documents lend
+    assert plan.count("ReusedExchange [text") == 1
+    assert len(set(re.findall(r" Exchange hashpartitioning.*plan_id=(\d+)", plan))) == 4
+
+
 def test_likeness_of_long_texts_is_exact(spark):
     rng = random.Random(3)
     words = [f"w{rng.randrange(10**6)}" for _ in range(2000)]

@@ -26,6 +26,9 @@ KEPT = None
 #: Words between two anchors, or before the first, from this one on are anchors themselves.
 FAR = 9
 PERCENT = 75
+#: What a document is known by: hashes of 64 bits of its doc_id with its text and of its text. They are columns of their
+#: own: a struct's fields may be null once it is written and read, and a join then casts it and deals the texts out anew.
+KEY = ("_a", "_b")
 
 # Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -84,22 +87,22 @@ def with_likeness(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
 
 
 def with_next(ids: DataFrame) -> DataFrame:
-    """``ids`` (doc_id, _h, n_chars, copies) with the ``_next_id``, ``_next_h`` of the row that follows by (doc_id, _h); after the last comes the first.
+    """``ids`` (doc_id, _a, _b, n_chars, copies) with the ``_next_a``, ``_next_b`` of the row that follows by (doc_id, _a, _b); after the last comes the first.
 
     The rows are written in global order, one file per range; within a file they are linked by a window, and the last
     of a file with the first of the next, for which only one row per file is ordered as a whole.
     """
-    order = [F.col("doc_id").asc_nulls_last(), F.col("_h")]
+    order = [F.col("doc_id").asc_nulls_last(), *KEY]
     files = durable(ids.orderBy(*order)).withColumn("_file", F.col("_metadata.file_path"))
     here = W.partitionBy("_file").orderBy(*order)
-    inside = files.withColumn("_next", F.lead(F.struct("doc_id", "_h")).over(here))
-    first = files.groupBy("_file").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("_first"))
+    inside = files.withColumn("_next", F.lead(F.struct(*KEY)).over(here))
+    first = files.groupBy("_file").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("_first"))
     by_file = W.orderBy("_first")
     whole = W.partitionBy()
     after = first.select("_file", F.coalesce(F.lead("_first").over(by_file), F.min("_first").over(whole)).alias("_after"))
     linked = inside.join(after, "_file")
-    follow = F.coalesce(F.col("_next"), F.struct(F.col("_after")["doc_id"], F.col("_after")["_h"]))
-    return linked.withColumn("_next", follow).select("doc_id", "_h", "n_chars", "copies", F.col("_next")["doc_id"].alias("_next_id"), F.col("_next")["_h"].alias("_next_h"))
+    follow = F.coalesce(F.col("_next"), F.struct(*[F.col("_after")[k].alias(k) for k in KEY]))
+    return linked.withColumn("_next", follow).select("doc_id", *KEY, "n_chars", "copies", *[F.col("_next")[k].alias(f"_next{k}") for k in KEY])
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
@@ -107,22 +110,20 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
     document's. Documents are distinct (doc_id, text) pairs in this order; ``copies`` rows repeat each. Null texts are empty.
-    A document is known by two hashes of 64 bits, of its doc_id with its text and of its text.
+    A document is known by its ``KEY``.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # keys without nulls: a join on them finds the texts where the one shuffle has put them
-    key = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text").alias("b"))
-    rows = rows.withColumn("_h", key)
-    ids = rows.groupBy("doc_id", "_h", F.char_length("text").cast("bigint").alias("n_chars")).agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("_a", F.xxhash64("doc_id", "text")).withColumn("_b", F.xxhash64("text"))
+    ids = rows.groupBy("doc_id", *KEY, F.char_length("text").cast("bigint").alias("n_chars")).agg(F.count("*").alias("copies"))
     links = durable(with_next(ids))
-    back = links.select(F.col("_next_h").alias("_h"), F.col("_h").alias("_to"), F.floor(F.col("n_chars") / 4).cast("int").alias("_k"))
-    told = durable(links.drop("_next_id", "_next_h").join(back, "_h").drop("doc_id"))
-    # the texts are shuffled once; both what a document lends to the one before it (the beginning of its text and all its
-    # signatures) and its own row come from there
-    dealt = rows.repartition("_h").join(told, "_h").dropDuplicates(["_h"])
+    back = links.select(*[F.col(f"_next{k}").alias(k) for k in KEY], *[F.col(k).alias(f"_to{k}") for k in KEY], F.floor(F.col("n_chars") / 4).cast("int").alias("_k"))
+    told = durable(links.drop(*[f"_next{k}" for k in KEY]).join(back, [*KEY]))
+    # the texts are shuffled once, with nothing but their keys; both what a document lends to the one before it (the
+    # beginning of its text and all its signatures) and its own row come from there
+    dealt = rows.drop("doc_id").repartition(*KEY).join(told, [*KEY]).dropDuplicates([*KEY])
     dealt = with_signatures(dealt, "text", "own")
-    lent = dealt.select(F.col("_to").alias("_h"), F.substring(F.col("text"), F.lit(1), F.col("_k")).alias("_head"), F.col("own").alias("following"))
-    made = dealt.join(lent, "_h")
+    lent = dealt.select(*[F.col(f"_to{k}").alias(k) for k in KEY], F.substring(F.col("text"), F.lit(1), F.col("_k")).alias("_head"), F.col("own").alias("following"))
+    made = dealt.join(lent, [*KEY])
     keep = (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), keep), F.col("_head"))
     return made.select("doc_id", "n_chars", "copies", edited.alias("edited"), "own", "following")
