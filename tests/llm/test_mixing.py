@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 from hypothesis import given, settings
@@ -107,3 +108,21 @@ def test_few_long_documents_are_fitted_as_near_as_any_choice():
         made = sum(length * n for length, n in taken.items())
         choices = itertools.product(*[range(n + 1) for n in counts.values()])
         assert abs(budget - made) == min(abs(budget - sum(length * n for length, n in zip(counts, c, strict=True))) for c in choices)
+
+
+def test_memory_of_the_fit_does_not_follow_the_number_of_lengths():
+    counts = {100_000 + i: 1 for i in range(1_000)}
+    budget = 20 * 99_900 + 2_000_000 - 3_000
+    tracemalloc.start()
+    try:
+        taken = mixing.fit_counts(counts, budget)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert abs(budget - sum(length * n for length, n in taken.items())) <= 50_000
+    assert peak < 30 << 20
+
+
+def test_a_far_rest_of_a_very_long_document_is_left():
+    assert mixing.fit_counts({8_000_000: 2, 1: 1}, 3_900_000) == {8_000_000: 0, 1: 1}
+    assert mixing.fit_counts({8_000_000: 2, 1: 1}, 4_100_000) == {8_000_000: 1, 1: 0}

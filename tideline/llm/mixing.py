@@ -10,6 +10,8 @@ length are taken is settled by a seeded hash of doc_id. The fit sees counts by l
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -70,20 +72,40 @@ def fit_counts(counts: dict[int, int], budget: int, window: int = WINDOW) -> dic
             use = min(part, left)
             grown = (sums | sums << (use * length)) & limit
             if grown != sums:
-                pieces.append((length, use, sums))
+                pieces.append((length, use))
                 sums = grown
             left -= use
             part *= 2
         if sums >> rest & 1:
             break
-    near = next(s for d in range(rest + 1) for s in (rest - d, rest + d) if sums >> s & 1)
-    for length, use, before in reversed(pieces):
+    near = (sums & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = sums >> rest
+    over = (above & -above).bit_length() - 1
+    if above and over < rest - near:
+        near = rest + over
+    for length, use, before in _backwards(pieces, 0, len(pieces), 1, (1 << (near + 1)) - 1):
         if not before >> near & 1:
             taken[length] += use
             near -= use * length
     return taken
 
 
+def _backwards(pieces: list[tuple[int, int]], low: int, high: int, sums: int, limit: int) -> Iterator[tuple[int, int, int]]:
+    """(length, number, reachable sums without it and those behind it) of pieces[low:high], the last one first.
+
+    ``sums`` are those before pieces[low]. They are as wide as the window, which follows the longest document, so they are
+    worked out again by halves: as many are held as the pieces can be halved, not one per piece.
+    """
+    if high - low == 1:
+        yield *pieces[low], sums
+    elif high > low:
+        middle, later = (low + high) // 2, sums
+        for length, use in pieces[low:middle]:
+            later = (later | later << (use * length)) & limit
+        yield from _backwards(pieces, middle, high, later, limit)
+        yield from _backwards(pieces, low, middle, sums, limit)
+
+
 def targets(totals: DataFrame) -> DataFrame:
     """(key, source, source_size) with ``target``: one row per source, which is all that this step handles.
 
